@@ -114,7 +114,7 @@ def events_as_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/w/"), hidden, user, suffix).alias("src_path"),
         F.when(kind == "moved", F.concat(F.lit("/w/old/"), user, suffix)).alias("dest_path"),
         (F.col("event_id") % 17 == 0).alias("is_directory"),
-        "ts",
+        F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"),
     )
 
 

@@ -21,7 +21,8 @@ def cosine_distance(left: Column, right: Column) -> Column:
     """``1 - cos``; NULL for a missing or zero vector and for unequal lengths."""
     scale = norm(left) * norm(right)
     usable = (F.size(left) == F.size(right)) & (scale > 0)
-    return F.when(usable, 1 - dot(left, right) / scale)
+    # Rounding of equal vectors may end below zero.
+    return F.when(usable, F.greatest(1 - dot(left, right) / scale, F.lit(0.0)))
 
 
 def l2_normalize(vector: Column) -> Column:

@@ -98,7 +98,8 @@ class CosineRanker:
 
     def distances(self, prepared, rows: slice, side) -> np.ndarray:
         matrix, usable = prepared
-        out = np.round(1.0 - matrix[rows] @ side[0].T, self.precision)
+        # Adding zero turns a negative zero into a plain one.
+        out = np.round(1.0 - matrix[rows] @ side[0].T, self.precision) + 0.0
         out[:, ~side[1]] = np.inf
         out[~usable[rows]] = np.inf
         return out

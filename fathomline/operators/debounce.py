@@ -103,10 +103,18 @@ class Chains:
         return np.flatnonzero(marked)
 
 
+def instant(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone (then UTC)."""
+    value = F.col(ts)
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        value = F.concat(value.cast("string"), F.lit("Z")).cast("timestamp")
+    return F.unix_micros(value)
+
+
 def debounce(
     events: DataFrame,
     keys: Sequence[str],
-    ts: str | Column,
+    ts: str,
     window_us: int,
     tie_breaker: str,
     stretch: int = STRETCH,
@@ -117,9 +125,9 @@ def debounce(
     events of a key at the same instant the one with the smallest
     ``tie_breaker`` stands first; the tie breaker is unique within a key.
     """
-    when = F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
     span = window_us * stretch
-    keyed = events.withColumns({"__key": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "__us": when})
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    keyed = events.withColumns({"__key": key, "__us": instant(events, ts)})
     # Folded within each task before the shuffle.
     instants = keyed.groupBy("__key", "__us").agg(F.min(tie_breaker).alias("__first"))
     instants = instants.withColumn("__part", F.floor(F.col("__us") / span))

@@ -140,7 +140,7 @@ def filter_pairs(queries: DataFrame, items: DataFrame, bucket: int = 100, shards
         F.pmod(F.xxhash64("item_id"), F.lit(shards)).alias("shard"),
         F.explode(F.array_compact(F.concat(*used))).alias("route_key"),
     )
-    spread = routed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
+    spread = routed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1))))
     same = (F.col("q.route_key") == F.col("i.route_key")) & (F.col("q.shard") == F.col("i.shard"))
     return (
         keyed.alias("i").join(spread.alias("q"), same & pair_predicate("q", "i")).select("q.query_id", "i.item_id")

@@ -92,14 +92,14 @@ def trigram_topk(
     )
     scope = scope_columns(text_queries, QUERY_SCOPE)
     left = text_queries.select("query_id", trigrams(F.col(query_col)).alias("query_grams"), *scope)
-    right = items.select("item_id", F.col(text_col).alias("item_text"), *scope_columns(items, ITEM_SCOPE))
+    right = items.select("item_id", trigrams(F.col(text_col)).alias("item_grams"), *scope_columns(items, ITEM_SCOPE))
     shared = F.size(F.array_intersect("query_grams", "item_grams"))
     similarity = F.round(shared / (F.size("query_grams") + F.size("item_grams") - shared), PRECISION)
     pairs = (
         candidates.join(left.alias("q"), "query_id")
         .join(right.alias("i"), "item_id")
         .where(pair_predicate("q", "i", scope))
-        .select("query_id", "item_id", "query_grams", trigrams(F.col("item_text")).alias("item_grams"))
+        .select("query_id", "item_id", "query_grams", "item_grams")
     )
     order = W.partitionBy("query_id").orderBy("distance", "item_id")
     found = (

@@ -306,16 +306,17 @@ def item_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def ivf_exact(spark, sf):
-    index = ivf_build(items_view(spark, sf).where(F.col("embedding").isNotNull()), 16)
+    index = ivf_build(items_view(spark, sf), 16, fresh_folder(spark, "lists"))
     return ivf_topk(prepare_queries(queries_view(spark, sf)), index, KNN_K, nprobe=3)
 
 
 @registered
 def ivf_recall(spark, sf):
     """Recall of all lists together, which is complete."""
-    items = items_view(spark, sf).where(F.col("embedding").isNotNull())
+    items = items_view(spark, sf).select("item_id", "embedding")
     queries = queries_view(spark, sf).select("query_id", "query_vec")
-    approx = ivf_topk(queries, ivf_build(items, 8), KNN_K, nprobe=8, exact=False)
+    index = ivf_build(items, 8, fresh_folder(spark, "lists"))
+    approx = ivf_topk(queries, index, KNN_K, nprobe=8, exact=False)
     return recall_at_k(approx, knn_join(queries, items, KNN_K))
 
 

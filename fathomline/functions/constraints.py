@@ -9,6 +9,7 @@ off the span, and the rest of the text is what remains to search for.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -110,51 +111,76 @@ class ConstraintSpec:
         ]
 
 
-def extract_constraints(
-    df: DataFrame, text_col: str = "query", spec: ConstraintSpec = ConstraintSpec(), prefix: str = "ext"
-) -> DataFrame:
-    """Adds ``{prefix}_tier``, ``{prefix}_min``, ``{prefix}_max`` and ``{prefix}_text``.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    Keeps the expression small also where Spark copies it, as it does when it
+    pushes a filter on the result below a projection.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def constraint(text: Column, spec: ConstraintSpec = ConstraintSpec()) -> Column:
+    """``struct<tier, lower, upper, rest>`` of the first phrase of the first kind that occurs.
 
     Bounds are inclusive, also for "more than". A range may be written in either
-    order. The text is unchanged where nothing matched and where the phrase was
-    all there was.
+    order. ``rest`` is the text itself where nothing matched and where the
+    phrase was all there was.
     """
-    text = F.col(text_col)
     tiers = spec.tiers()
-    tier, span, rest = f"{prefix}_tier", "__span", "__rest"
-    numbers = "__numbers"
-
-    chosen = F.lit(None).cast("string")
-    for name, pattern, _ in reversed(tiers):
-        chosen = F.when(text.rlike(FLAGS + pattern), F.lit(name)).otherwise(chosen)
-    cut = F.lit(None).cast("string")
-    left_over = F.lit(None).cast("string")
-    for name, pattern, _ in tiers:
-        this = F.col(tier) == name
-        cut = F.when(this, F.regexp_extract(text, FLAGS + pattern, 0)).otherwise(cut)
-        # Anchored at the start, so that only the first occurrence goes.
-        first = rf"{FLAGS}(?s)\A(.*?)(?:{pattern})"
-        left_over = F.when(this, F.regexp_replace(text, first, "$1")).otherwise(left_over)
-    has_lower = F.col(tier).isin([name for name, _, bound in tiers if bound != UPPER])
-    has_upper = F.col(tier).isin([name for name, _, bound in tiers if bound != LOWER])
 
-    return (
-        df.withColumn(tier, chosen)
-        .withColumns({span: cut, rest: collapse_spaces(left_over)})
-        .withColumn(
-            numbers,
-            F.transform(
-                F.regexp_extract_all(F.col(span), F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("bigint")
+    def choose(q: Column) -> Column:
+        chosen = F.lit(None).cast("string")
+        for name, pattern, _ in reversed(tiers):
+            chosen = F.when(q.rlike(FLAGS + pattern), F.lit(name)).otherwise(chosen)
+        return chosen
+
+    def numbers(q: Column, tier: Column) -> Column:
+        span = F.lit(None).cast("string")
+        for name, pattern, _ in tiers:
+            span = F.when(tier == name, F.regexp_extract(q, FLAGS + pattern, 0)).otherwise(span)
+        digits = F.regexp_extract_all(span, F.lit(r"\d+"), F.lit(0))
+        return F.transform(digits, lambda n: n.try_cast("bigint"))
+
+    def remainder(q: Column, tier: Column) -> Column:
+        rest = F.lit(None).cast("string")
+        for name, pattern, _ in tiers:
+            # Anchored at the start, so that only the first occurrence goes.
+            first = rf"{FLAGS}(?s)\A(.*?)(?:{pattern})"
+            rest = F.when(tier == name, F.regexp_replace(q, first, "$1")).otherwise(rest)
+        return F.coalesce(F.nullif(collapse_spaces(rest), F.lit("")), q)
+
+    def outcome(q: Column, tier: Column) -> Column:
+        has_lower = tier.isin([name for name, _, bound in tiers if bound != UPPER])
+        has_upper = tier.isin([name for name, _, bound in tiers if bound != LOWER])
+        return let(
+            numbers(q, tier),
+            lambda n: F.struct(
+                tier.alias("tier"),
+                F.when(has_lower, F.array_min(n)).alias("lower"),
+                F.when(has_upper, F.array_max(n)).alias("upper"),
+                remainder(q, tier).alias("rest"),
             ),
         )
+
+    return let(text, lambda q: let(choose(q), lambda tier: outcome(q, tier)))
+
+
+def extract_constraints(
+    df: DataFrame, text_col: str = "query", spec: ConstraintSpec = ConstraintSpec(), prefix: str = "ext"
+) -> DataFrame:
+    """Adds ``{prefix}_tier``, ``{prefix}_min``, ``{prefix}_max`` and ``{prefix}_text``."""
+    return (
+        df.withColumn("__found", constraint(F.col(text_col), spec))
         .withColumns(
             {
-                f"{prefix}_min": F.when(has_lower, F.array_min(numbers)),
-                f"{prefix}_max": F.when(has_upper, F.array_max(numbers)),
-                f"{prefix}_text": F.coalesce(F.nullif(F.col(rest), F.lit("")), text),
+                f"{prefix}_tier": F.col("__found.tier"),
+                f"{prefix}_min": F.col("__found.lower"),
+                f"{prefix}_max": F.col("__found.upper"),
+                f"{prefix}_text": F.col("__found.rest"),
             }
         )
-        .drop(span, rest, numbers)
+        .drop("__found")
     )
 
 

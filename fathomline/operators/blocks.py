@@ -360,24 +360,39 @@ def _scan_in_place(table: pa.Table, items: DataFrame, rankers: Sequence) -> Data
     return items.where(_scan_predicate(table)).drop(*drop).mapInArrow(score, PARTIAL_SCHEMA)
 
 
-def _grid(queries: DataFrame, items: DataFrame, rankers: Sequence) -> DataFrame:
-    """Cells of bounded size; both sides may carry a ``bucket`` to meet in."""
-    if "bucket" not in items.columns:
-        items = items.withColumn("bucket", F.lit(0).cast("bigint"))
-        queries = queries.withColumn("bucket", F.lit(0).cast("bigint"))
-    parts = items.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_CELL).alias("shards"))
-    blocks = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_CELL).alias("blocks"))
-    cells = parts.join(blocks, "bucket")
+def _cells(rows: Column, per_cell: int) -> Column:
+    return F.greatest(F.ceil(rows / per_cell), F.lit(1)).cast("bigint")
+
+
+def _grid(queries: DataFrame, items: DataFrame, rankers: Sequence, sizes: DataFrame | None = None) -> DataFrame:
+    """Cells of bounded size; both sides may carry a ``bucket`` to meet in.
+
+    With buckets, ``sizes(bucket, n)`` gives the items per bucket: one row per
+    bucket, and there are as many buckets as the caller made, so the table of
+    cell counts is small however large a bucket is. It is broadcast, so that the
+    rows of a bucket are not brought together before they are split.
+    """
+    if "bucket" in items.columns:
+        blocks = queries.groupBy("bucket").agg(_cells(F.count(F.lit(1)), QUERIES_PER_CELL).alias("blocks"))
+        parts = sizes.select("bucket", _cells(F.col("n"), ITEMS_PER_CELL).alias("shards"))
+        cells = F.broadcast(parts.join(blocks, "bucket"))
+        items, queries = items.join(cells, "bucket"), queries.join(cells, "bucket")
+    else:
+        counts = {
+            "bucket": F.lit(0).cast("bigint"),
+            "shards": _cells(F.lit(items.count()), ITEMS_PER_CELL),
+            "blocks": _cells(F.lit(queries.count()), QUERIES_PER_CELL),
+        }
+        items, queries = items.withColumns(counts), queries.withColumns(counts)
+    zero = F.lit(0).cast("bigint")
     placed_items = (
-        items.join(cells, "bucket")
-        .withColumn("shard", F.pmod(F.xxhash64("item_id"), F.col("shards")))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.col("shards")))
+        .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
         .drop("shards", "blocks")
     )
     placed_queries = (
-        queries.join(cells, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
+        queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+        .withColumn("shard", F.explode(F.sequence(zero, F.col("shards") - 1)))
         .drop("shards", "blocks")
     )
     chosen = tuple(rankers)
@@ -404,21 +419,30 @@ def scope_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
 
 
 def blocked_topk(
-    queries: DataFrame, items: DataFrame, rankers: Sequence, force_grid: bool = False, keep_k: bool = False
+    queries: DataFrame,
+    items: DataFrame,
+    rankers: Sequence,
+    force_grid: bool = False,
+    keep_k: bool = False,
+    k_max: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> tuple[DataFrame, int]:
     """Ranks per ranker and query, and the largest ``k`` among the queries.
 
     ``queries`` holds ``query_id, k``, the rankers' query columns and any of the
     filter columns; ``items`` holds ``item_id``, the rankers' item columns and
-    the filter columns.
+    the filter columns. ``k_max`` is counted unless the caller knows it.
     """
     bucketed = "bucket" in items.columns
+    if bucketed and sizes is None:
+        raise ValueError("bucketed items need the sizes of their buckets")
     table = None if force_grid or bucketed else local_table(queries)
     if table is not None:
         k_max = int(pc.max(table["k"]).as_py() or 0) if table.num_rows else 0
         partial = _scan_in_place(table, items, rankers)
     else:
-        k_max = queries.agg(F.max("k")).first()[0] or 0
-        partial = _grid(queries, items, rankers)
+        if k_max is None:
+            k_max = queries.agg(F.max("k")).first()[0] or 0
+        partial = _grid(queries, items, rankers, sizes)
     best = keep_best(partial, k_max)
     return (best if keep_k else best.drop("k")), k_max

@@ -119,8 +119,9 @@ def filter_pairs(queries: DataFrame, items: DataFrame, bucket: int = 100, shards
     # A range filter on a column without any value matches nothing.
     query_keys = query_keys.when(has_atk | has_def, none).otherwise(F.array(F.lit("*")))
 
-    routed = queries.select(
-        "query_id", *QUERY_SCOPE, F.explode(query_keys).alias("route_key")
+    # The outer form, because Spark repeats the argument of the plain one in a filter.
+    routed = queries.select("query_id", *QUERY_SCOPE, F.explode_outer(query_keys).alias("route_key")).where(
+        F.col("route_key").isNotNull()
     )
     routes = {r.route for r in routed.select(F.substring("route_key", 1, 1).alias("route")).distinct().collect()}
     item_keys = {

@@ -21,6 +21,7 @@ from fathomline.functions.vectors import l2_normalize
 from fathomline.operators.blocks import CosineRanker, blocked_topk, keep_best, scope_columns
 from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE
 from fathomline.operators.nearest import PRECISION
+from fathomline.session import cut_lineage
 
 # Rounded distances may hide this much; added before a list is ruled out.
 SLACK = 10.0**-PRECISION
@@ -39,17 +40,21 @@ def gaps_to(matrix: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """``items`` with a ``list_id``; the centres and radii of the lists.
+    """``items`` with a ``list_id``; centre, radius and size of each list.
 
-    ``centers`` is ``n_lists x dims`` and ``radii`` is ``n_lists`` long, both
-    set by the caller's ``n_lists``, not by the data.
+    The arrays are as long as the caller's ``n_lists``, whatever the data.
     """
 
     items: DataFrame
     centers: np.ndarray
     radii: np.ndarray
+    counts: np.ndarray
     vector_col: str
 
+    def sizes(self) -> DataFrame:
+        rows = [(i, int(n)) for i, n in enumerate(self.counts)]
+        return self.items.sparkSession.createDataFrame(rows, "bucket bigint, n bigint")
+
 
 def assign_lists(items: DataFrame, centers: np.ndarray, vector_col: str = "embedding") -> DataFrame:
     """Adds ``list_id`` and ``gap``, the distance to the centre of that list."""
@@ -70,18 +75,29 @@ def usable_vector(column: str) -> Column:
 
 
 def ivf_build(
-    items: DataFrame, n_lists: int, vector_col: str = "embedding", seed: int = 7, max_iter: int = 10
+    items: DataFrame,
+    n_lists: int,
+    path: str,
+    vector_col: str = "embedding",
+    seed: int = 7,
+    max_iter: int = 10,
 ) -> IvfIndex:
-    """Clusters the items that have a vector and places each in a list."""
+    """Clusters the items that have a vector and writes each to its list under ``path``.
+
+    The lists are the folders of the written table, so a search reads only the
+    lists it looks into.
+    """
     held = items.where(usable_vector(vector_col))
     points = held.select(array_to_vector(l2_normalize(F.col(vector_col))).alias("features"))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, initSteps=2).fit(points)
     centers = np.array(model.clusterCenters())
-    placed = assign_lists(held, centers, vector_col)
-    radii = np.zeros(len(centers))
-    for row in placed.groupBy("list_id").agg(F.max("gap").alias("radius")).collect():
-        radii[row.list_id] = row.radius
-    return IvfIndex(placed, centers, radii, vector_col)
+    assign_lists(held, centers, vector_col).write.mode("overwrite").partitionBy("list_id").parquet(path)
+    placed = items.sparkSession.read.parquet(path)
+    radii, counts = np.zeros(len(centers)), np.zeros(len(centers), dtype=np.int64)
+    per_list = placed.groupBy("list_id").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
+    for row in per_list.collect():
+        radii[row.list_id], counts[row.list_id] = row.radius, row.n
+    return IvfIndex(placed, centers, radii, counts, vector_col)
 
 
 def _lists_by_gap(index: IvfIndex, query_col: str) -> Column:
@@ -128,10 +144,17 @@ def ivf_topk(
         *scope_columns(index.items, ITEM_SCOPE),
     )
     ranker = [CosineRanker(PRECISION)]
-    near, _ = blocked_topk(left.where(F.col("place") < nprobe).drop("place", "floor"), right, ranker, keep_k=True)
     columns = ["kind", "query_id", "item_id", "distance", "k"]
-    found = near.select(*columns)
+
+    def search(probes: DataFrame) -> DataFrame:
+        wanted = probes.drop("place", "floor")
+        best, _ = blocked_topk(wanted, right, ranker, keep_k=True, k_max=k, sizes=index.sizes())
+        return best.select(*columns)
+
+    found = search(left.where(F.col("place") < nprobe))
     if exact:
+        # Read three times below, a few rows per query.
+        found = cut_lineage(found)
         reached = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("worst"))
         # Unit vectors: squared distance is twice the cosine distance.
         reach = F.when(F.col("n") >= k, F.sqrt(2 * (F.col("worst") + SLACK)) + SLACK)
@@ -139,10 +162,9 @@ def ivf_topk(
             left.where(F.col("place") >= nprobe)
             .join(reached.select("query_id", reach.alias("reach")), "query_id", "left")
             .where(F.col("reach").isNull() | (F.col("floor") <= F.col("reach")))
-            .drop("place", "floor", "reach")
+            .drop("reach")
         )
-        more, _ = blocked_topk(open_lists, right, ranker, keep_k=True)
-        found = keep_best(found.unionByName(more.select(*columns)), k).select(*columns)
+        found = keep_best(found.unionByName(search(open_lists)), k).select(*columns)
     order = W.partitionBy("query_id").orderBy("distance", "item_id")
     return found.select("query_id", "item_id", "distance", F.row_number().over(order).alias("vec_rank"))
 

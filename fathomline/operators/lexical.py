@@ -23,7 +23,7 @@ def lexical_topk(
     force_grid: bool = False,
 ) -> DataFrame:
     """``query_id, item_id, distance, lex_rank`` of the ``k`` most similar names in scope."""
-    left = queries.where(F.col(query_col).isNotNull()).select(
+    left = queries.select(
         "query_id",
         as_column(k).cast("int").alias("k"),
         trigrams(F.col(query_col)).alias("query_grams"),
@@ -41,8 +41,10 @@ def lexical_topk(
 
 def trigram_index(items: DataFrame, text_col: str = "name") -> DataFrame:
     """Postings ``trigram, item_id, n_grams``: one row per item and trigram."""
-    sets = items.where(F.col(text_col).isNotNull()).select("item_id", trigrams(F.col(text_col)).alias("grams"))
-    return sets.select(F.explode("grams").alias("trigram"), "item_id", F.size("grams").alias("n_grams"))
+    sets = items.select("item_id", trigrams(F.col(text_col)).alias("grams"))
+    return sets.select(F.explode_outer("grams").alias("trigram"), "item_id", F.size("grams").alias("n_grams")).where(
+        F.col("trigram").isNotNull()
+    )
 
 
 def trigram_frequencies(index: DataFrame) -> DataFrame:
@@ -68,35 +70,34 @@ def trigram_topk(
     pairs without end; it goes to the block scan instead. Both ways are exact.
     """
     index = trigram_index(items, text_col) if index is None else index
-    text_queries = queries.where(F.col(query_col).isNotNull())
-    grams = text_queries.select("query_id", trigrams(F.col(query_col)).alias("query_grams"))
+    scope = scope_columns(queries, QUERY_SCOPE)
+    grams = queries.select("query_id", trigrams(F.col(query_col)).alias("query_grams"), *scope)
     frequent = trigram_frequencies(index)
     rarest_first = W.partitionBy("query_id").orderBy("df", "trigram")
     # One row per query and trigram; a query that no list knows has nothing to find.
     listed = (
-        grams.select("query_id", F.size("query_grams").alias("n_query"), F.explode("query_grams").alias("trigram"))
+        grams.select("query_id", F.size("query_grams").alias("n_query"), F.explode_outer("query_grams").alias("trigram"))
+        .where(F.col("trigram").isNotNull())
         .join(frequent, "trigram", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .withColumn("place", F.row_number().over(rarest_first))
         .where(F.col("place") <= F.col("n_query") - F.ceil(F.lit(threshold) * F.col("n_query") - 1e-9) + 1)
     )
-    worst = listed.groupBy("query_id").agg(F.max("df").alias("longest"))
-    by_list = worst.where(F.col("longest") <= max_postings).select("query_id")
-    by_scan = worst.where(F.col("longest") > max_postings).select("query_id")
+    longest = F.max("df").over(W.partitionBy("query_id"))
+    listed = listed.withColumn("longest", longest)
+    by_scan = listed.where(F.col("longest") > max_postings).select("query_id").distinct()
 
     candidates = (
-        listed.join(by_list, "query_id", "left_semi")
+        listed.where(F.col("longest") <= max_postings)
         .join(index.select("trigram", "item_id"), "trigram")
         .select("query_id", "item_id")
         .distinct()
     )
-    scope = scope_columns(text_queries, QUERY_SCOPE)
-    left = text_queries.select("query_id", trigrams(F.col(query_col)).alias("query_grams"), *scope)
     right = items.select("item_id", trigrams(F.col(text_col)).alias("item_grams"), *scope_columns(items, ITEM_SCOPE))
     shared = F.size(F.array_intersect("query_grams", "item_grams"))
     similarity = F.round(shared / (F.size("query_grams") + F.size("item_grams") - shared), PRECISION)
     pairs = (
-        candidates.join(left.alias("q"), "query_id")
+        candidates.join(grams.alias("q"), "query_id")
         .join(right.alias("i"), "item_id")
         .where(pair_predicate("q", "i", scope))
         .select("query_id", "item_id", "query_grams", "item_grams")
@@ -110,6 +111,6 @@ def trigram_topk(
         .where(F.col("lex_rank") <= k)
     )
     scanned = lexical_topk(
-        text_queries.join(by_scan, "query_id", "left_semi"), items, k, query_col, text_col, threshold
+        queries.join(by_scan, "query_id", "left_semi"), items, k, query_col, text_col, threshold
     )
     return found.unionByName(scanned)

@@ -30,8 +30,8 @@ from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE
 MAX_LOCAL_QUERIES = 50_000
 MAX_LOCAL_BYTES = 64 * 1024 * 1024
 # Rows per side of a grid cell.
-ITEMS_PER_CELL = 65_536
-QUERIES_PER_CELL = 8_192
+ITEMS_PER_CELL = 16_384
+QUERIES_PER_CELL = 4_096
 # Sides of a score matrix held at once.
 QUERY_CHUNK = 256
 ITEM_CHUNK = 8_192

@@ -9,12 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fathomline.checks.views import (
-    content_of_items, events_as_changes, item_bodies, item_rows, items_view, phrase_queries, queries_view, table,
+    content_of_items, documents, events_as_changes, item_bodies, item_rows, items_view, phrase_queries, queries_view, table,
 )
 from fathomline.functions.constraints import extract_constraints, merge_lower, merge_upper, prepare_queries
 from fathomline.functions.scoring import clamp_limit, pool_size, rrf_score
 from fathomline.functions.text import build_content, clean_int, collapse_spaces, content_hash, render_list
-from fathomline.functions.trigram import trgm_similarity, trigram_windows, trigrams
+from fathomline.functions.trigram import trgm_similarity, trigram_windows
 from fathomline.functions.vectors import check_dims, cosine_distance, l2_normalize, norm
 from fathomline.operators import lexical, merge, reports
 from fathomline.operators.debounce import debounce
@@ -191,19 +191,20 @@ def collapsed_text(spark, sf):
 
 @registered
 def document_trigrams(spark, sf):
-    return table(spark, sf, "documents").select(
+    windows = documents(spark, sf).select("doc_id", trigram_windows(F.col("text")).alias("w"))
+    return windows.select(
         "doc_id",
-        F.size(trigram_windows(F.col("text"))).cast("bigint").alias("n_windows"),
-        F.size(trigrams(F.col("text"))).cast("bigint").alias("n_trigrams"),
+        F.size("w").cast("bigint").alias("n_windows"),
+        F.size(F.array_distinct("w")).cast("bigint").alias("n_trigrams"),
     )
 
 
 @registered
 def trigram_similarity(spark, sf):
     other = F.concat_ws(" ", F.element_at(F.split("p_name", " "), 2), F.lower("p_type"), "p_brand")
-    similarity = trgm_similarity(F.col("p_name"), other)
-    return table(spark, sf, "part").select(
-        "p_partkey", F.round(similarity, 6).alias("similarity"), F.round(1 - similarity, 6).alias("distance")
+    compared = table(spark, sf, "part").select("p_partkey", trgm_similarity(F.col("p_name"), other).alias("s"))
+    return compared.select(
+        "p_partkey", F.round("s", 6).alias("similarity"), F.round(1 - F.col("s"), 6).alias("distance")
     )
 
 
@@ -218,9 +219,9 @@ def cosine_distances(spark, sf):
 @registered
 def normalized_vectors(spark, sf):
     scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("label"))
-    unit = l2_normalize(scaled)
-    return table(spark, sf, "embeddings").select(
-        "vec_id", F.round(norm(unit), 6).alias("length"), F.round(F.element_at(unit, 1), 6).alias("first")
+    units = table(spark, sf, "embeddings").select("vec_id", l2_normalize(scaled).alias("unit"))
+    return units.select(
+        "vec_id", F.round(norm(F.col("unit")), 6).alias("length"), F.round(F.element_at("unit", 1), 6).alias("first")
     )
 
 
@@ -246,7 +247,7 @@ def rrf_scores(spark, sf):
 
 @registered
 def embed_hashed(spark, sf):
-    docs = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", HashedTrigramEncoder(64))
+    docs = embed(documents(spark, sf), "text", HashedTrigramEncoder(64))
     values = docs.select("doc_id", F.posexplode("embedding").alias("slot", "value"))
     return values.where(F.col("value") != 0).select("doc_id", "slot", F.col("value").cast("double").alias("value"))
 

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts over all cores; a text is much work for its size."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the ``part`` table, without vectors."""
     properties = F.when(
@@ -46,9 +51,8 @@ def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per item that has a vector, with filters that vary by id."""
     qid = F.col("item_id")
-    held = item_rows(spark, sf_dir).join(
-        table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id"
-    )
+    vectors = spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"))
+    held = item_rows(spark, sf_dir).join(vectors, "item_id")
 
     def on(modulus: int, rest: int, value, kind: str):
         return F.when(qid % modulus == rest, value).cast(kind)
@@ -120,7 +124,7 @@ def events_as_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_bodies(spark: SparkSession, sf_dir: str, price_change: int = 0) -> DataFrame:
     """Items as JSON documents: some without a key, some cut short, numbers in several forms."""
-    rows = item_rows(spark, sf_dir)
+    rows = spread(item_rows(spark, sf_dir))
     key = F.col("item_id")
     atk = F.col("atk") + F.when(key % 4 == 0, F.lit(price_change)).otherwise(F.lit(0))
     atk_text = (

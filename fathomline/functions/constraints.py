@@ -9,11 +9,11 @@ off the span, and the rest of the text is what remains to search for.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fathomline.functions.binding import let
 from fathomline.functions.text import collapse_spaces
 
 # The words and phrases the queries use.
@@ -111,15 +111,6 @@ class ConstraintSpec:
         ]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it.
-
-    Keeps the expression small also where Spark copies it, as it does when it
-    pushes a filter on the result below a projection.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def constraint(text: Column, spec: ConstraintSpec = ConstraintSpec()) -> Column:
     """``struct<tier, lower, upper, rest>`` of the first phrase of the first kind that occurs.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fathomline.functions.binding import let
 from fathomline.functions.trigram import trigrams
 
 # Result limit, its range, candidate pool, fusion constants.
@@ -38,6 +39,10 @@ def lexical_coverage(query: Column, content: Column) -> Column:
     The default pair score. It is a lexical stand-in, not a learned model;
     a model goes in through ``operators.rerank.model_scorer``.
     """
-    wanted = trigrams(query)
-    found = F.size(F.array_intersect(wanted, trigrams(F.coalesce(content, F.lit("")))))
-    return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))
+    held = trigrams(F.coalesce(content, F.lit("")))
+
+    def share(wanted: Column) -> Column:
+        found = F.size(F.array_intersect(wanted, held))
+        return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))
+
+    return let(trigrams(query), share)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fathomline.functions.binding import let
+
 # Fixed value: the public default of the similarity threshold.
 DEFAULT_THRESHOLD = 0.3
 
@@ -30,10 +32,16 @@ def trigrams(text: Column) -> Column:
 
 def set_similarity(left: Column, right: Column) -> Column:
     """Shared over all trigrams of two sets; 0 when both are empty."""
-    shared = F.size(F.array_intersect(left, right))
-    total = F.size(left) + F.size(right) - shared
-    ratio = F.when(total == 0, F.lit(0.0)).otherwise(shared / total)
-    return F.when(left.isNotNull() & right.isNotNull(), ratio)
+
+    def ratio(shared: Column, total: Column) -> Column:
+        return F.when(total == 0, F.lit(0.0)).otherwise(shared / total)
+
+    def compare(a: Column, b: Column) -> Column:
+        shared = F.size(F.array_intersect(a, b))
+        similarity = let(shared, lambda n: ratio(n, F.size(a) + F.size(b) - n))
+        return F.when(a.isNotNull() & b.isNotNull(), similarity)
+
+    return let(left, lambda a: let(right, lambda b: compare(a, b)))
 
 
 def trgm_similarity(left: Column, right: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fathomline.functions.binding import let
+
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -14,23 +16,30 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
+    return F.sqrt(
+        F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    )
 
 
 def cosine_distance(left: Column, right: Column) -> Column:
     """``1 - cos``; NULL for a missing or zero vector and for unequal lengths."""
-    scale = norm(left) * norm(right)
-    usable = (F.size(left) == F.size(right)) & (scale > 0)
-    # Rounding of equal vectors may end below zero.
-    return F.when(usable, F.greatest(1 - dot(left, right) / scale, F.lit(0.0)))
+
+    def compare(a: Column, b: Column, scale: Column) -> Column:
+        usable = (F.size(a) == F.size(b)) & (scale > 0)
+        # Rounding of equal vectors may end below zero.
+        return F.when(usable, F.greatest(1 - dot(a, b) / scale, F.lit(0.0)))
+
+    return let(left, lambda a: let(right, lambda b: let(norm(a) * norm(b), lambda scale: compare(a, b, scale))))
 
 
 def l2_normalize(vector: Column) -> Column:
     """The vector divided by its length; a zero vector is returned as it is."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length)).otherwise(
-        F.transform(vector, lambda x: x.cast("double"))
-    )
+
+    def scaled(v: Column, length: Column) -> Column:
+        return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    return let(doubles, lambda v: let(norm(v), lambda length: scaled(v, length)))
 
 
 def check_dims(df: DataFrame, column: str, dims: int) -> DataFrame:

@@ -29,6 +29,8 @@ from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE
 # Bounds of the query table that may travel to every task.
 MAX_LOCAL_QUERIES = 50_000
 MAX_LOCAL_BYTES = 64 * 1024 * 1024
+# Scan tasks per core; each hands on up to k rows per query.
+TASKS_PER_CORE = 4
 # Rows per side of a grid cell.
 ITEMS_PER_CELL = 16_384
 QUERIES_PER_CELL = 4_096
@@ -201,25 +203,39 @@ class _Scope:
             out["member"] = member
         return out
 
-    def exclude(self, distance: np.ndarray, rows: slice, side: dict) -> None:
-        """Sets the distance of every pair outside the filters to infinity."""
-        for name, column, compare in (
-            ("eff_min", "atk", np.greater_equal),
-            ("eff_max", "atk", np.less_equal),
-            ("min_def", "def_", np.greater_equal),
-            ("max_def", "def_", np.less_equal),
-            ("level", "level", np.equal),
+    def outside(self, rows: slice, side: dict, n_items: int) -> np.ndarray | None:
+        """Which pairs of a chunk the filters exclude; nothing if none is set."""
+        out = None
+        for name, column, fails in (
+            ("eff_min", "atk", np.less),
+            ("eff_max", "atk", np.greater),
+            ("min_def", "def_", np.less),
+            ("max_def", "def_", np.greater),
+            ("level", "level", np.not_equal),
         ):
             if name in self.numbers:
-                wanted = self.numbers[name][rows, None]
-                distance[~(np.isnan(wanted) | compare(side[column][None, :], wanted))] = np.inf
+                wanted = self.numbers[name][rows]
+                limited = np.flatnonzero(~np.isnan(wanted))
+                unknown = np.isnan(side[column])
+                out = self._mark(out, rows, n_items, limited, fails(side[column], wanted[limited, None]) | unknown)
         if self.attributes:
-            wanted = self.attributes[1][rows, None]
-            distance[(wanted >= 0) & (side["attribute"][None, :] != wanted)] = np.inf
+            wanted = self.attributes[1][rows]
+            limited = np.flatnonzero(wanted >= 0)
+            out = self._mark(out, rows, n_items, limited, side["attribute"] != wanted[limited, None])
         if self.types:
             wanted = self.types[1][rows]
-            limited = wanted >= 0
-            distance[limited] = np.where(side["member"][wanted[limited]], distance[limited], np.inf)
+            limited = np.flatnonzero(wanted >= 0)
+            out = self._mark(out, rows, n_items, limited, ~side["member"][wanted[limited]])
+        return out
+
+    @staticmethod
+    def _mark(out, rows: slice, n_items: int, limited: np.ndarray, failing: np.ndarray):
+        if not len(limited):
+            return out
+        if out is None:
+            out = np.zeros((rows.stop - rows.start, n_items), dtype=bool)
+        out[limited] |= failing
+        return out
 
 
 class _Best:
@@ -278,12 +294,14 @@ class BlockScorer:
     def _add_chunk(self, items: pa.Table) -> None:
         ids = items["item_id"].to_numpy()
         scope = self.scope.side(items)
-        for ranker, prepared, kept in zip(self.rankers, self.prepared, self.best):
-            side = ranker.prepare_items(prepared, items)
-            for rows, best in zip(self.chunks, kept):
+        sides = [r.prepare_items(p, items) for r, p in zip(self.rankers, self.prepared)]
+        for at, rows in enumerate(self.chunks):
+            outside = self.scope.outside(rows, scope, len(ids))
+            for ranker, prepared, side, kept in zip(self.rankers, self.prepared, sides, self.best):
                 distance = ranker.distances(prepared, rows, side)
-                self.scope.exclude(distance, rows, scope)
-                best.offer(ids, distance)
+                if outside is not None:
+                    np.copyto(distance, np.inf, where=outside)
+                kept[at].offer(ids, distance)
 
     def result(self) -> pa.Table:
         parts = [PARTIAL_ARROW.empty_table()]
@@ -357,7 +375,11 @@ def _scan_in_place(table: pa.Table, items: DataFrame, rankers: Sequence) -> Data
             scorer.add(pa.Table.from_batches([batch]))
         yield from scorer.result().to_batches()
 
-    return items.where(_scan_predicate(table)).drop(*drop).mapInArrow(score, PARTIAL_SCHEMA)
+    scanned = items.where(_scan_predicate(table)).drop(*drop)
+    # A task hands on its best rows once, so fewer and longer tasks hand on less.
+    # Joining neighbouring splits needs no shuffle.
+    tasks = TASKS_PER_CORE * items.sparkSession.sparkContext.defaultParallelism
+    return scanned.coalesce(tasks).mapInArrow(score, PARTIAL_SCHEMA)
 
 
 def _cells(rows: Column, per_cell: int) -> Column:
@@ -410,7 +432,7 @@ def keep_best(partial: DataFrame, k_max: int) -> DataFrame:
     """Final ranks over partial results: ``kind, query_id, item_id, distance, k, rk``."""
     order = W.partitionBy("kind", "query_id").orderBy("distance", "item_id")
     ranked = partial.withColumn("rk", F.row_number().over(order))
-    # The literal bound lets Spark cut every task's rows before the shuffle.
+    # The literal bound lets Spark cut the rows of every task.
     return ranked.where((F.col("rk") <= F.lit(k_max)) & (F.col("rk") <= F.col("k")))
 
 
@@ -418,20 +440,30 @@ def scope_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
+@dataclass(frozen=True)
+class Ranked:
+    """``rows``: ``kind, query_id, item_id, distance, k, rk``; what is known of their number."""
+
+    rows: DataFrame
+    k_max: int
+    max_rows: int | None
+
+
 def blocked_topk(
     queries: DataFrame,
     items: DataFrame,
     rankers: Sequence,
     force_grid: bool = False,
-    keep_k: bool = False,
     k_max: int | None = None,
     sizes: DataFrame | None = None,
-) -> tuple[DataFrame, int]:
-    """Ranks per ranker and query, and the largest ``k`` among the queries.
+) -> Ranked:
+    """Ranks per ranker and query.
 
     ``queries`` holds ``query_id, k``, the rankers' query columns and any of the
     filter columns; ``items`` holds ``item_id``, the rankers' item columns and
-    the filter columns. ``k_max`` is counted unless the caller knows it.
+    the filter columns. ``k_max``, the largest ``k``, is looked up unless the
+    caller knows it. ``max_rows`` bounds the rows of one ranker if the query
+    table was within the bounds.
     """
     bucketed = "bucket" in items.columns
     if bucketed and sizes is None:
@@ -439,10 +471,9 @@ def blocked_topk(
     table = None if force_grid or bucketed else local_table(queries)
     if table is not None:
         k_max = int(pc.max(table["k"]).as_py() or 0) if table.num_rows else 0
-        partial = _scan_in_place(table, items, rankers)
-    else:
-        if k_max is None:
-            k_max = queries.agg(F.max("k")).first()[0] or 0
-        partial = _grid(queries, items, rankers, sizes)
-    best = keep_best(partial, k_max)
-    return (best if keep_k else best.drop("k")), k_max
+        # A task's result is final for its items; one exchange by query serves all that follows.
+        partial = _scan_in_place(table, items, rankers).repartition("query_id")
+        return Ranked(keep_best(partial, k_max), k_max, int(pc.sum(table["k"]).as_py() or 0))
+    if k_max is None:
+        k_max = queries.agg(F.max("k")).first()[0] or 0
+    return Ranked(keep_best(_grid(queries, items, rankers, sizes), k_max), k_max, None)

@@ -96,7 +96,9 @@ def encode_column(encoder: Encoder, on_error: str = "null") -> Callable[[Column]
                         vectors[i], errors[i] = None, f"{type(problem).__name__}: {problem}"
             yield pd.DataFrame({"vector": vectors, "error": errors}, columns=["vector", "error"]).astype(object)
 
-    return lambda text: run(encoder.prepare(text))
+    # Kept from being copied or moved by the optimizer: an encoder is costly.
+    once = run.asNondeterministic()
+    return lambda text: once(encoder.prepare(text))
 
 
 def embed(

@@ -75,25 +75,28 @@ def pair_predicate(q: str = "q", i: str = "i", names: Sequence[str] = QUERY_SCOP
     return predicate
 
 
-def filter_pairs(queries: DataFrame, items: DataFrame, bucket: int = 100, shards: int = 8) -> DataFrame:
+def filter_pairs(queries: DataFrame, items: DataFrame, buckets: int = 32, shards: int = 8) -> DataFrame:
     """``(query_id, item_id)`` for every item inside the scope of every query.
 
     An equality join, never a product: each query travels under one key taken
-    from its narrowest filter (property, attribute, level, a bucket of the ATK
-    or DEF range, or no key at all if it restricts nothing), each item under
-    the keys the queries use. Every key is split into ``shards`` by the item,
-    so a value that a third of all items share does not end in one task.
+    from its narrowest filter (property, attribute, level, the ``buckets`` its
+    ATK or DEF range covers, or one for all if it restricts nothing), each item
+    under the keys the queries use. Every key is split into ``shards`` by the
+    item, so a value that a third of all items share does not end in one task.
     """
     bounds = items.agg(
         F.min("atk").alias("lo_atk"), F.max("atk").alias("hi_atk"),
         F.min("def_").alias("lo_def"), F.max("def_").alias("hi_def"),
     ).first()
 
+    def bucket_of(value: Column, lo, hi) -> Column:
+        return F.floor((value - lo) * buckets / (hi - lo + 1))
+
     def span(low: Column, high: Column, lo, hi) -> Column:
         """Buckets between two bounds, clipped to the values the items have."""
-        start = F.floor(F.greatest(F.coalesce(low, F.lit(lo)), F.lit(lo)) / bucket)
-        stop = F.floor(F.least(F.coalesce(high, F.lit(hi)), F.lit(hi)) / bucket)
-        return F.when(start <= stop, F.sequence(start, stop))
+        start = F.greatest(F.coalesce(low, F.lit(lo)), F.lit(lo))
+        stop = F.least(F.coalesce(high, F.lit(hi)), F.lit(hi))
+        return F.when(start <= stop, F.sequence(bucket_of(start, lo, hi), bucket_of(stop, lo, hi)))
 
     def numbered(route: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.concat(F.lit(route), v.cast("string")))
@@ -130,10 +133,11 @@ def filter_pairs(queries: DataFrame, items: DataFrame, bucket: int = 100, shards
         ),
         "a": F.array(F.concat(F.lit("a:"), F.col("attribute"))),
         "l": F.array(F.concat(F.lit("l:"), F.col("level").cast("string"))),
-        "k": F.array(F.concat(F.lit("k:"), F.floor(F.col("atk") / bucket).cast("string"))),
-        "d": F.array(F.concat(F.lit("d:"), F.floor(F.col("def_") / bucket).cast("string"))),
         "*": F.array(F.lit("*")),
     }
+    for route, column, lo, hi in (("k", "atk", bounds.lo_atk, bounds.hi_atk), ("d", "def_", bounds.lo_def, bounds.hi_def)):
+        if lo is not None:
+            item_keys[route] = numbered(f"{route}:", F.array(bucket_of(F.col(column), lo, hi)))
     used = [item_keys[r] for r in sorted(routes)] or [none]
     keyed = items.select(
         "item_id",

@@ -62,8 +62,8 @@ def fused_candidates(
     mode: str = "left",
     missing: int = MISSING_RANK,
     force_grid: bool = False,
-) -> tuple[DataFrame, int]:
-    """Both rank lists from one pass over the items, fused; and the largest pool.
+) -> tuple[DataFrame, int | None]:
+    """Both rank lists from one pass over the items, fused; and a bound of the rows if known.
 
     The two lists meet in an aggregation over ``(query_id, item_id)``, so the
     items are read once and no join is needed.
@@ -83,21 +83,21 @@ def fused_candidates(
         *scope_columns(items, ITEM_SCOPE),
     )
     rankers = [CosineRanker(PRECISION), TrigramRanker(threshold, PRECISION)]
-    ranked, k_max = blocked_topk(left, right, rankers, force_grid, keep_k=True)
-    both = ranked.groupBy("query_id", "item_id").agg(
+    ranked = blocked_topk(left, right, rankers, force_grid)
+    both = ranked.rows.groupBy("query_id", "item_id").agg(
         F.max(F.when(F.col("kind") == "vec", F.col("rk"))).alias("vec_rank"),
         F.max(F.when(F.col("kind") == "lex", F.col("rk"))).alias("lex_rank"),
         F.max("k").alias("k"),
     )
     if mode == "left":
         both = both.where(F.col("vec_rank").isNotNull())
-    return _rank_fused(both, "k", k_max, rrf_k, missing).drop("k"), k_max
+    return _rank_fused(both, "k", ranked.k_max, rrf_k, missing).drop("k"), ranked.max_rows
 
 
 def materialize(candidates: DataFrame, items: DataFrame, columns: Sequence[str], rows: int | None = None) -> DataFrame:
     """Item fields joined to ranked ids; wide columns are read only here.
 
-    ``rows`` is a proven upper bound of the candidate rows (queries times pool).
+    ``rows`` is a proven upper bound of the candidate rows (the queries' pools together).
     Within the limit the candidates travel and the items stay where they are.
     """
     fields = items.select("item_id", *columns)

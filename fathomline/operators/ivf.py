@@ -148,8 +148,7 @@ def ivf_topk(
 
     def search(probes: DataFrame) -> DataFrame:
         wanted = probes.drop("place", "floor")
-        best, _ = blocked_topk(wanted, right, ranker, keep_k=True, k_max=k, sizes=index.sizes())
-        return best.select(*columns)
+        return blocked_topk(wanted, right, ranker, k_max=k, sizes=index.sizes()).rows.select(*columns)
 
     found = search(left.where(F.col("place") < nprobe))
     if exact:

@@ -35,8 +35,8 @@ def lexical_topk(
         trigrams(F.col(text_col)).alias("item_grams"),
         *scope_columns(items, ITEM_SCOPE),
     )
-    ranked, _ = blocked_topk(left, right, [TrigramRanker(threshold, PRECISION)], force_grid)
-    return ranked.select("query_id", "item_id", "distance", F.col("rk").alias("lex_rank"))
+    ranked = blocked_topk(left, right, [TrigramRanker(threshold, PRECISION)], force_grid)
+    return ranked.rows.select("query_id", "item_id", "distance", F.col("rk").alias("lex_rank"))
 
 
 def trigram_index(items: DataFrame, text_col: str = "name") -> DataFrame:

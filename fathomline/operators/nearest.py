@@ -53,8 +53,8 @@ def vector_topk(
     right = items.where(F.col(vector_col).isNotNull()).select(
         "item_id", F.col(vector_col).alias("item_vec"), *scope_columns(items, ITEM_SCOPE)
     )
-    ranked, _ = blocked_topk(left, right, [CosineRanker(PRECISION)], force_grid)
-    return ranked.select("query_id", "item_id", "distance", F.col("rk").alias("vec_rank"))
+    ranked = blocked_topk(left, right, [CosineRanker(PRECISION)], force_grid)
+    return ranked.rows.select("query_id", "item_id", "distance", F.col("rk").alias("vec_rank"))
 
 
 def knn_join(

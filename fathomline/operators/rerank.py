@@ -27,7 +27,9 @@ def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float
         for queries, contents in parts:
             yield pd.Series(predict(list(zip(queries, contents.fillna("")))), dtype="float64")
 
-    return lambda query, content: score(query, content)
+    # Kept from being copied or moved by the optimizer: a model is costly.
+    once = score.asNondeterministic()
+    return lambda query, content: once(query, content)
 
 
 def rerank(

@@ -8,9 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.operators.encode import Encoder, embed_many
-from fathomline.operators.merge import (
-    changed_rows, ingest_stats, latest_per_key, merge_delete, merge_upsert, reject_missing_key,
-)
+from fathomline.operators.merge import changed_rows, ingest_stats, latest_per_key, reject_missing_key
 from fathomline.session import cut_lineage
 from fathomline.sources.index_table import IndexStore, existing_hashes, upgrade_schema
 from fathomline.sources.items import listing, read_items, split_bad_records, to_index_rows
@@ -46,7 +44,7 @@ def ingest_documents(
     # The encoder's output feeds several joins; cut here so that it runs once.
     fresh = cut_lineage(upgrade_schema(embed_many(latest_per_key(keyed), "content", encoders)))
     stats = ingest_stats(rows, changed, quarantined)
-    version = None if fresh.isEmpty() else store.publish(merge_upsert(index, fresh))
+    version = None if fresh.isEmpty() else store.apply(fresh)
     return IngestResult(stats, quarantined, version)
 
 
@@ -76,4 +74,4 @@ def reconcile(
     gone = index.select("item_key").join(present, "item_key", "left_anti")
     if gone.isEmpty():
         return result
-    return IngestResult(result.stats, result.quarantined, store.publish(merge_delete(index, gone)))
+    return IngestResult(result.stats, result.quarantined, store.apply(index.where("false"), gone))

@@ -43,12 +43,10 @@ def hybrid_candidates(
     force_grid: bool = False,
 ) -> DataFrame:
     """Fused candidates of prepared queries, with the item fields."""
-    fused, k_max = fused_candidates(
+    fused, max_rows = fused_candidates(
         queries, items, pool, query_vec, threshold=threshold, mode=mode, force_grid=force_grid
     )
-    # k_max is known, so a bounded query count bounds the candidate rows.
-    rows = queries.count() * max(k_max, 1)
-    return materialize(fused, items, fields, rows)
+    return materialize(fused, items, fields, max_rows)
 
 
 def hybrid_search(

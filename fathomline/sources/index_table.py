@@ -1,13 +1,17 @@
-"""The index table as versioned Parquet snapshots."""
+"""The index table as versioned Parquet folders."""
 
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from fathomline.operators.merge import latest_per_key, merge_delete, merge_upsert
 from fathomline.schemas import INDEX_SCHEMA
+from fathomline.session import fits_broadcast
 
 
 def upgrade_schema(df: DataFrame, target: T.StructType = INDEX_SCHEMA) -> DataFrame:
@@ -46,20 +50,32 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+class Version(NamedTuple):
+    number: int
+    batch: int
+    full: bool
+    path: str
+
+
 class IndexStore:
-    """Snapshots under one root; a version counts once it is written whole.
+    """The index under one root: full snapshots, and changes written after them.
 
-    A job that fails leaves an unfinished folder that no reader looks at (Spark
-    writes ``_SUCCESS`` last). A batch id is published once; publishing it again
-    changes nothing, so a retried stream batch is harmless.
+    A batch of changes costs what it changes: its rows are written beside the
+    snapshot, and a read lays them over it. After ``compact_after`` such batches
+    the next one writes a full snapshot again.
+
+    A folder counts once Spark has marked it finished, so a job that fails leaves
+    nothing a reader sees. A batch id is written once; writing it again changes
+    nothing, so a retried stream batch is harmless. Older versions stay readable.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, compact_after: int = 16):
         self.spark = spark
         self.root = root
+        self.compact_after = compact_after
 
-    def _versions(self) -> list[tuple[int, int, str]]:
-        """Finished ``(version, batch, path)``, oldest first."""
+    def versions(self) -> list[Version]:
+        """Finished versions, oldest first."""
         fs, path = _file_system(self.spark, self.root)
         base = path(self.root)
         if not fs.exists(base):
@@ -67,32 +83,73 @@ class IndexStore:
         found = []
         for status in fs.listStatus(base):
             name = status.getPath().getName()
-            done = path(posixpath.join(self.root, name, "_SUCCESS"))
-            if name.startswith("v") and fs.exists(done):
-                version, batch = name[1:].split("-b")
-                found.append((int(version), int(batch), posixpath.join(self.root, name)))
+            match = re.fullmatch(r"(full|change)-(\d+)-batch(\d+)", name)
+            if match and fs.exists(path(posixpath.join(self.root, name, "_SUCCESS"))):
+                kind, number, batch = match.groups()
+                found.append(Version(int(number), int(batch), kind == "full", posixpath.join(self.root, name)))
         return sorted(found)
 
+    def _current(self) -> tuple[Version | None, list[Version]]:
+        """The latest full snapshot and the changes since."""
+        versions = self.versions()
+        full = max((v for v in versions if v.full), default=None)
+        return full, [v for v in versions if not v.full and (full is None or v.number > full.number)]
+
     def read(self) -> DataFrame:
-        """The latest snapshot in the current schema; an empty table if there is none."""
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], INDEX_SCHEMA)
-        return upgrade_schema(self.spark.read.parquet(versions[-1][2]))
+        """The index as of now, in the current schema; empty if nothing was written."""
+        full, changes = self._current()
+        base = self.spark.read.parquet(full.path) if full else self.spark.createDataFrame([], INDEX_SCHEMA)
+        base = upgrade_schema(base)
+        if not changes:
+            return base
+        rows = [
+            self.spark.read.parquet(v.path).withColumn("__version", F.lit(v.number)) for v in changes
+        ]
+        last = latest_per_key(union_versions(*rows), "item_key", ["__version"])
+        untouched = base.join(last.select("item_key"), "item_key", "left_anti")
+        return untouched.select(*base.columns).unionByName(upgrade_schema(last.where(~F.col("deleted"))))
 
     def published(self, batch_id: int) -> bool:
-        return any(batch == batch_id for _, batch, _ in self._versions())
+        return any(v.batch == batch_id for v in self.versions())
 
-    def publish(self, df: DataFrame, batch_id: int | None = None) -> str:
-        """Writes ``df`` as the next version; the snapshot read before stays intact."""
-        versions = self._versions()
-        version = versions[-1][0] + 1 if versions else 1
+    def _next(self, kind: str, batch_id: int | None) -> str | None:
+        versions = self.versions()
         if batch_id is None:
-            batch_id = max([batch for _, batch, _ in versions], default=-1) + 1
-        elif any(batch == batch_id for _, batch, _ in versions):
-            return versions[-1][2]
-        path = posixpath.join(self.root, f"v{version:08d}-b{batch_id}")
-        upgrade_schema(df).write.mode("overwrite").parquet(path)
+            batch_id = max((v.batch for v in versions), default=-1) + 1
+        elif any(v.batch == batch_id for v in versions):
+            return None
+        number = max((v.number for v in versions), default=0) + 1
+        return posixpath.join(self.root, f"{kind}-{number:08d}-batch{batch_id}")
+
+    def publish(self, df: DataFrame, batch_id: int | None = None) -> str | None:
+        """Writes ``df`` as a full snapshot; the version read before stays intact."""
+        path = self._next("full", batch_id)
+        if path:
+            upgrade_schema(df).write.mode("overwrite").parquet(path)
+        return path
+
+    def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, batch_id: int | None = None) -> str | None:
+        """Deletes, then upserts by key; both tables hold a key once.
+
+        Vectors an upsert leaves out are taken from the stored row.
+        """
+        if batch_id is not None and self.published(batch_id):
+            return None
+        index = self.read()
+        remaining = index if deletes is None else merge_delete(index, deletes)
+        small = fits_broadcast(upserts)
+        if not small or len(self._current()[1]) >= self.compact_after:
+            return self.publish(merge_upsert(remaining, upserts, small=small), batch_id)
+        wanted = F.broadcast(upserts.select("item_key"))
+        # No more rows than there are upserts.
+        stored = remaining.join(wanted, "item_key", "left_semi")
+        known = merge_upsert(stored, upserts, small=True).withColumn("deleted", F.lit(False))
+        if deletes is not None:
+            gone = deletes.select("item_key").distinct().join(wanted, "item_key", "left_anti")
+            known = known.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+        path = self._next("change", batch_id)
+        if path:
+            known.write.mode("overwrite").parquet(path)
         return path
 
 

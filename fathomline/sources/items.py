@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from fathomline.functions.binding import let
 from fathomline.functions.text import build_content, clean_int, content_hash
 from fathomline.sources.paths import key_from_path
 
@@ -31,26 +32,26 @@ def json_int(document: Column, path: str) -> Column:
     A JSON number is cut to its integer part, a boolean counts as 0 or 1, a
     string must be an integer by itself; anything else is NULL.
     """
-    value = F.try_variant_get(document, path, "variant")
-    kind = F.schema_of_variant(value)
-    number = F.try_variant_get(document, path, "double")
-    whole = F.try_variant_get(document, path, "bigint")
-    return (
-        F.when(kind == "STRING", clean_int(F.try_variant_get(document, path, "string")))
-        .when(kind == "BOOLEAN", whole.try_cast("int"))
-        .when(kind == "BIGINT", whole.try_cast("int"))
-        .when(
-            kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"),
-            F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("int"),
+
+    def read(text: Column) -> Column:
+        number = text.try_cast("double")
+        whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
+        return (
+            F.when(text.startswith('"'), clean_int(F.btrim(text, F.lit('"'))))
+            .when(text == "true", F.lit(1))
+            .when(text == "false", F.lit(0))
+            .otherwise(whole.try_cast("int"))
         )
-    )
+
+    return let(F.to_json(F.try_variant_get(document, path, "variant")), read)
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
     """Documents from ``path, modified_at, n_bytes, body``; bad ones keep their text."""
     parsed = files.withColumn("doc", F.try_parse_json("body"))
-    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
     doc = F.col("doc")
+    # What parses and opens with a brace is an object.
+    is_object = doc.isNotNull() & F.col("body").rlike(r"\A\s*\{")
 
     def text(path: str) -> Column:
         return F.try_variant_get(doc, path, "string")

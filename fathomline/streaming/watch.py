@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from fathomline.operators.encode import Encoder, embed_many
 from fathomline.operators.events import DELETE, UPSERT, normalize_events
-from fathomline.operators.merge import latest_per_key, merge_delete, merge_upsert, reject_missing_key
+from fathomline.operators.merge import latest_per_key, reject_missing_key
 from fathomline.session import cut_lineage
 from fathomline.sources.index_table import IndexStore, upgrade_schema
 from fathomline.sources.items import parse_documents, split_bad_records, to_index_rows
@@ -100,7 +100,6 @@ def apply_changes(
     last = cut_lineage(last.select("op", "path", "ts"))
     if last.isEmpty():
         return None
-    index = store.read()
     gone = (
         last.where(F.col("op") == DELETE)
         .groupBy(key_from_path(F.col("path")).alias("item_key"))
@@ -118,7 +117,7 @@ def apply_changes(
         .drop("gone_at")
     )
     fresh = cut_lineage(upgrade_schema(embed_many(alive, "content", encoders)))
-    return store.publish(merge_upsert(merge_delete(index, gone), fresh), batch_id)
+    return store.apply(fresh, gone, batch_id)
 
 
 def read_bodies(paths: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:

@@ -105,17 +105,46 @@ def test_two_column_scan(spark, index, plan, tmp_path):
 def test_store_versions(spark, index, tmp_path):
     store = IndexStore(spark, str(tmp_path / "store"))
     assert store.read().count() == 0
-    first = store.publish(index, batch_id=0)
+    assert store.publish(index, batch_id=0)
     before = store.read()
-    assert store.publish(index.where("false"), batch_id=0) == first
+    assert store.publish(index.where("false"), batch_id=0) is None
     store.publish(index.where("item_key = 1"), batch_id=1)
     assert store.read().count() == 1 and before.count() == 3
     assert store.published(1) and not store.published(2)
     # A version that was not finished is not seen.
-    (tmp_path / "store" / "v00000009-b9").mkdir()
+    (tmp_path / "store" / "full-00000009-batch9").mkdir()
     assert store.read().count() == 1
 
 
+@pytest.mark.parametrize("compact_after", [0, 2, 16])
+def test_store_changes(spark, tmp_path, compact_after):
+    """Batches of changes agree with a dictionary, whenever a full snapshot is written."""
+    import random
+
+    r = random.Random(compact_after)
+    store = IndexStore(spark, str(tmp_path / "store"), compact_after)
+    want = {}
+    for batch in range(5):
+        fresh = [
+            (k, r.choice([None, f"n{batch}"]), batch, f"h{batch}", r.choice([None, [float(batch)]]))
+            for k in r.sample(range(12), 5)
+        ]
+        gone = [(k,) for k in r.sample(range(12), 2)]
+        upserts = upgrade_schema(spark.createDataFrame(fresh, INDEX))
+        deletes = spark.createDataFrame(gone, "item_key bigint")
+        assert store.apply(upserts, deletes, batch)
+        assert store.apply(upserts, deletes, batch) is None
+        for (k,) in gone:
+            want.pop(k, None)
+        for row in fresh:
+            old = want.get(row[0])
+            want[row[0]] = (*row[:4], row[4] if row[4] is not None or old is None else old[4])
+        got = store.read().select("item_key", "name", "level", "content_hash", "embedding")
+        assert rows(got) == rows(spark.createDataFrame(list(want.values()), INDEX))
+    kinds = {v.full for v in store.versions()}
+    assert kinds == {0: {True}, 2: {True, False}, 16: {False}}[compact_after]
+
+
 def test_sorted_index_skips_files(spark, tmp_path):
     df = spark.range(1000).select(F.col("id").alias("item_key"), (F.col("id") * 7 % 1000).cast("int").alias("atk"))
     path = str(tmp_path / "sorted")

@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE
+from fathomline.session import BROADCAST_BYTES, row_bytes
 
-# Bounds of the query table that may travel to every task.
+# Rows of a query table that may travel to every task; its bytes are bounded too.
 MAX_LOCAL_QUERIES = 50_000
-MAX_LOCAL_BYTES = 64 * 1024 * 1024
 # Scan tasks per core; each hands on up to k rows per query.
 TASKS_PER_CORE = 4
 # Rows per side of a grid cell.
@@ -323,11 +323,22 @@ class BlockScorer:
         return pa.concat_tables(parts).combine_chunks()
 
 
-def local_table(queries: DataFrame) -> pa.Table | None:
-    """The query table if it is within the bounds, else nothing."""
-    table = queries.limit(MAX_LOCAL_QUERIES + 1).toArrow()
-    within = table.num_rows <= MAX_LOCAL_QUERIES and table.nbytes <= MAX_LOCAL_BYTES
-    return table if within else None
+@dataclass(frozen=True)
+class Measure:
+    """What the choice of the way needs to know of a query table."""
+
+    rows: int
+    bytes: int
+    k_max: int
+    k_sum: int
+
+    def may_travel(self) -> bool:
+        return self.rows <= MAX_LOCAL_QUERIES and self.bytes <= BROADCAST_BYTES
+
+
+def measure(queries: DataFrame) -> Measure:
+    row = queries.agg(F.count(F.lit(1)), F.sum(row_bytes(queries)), F.max("k"), F.sum("k")).first()
+    return Measure(*[int(v or 0) for v in row])
 
 
 def _set_filters(table: pa.Table) -> dict[str, bool]:
@@ -386,7 +397,9 @@ def _cells(rows: Column, per_cell: int) -> Column:
     return F.greatest(F.ceil(rows / per_cell), F.lit(1)).cast("bigint")
 
 
-def _grid(queries: DataFrame, items: DataFrame, rankers: Sequence, sizes: DataFrame | None = None) -> DataFrame:
+def _grid(
+    queries: DataFrame, items: DataFrame, rankers: Sequence, n_queries: int = 0, sizes: DataFrame | None = None
+) -> DataFrame:
     """Cells of bounded size; both sides may carry a ``bucket`` to meet in.
 
     With buckets, ``sizes(bucket, n)`` gives the items per bucket: one row per
@@ -403,7 +416,7 @@ def _grid(queries: DataFrame, items: DataFrame, rankers: Sequence, sizes: DataFr
         counts = {
             "bucket": F.lit(0).cast("bigint"),
             "shards": _cells(F.lit(items.count()), ITEMS_PER_CELL),
-            "blocks": _cells(F.lit(queries.count()), QUERIES_PER_CELL),
+            "blocks": _cells(F.lit(n_queries), QUERIES_PER_CELL),
         }
         items, queries = items.withColumns(counts), queries.withColumns(counts)
     zero = F.lit(0).cast("bigint")
@@ -468,12 +481,12 @@ def blocked_topk(
     bucketed = "bucket" in items.columns
     if bucketed and sizes is None:
         raise ValueError("bucketed items need the sizes of their buckets")
-    table = None if force_grid or bucketed else local_table(queries)
-    if table is not None:
-        k_max = int(pc.max(table["k"]).as_py() or 0) if table.num_rows else 0
+    if bucketed and k_max is not None:
+        return Ranked(keep_best(_grid(queries, items, rankers, sizes=sizes), k_max), k_max, None)
+    size = measure(queries)
+    if size.may_travel() and not force_grid and not bucketed:
         # A task's result is final for its items; one exchange by query serves all that follows.
-        partial = _scan_in_place(table, items, rankers).repartition("query_id")
-        return Ranked(keep_best(partial, k_max), k_max, int(pc.sum(table["k"]).as_py() or 0))
-    if k_max is None:
-        k_max = queries.agg(F.max("k")).first()[0] or 0
-    return Ranked(keep_best(_grid(queries, items, rankers, sizes), k_max), k_max, None)
+        partial = _scan_in_place(queries.toArrow(), items, rankers).repartition("query_id")
+        return Ranked(keep_best(partial, size.k_max), size.k_max, size.k_sum)
+    partial = _grid(queries, items, rankers, size.rows, sizes)
+    return Ranked(keep_best(partial, size.k_max), size.k_max, None)

@@ -80,15 +80,18 @@ def ivf_build(
     path: str,
     vector_col: str = "embedding",
     seed: int = 7,
-    max_iter: int = 10,
+    max_iter: int = 5,
+    learn_from: DataFrame | None = None,
 ) -> IvfIndex:
     """Clusters the items that have a vector and writes each to its list under ``path``.
 
     The lists are the folders of the written table, so a search reads only the
-    lists it looks into.
+    lists it looks into. Centres may be learnt from a smaller table: they decide
+    how many lists a search reads, not what it finds.
     """
     held = items.where(usable_vector(vector_col))
-    points = held.select(array_to_vector(l2_normalize(F.col(vector_col))).alias("features"))
+    learnt = held if learn_from is None else learn_from.where(usable_vector(vector_col))
+    points = learnt.select(array_to_vector(l2_normalize(F.col(vector_col))).alias("features"))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, initSteps=2).fit(points)
     centers = np.array(model.clusterCenters())
     assign_lists(held, centers, vector_col).write.mode("overwrite").partitionBy("list_id").parquet(path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -48,12 +49,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder."""
+    """``df`` written to the shared folder and read back.
+
+    Computed once, whatever reads it later, and safe from lost executors.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(checkpoint_dir(spark), "lineage"))
-    return df.checkpoint(eager=True)
+    path = posixpath.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Largest table an operator sends to every executor.
@@ -64,22 +67,28 @@ def _width(field: T.StructField) -> Column:
     """Bytes a value takes, about."""
     value = F.col(f"`{field.name}`")
     kind = field.dataType
+    # Each column stands once, so that nothing is computed twice for its size.
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(value), F.lit(0)) + 16
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        return F.coalesce(F.octet_length(F.array_join(value, "")) + 16 * F.size(value), F.lit(0)) + 16
+        total = F.aggregate(value, F.lit(0), lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+        return F.coalesce(total, F.lit(0)) + 16
     if isinstance(kind, T.ArrayType):
         return 8 * F.greatest(F.size(value), F.lit(0)) + 16
     return F.lit(16)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """True when the rows of ``df`` together take at most ``limit`` bytes."""
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes a row of ``df`` takes, about."""
     width = F.lit(0).cast("bigint")
     for field in df.schema.fields:
         width = width + _width(field)
-    total = df.agg(F.sum(width)).first()[0]
-    return (total or 0) <= limit
+    return width
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """True when the rows of ``df`` together take at most ``limit`` bytes."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit
 
 
 def spread(df: DataFrame) -> DataFrame:

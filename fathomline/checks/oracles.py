@@ -389,7 +389,8 @@ ORACLES: dict[str, str] = {
           (SELECT count(*) FROM changed WHERE item_key IS NOT NULL) AS done,
           (SELECT count(*) FROM changed WHERE item_key IS NULL) AS rejected)
         SELECT 'ingested' AS status, done AS n FROM n UNION ALL SELECT 'skipped', seen - done FROM n
-        UNION ALL SELECT 'rejected', rejected FROM n UNION ALL SELECT 'quarantined', 0 FROM n""",
+        UNION ALL SELECT 'rejected', rejected FROM n UNION ALL SELECT 'quarantined', 0 FROM n
+        UNION ALL SELECT 'failed', 0 FROM n""",
     "index_count": f"WITH {STORED} SELECT count(*) AS total FROM stored",
     "stored_hashes": f"WITH {STORED} SELECT item_key, content_hash FROM stored",
     "upgraded_schema": """SELECT c_custkey::BIGINT AS item_key, c_name AS name, c_nationkey AS level, NULL::INTEGER AS atk,
@@ -402,7 +403,8 @@ ORACLES: dict[str, str] = {
           count(*) - count(item_key) AS rejected FROM docs)
         SELECT 'ingested' AS status, done AS n FROM n UNION ALL SELECT 'skipped', seen - done FROM n
         UNION ALL SELECT 'rejected', rejected FROM n
-        UNION ALL SELECT 'quarantined', count(*) FROM part WHERE p_partkey % 23 = 7""",
+        UNION ALL SELECT 'quarantined', count(*) FROM part WHERE p_partkey % 23 = 7
+        UNION ALL SELECT 'failed', 0""",
     "ingest_job_index": f"""WITH {DOCUMENTS.format(change=CHANGE)} SELECT item_key, name, level, atk, def_,
         sha256(content) AS content_hash, 32 AS dims FROM docs WHERE item_key IS NOT NULL""",
     "path_filter": f"""SELECT page_id, {URLS} || '.json' AS path FROM pages WHERE page_id % 3 = 0

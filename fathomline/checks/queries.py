@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fathomline.checks.views import (
-    content_of_items, documents, events_as_changes, item_bodies, item_rows, items_view, phrase_queries, queries_view, table,
+    content_of_items, documents, events_as_changes, item_bodies, item_rows, items_view, phrase_queries, queries_view, table, utc,
 )
 from fathomline.functions.constraints import extract_constraints, merge_lower, merge_upper, prepare_queries
 from fathomline.functions.scoring import clamp_limit, pool_size, rrf_score
@@ -690,14 +690,14 @@ def debounced_stream(spark, sf):
     )
     columns = T.StructType(
         [
-            T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+            T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
             T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
         ]
     )
     events = spark.readStream.schema(columns).option("pathGlobFilter", "events.parquet").parquet(sf)
     changes = events.select(
         F.lit("upsert").alias("op"), F.col("user_id").cast("string").alias("path"),
-        F.col("event_type").alias("debounce_type"), "ts",
+        F.col("event_type").alias("debounce_type"), utc("ts").alias("ts"),
     )
     hours6 = 6 * 3_600_000
     kept = debounce_stream(changes, hours6, 2 * hours6)

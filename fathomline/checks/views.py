@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathomline.functions.text import build_content
 from fathomline.session import spread
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc(column: str) -> Column:
+    """A timestamp without a zone as the instant it is in UTC."""
+    return F.concat(F.col(column).cast("string"), F.lit("Z")).cast("timestamp")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts over all cores; a text is much work for its size."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -118,7 +123,7 @@ def events_as_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/w/"), hidden, user, suffix).alias("src_path"),
         F.when(kind == "moved", F.concat(F.lit("/w/old/"), user, suffix)).alias("dest_path"),
         (F.col("event_id") % 17 == 0).alias("is_directory"),
-        F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"),
+        utc("ts").alias("ts"),
     )
 
 

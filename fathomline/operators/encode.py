@@ -117,11 +117,24 @@ def embed(
     return out.drop("__made")
 
 
-def embed_many(df: DataFrame, text_col: str, encoders: Mapping[str, Encoder | None], on_error: str = "null") -> DataFrame:
-    """One vector column per encoder; a missing encoder gives a NULL column."""
+def embed_many(
+    df: DataFrame,
+    text_col: str,
+    encoders: Mapping[str, Encoder | None],
+    on_error: str = "null",
+    error_col: str | None = None,
+) -> DataFrame:
+    """One vector column per encoder; a missing encoder gives a NULL column.
+
+    ``error_col`` holds the first error of a row's encoders.
+    """
+    errors = []
     for column, encoder in encoders.items():
         if encoder is None:
             df = df.withColumn(column, F.lit(None).cast("array<float>"))
         else:
-            df = embed(df, text_col, encoder, column, on_error)
-    return df
+            errors.append(f"__error_{column}")
+            df = embed(df, text_col, encoder, column, on_error, errors[-1])
+    if error_col:
+        df = df.withColumn(error_col, F.coalesce(*errors, F.lit(None).cast("string")))
+    return df.drop(*errors)

@@ -123,34 +123,32 @@ def index_count(index: DataFrame) -> DataFrame:
 
 
 def ingest_stats(
-    source: DataFrame, changed: DataFrame, quarantined: DataFrame | None = None, key: str = "item_key"
+    source: DataFrame,
+    changed: DataFrame,
+    quarantined: DataFrame | None = None,
+    failed: DataFrame | None = None,
+    key: str = "item_key",
 ) -> DataFrame:
-    """``status, n`` with ``ingested``, ``skipped``, ``rejected`` and ``quarantined``.
+    """``status, n`` with ``ingested``, ``skipped``, ``rejected``, ``quarantined`` and ``failed``.
 
-    ``changed`` are the rows of ``source`` left after the skip. One grouped
-    count over the three inputs.
+    ``changed`` are the rows of ``source`` left after the skip, ``failed`` those
+    of them that could not be encoded. One count over all inputs.
     """
-    status = F.when(F.col(key).isNull(), F.lit("rejected")).otherwise(F.lit("ingested"))
-    parts = [
-        source.where(F.col(key).isNotNull()).select(F.lit("seen").alias("status")),
-        changed.select(status.alias("status")),
-    ]
-    if quarantined is not None:
-        parts.append(quarantined.select(F.lit("quarantined").alias("status")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    counted = every.groupBy().agg(
-        *[
-            F.count(F.when(F.col("status") == name, 1)).alias(name)
-            for name in ("seen", "ingested", "rejected", "quarantined")
-        ]
+    status = F.when(F.col(key).isNull(), F.lit("rejected")).otherwise(F.lit("changed"))
+    every = source.where(F.col(key).isNotNull()).select(F.lit("seen").alias("status")).unionByName(
+        changed.select(status.alias("status"))
     )
+    for name, part in (("quarantined", quarantined), ("failed", failed)):
+        if part is not None:
+            every = every.unionByName(part.select(F.lit(name).alias("status")))
+    names = ("seen", "changed", "rejected", "quarantined", "failed")
+    counted = every.agg(*[F.count(F.when(F.col("status") == name, 1)).alias(name) for name in names])
     rows = [
-        ("ingested", F.col("ingested")),
-        ("skipped", F.col("seen") - F.col("ingested")),
+        ("ingested", F.col("changed") - F.col("failed")),
+        ("skipped", F.col("seen") - F.col("changed")),
         ("rejected", F.col("rejected")),
         ("quarantined", F.col("quarantined")),
+        ("failed", F.col("failed")),
     ]
     return counted.select(
         F.explode(F.array(*[F.struct(F.lit(n).alias("status"), v.alias("n")) for n, v in rows])).alias("s")

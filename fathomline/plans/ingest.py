@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,13 +16,25 @@ from fathomline.sources.items import listing, read_items, split_bad_records, to_
 
 @dataclass(frozen=True)
 class IngestResult:
-    """``stats`` counts by status, ``quarantined`` holds unreadable documents."""
+    """``stats`` counts by status; documents that could not be read, keys that could not be encoded."""
 
     stats: DataFrame
     quarantined: DataFrame
+    failed: DataFrame
     version: str | None
 
 
+def encode_rows(rows: DataFrame, encoders: Mapping[str, Encoder | None]) -> tuple[DataFrame, DataFrame]:
+    """Index rows with their vectors, and ``item_key, embed_error`` of those that failed.
+
+    A failed row is not stored, so that the next run takes it up again. The
+    encoders' output feeds several joins; it is written once here.
+    """
+    made = cut_lineage(embed_many(rows, "content", encoders, error_col="embed_error"))
+    good = upgrade_schema(made.where(F.col("embed_error").isNull()))
+    return good, made.where(F.col("embed_error").isNotNull()).select("item_key", "embed_error")
+
+
 def ingest_documents(
     documents: DataFrame,
     store: IndexStore,
@@ -41,11 +53,11 @@ def ingest_documents(
     stored = index.select("item_key", "content_hash", *require_vectors) if require_vectors else existing_hashes(index)
     changed = changed_rows(rows, stored, require_vectors=require_vectors)
     keyed, _ = reject_missing_key(changed)
-    # The encoder's output feeds several joins; cut here so that it runs once.
-    fresh = cut_lineage(upgrade_schema(embed_many(latest_per_key(keyed), "content", encoders)))
-    stats = ingest_stats(rows, changed, quarantined)
+    fresh, failed = encode_rows(latest_per_key(keyed), encoders)
+    # Counted before the write, against the index as it was.
+    stats = cut_lineage(ingest_stats(rows, changed, quarantined, failed))
     version = None if fresh.isEmpty() else store.apply(fresh)
-    return IngestResult(stats, quarantined, version)
+    return IngestResult(stats, quarantined, failed, version)
 
 
 def ingest(
@@ -74,4 +86,4 @@ def reconcile(
     gone = index.select("item_key").join(present, "item_key", "left_anti")
     if gone.isEmpty():
         return result
-    return IngestResult(result.stats, result.quarantined, store.apply(index.where("false"), gone))
+    return replace(result, version=store.apply(index.where("false"), gone))

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from fathomline.operators.encode import Encoder, embed_many
+from fathomline.operators.encode import Encoder
 from fathomline.operators.events import DELETE, UPSERT, normalize_events
 from fathomline.operators.merge import latest_per_key, reject_missing_key
+from fathomline.plans.ingest import encode_rows
 from fathomline.session import cut_lineage
-from fathomline.sources.index_table import IndexStore, upgrade_schema
+from fathomline.sources.index_table import IndexStore
 from fathomline.sources.items import parse_documents, split_bad_records, to_index_rows
 from fathomline.sources.paths import MAX_ITEM_BYTES, key_from_path
 
@@ -22,17 +24,18 @@ from fathomline.sources.paths import MAX_ITEM_BYTES, key_from_path
 DEBOUNCE_MS = 500
 STATE_TTL_MS = 10_000
 
-KEPT_SCHEMA = "op string, path string, debounce_type string, ts timestamp"
+KEPT_SCHEMA = "path string, debounce_type string, us bigint"
 
 
 class KeepLeading(StatefulProcessor):
     """Per (path, type): keeps events at least one window after the last kept one.
 
-    The state is a single time and expires with its event time.
+    The state is a single time and expires with its event time. Times are
+    microseconds since 1970, whatever the session's zone.
     """
 
     def __init__(self, window_ms: int = DEBOUNCE_MS, ttl_ms: int = STATE_TTL_MS):
-        self.window_us = window_ms * 1000
+        self.window = window_ms * 1000
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -40,23 +43,24 @@ class KeepLeading(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # A trigger's rows of one key, bounded by the trigger size; order matters.
-        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        # Rows come in any order; only their distinct times are held, eight bytes each.
+        times = np.zeros(0, dtype=np.int64)
+        for part in rows:
+            times = np.union1d(times, part["us"].to_numpy(dtype=np.int64))
         stored = self.last.get() if self.last.exists() else None
-        last = stored[0] if stored else None
-        keep = []
-        for us in frame["ts"].astype("datetime64[us]").astype("int64"):
-            kept = last is None or us - last >= self.window_us
-            keep.append(kept)
-            if kept:
-                last = us
-        self.last.update((int(last),))
+        at = 0 if stored is None else int(np.searchsorted(times, stored[0] + self.window))
+        kept = []
+        while at < len(times):
+            kept.append(int(times[at]))
+            at = int(np.searchsorted(times, times[at] + self.window))
+        if not kept:
+            return
+        self.last.update((kept[-1],))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(int(last // 1000) + self.ttl_ms)
-        kept_rows = frame[keep]
-        if len(kept_rows):
-            yield kept_rows[["op", "path", "debounce_type", "ts"]]
+        self.handle.registerTimer(kept[-1] // 1000 + self.ttl_ms)
+        path, debounce_type = key
+        yield pd.DataFrame({"path": path, "debounce_type": debounce_type, "us": kept})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -69,14 +73,22 @@ class KeepLeading(StatefulProcessor):
 def debounce_stream(
     changes: DataFrame, window_ms: int = DEBOUNCE_MS, ttl_ms: int = STATE_TTL_MS, lateness: str = "10 seconds"
 ) -> DataFrame:
-    """Debounced upserts of a normalised stream; needs the RocksDB state store."""
+    """Debounced upserts of a normalised stream; needs the RocksDB state store.
+
+    ``ttl_ms`` must be longer than the window; older state can hold nothing back.
+    """
     held = changes.where(F.col("op") == UPSERT).withWatermark("ts", lateness)
-    return held.groupBy("path", "debounce_type").transformWithStateInPandas(
-        statefulProcessor=KeepLeading(window_ms, ttl_ms),
-        outputStructType=KEPT_SCHEMA,
-        outputMode="Append",
-        timeMode="EventTime",
+    kept = (
+        held.withColumn("us", F.unix_micros("ts"))
+        .groupBy("path", "debounce_type")
+        .transformWithStateInPandas(
+            statefulProcessor=KeepLeading(window_ms, ttl_ms),
+            outputStructType=KEPT_SCHEMA,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
+    return kept.select(F.lit(UPSERT).alias("op"), "path", "debounce_type", F.timestamp_micros("us").alias("ts"))
 
 
 def apply_changes(
@@ -116,7 +128,7 @@ def apply_changes(
         .where(F.col("gone_at").isNull() | (F.col("modified_at") > F.col("gone_at")))
         .drop("gone_at")
     )
-    fresh = cut_lineage(upgrade_schema(embed_many(alive, "content", encoders)))
+    fresh, _ = encode_rows(alive, encoders)
     return store.apply(fresh, gone, batch_id)
 
 

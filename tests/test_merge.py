@@ -86,7 +86,7 @@ def test_stats(spark, index):
     source = spark.createDataFrame([(1, "h1"), (2, "h2"), (None, "q")], "item_key bigint, content_hash string")
     bad = spark.createDataFrame([("p", "{")], "path string, bad_record string")
     stats = merge.ingest_stats(source, merge.changed_rows(source, index), bad)
-    assert dict(rows(stats)) == {"ingested": 1, "skipped": 1, "rejected": 1, "quarantined": 1}
+    assert dict(rows(stats)) == {"ingested": 1, "skipped": 1, "rejected": 1, "quarantined": 1, "failed": 0}
 
 
 def test_schema_versions(spark, index):

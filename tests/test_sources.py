@@ -72,7 +72,7 @@ def test_empty_directory(spark, tmp_path):
     os.makedirs(tmp_path / "none")
     store = IndexStore(spark, str(tmp_path / "store"))
     result = ingest(spark, str(tmp_path / "none"), store, ENCODERS)
-    assert {r.status: r.n for r in result.stats.collect()} == dict(ingested=0, skipped=0, rejected=0, quarantined=0)
+    assert {r.status: r.n for r in result.stats.collect()} == dict(ingested=0, skipped=0, rejected=0, quarantined=0, failed=0)
     assert result.version is None and store.read().count() == 0
 
 
@@ -104,17 +104,17 @@ def test_incremental_ingest(spark, folder, tmp_path):
     put(folder, "bad.json", "{")
     put(folder, "nokey.json", {"name": "x"})
     first = ingest(spark, folder, store, ENCODERS)
-    assert stats(first) == dict(ingested=3, skipped=0, rejected=1, quarantined=1)
+    assert stats(first) == dict(ingested=3, skipped=0, rejected=1, quarantined=1, failed=0)
     before = keyed(store.read())
     assert len(before) == 3 and len(before[1].embedding_local) == 32 and before[1].embedding is None
 
     again = ingest(spark, folder, store, ENCODERS)
-    assert stats(again) == dict(ingested=0, skipped=3, rejected=1, quarantined=1) and again.version is None
+    assert stats(again) == dict(ingested=0, skipped=3, rejected=1, quarantined=1, failed=0) and again.version is None
 
     put(folder, "1.json", full(1, atk=9))
     put(folder, "4.json", full(4))
     third = ingest(spark, folder, store, ENCODERS)
-    assert stats(third) == dict(ingested=2, skipped=2, rejected=1, quarantined=1)
+    assert stats(third) == dict(ingested=2, skipped=2, rejected=1, quarantined=1, failed=0)
     after = keyed(store.read())
     assert after[1].atk == 9 and after[1].content_hash != before[1].content_hash and after[2] == before[2]
     assert set(after) == {1, 2, 3, 4}
@@ -130,6 +130,32 @@ def test_incremental_ingest(spark, folder, tmp_path):
     assert len(keyed(store.read())[4].embedding) == 16
 
 
+def test_failed_rows_are_taken_up_again(spark, folder, tmp_path):
+    class Picky:
+        def __init__(self, word):
+            self.word = word
+
+        def prepare(self, text):
+            return text
+
+        def load(self):
+            def encode(texts):
+                if any(self.word in t for t in texts):
+                    raise RuntimeError("refused")
+                return [[1.0, 2.0] for _ in texts]
+
+            return encode
+
+    store = IndexStore(spark, str(tmp_path / "store"))
+    first = ingest(spark, folder, store, {"embedding_local": Picky("Spell")})
+    assert stats(first) == dict(ingested=2, skipped=0, rejected=0, quarantined=0, failed=1)
+    assert [(r.item_key, r.embed_error) for r in first.failed.collect()] == [(3, "RuntimeError: refused")]
+    assert set(keyed(store.read())) == {1, 2}
+    second = ingest(spark, folder, store, {"embedding_local": Picky("nothing")})
+    assert stats(second) == dict(ingested=1, skipped=2, rejected=0, quarantined=0, failed=0)
+    assert set(keyed(store.read())) == {1, 2, 3}
+
+
 def test_last_write_of_a_key_wins(spark, folder, tmp_path):
     put(folder, "a.json", full(50, name="older"))
     put(folder, "b.json", full(50, name="newer"))

@@ -94,7 +94,9 @@ def ivf_build(
     points = learnt.select(array_to_vector(l2_normalize(F.col(vector_col))).alias("features"))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, initSteps=2).fit(points)
     centers = np.array(model.clusterCenters())
-    assign_lists(held, centers, vector_col).write.mode("overwrite").partitionBy("list_id").parquet(path)
+    # Brings a list together to write few files, and splits it where it is large.
+    placed = assign_lists(held, centers, vector_col).hint("rebalance", "list_id")
+    placed.write.mode("overwrite").partitionBy("list_id").parquet(path)
     placed = items.sparkSession.read.parquet(path)
     radii, counts = np.zeros(len(centers)), np.zeros(len(centers), dtype=np.int64)
     per_list = placed.groupBy("list_id").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))

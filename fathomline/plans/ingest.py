@@ -54,8 +54,8 @@ def ingest_documents(
     changed = changed_rows(rows, stored, require_vectors=require_vectors)
     keyed, _ = reject_missing_key(changed)
     fresh, failed = encode_rows(latest_per_key(keyed), encoders)
-    # Counted before the write, against the index as it was.
-    stats = cut_lineage(ingest_stats(rows, changed, quarantined, failed))
+    # Counts against the version read above, which stays as it is.
+    stats = ingest_stats(rows, changed, quarantined, failed)
     version = None if fresh.isEmpty() else store.apply(fresh)
     return IngestResult(stats, quarantined, failed, version)
 

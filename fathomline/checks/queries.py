@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -48,6 +49,22 @@ def registered(function: Query) -> Query:
     return function
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -684,10 +701,6 @@ def debounced_changes(spark, sf):
 @registered
 def debounced_stream(spark, sf):
     """The streaming job over the event table, run to its end and read back."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     columns = T.StructType(
         [
             T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -703,5 +716,15 @@ def debounced_stream(spark, sf):
     kept = debounce_stream(changes, hours6, 2 * hours6)
     out, state = fresh_folder(spark, "kept"), fresh_folder(spark, "state")
     run = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-    run.trigger(availableNow=True).start().awaitTermination()
+    # A state store per shuffle partition; one per core is enough.
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    with settings(
+        spark,
+        {
+            "spark.sql.shuffle.partitions": str(stores),
+            "spark.sql.streaming.stateStore.providerClass":
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        },
+    ):
+        run.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("path", "debounce_type", F.unix_micros("ts").alias("us"))

@@ -156,10 +156,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 )
 
     suffixes = cut_lineage(texts.mapInArrow(retain, "prefix bigint, doc_id bigint, place int"))
-    agreeing = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
+    # Written first: a join that reads its sides from shuffles of their own can split a prefix that very many share.
+    agreeing = cut_lineage(suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"))
     # The places of one document: as many as it has words, at most.
     places = cut_lineage(
-        suffixes.join(agreeing, "prefix").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+        join_measured(suffixes, agreeing, "prefix").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +188,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     windows = cut_lineage(
         join_measured(texts, places, "doc_id").mapInArrow(extend, "window bigint, doc_id bigint, place int")
     )
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first.select("window", "first"), "window").where(F.struct("doc_id", "place") > F.col("first")).select(
+    first = cut_lineage(
+        windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1").select("window", "first")
+    )
+    later = join_measured(windows, first, "window").where(F.struct("doc_id", "place") > F.col("first")).select(
         "doc_id", "place", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place")
     ).distinct()
     run = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("place")

@@ -23,7 +23,7 @@ def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner") ->
     return left.join(F.broadcast(right) if fits_broadcast(right) else right, on, how)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``max_bytes`` of text, or one row where a text is longer."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes.astype(np.int64))
@@ -32,6 +32,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8_
         base = total[begin - 1] if begin else 0
         end = max(int(np.searchsorted(total, base + max_bytes, side="right")), begin + 1)
         yield batch.slice(begin, end - begin)
+        pa.default_memory_pool().release_unused()  # a worker serves many tasks; what one of them held is given back
         begin = end
 
 

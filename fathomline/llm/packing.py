@@ -19,7 +19,7 @@ LENGTH = 1024
 END = 0  # the id put behind each document
 DIMENSIONS = 4
 BITS = 15  # of the curve's key, per dimension
-UNITS = 400_000  # encoded units a task remembers
+UNITS = 150_000  # encoded units a task remembers
 SPECIAL = "<|endoftext|>"
 # A blank whose neighbours are no blanks starts a unit of its own; texts with other uses of blanks are encoded whole.
 IRREGULAR = r"^ |[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -35,11 +35,23 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
         self.known: dict[str, np.ndarray] = {}
         self.fast = self._fast(path)
+        if self.size() > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
+
+    @property
+    def whole(self):
+        """The vocabulary as the file states it, read when a text has to be encoded whole."""
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
+    def size(self) -> int:
+        return self.fast.n_vocab if self.fast else self.whole.get_vocab_size()
 
     @staticmethod
     def _fast(path: str):
@@ -123,8 +135,6 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = Encoder(vocabulary), directions()
-        if encoder.whole.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary do not fit 16 bits")
         for batch in batches:
             for part in text_slices(batch):
                 ids, bounds = with_end(*encoder.encode(part.column("text")))

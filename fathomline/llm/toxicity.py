@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ PREFIXES = (3, 4, 5, 6)
 SEGMENT = 48  # words of a training chain
 EDGE = "\"'.,;:!?()[]{}<>*_~`¡¿«»„“”‚‘’…-"
 THRESHOLD = 0.3
-CACHE = 500_000
+CACHE = 200_000
 
 
 def shape(word: str) -> str:
@@ -88,34 +87,62 @@ def document_evidence(logits: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarra
     return _sums(np.clip(logits, -12, 12), bounds, np.maximum), _sums(p, bounds, np.add)
 
 
-def telling_features(docs: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Features that stand in toxic documents more often than chance would let any feature do."""
-    seen = (Counter(), Counter())
-    for words, label in zip(docs, toxic):
-        seen[label].update({f for w in set(words) for f in features(w)})
-    rate = sum(toxic) / len(toxic)
-    needed = math.log(10 * max(len(seen[1]), 1))
-
-    def surprise(a: int, b: int) -> float:  # bound on the log of one over the chance of a or more among a + b
-        q = a / (a + b)
-        if q <= rate:
-            return 0.0
-        return (a + b) * (q * math.log(q / rate) + ((1 - q) * math.log((1 - q) / (1 - rate)) if q < 1 else 0.0))
-
-    return {f for f, a in seen[1].items() if a > 9 * seen[0][f] and surprise(a, seen[0][f]) >= needed}
-
-
-def _train_chain(chains: list[list[str]], labels: list[np.ndarray], vocabulary: dict[str, int], rounds: int = 120):
+class Coded:
+    """Texts as word numbers, and the features of each distinct word once."""
+
+    def __init__(self, texts: list[str]):
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(texts, pa.string())))
+        coded = split.flatten().dictionary_encode()
+        shapes = [shape(w) for w in coded.dictionary.to_pylist()]
+        number = {s: i for i, s in enumerate(dict.fromkeys(shapes))}
+        self.bounds = split.offsets.to_numpy().astype(np.int64)
+        self.words = np.array([number[s] for s in shapes], np.int64)[coded.indices.to_numpy()]
+        known: dict[str, int] = {}
+        lists = [[known.setdefault(f, len(known)) for f in features(s)] for s in number]
+        self.names = list(known)
+        self.counts = np.array([len(x) for x in lists], np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.flat = np.array([i for x in lists for i in x], np.int64)
+
+    def document(self, i: int) -> np.ndarray:
+        return self.words[self.bounds[i]:self.bounds[i + 1]]
+
+    def features(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each feature of each word, the word's place and the feature's number."""
+        counts = self.counts[words]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.first[words] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(np.arange(len(words)), counts), self.flat[at]
+
+
+def telling_features(coded: Coded, rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether a feature stands in toxic documents of ``rows`` more often than chance would let any feature do."""
+    seen = np.zeros((2, len(coded.names)))
+    for i in rows:
+        seen[int(toxic[i]), np.unique(coded.features(np.unique(coded.document(i)))[1])] += 1
+    rate = float(np.mean(toxic[rows]))
+    if not 0 < rate < 1:
+        return np.zeros(len(coded.names), bool)
+    a, n = seen[1], seen.sum(axis=0)
+    q = np.clip(a / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+    # Bound on the log of one over the chance of so many among n.
+    surprise = n * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate)))
+    return (a > 9 * seen[0]) & (q > rate) & (surprise >= math.log(10 * max(int((a > 0).sum()), 1)))
+
+
+def _train_chain(chains: list[np.ndarray], labels: list[np.ndarray], coded: Coded, telling: np.ndarray, rounds: int = 120):
     """Weights that make the labels likely: Adam on the whole penalised likelihood, all chains at once."""
     bounds = np.concatenate([[0], np.cumsum([len(c) for c in chains])])
-    words = [w for c in chains for w in c]
-    y = np.concatenate(labels).astype(np.float64)
-    lists = [[vocabulary[f] for f in features(w) if f in vocabulary] for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(x) for x in lists])
-    flat = np.array([i for x in lists for i in x], np.int64)
+    words, y = np.concatenate(chains), np.concatenate(labels).astype(np.float64)
+    owner, flat = coded.features(words)
+    used = np.flatnonzero((np.bincount(flat, minlength=len(coded.names)) >= 3) | telling)
+    column = np.full(len(coded.names), -1)
+    column[used] = np.arange(len(used))
+    known = column[flat] >= 0
+    owner, flat = owner[known], column[flat[known]]
     first = bounds[:-1]
     inner = np.setdiff1d(np.arange(len(words)), bounds[1:] - 1)  # positions with a follower
-    n = len(vocabulary)
+    n = len(used)
     theta = np.zeros(n + 2 + 3)  # features, bias, begin, three moves against staying clean
     theta[n] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -138,7 +165,7 @@ def _train_chain(chains: list[list[str]], labels: list[np.ndarray], vocabulary:
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.25 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     moves = np.exp(np.array([[0.0, theta[n + 2]], [theta[n + 3], theta[n + 4]]]))
-    kept = {f: float(theta[i]) for f, i in vocabulary.items() if abs(theta[i]) >= 0.02}
+    kept = {coded.names[f]: float(theta[i]) for i, f in enumerate(used) if abs(theta[i]) >= 0.02}
     return kept, float(theta[n]), float(theta[n + 1]), moves
 
 
@@ -162,40 +189,39 @@ def fit(texts: list[str], toxic: list[bool], weight: np.ndarray | None = None) -
     other words are clean. The chain is trained on these labels, on three
     quarters of the documents; its scale on the others.
     """
-    never = Model({}, -30.0, 0.0, np.ones((2, 2)), (-30.0, 0.0, 0.0))
     if not any(toxic) or all(toxic):
-        return never if not any(toxic) else Model({}, 0.0, 0.0, np.ones((2, 2)), (30.0, 0.0, 0.0))
-    docs = [[shape(w) for w in re.findall(WORD, t)] for t in texts]
-    part = np.arange(len(docs)) % 4 != 3
-    telling = telling_features([d for d, p in zip(docs, part) if p], [t for t, p in zip(toxic, part) if p])
+        return Model({}, -30.0 if not any(toxic) else 0.0, 0.0, np.ones((2, 2)), (30.0 if any(toxic) else -30.0, 0.0, 0.0))
+    coded, y = Coded(texts), np.array(toxic)
+    part = np.arange(len(texts)) % 4 != 3
+    telling = telling_features(coded, np.flatnonzero(part), y)
+    owner, flat = coded.features(np.arange(len(coded.counts)))
+    toxic_word = np.zeros(len(coded.counts), bool)
+    toxic_word[owner[telling[flat]]] = True
     chains, labels, clean = [], [], []
-    for words, label, use in zip(docs, toxic, part):
-        for i in range(0, len(words) if use else 0, SEGMENT):
-            chain = words[i:i + SEGMENT]
-            marks = np.array([label and any(f in telling for f in features(w)) for w in chain])
-            if marks.any():
-                chains.append(chain)
-                labels.append(marks)
+    for i in np.flatnonzero(part):
+        words = coded.document(i)
+        marks = toxic_word[words] & y[i]
+        for begin in range(0, len(words), SEGMENT):
+            end = begin + SEGMENT
+            if marks[begin:end].any():
+                chains.append(words[begin:end])
+                labels.append(marks[begin:end])
             else:
-                clean.append(chain)
+                clean.append(words[begin:end])
     step = max(1, len(clean) // max(3 * len(chains), 200))
     chains, labels = chains + clean[::step], labels + [np.zeros(len(c), bool) for c in clean[::step]]
-    if not chains:
-        return never
-    counts = Counter(f for c in chains for w in set(c) for f in features(w))
-    vocabulary = {f: i for i, f in enumerate(f for f, k in counts.items() if k >= 3 or f in telling)}
-    weights, bias, begin, moves = _train_chain(chains, labels, vocabulary)
+    weights, bias, begin, moves = _train_chain(chains, labels, coded, telling)
     model = Model(weights, bias, begin, moves, (0.0, 1.0, 0.0))
-    bounds = np.concatenate([[0], np.cumsum([max(len(d), 1) for d in docs])])
-    e = np.array([model.emission(w) for d in docs for w in (d or [""])])
-    peak, mass = document_evidence(forward_backward(e, bounds, begin, moves)[2], bounds)
-    rest = ~part
-    y, w = np.array(toxic, float), np.ones(len(docs)) if weight is None else weight
-    model.scale = _fit_scale(peak[rest], mass[rest], y[rest], w[rest])
+    value = np.array([weights.get(f, 0.0) for f in coded.names])
+    emission = bias + np.bincount(owner, value[flat], len(coded.counts))
+    peak, mass = document_evidence(forward_backward(emission[coded.words], coded.bounds, begin, moves)[2], coded.bounds)
+    rest = ~part if (~part).any() else part
+    w = np.ones(len(texts)) if weight is None else weight
+    model.scale = _fit_scale(peak[rest], mass[rest], y[rest].astype(float), w[rest])
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = 800, n_clean: int = 3200, max_chars: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = 400, n_clean: int = 1600, max_chars: int = 20_000) -> Model:
     """A model of a bounded sample of ``labels`` (doc_id, toxic) and their ``docs`` (doc_id, text).
 
     At most ``n_toxic`` and ``n_clean`` labels, the first in the order of a hash
@@ -211,14 +237,26 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = 800, n_clean: int =
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).where(
         F.length("text") <= max_chars
-    ).select("at", "doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["at"], r["doc_id"], r["text"]))
-    toxic = [bool(r["toxic"]) for r in rows]
-    # The sample may hold more toxic documents than the labels do; its rows are weighed to make up for that.
-    share = {c: counts.get(c, 0) / max(sum(t == bool(c) for t in toxic), 1) for c in (0, 1)}
-    total = sum(counts.values()) or 1
-    weight = np.array([share[int(t)] for t in toxic]) * (len(rows) / total)
-    return fit([r["text"] for r in rows], toxic, weight)
+    ).select("at", "doc_id", "text", "toxic")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["at"], r["doc_id"], r["text"]))
+        toxic = [bool(r["toxic"]) for r in sample]
+        # The sample may hold more toxic documents than the labels do; its rows are weighed to make up for that.
+        share = {c: counts.get(c, 0) / max(sum(t == bool(c) for t in toxic), 1) for c in (0, 1)}
+        total = sum(counts.values()) or 1
+        weight = np.array([share[int(t)] for t in toxic]) * (len(sample) / total)
+        m = fit([r["text"] for r in sample], toxic, weight)
+        yield pa.RecordBatch.from_pydict({
+            "names": [list(m.weights)], "weights": [list(m.weights.values())],
+            "numbers": [[m.bias, m.begin, *m.moves.ravel().tolist(), *m.scale]],
+        })
+
+    # One task learns from the bounded sample; the driver gets the weights.
+    names, weights, numbers = rows.repartition(1).mapInArrow(
+        train, "names array<string>, weights array<double>, numbers array<double>"
+    ).first()
+    return Model(dict(zip(names, weights)), numbers[0], numbers[1], np.array(numbers[2:6]).reshape(2, 2), tuple(numbers[6:]))
 
 
 def score_documents(docs: DataFrame, model: Model, keep: float | None = None) -> DataFrame:

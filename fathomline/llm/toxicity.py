@@ -253,9 +253,10 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = 400, n_clean: int =
         })
 
     # One task learns from the bounded sample; the driver gets the weights.
-    names, weights, numbers = rows.repartition(1).mapInArrow(
-        train, "names array<string>, weights array<double>, numbers array<double>"
-    ).first()
+    learned = rows.repartition(1).mapInArrow(train, "names array<string>, weights array<double>, numbers array<double>").first()
+    if learned is None:  # no labelled rows, no task
+        return fit([], [])
+    names, weights, numbers = learned
     return Model(dict(zip(names, weights)), numbers[0], numbers[1], np.array(numbers[2:6]).reshape(2, 2), tuple(numbers[6:]))
 
 

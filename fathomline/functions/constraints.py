@@ -131,7 +131,8 @@ def constraint(text: Column, spec: ConstraintSpec = ConstraintSpec()) -> Column:
         for name, pattern, _ in tiers:
             span = F.when(tier == name, F.regexp_extract(q, FLAGS + pattern, 0)).otherwise(span)
         digits = F.regexp_extract_all(span, F.lit(r"\d+"), F.lit(0))
-        return F.transform(digits, lambda n: n.try_cast("bigint"))
+        # A number beyond the type is the largest there is: it still bounds.
+        return F.transform(digits, lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
 
     def remainder(q: Column, tier: Column) -> Column:
         rest = F.lit(None).cast("string")

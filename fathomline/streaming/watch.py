@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -16,7 +17,7 @@ from fathomline.operators.events import DELETE, UPSERT, normalize_events
 from fathomline.operators.merge import latest_per_key, reject_missing_key
 from fathomline.plans.ingest import encode_rows
 from fathomline.session import cut_lineage
-from fathomline.sources.index_table import IndexStore
+from fathomline.sources.index_table import IndexStore, _file_system
 from fathomline.sources.items import parse_documents, split_bad_records, to_index_rows
 from fathomline.sources.paths import MAX_ITEM_BYTES, key_from_path
 
@@ -28,15 +29,17 @@ KEPT_SCHEMA = "path string, debounce_type string, us bigint"
 
 
 class KeepLeading(StatefulProcessor):
-    """Per (path, type): keeps events at least one window after the last kept one.
+    """Per (path, type): keeps events at least one window away from the last kept one.
 
-    The state is a single time and expires with its event time. Times are
-    microseconds since 1970, whatever the session's zone.
+    The state is a single time, the latest kept; it expires. An event that comes
+    late, before that time, is kept like any other unless it lies within the
+    window. Times are microseconds since 1970, whatever the session's zone.
     """
 
-    def __init__(self, window_ms: int = DEBOUNCE_MS, ttl_ms: int = STATE_TTL_MS):
+    def __init__(self, window_ms: int, ttl_ms: int, by_arrival: bool = False):
         self.window = window_ms * 1000
         self.ttl_ms = ttl_ms
+        self.by_arrival = by_arrival
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -44,21 +47,24 @@ class KeepLeading(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # Rows come in any order; only their distinct times are held, eight bytes each.
-        times = np.zeros(0, dtype=np.int64)
+        times, now = np.zeros(0, dtype=np.int64), 0
         for part in rows:
             times = np.union1d(times, part["us"].to_numpy(dtype=np.int64))
-        stored = self.last.get() if self.last.exists() else None
-        at = 0 if stored is None else int(np.searchsorted(times, stored[0] + self.window))
-        kept = []
+            now = max(now, int(part["clock"].max()))
+        stored = self.last.get()[0] if self.last.exists() else None
+        if stored is not None:
+            times = times[np.abs(times - stored) >= self.window]
+        at, kept = 0, []
         while at < len(times):
             kept.append(int(times[at]))
             at = int(np.searchsorted(times, times[at] + self.window))
         if not kept:
             return
-        self.last.update((kept[-1],))
+        newest = kept[-1] if stored is None else max(kept[-1], stored)
+        self.last.update((newest,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(kept[-1] // 1000 + self.ttl_ms)
+        self.handle.registerTimer((now if self.by_arrival else newest // 1000) + self.ttl_ms)
         path, debounce_type = key
         yield pd.DataFrame({"path": path, "debounce_type": debounce_type, "us": kept})
 
@@ -71,18 +77,31 @@ class KeepLeading(StatefulProcessor):
 
 
 def debounce_stream(
-    changes: DataFrame, window_ms: int = DEBOUNCE_MS, ttl_ms: int = STATE_TTL_MS, lateness: str = "10 seconds"
+    changes: DataFrame, window_ms: int = DEBOUNCE_MS, ttl_ms: int | None = None, lateness: str | None = "10 seconds"
 ) -> DataFrame:
     """Debounced upserts of a normalised stream; needs the RocksDB state store.
 
-    ``ttl_ms`` must be longer than the window; older state can hold nothing back.
+    With ``lateness`` given, state expires in event time and events later than
+    that are dropped by the watermark. With ``lateness=None`` the watermark
+    follows the time at which batches arrive: no event is ever dropped for its
+    own time, and state expires by arrival. State outlives the window:
+    ``ttl_ms`` is 10 seconds or twice the window by default, and must be longer
+    than the window.
     """
-    held = changes.where(F.col("op") == UPSERT).withWatermark("ts", lateness)
+    ttl_ms = max(STATE_TTL_MS, 2 * window_ms) if ttl_ms is None else ttl_ms
+    if ttl_ms <= window_ms:
+        raise ValueError(f"state must outlive the window of {window_ms} ms, not expire after {ttl_ms} ms")
+    held = changes.where(F.col("op") == UPSERT)
+    if lateness is None:
+        held = held.withColumn("clock", F.current_timestamp()).withWatermark("clock", "0 seconds")
+    else:
+        held = held.withWatermark("ts", lateness).withColumn("clock", F.col("ts"))
     kept = (
-        held.withColumn("us", F.unix_micros("ts"))
+        held.select("path", "debounce_type", F.unix_micros("ts").alias("us"), F.unix_millis("clock").alias("clock"),
+                    F.col("clock").alias("marked"))
         .groupBy("path", "debounce_type")
         .transformWithStateInPandas(
-            statefulProcessor=KeepLeading(window_ms, ttl_ms),
+            statefulProcessor=KeepLeading(window_ms, ttl_ms, by_arrival=lateness is None),
             outputStructType=KEPT_SCHEMA,
             outputMode="Append",
             timeMode="EventTime",
@@ -91,6 +110,40 @@ def debounce_stream(
     return kept.select(F.lit(UPSERT).alias("op"), "path", "debounce_type", F.timestamp_micros("us").alias("ts"))
 
 
+FAILURES = "_failures"
+FAILURE_SCHEMA = "path string, ts timestamp, reason string, detail string"
+ENCODER = "encoder"  # the reason that is tried again
+
+
+def _failure_batches(spark: SparkSession, store: IndexStore) -> dict[int, str]:
+    """Folders of finished batches that list failures."""
+    fs, path = _file_system(spark, store.root)
+    base = posixpath.join(store.root, FAILURES)
+    names = [s.getPath().getName() for s in fs.listStatus(path(base))] if fs.exists(path(base)) else []
+    folders = {int(n.partition("=")[2]): posixpath.join(base, n) for n in names if n.startswith("batch=")}
+    return {n: f for n, f in folders.items() if fs.exists(path(posixpath.join(f, "_SUCCESS")))}
+
+
+def read_failures(spark: SparkSession, store: IndexStore) -> DataFrame:
+    """``path, ts, reason, detail, batch`` of all that could not be brought into the index.
+
+    Reasons: ``missing``, ``too large``, ``not UTF-8``, ``unreadable``, ``no key`` and ``encoder``. What fails in the
+    encoder is tried again with each batch, and listed by each batch in which it fails.
+    """
+    schema = FAILURE_SCHEMA + ", batch bigint"
+    if not _failure_batches(spark, store):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(posixpath.join(store.root, FAILURES))
+
+
+def open_failures(spark: SparkSession, store: IndexStore, before: int) -> DataFrame:
+    """What the last batch before ``before`` left to be tried again; each batch passes on what still fails."""
+    earlier = {n: f for n, f in _failure_batches(spark, store).items() if n < before}
+    if not earlier:
+        return spark.createDataFrame([], FAILURE_SCHEMA)
+    return spark.read.schema(FAILURE_SCHEMA).parquet(earlier[max(earlier)]).where(F.col("reason") == ENCODER)
+
+
 def apply_changes(
     spark: SparkSession,
     changes: DataFrame,
@@ -101,14 +154,16 @@ def apply_changes(
 ) -> str | None:
     """One batch of ``op, path, ts`` onto the index; the last operation per path wins.
 
-    Files are read where the work is, in the executors: unreadable, vanished
-    and oversized ones are passed over.
+    Files are read where the work is, in the executors. What cannot be brought
+    in is written beside the versions with its reason, before the version;
+    items whose encoder failed are tried again with the next batch.
     """
     if store.published(batch_id):
         return None
+    again = open_failures(spark, store, before=batch_id)
+    wanted = changes.select("op", "path", "ts").unionByName(again.select(F.lit(UPSERT).alias("op"), "path", "ts"))
     order = W.partitionBy("path").orderBy(F.col("ts").desc(), F.col("op"))
-    last = changes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 1)
-    # Upserts are read from storage, so their rows must not be read twice.
+    last = wanted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 1)
     last = cut_lineage(last.select("op", "path", "ts"))
     if last.isEmpty():
         return None
@@ -118,9 +173,11 @@ def apply_changes(
         .agg(F.max("ts").alias("gone_at"))
         .where(F.col("item_key").isNotNull())
     )
-    bodies = read_bodies(last.where(F.col("op") == UPSERT).select("path", F.col("ts").alias("modified_at")), max_bytes)
-    documents, _ = split_bad_records(parse_documents(bodies))
-    keyed, _ = reject_missing_key(to_index_rows(documents))
+    # Upserts are read from storage, so they must not be read twice.
+    upserts = last.where(F.col("op") == UPSERT).select("path", F.col("ts").alias("modified_at"))
+    bodies = cut_lineage(read_bodies(upserts, max_bytes))
+    documents, unreadable = split_bad_records(parse_documents(bodies.where(F.col("problem").isNull()).drop("problem")))
+    keyed, keyless = reject_missing_key(to_index_rows(documents))
     # A document written before its key was deleted stays deleted.
     alive = (
         latest_per_key(keyed)
@@ -128,35 +185,56 @@ def apply_changes(
         .where(F.col("gone_at").isNull() | (F.col("modified_at") > F.col("gone_at")))
         .drop("gone_at")
     )
-    fresh, _ = encode_rows(alive, encoders)
+    fresh, failed = encode_rows(alive, encoders)
+    at = F.col("modified_at").alias("ts")
+    problems = [
+        bodies.where(F.col("problem").isNotNull()).select("path", at, F.col("problem").alias("reason"), F.lit(None).cast("string")),
+        unreadable.join(bodies, "path").select("path", at, F.lit("unreadable"), "bad_record"),
+        keyless.select("path", at, F.lit("no key"), F.lit(None).cast("string")),
+        failed.join(latest_per_key(keyed), "item_key").select("path", at, F.lit(ENCODER), "embed_error"),
+    ]
+    listed = problems[0]
+    for more in problems[1:]:
+        listed = listed.union(more)
+    listed = listed.toDF("path", "ts", "reason", "detail")
+    listed.write.mode("overwrite").parquet(posixpath.join(store.root, FAILURES, f"batch={batch_id}"))
+    if fresh.isEmpty() and gone.isEmpty():
+        return None
     return store.apply(fresh, gone, batch_id)
 
 
 def read_bodies(paths: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """``path, modified_at, n_bytes, body`` of listed files that can be read.
+    """``path, modified_at, n_bytes, body, problem`` of listed files; a body or a problem is there.
 
-    The files named by a change log lie anywhere, so each task opens its own.
+    The files named by a change log lie anywhere, so each task opens its own. A
+    file that is gone, too large or not UTF-8 is an outcome. Any other error,
+    such as a store that does not answer, fails the task, which Spark repeats.
     """
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        def one(path: str) -> tuple[int | None, str | None, str | None]:
+            system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "/" + path)
+            info = system.get_file_info(name)
+            if info.type != fs.FileType.File:
+                return None, None, "missing"
+            if info.size > max_bytes:
+                return info.size, None, "too large"
+            try:
+                with system.open_input_stream(name) as stream:
+                    return info.size, stream.read().decode("utf-8"), None
+            except FileNotFoundError:
+                return None, None, "missing"
+            except UnicodeDecodeError:
+                return info.size, None, "not UTF-8"
+
         for part in parts:
-            out = []
-            for path, modified in zip(part["path"], part["modified_at"]):
-                try:
-                    system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "/" + path)
-                    info = system.get_file_info(name)
-                    if info.type != fs.FileType.File or info.size > max_bytes:
-                        continue
-                    with system.open_input_stream(name) as stream:
-                        body = stream.read().decode("utf-8")
-                except (OSError, UnicodeDecodeError):
-                    continue
-                out.append((path, modified, info.size, body))
-            yield pd.DataFrame(out, columns=["path", "modified_at", "n_bytes", "body"])
-
-    return paths.mapInPandas(load, "path string, modified_at timestamp, n_bytes bigint, body string")
+            found = [(path, modified, *one(path)) for path, modified in zip(part["path"], part["modified_at"])]
+            out = pd.DataFrame(found, columns=["path", "modified_at", "n_bytes", "body", "problem"])
+            yield out.astype({"n_bytes": "Int64"})
+
+    return paths.mapInPandas(load, "path string, modified_at timestamp, n_bytes bigint, body string, problem string")
 
 
 def watch(
@@ -167,9 +245,13 @@ def watch(
     window_ms: int = DEBOUNCE_MS,
     on_batch: Callable[[int, str | None], None] | None = None,
 ):
-    """A writer for the change stream; start it with the trigger of your choice."""
+    """A writer for the change stream; start it with the trigger of your choice.
+
+    Events are never dropped for being late: an upsert means that a file is to
+    be read again, whenever it is heard of.
+    """
     changes = normalize_events(events)
-    kept = debounce_stream(changes, window_ms)
+    kept = debounce_stream(changes, window_ms, lateness=None)
     deletes = changes.where(F.col("op") == DELETE)
 
     def apply(batch: DataFrame, batch_id: int) -> None:

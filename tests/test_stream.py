@@ -10,7 +10,7 @@ from fathomline.operators.events import ignored_moves, normalize_events
 from fathomline.schemas import CHANGE_SCHEMA
 from fathomline.sources.changelog import read_change_log
 from fathomline.sources.index_table import IndexStore
-from fathomline.streaming.watch import debounce_stream, watch
+from fathomline.streaming.watch import debounce_stream, open_failures, read_failures, watch
 from test_sources import full, put
 
 ENCODERS = {"embedding_local": HashedTrigramEncoder(8)}
@@ -114,3 +114,54 @@ def test_watch(spark, tmp_path):
     run()
     assert sorted(os.listdir(tmp_path / "store")) == sorted(versions)
     assert len({n for n, _ in seen}) == len(seen)
+
+
+def test_late_events_are_applied(spark, tmp_path):
+    files, log = str(tmp_path / "items"), str(tmp_path / "log")
+    store = IndexStore(spark, str(tmp_path / "store"))
+    for n, second in enumerate((0, 60, 61, 30, 62), 1):
+        write_log(log, f"{n}.json", [("created", put(files, f"{n}.json", full(n)), None, 1000 * second)])
+        watch(read_change_log(spark, log), store, ENCODERS, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.item_key for r in store.read().collect()) == [1, 2, 3, 4, 5]
+
+
+def test_failures_are_listed_and_encoders_tried_again(spark, tmp_path):
+    files, log, switch = str(tmp_path / "items"), str(tmp_path / "log"), tmp_path / "up"
+    where = str(switch)
+
+    class Sometimes(HashedTrigramEncoder):
+        def load(self):
+            encode = HashedTrigramEncoder.load(self)
+
+            def sometimes(texts):
+                if any("item 2" in " ".join(t.split()).lower() for t in texts) and not os.path.exists(where):
+                    raise RuntimeError("down")
+                return encode(texts)
+
+            return sometimes
+
+    store = IndexStore(spark, str(tmp_path / "store"))
+    paths = [put(files, "1.json", full(1)), put(files, "2.json", full(2)), put(files, "3.json", "{not valid"),
+             put(files, "4.json", json.dumps(full(4)) + " " * 51200), files + "/gone.json", put(files, "5.json", {"name": "x"})]
+
+    def run(name, wanted):
+        write_log(log, name, [("created", p, None, i) for i, p in enumerate(wanted)])
+        stream = watch(read_change_log(spark, log), store, {"embedding_local": Sometimes(8)}, str(tmp_path / "cp"))
+        stream.trigger(availableNow=True).start().awaitTermination()
+        listed = {(os.path.basename(r.path), r.reason) for r in read_failures(spark, store).collect()}
+        return listed, {os.path.basename(r.path) for r in open_failures(spark, store, 1 << 40).collect()}
+
+    listed = {
+        ("2.json", "encoder"), ("3.json", "unreadable"), ("4.json", "too large"), ("gone.json", "missing"), ("5.json", "no key")}
+    assert run("a.json", paths) == (listed, {"2.json"})
+    assert [r.item_key for r in store.read().collect()] == [1]
+    assert run("b.json", [put(files, "6.json", full(6))]) == (listed, {"2.json"})
+    switch.write_text("")
+    assert run("c.json", [put(files, "7.json", full(7))]) == (listed, set())
+    assert sorted(r.item_key for r in store.read().collect()) == [1, 2, 6, 7]
+
+
+def test_state_outlives_the_window(spark):
+    events = spark.createDataFrame([("created", "/w/1.json", None, False, START)], CHANGE_SCHEMA)
+    with pytest.raises(ValueError):
+        debounce_stream(normalize_events(events), window_ms=20_000, ttl_ms=10_000)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fathomline.checks.phrases import CASES
+
 ITEMS = """
 items AS (
   SELECT p_partkey AS item_id, p_name AS name, CASE WHEN p_size <= 12 THEN p_size END AS level,
@@ -112,39 +114,6 @@ ranked AS (
 
 
 # Phrase, expected lower and upper bound, expected rest after the name, kind of phrase.
-_EXPECTED = [
-    ("more than {a} ATK", "a", "", "", "comp_min"), ("over {a}", "a", "", "", "comp_min"),
-    ("above {a} attack", "a", "", "", "comp_min"), ("greater than {a} ATK", "a", "", "", "comp_min"),
-    ("at least {a}", "a", "", "", "comp_min"), ("no less than {a}", "a", "", "", "comp_min"),
-    ("not less than {a} ATK", "a", "", "", "comp_min"), ("minimum of {a}", "a", "", "", "comp_min"),
-    ("exceeding {a} ATK", "a", "", "", "comp_min"), ("{a} or more", "a", "", "", "comp_min"),
-    ("com mais de {a} de ataque", "a", "", "", "comp_min"), ("acima de {a}", "a", "", "", "comp_min"),
-    ("maior que {a} ATK", "a", "", "", "comp_min"), ("pelo menos {a}", "a", "", "", "comp_min"),
-    ("NO MÍNIMO {a}", "a", "", "", "comp_min"), ("{a} ou mais", "a", "", "", "comp_min"),
-    (">= {a}", "a", "", "", "op_min"), ("≥ {a} ATK", "a", "", "", "op_min"), ("{a}+", "a", "", "", "op_min"),
-    ("> {a}", "a", "", "", "op_min"),
-    ("less than {a} ATK", "", "a", "", "comp_max"), ("under {a}", "", "a", "", "comp_max"),
-    ("below {a} ATK", "", "a", "", "comp_max"), ("at most {a}", "", "a", "", "comp_max"),
-    ("no more than {a}", "", "a", "", "comp_max"), ("maximum of {a}", "", "a", "", "comp_max"),
-    ("{a} or less", "", "a", "", "comp_max"), ("menos de {a}", "", "a", "", "comp_max"),
-    ("abaixo de {a} ATK", "", "a", "", "comp_max"), ("menor que {a}", "", "a", "", "comp_max"),
-    ("no máximo {a}", "", "a", "", "comp_max"), ("{a} ou menos", "", "a", "", "comp_max"),
-    ("<= {a}", "", "a", "", "op_max"), ("< {a} ATK", "", "a", "", "op_max"), ("≤ {a}", "", "a", "", "op_max"),
-    ("exactly {a} ATK", "a", "a", "", "eq"), ("ATK {a}", "a", "a", "", "eq"), ("ATK equal to {a}", "a", "a", "", "eq"),
-    ("ataque igual a {a}", "a", "a", "", "eq"), ("{a} ATK", "a", "a", "", "eq"), ("with {a} ATK", "a", "a", "", "eq"),
-    ("com {a} de ataque", "a", "a", "", "eq"), ("ATK de {a}", "a", "a", "", "eq"),
-    ("{a} attack power", "a", "a", "", "eq"), ("ATK of {a}", "a", "a", "", "eq"),
-    ("between {a} and {b} ATK", "a", "b", "", "range"), ("between {b} and {a}", "a", "b", "", "range"),
-    ("entre {a} e {b}", "a", "b", "", "range"), ("{a}-{b} ATK", "a", "b", "", "range"),
-    ("{a} to {b} ATK", "a", "b", "", "range"), ("{a} até {b} ATK", "a", "b", "", "range"),
-    ("with {a} ATK or more", "a", "", " with", "comp_min"), ("com {a} de ataque ou menos", "", "a", " com", "comp_max"),
-    ("{a}", "", "", None, None), ("level {a}", "", "", None, None), ("{a}.5 ATK", "", "", None, None),
-    ("ATK -{a}", "", "", None, None), ("up to {a} ATK", "", "", None, None), ("about {a} ATK", "", "", None, None),
-    ("~{a} ATK", "", "", None, None), ("that attack {a} times", "", "", None, None),
-    ("{a}-{b} level", "", "", None, None),
-]
-
-
 def _sql_text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
@@ -152,17 +121,17 @@ def _sql_text(value: str | None) -> str:
 def _phrases() -> str:
     rows = ", ".join(
         f"({n}, {_sql_text(p)}, {_sql_text(lo)}, {_sql_text(hi)}, {_sql_text(rest)}, {_sql_text(tier)})"
-        for n, (p, lo, hi, rest, tier) in enumerate(_EXPECTED)
+        for n, (p, lo, hi, rest, tier) in enumerate(CASES)
     )
     return f"""
 WITH phrase(n, p, lo, hi, rest, tier) AS (VALUES {rows}),
 filled AS (
   SELECT p_partkey AS query_id, p_name AS name, CAST(floor(p_retailprice) AS BIGINT) AS a,
          CAST(floor(p_retailprice) AS BIGINT) + p_size * 100 AS b, phrase.*
-  FROM part JOIN phrase ON n = p_partkey % {len(_EXPECTED)}
+  FROM part JOIN phrase ON n = p_partkey % {len(CASES)}
 )
-SELECT query_id, tier AS ext_tier, CASE lo WHEN 'a' THEN a WHEN 'b' THEN b END AS ext_min,
-       CASE hi WHEN 'a' THEN a WHEN 'b' THEN b END AS ext_max,
+SELECT query_id, tier AS ext_tier, CASE lo WHEN 'a' THEN a WHEN 'b' THEN b WHEN 'big' THEN 9223372036854775807 END AS ext_min,
+       CASE hi WHEN 'a' THEN a WHEN 'b' THEN b WHEN 'big' THEN 9223372036854775807 END AS ext_max,
        CASE WHEN tier IS NULL THEN name || '  ' || replace(replace(p, '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR)
             ELSE name || rest END AS ext_text
 FROM filled"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fathomline.checks.phrases import CASES
 from fathomline.functions.text import build_content
 from fathomline.session import spread
 
@@ -77,25 +78,10 @@ def queries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Phrases put behind a name; {a} is a number of the item and {b} a larger one.
-PHRASES = (
-    "more than {a} ATK", "over {a}", "above {a} attack", "greater than {a} ATK", "at least {a}", "no less than {a}",
-    "not less than {a} ATK", "minimum of {a}", "exceeding {a} ATK", "{a} or more", "com mais de {a} de ataque",
-    "acima de {a}", "maior que {a} ATK", "pelo menos {a}", "NO MÍNIMO {a}", "{a} ou mais", ">= {a}", "≥ {a} ATK",
-    "{a}+", "> {a}", "less than {a} ATK", "under {a}", "below {a} ATK", "at most {a}", "no more than {a}",
-    "maximum of {a}", "{a} or less", "menos de {a}", "abaixo de {a} ATK", "menor que {a}", "no máximo {a}",
-    "{a} ou menos", "<= {a}", "< {a} ATK", "≤ {a}", "exactly {a} ATK", "ATK {a}", "ATK equal to {a}",
-    "ataque igual a {a}", "{a} ATK", "with {a} ATK", "com {a} de ataque", "ATK de {a}", "{a} attack power",
-    "ATK of {a}", "between {a} and {b} ATK", "between {b} and {a}", "entre {a} e {b}", "{a}-{b} ATK",
-    "{a} to {b} ATK", "{a} até {b} ATK", "with {a} ATK or more", "com {a} de ataque ou menos", "{a}", "level {a}",
-    "{a}.5 ATK", "ATK -{a}", "up to {a} ATK", "about {a} ATK", "~{a} ATK", "that attack {a} times", "{a}-{b} level",
-)
-
-
 def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's name followed by one of the phrases, with numbers of the item."""
-    phrases = F.array(*[F.lit(p) for p in PHRASES])
-    phrase = F.element_at(phrases, (F.col("item_id") % len(PHRASES) + 1).cast("int"))
+    phrases = F.array(*[F.lit(case[0]) for case in CASES])
+    phrase = F.element_at(phrases, (F.col("item_id") % len(CASES) + 1).cast("int"))
     filled = F.replace(
         F.replace(phrase, F.lit("{a}"), F.col("atk").cast("string")),
         F.lit("{b}"), (F.col("atk") + F.col("def_")).cast("string"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         configured = tempfile.mkdtemp(prefix="fathomline-")
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -51,11 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
-    Computed once, whatever reads it later, and safe from lost executors.
+    Computed once, whatever reads it later, and safe from lost executors. The
+    folder is removed when the application ends.
     """
     spark = df.sparkSession
     path = posixpath.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,11 @@
 """Numeric bounds written inside free-text queries, in English and Portuguese.
 
-Six kinds of phrase are known. The kinds are tried in order and the first one
-that occurs anywhere in the text decides. Everything is a column expression:
-the span that matched is cut out with the kind's pattern, the numbers are read
-off the span, and the rest of the text is what remains to search for.
+A text is cut into lexemes: known phrases, numbers, blanks, other words, single
+characters. A table gives each lexeme a letter for what it means, so a text
+becomes a short string of letters. Every number is then looked at once, with a
+few letters to its left and right, and the first rule that fits says what kind
+of bound it is. The strongest kind in the text decides, then the first place.
+Everything is a column expression.
 """
 
 from __future__ import annotations
@@ -25,29 +27,72 @@ MIN_SIGNS = (">=", ">", "≥")
 MAX_SIGNS = ("<=", "<", "≤")
 MIN_PHRASES = (
     "more than", "over", "above", "greater than", "at least", "no less than", "not less than",
-    "exceeding", "exceeds",
+    "exceeding", "exceeds", "minimum", "minimum of",
     "mais de", "acima de", "maior que", "pelo menos", "no mínimo", "no minimo",
+    "mínimo", "mínimo de", "minimo", "minimo de",
+)
+MAX_PHRASES = (
+    "under", "below", "at most", "no more than", "maximum", "maximum of",
+    "abaixo de", "menor que", "no máximo", "no maximo", "máximo", "máximo de", "maximo", "maximo de",
 )
-MIN_NOUNS = (("minimum", "of"), ("mínimo", "de"), ("minimo", "de"))
-MAX_PHRASES = ("under", "below", "at most", "no more than", "abaixo de", "menor que", "no máximo", "no maximo")
 MAX_PHRASES_NOT_NEGATED = ("less than", "menos de")
-MAX_NOUNS = (("maximum", "of"), ("máximo", "de"), ("maximo", "de"))
 MIN_SUFFIXES = ("or more", "ou mais")
 MAX_SUFFIXES = ("or less", "ou menos")
 EXACT_WORDS = ("exactly",)
 EQUALITY_LINKS = ("igual a", "equal to", "equals", "equal", "de", "of")
-CONNECTORS = ("com", "with")
-MIN_CONNECTORS = ("com",)
-NEGATIONS = ("no", "not")
 VAGUE_WORDS = ("up to", "about", "around", "approximately", "approx")
 PREPOSITIONS = ("de", "of")
 
 # Case folding and classes must be Unicode-aware, or upper-case accents are missed.
-FLAGS = "(?iuU)"
-NUMBER = r"(?<![\d.\-])\d++(?!\.)"
-NUMBER_AFTER_DASH = r"(?<![\d.])\d++(?!\.)"
+FLAGS = "(?isuU)"
+LETTERS = r"\p{L}\p{M}_"
+
+# What a lexeme means. A phrase stands under the last letter that lists it; "no over" is no lower bound.
+PHRASES = {
+    "w": tuple(f"no {p}" for p in MIN_PHRASES) + tuple(f"{n} {p}" for n in ("no", "not") for p in MAX_PHRASES_NOT_NEGATED),
+    "b": RANGE_OPENERS,
+    "s": RANGE_SEPARATORS[:-1],
+    "L": MIN_PHRASES,
+    "U": MAX_PHRASES + MAX_PHRASES_NOT_NEGATED,
+    "M": MIN_SUFFIXES,
+    "m": MAX_SUFFIXES,
+    "x": EXACT_WORDS,
+    "q": EQUALITY_LINKS,
+    "p": PREPOSITIONS,
+    "z": VAGUE_WORDS,
+    "c": ("com",),
+    "i": ("with",),
+}
+SIGNS = {"l": MIN_SIGNS, "u": MAX_SIGNS, "P": ("+",), "H": ("-",), "D": (".",), "z": ("~",)}
+NUMBER, BLANK, WORD, OTHER = "n", "_", "w", "o"
 
 LOWER, UPPER, BOTH = "lower", "upper", "both"
+KINDS = {"range": BOTH, "op_min": LOWER, "op_max": UPPER, "comp_min": LOWER, "comp_max": UPPER, "eq": BOTH}
+
+UNIT = "_?p?_?[kv]"
+WHOLE_UNIT = f"_?p?_[kv](?=[_{OTHER}{''.join(SIGNS)}]|$)"
+NO_SUFFIX = "(?!_[Mm])"
+# Kind, and the letters left and right of the number; the first that fits a number holds. A number is not
+# part of a decimal, and only a range may have a dash before it.
+RULES = (
+    ("range", "b_", f"_?[sH]_?n(?!D)(?:{UNIT})?"),
+    ("range", "", f"_?[sH]_?n(?!D){UNIT}"),
+    ("op_min", "l_?", f"(?:{UNIT})?"),
+    ("op_min", "", f"P(?:{UNIT})?"),
+    ("op_max", "u_?", f"(?:{UNIT})?"),
+    ("comp_min", "(?:c_)?(?:[kv]_)?L_", f"(?:{UNIT})?"),
+    ("comp_min", "", f"_(?:p?_?[kv]_)?M(?:{UNIT})?"),
+    ("comp_max", "U_", f"(?:{UNIT})?"),
+    ("comp_max", "", f"_(?:p?_?[kv]_)?m(?:{UNIT})?"),
+    ("eq", "x_", f"(?:{UNIT})?"),
+    ("eq", "k_(?:[qp]_?)?", NO_SUFFIX),
+    ("eq", "(?:[ci]_)?(?<!z)(?<!z_)", WHOLE_UNIT + NO_SUFFIX),
+)
+REACH = 12  # letters a rule looks at on either side, at most
+
+
+def _pattern(kind: str, left: str, right: str) -> str:
+    return left + ("(?<!D)" if kind == "range" else "(?<![DH])") + "#(?!D)" + right
 
 
 def _any(words, gap: str = " ") -> str:
@@ -56,14 +101,6 @@ def _any(words, gap: str = " ") -> str:
     return "(?:" + "|".join(gap.join(re.escape(part) for part in word.split(" ")) for word in ordered) + ")"
 
 
-def _noun(pairs) -> str:
-    return "|".join(rf"{noun}(?:\s+{link})?" for noun, link in pairs)
-
-
-def _not_after(words, tail: str = r"\s") -> str:
-    return "".join(f"(?<!{word}{tail})" for word in words)
-
-
 @dataclass(frozen=True)
 class ConstraintSpec:
     """Which measured field the phrases speak about."""
@@ -71,91 +108,82 @@ class ConstraintSpec:
     keywords: tuple[str, ...] = KEYWORDS
     equality_keywords: tuple[str, ...] = EQUALITY_KEYWORDS
 
-    def tiers(self) -> list[tuple[str, str, str]]:
-        """``(name, pattern, bound)`` in order of precedence."""
-        keyword = _any(self.keywords, r"\s+")
-        unit = rf"\s*{_any(PREPOSITIONS)}?\s*{keyword}"
-        maybe_unit = f"(?:{unit})?"
-        between = rf"\s*{_any(RANGE_SEPARATORS)}\s*"
-        pair = NUMBER_AFTER_DASH + between + NUMBER_AFTER_DASH
-        opener = "|".join((rf"\b{RANGE_OPENERS[0]}\s+", rf"{RANGE_OPENERS[1]}\s+"))
-        before_suffix = rf"\s+(?:{_any(PREPOSITIONS)}?\s*{keyword}\s+)?"
-        no_suffix = rf"(?!\s+{_any(MIN_SUFFIXES + MAX_SUFFIXES)})"
-
-        in_range = [f"(?:{opener}){pair}{maybe_unit}", pair + unit]
-        min_sign = [rf"{_any(MIN_SIGNS)}\s*{NUMBER}{maybe_unit}", rf"{NUMBER}\+{maybe_unit}"]
-        max_sign = [rf"{_any(MAX_SIGNS)}\s*{NUMBER}{maybe_unit}"]
-        at_least = [
-            rf"(?:\b{_any(MIN_CONNECTORS)}\s+)?(?:\b{keyword}\s+)?{_not_after(NEGATIONS[:1])}\b"
-            rf"(?:{_any(MIN_PHRASES)}|{_noun(MIN_NOUNS)})\s+{NUMBER}{maybe_unit}",
-            f"{NUMBER}{before_suffix}{_any(MIN_SUFFIXES)}{maybe_unit}",
-        ]
-        at_most = [
-            rf"\b(?:{_not_after(NEGATIONS)}{_any(MAX_PHRASES_NOT_NEGATED)}|{_any(MAX_PHRASES)}"
-            rf"|{_noun(MAX_NOUNS)})\s+{NUMBER}{maybe_unit}",
-            f"{NUMBER}{before_suffix}{_any(MAX_SUFFIXES)}{maybe_unit}",
-        ]
-        equal = [
-            rf"\b{_any(EXACT_WORDS)}\s+{NUMBER}{maybe_unit}",
-            rf"\b{_any(self.equality_keywords, chr(92) + 's+')}\s+{_any(EQUALITY_LINKS)}?\s*{NUMBER}{no_suffix}",
-            rf"(?:\b{_any(CONNECTORS)}\s+)?{_not_after(VAGUE_WORDS)}{_not_after('~', '')}{_not_after('~')}"
-            rf"{NUMBER}\s*{_any(PREPOSITIONS)}?\s*\b{keyword}\b{no_suffix}",
-        ]
-        return [
-            ("range", "|".join(in_range), BOTH),
-            ("op_min", "|".join(min_sign), LOWER),
-            ("op_max", "|".join(max_sign), UPPER),
-            ("comp_min", "|".join(at_least), LOWER),
-            ("comp_max", "|".join(at_most), UPPER),
-            ("eq", "|".join(equal), BOTH),
-        ]
+    def letters(self) -> dict[str, str]:
+        """The letter of each known lexeme, in lower case with single blanks."""
+        known = {word: letter for table in (PHRASES, SIGNS) for letter, words in table.items() for word in words}
+        return known | dict.fromkeys(self.keywords, "v") | dict.fromkeys(self.equality_keywords, "k")
+
+    def lexeme(self) -> str:
+        """Matches one lexeme after another, with nothing left between them."""
+        begins, ends = f"(?<![{LETTERS}])", f"(?![{LETTERS}])"
+        phrases = {word for words in PHRASES.values() for word in words}
+        signs = [sign for words in SIGNS.values() for sign in words]
+        return FLAGS + "|".join((
+            begins + _any(self.keywords + self.equality_keywords, r"\s+"), begins + _any(phrases) + ends,
+            _any(signs), "[0-9]+", r"\s+", f"[{LETTERS}]+", ".",
+        ))
 
 
 def constraint(text: Column, spec: ConstraintSpec = ConstraintSpec()) -> Column:
-    """``struct<tier, lower, upper, rest>`` of the first phrase of the first kind that occurs.
+    """``struct<tier, lower, upper, rest>`` of the first phrase of the strongest kind that occurs.
 
     Bounds are inclusive, also for "more than". A range may be written in either
     order. ``rest`` is the text itself where nothing matched and where the
     phrase was all there was.
     """
-    tiers = spec.tiers()
+    known = F.create_map(*[F.lit(part) for pair in spec.letters().items() for part in pair])
+    patterns = [_pattern(*rule) for rule in RULES]
+    ranks = F.array(*[F.lit(list(KINDS).index(kind)) for kind, _, _ in RULES])
+
+    def letter(lexeme: Column) -> Column:
+        kind = (
+            F.when(lexeme.rlike("^[0-9]"), F.lit(NUMBER))
+            .when(lexeme.rlike(r"(?U)^\s"), F.lit(BLANK))
+            .when(lexeme.rlike(f"^[{LETTERS}]"), F.lit(WORD))
+            .otherwise(F.lit(OTHER))
+        )
+        return F.coalesce(F.try_element_at(known, F.lower(F.regexp_replace(lexeme, r"(?U)\s+", " "))), kind)
 
-    def choose(q: Column) -> Column:
-        chosen = F.lit(None).cast("string")
-        for name, pattern, _ in reversed(tiers):
-            chosen = F.when(q.rlike(FLAGS + pattern), F.lit(name)).otherwise(chosen)
+    def by_rule(context: Column, value) -> Column:
+        chosen = F.lit(None)
+        for place in reversed(range(len(patterns))):
+            chosen = F.when(context.rlike(patterns[place]), value(place)).otherwise(chosen)
         return chosen
 
-    def numbers(q: Column, tier: Column) -> Column:
-        span = F.lit(None).cast("string")
-        for name, pattern, _ in tiers:
-            span = F.when(tier == name, F.regexp_extract(q, FLAGS + pattern, 0)).otherwise(span)
-        digits = F.regexp_extract_all(span, F.lit(r"\d+"), F.lit(0))
+    def number(letters: Column, at: Column) -> Column:
+        """The rule that fits the number at ``at``, and what it sees there."""
+        begin = F.greatest(at - REACH, F.lit(0))
+        context = F.concat(letters.substr(begin + 1, at - begin), F.lit("#"), letters.substr(at + 2, F.lit(REACH)))
+        return let(context, lambda c: let(by_rule(c, F.lit), lambda rule: F.struct(
+            F.get(ranks, rule).alias("rank"), at.alias("at"), rule.alias("rule"), c.alias("context")
+        )))
+
+    def decide(q: Column, lexemes: Column, codes: Column) -> Column:
+        places = F.filter(F.transform(codes, lambda c, i: F.when(c == NUMBER, i)), lambda i: i.isNotNull())
+        numbers = let(F.array_join(codes, ""), lambda s: F.transform(places, lambda at: number(s, at)))
+        best = F.array_min(F.filter(numbers, lambda n: n["rank"].isNotNull()))
+        return let(best, lambda b: let(
+            by_rule(b["context"], lambda place: F.regexp_extract(b["context"], patterns[place], 0)),
+            lambda seen: let(b["at"] - F.instr(seen, "#") + 1, lambda begin: outcome(q, lexemes, b["rule"], begin, F.length(seen))),
+        ))
+
+    def outcome(q: Column, lexemes: Column, rule: Column, begin: Column, length: Column) -> Column:
+        kinds = F.array(*[F.lit(kind) for kind, _, _ in RULES])
+        digits = F.filter(F.slice(lexemes, begin + 1, length), lambda x: x.rlike("^[0-9]"))
         # A number beyond the type is the largest there is: it still bounds.
-        return F.transform(digits, lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
-
-    def remainder(q: Column, tier: Column) -> Column:
-        rest = F.lit(None).cast("string")
-        for name, pattern, _ in tiers:
-            # Anchored at the start, so that only the first occurrence goes.
-            first = rf"{FLAGS}(?s)\A(.*?)(?:{pattern})"
-            rest = F.when(tier == name, F.regexp_replace(q, first, "$1")).otherwise(rest)
-        return F.coalesce(F.nullif(collapse_spaces(rest), F.lit("")), q)
-
-    def outcome(q: Column, tier: Column) -> Column:
-        has_lower = tier.isin([name for name, _, bound in tiers if bound != UPPER])
-        has_upper = tier.isin([name for name, _, bound in tiers if bound != LOWER])
-        return let(
-            numbers(q, tier),
-            lambda n: F.struct(
-                tier.alias("tier"),
-                F.when(has_lower, F.array_min(n)).alias("lower"),
-                F.when(has_upper, F.array_max(n)).alias("upper"),
-                remainder(q, tier).alias("rest"),
-            ),
-        )
-
-    return let(text, lambda q: let(choose(q), lambda tier: outcome(q, tier)))
+        values = F.transform(digits, lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
+        left = F.concat(F.slice(lexemes, F.lit(1), begin), F.slice(lexemes, begin + length + 1, F.size(lexemes)))
+        return let(F.get(kinds, rule), lambda tier: F.struct(
+            tier.alias("tier"),
+            F.when(tier.isin([k for k, bound in KINDS.items() if bound != UPPER]), F.array_min(values)).alias("lower"),
+            F.when(tier.isin([k for k, bound in KINDS.items() if bound != LOWER]), F.array_max(values)).alias("upper"),
+            F.coalesce(F.nullif(collapse_spaces(F.array_join(left, "")), F.lit("")), q).alias("rest"),
+        ))
+
+    return let(text, lambda q: let(
+        F.regexp_extract_all(q, F.lit(spec.lexeme()), F.lit(0)),
+        lambda lexemes: let(F.transform(lexemes, letter), lambda codes: decide(q, lexemes, codes)),
+    ))
 
 
 def extract_constraints(

@@ -105,3 +105,17 @@ def test_filter_on_result_keeps_the_expression_small(spark, plan):
     filtered = prepared.where("eff_min > 1 AND search_text IS NOT NULL")
     assert filtered.count() == 1
     assert plan(filtered).count("exactly") < 60
+
+
+def test_the_stronger_kind_decides_then_the_first_place(spark):
+    cases = {
+        "atk 9 towers > 4": ("op_min", 4, None), "under 8 towers over 6": ("comp_min", 6, None),
+        "over 6 towers between 2 and 4": ("range", 2, 4), "< 3 over 2": ("op_max", None, 3),
+        "8 atk exactly 5": ("eq", 8, 8), "no over 6": (None, None, None), "no less than 6": ("comp_min", 6, None),
+        "not less than 6 atk": ("comp_min", 6, None), "no more than 6": ("comp_max", None, 6),
+        "those that attack 2 times": (None, None, None), "2 attack": ("eq", 2, 2), "-6 atk": (None, None, None),
+        "over 6.": (None, None, None), "6 or more atk": ("comp_min", 6, None), "6-9 attacks": ("range", 6, 9),
+        "6 attacks": (None, None, None),
+    }
+    table = spark.createDataFrame([(t,) for t in cases], "query string")
+    assert {r.query: (r.ext_tier, r.ext_min, r.ext_max) for r in c.extract_constraints(table).collect()} == cases

@@ -395,6 +395,28 @@ ORACLES: dict[str, str] = {
     "embed_both": f"""WITH {ITEMS} SELECT item_id, true AS no_hosted, 32 AS dims, 1.0::DOUBLE AS length FROM items""",
 }
 
+# The last change of an item in each of the three logs, and why it could not be applied.
+ITEM_CHANGES = """
+heard AS (
+  SELECT event_id // 4 AS k, event_id % 3 AS log, ts, CASE event_type WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op
+  FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error') AND event_id % 17 <> 0 AND event_id % 11 <> 0
+),
+last AS (
+  SELECT k, log, op, CASE WHEN op = 'delete' THEN NULL WHEN k NOT IN (SELECT p_partkey FROM part) THEN 'missing'
+           WHEN k % 29 = 3 THEN 'too large' WHEN k % 23 = 7 THEN 'unreadable' WHEN k % 19 = 5 THEN 'no key' END AS reason
+  FROM heard QUALIFY row_number() OVER (PARTITION BY k, log ORDER BY ts DESC, op) = 1
+)"""
+ORACLES["change_stream_index"] = f"""WITH {DOCUMENTS.format(change='0')}, {ITEM_CHANGES},
+final AS (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY k ORDER BY log DESC) = 1)
+SELECT item_key, name, atk, sha256(content) AS content_hash FROM docs
+JOIN final ON k = item_key WHERE op = 'upsert' AND reason IS NULL"""
+ORACLES["change_stream_failures"] = f"""WITH {ITEM_CHANGES}
+SELECT k || '.json' AS file, reason, count(*) AS n FROM last WHERE reason IS NOT NULL GROUP BY ALL"""
+ORACLES["reconcile_index"] = f"""WITH {DOCUMENTS.format(change='0')}
+SELECT item_key, name, atk, sha256(content) AS content_hash FROM docs WHERE item_key IS NOT NULL
+UNION ALL SELECT c_custkey * 2, c_name, NULL, NULL FROM customer
+WHERE c_custkey * 2 IN (SELECT p_partkey FROM part) AND c_custkey * 2 NOT IN (SELECT item_key FROM docs WHERE item_key IS NOT NULL)"""
+
 # Trigrams of whole documents: words first, so that no long text is indexed by position.
 WORDS = r"""
 words AS (

@@ -10,7 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fathomline.checks.views import (
-    content_of_items, documents, events_as_changes, item_bodies, item_rows, items_view, phrase_queries, queries_view, table, utc,
+    content_of_items, documents, events_as_changes, item_bodies, item_changes, item_files, item_rows, items_view,
+    phrase_queries, queries_view, table, utc,
 )
 from fathomline.functions.constraints import extract_constraints, merge_lower, merge_upper, prepare_queries
 from fathomline.functions.scoring import clamp_limit, pool_size, rrf_score
@@ -26,15 +27,16 @@ from fathomline.operators.fusion import rrf_fuse
 from fathomline.operators.ivf import ivf_build, ivf_topk, recall_at_k
 from fathomline.operators.nearest import knn_join, nearest_items, vector_topk
 from fathomline.operators.rerank import rerank
-from fathomline.plans.ingest import ingest_documents
+from fathomline.plans.ingest import ingest_documents, reconcile
 from fathomline.plans.search import (
     context_prompts, hybrid_candidates, hybrid_search, search_report, with_limits,
 )
 from fathomline.session import checkpoint_dir
+from fathomline.sources.changelog import read_change_log
 from fathomline.sources.index_table import IndexStore, existing_hashes, union_versions, upgrade_schema
 from fathomline.sources.items import parse_documents, split_bad_records, to_index_rows
 from fathomline.sources.paths import key_from_path, path_is_item, within_size
-from fathomline.streaming.watch import debounce_stream
+from fathomline.streaming.watch import debounce_stream, read_failures, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -65,6 +67,16 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
+def stream_settings(spark: SparkSession):
+    """A state store per shuffle partition; one per core is enough."""
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return settings(spark, {
+        "spark.sql.shuffle.partitions": str(stores),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    })
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -716,15 +728,45 @@ def debounced_stream(spark, sf):
     kept = debounce_stream(changes, hours6, 2 * hours6)
     out, state = fresh_folder(spark, "kept"), fresh_folder(spark, "state")
     run = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-    # A state store per shuffle partition; one per core is enough.
-    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    with settings(
-        spark,
-        {
-            "spark.sql.shuffle.partitions": str(stores),
-            "spark.sql.streaming.stateStore.providerClass":
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        },
-    ):
+    with stream_settings(spark):
         run.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("path", "debounce_type", F.unix_micros("ts").alias("us"))
+
+
+def change_stream(spark: SparkSession, sf: str) -> IndexStore:
+    """The change stream over item files, in three runs whose events are not in order of time.
+
+    The window is a millisecond: what a later run holds back depends on when it
+    runs, because state expires by arrival. ``debounced_stream`` is about windows.
+    """
+    files, logs, state = (fresh_folder(spark, name) for name in ("items", "log", "state"))
+    store = IndexStore(spark, fresh_folder(spark, "index"))
+    item_files(spark, sf, files)
+    changes = item_changes(spark, sf, files)
+    with stream_settings(spark):
+        for log in range(3):
+            changes.where(F.col("log") == log).drop("log").write.mode("append").json(logs)
+            stream = watch(read_change_log(spark, logs), store, {"embedding_local": HashedTrigramEncoder(32)}, state, window_ms=1)
+            stream.trigger(availableNow=True).start().awaitTermination()
+    return store
+
+
+@registered
+def change_stream_index(spark, sf):
+    return change_stream(spark, sf).read().select("item_key", "name", "atk", "content_hash")
+
+
+@registered
+def change_stream_failures(spark, sf):
+    listed = read_failures(spark, change_stream(spark, sf))
+    return listed.groupBy(F.split_part("path", F.lit("/"), F.lit(-1)).alias("file"), "reason").agg(F.count("*").alias("n"))
+
+
+@registered
+def reconcile_index(spark, sf):
+    """An index of customers becomes one of the item files; a file that cannot be read keeps what is stored under its name."""
+    folder, store = fresh_folder(spark, "items"), IndexStore(spark, fresh_folder(spark, "index"))
+    item_files(spark, sf, folder)
+    store.publish(table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("item_key"), F.col("c_name").alias("name")))
+    reconcile(spark, folder, store, {"embedding_local": HashedTrigramEncoder(32)})
+    return store.read().select("item_key", "name", "atk", "content_hash")

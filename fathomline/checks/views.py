@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathomline.checks.phrases import CASES
@@ -145,3 +148,45 @@ def item_bodies(spark: SparkSession, sf_dir: str, price_change: int = 0) -> Data
         F.octet_length(body).cast("bigint").alias("n_bytes"),
         body.alias("body"),
     )
+
+
+def item_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes each document of ``item_bodies`` as a file of its own; some are made too large by blanks."""
+    bodies = item_bodies(spark, sf_dir).select(
+        F.split_part("path", F.lit("/"), F.lit(-1)).alias("name"),
+        F.when(F.regexp_extract("path", "[0-9]+", 0).cast("bigint") % 29 == 3, F.rpad("body", 60_000, " "))
+        .otherwise(F.col("body")).alias("body"),
+    )
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for part in parts:
+            for name, body in zip(part["name"], part["body"]):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(body.encode("utf-8"))
+            yield pd.DataFrame({"n": [len(part)]})
+
+    bodies.mapInPandas(write, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def item_changes(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The event table as a change log of item files, four events an item, with the log (of three) each is written to."""
+    kind = (
+        F.when(F.col("event_type") == "click", F.lit("created")).when(F.col("event_type") == "view", F.lit("modified"))
+        .when(F.col("event_type") == "purchase", F.lit("moved")).when(F.col("event_type") == "error", F.lit("deleted"))
+        .otherwise(F.lit("opened"))
+    )
+    suffix = F.when(F.col("event_id") % 11 == 0, F.lit(".txt")).otherwise(F.lit(".json"))
+    path = F.concat(F.lit(folder + "/"), F.floor(F.col("event_id") / 4).cast("string"), suffix)
+    moved = kind == "moved"
+    return table(spark, sf_dir, "events").select(
+        kind.alias("event_type"),
+        F.when(moved, F.lit("/w/old.json")).otherwise(path).alias("src_path"),
+        F.when(moved, path).alias("dest_path"),
+        (F.col("event_id") % 17 == 0).alias("is_directory"),
+        F.date_format(utc("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"),
+        (F.col("event_id") % 3).alias("log"),
+    )

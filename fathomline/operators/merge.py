@@ -88,7 +88,9 @@ def merge_upsert(
 
 def merge_delete(index: DataFrame, tombstones: DataFrame, key: str = "item_key") -> DataFrame:
     """The index without the keys of ``tombstones``."""
-    return index.join(tombstones.select(key).distinct(), key, "left_anti").select(*index.columns)
+    gone = tombstones.select(key).distinct()
+    # A small table of keys is sent to the index, whose vectors then stay where they are.
+    return index.join(F.broadcast(gone) if fits_broadcast(gone) else gone, key, "left_anti").select(*index.columns)
 
 
 def missing_tombstones(index: DataFrame, tombstones: DataFrame, key: str = "item_key") -> DataFrame:
@@ -141,11 +143,19 @@ def ingest_stats(
     for name, part in (("quarantined", quarantined), ("failed", failed)):
         if part is not None:
             every = every.unionByName(part.select(F.lit(name).alias("status")))
-    names = ("seen", "changed", "rejected", "quarantined", "failed")
-    counted = every.agg(*[F.count(F.when(F.col("status") == name, 1)).alias(name) for name in names])
+    return status_counts(every)
+
+
+def status_counts(statuses: DataFrame) -> DataFrame:
+    """``status, n`` of a run, from one ``status`` per document and ``failed`` once more for each that was not encoded.
+
+    ``seen`` stands for a row that was either changed, and then comes once more, or skipped.
+    """
+    names = ("seen", "changed", "skipped", "rejected", "quarantined", "failed")
+    counted = statuses.agg(*[F.count(F.when(F.col("status") == name, 1)).alias(name) for name in names])
     rows = [
         ("ingested", F.col("changed") - F.col("failed")),
-        ("skipped", F.col("seen") - F.col("changed")),
+        ("skipped", F.col("skipped") + F.greatest(F.col("seen") - F.col("changed"), F.lit(0))),
         ("rejected", F.col("rejected")),
         ("quarantined", F.col("quarantined")),
         ("failed", F.col("failed")),

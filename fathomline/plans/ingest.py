@@ -8,20 +8,22 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.operators.encode import Encoder, embed_many
-from fathomline.operators.merge import changed_rows, ingest_stats, latest_per_key, reject_missing_key
+from fathomline.operators.merge import latest_per_key, status_counts
 from fathomline.session import cut_lineage
-from fathomline.sources.index_table import IndexStore, existing_hashes, upgrade_schema
-from fathomline.sources.items import listing, read_items, split_bad_records, to_index_rows
+from fathomline.sources.index_table import IndexStore, upgrade_schema
+from fathomline.sources.items import read_items, split_bad_records, to_index_rows
+from fathomline.sources.paths import key_from_path
 
 
 @dataclass(frozen=True)
 class IngestResult:
-    """``stats`` counts by status; documents that could not be read, keys that could not be encoded."""
+    """``stats`` counts by status; documents that could not be read, keys that could not be encoded; each document's status."""
 
     stats: DataFrame
     quarantined: DataFrame
     failed: DataFrame
     version: str | None
+    documents: DataFrame
 
 
 def encode_rows(rows: DataFrame, encoders: Mapping[str, Encoder | None]) -> tuple[DataFrame, DataFrame]:
@@ -35,6 +37,36 @@ def encode_rows(rows: DataFrame, encoders: Mapping[str, Encoder | None]) -> tupl
     return good, made.where(F.col("embed_error").isNotNull()).select("item_key", "embed_error")
 
 
+def mark_documents(
+    documents: DataFrame, index: DataFrame, on_bad: str = "quarantine", require_vectors: Sequence[str] = ()
+) -> DataFrame:
+    """Index rows with a ``status``: ``quarantined``, ``rejected`` (no key), ``skipped`` (stored unchanged) or ``changed``.
+
+    The documents are read once and the outcome is written; only changed rows keep
+    their fields. A stored row without a hash, or without one of the
+    ``require_vectors``, is not up to date.
+    """
+    readable, _ = split_bad_records(documents, on_bad)
+    if on_bad == "fail":
+        documents = readable.withColumn("bad_record", F.lit(None).cast("string"))
+    stored = index.select("item_key", "content_hash", *require_vectors).dropna()
+    # Rows without a key match nothing, and their hashes spread them over the tasks of the join.
+    rows = to_index_rows(documents).join(
+        stored.select("item_key", "content_hash", F.lit(True).alias("__stored")), ["item_key", "content_hash"], "left"
+    )
+    status = (
+        F.when(F.col("bad_record").isNotNull(), F.lit("quarantined"))
+        .when(F.col("item_key").isNull(), F.lit("rejected"))
+        .when(F.col("__stored"), F.lit("skipped"))
+        .otherwise(F.lit("changed"))
+    )
+    slim = {"path", "modified_at", "item_key", "bad_record", "status"}
+    marked = rows.withColumn("status", status).drop("__stored")
+    return cut_lineage(marked.select(
+        *[F.col(c) if c in slim else F.when(F.col("status") == "changed", F.col(c)).alias(c) for c in marked.columns]
+    ))
+
+
 def ingest_documents(
     documents: DataFrame,
     store: IndexStore,
@@ -47,17 +79,13 @@ def ingest_documents(
     Unchanged documents are neither embedded nor written again. When nothing
     changed, no new version is written.
     """
-    readable, quarantined = split_bad_records(documents, on_bad)
-    rows = to_index_rows(readable)
-    index = store.read()
-    stored = index.select("item_key", "content_hash", *require_vectors) if require_vectors else existing_hashes(index)
-    changed = changed_rows(rows, stored, require_vectors=require_vectors)
-    keyed, _ = reject_missing_key(changed)
-    fresh, failed = encode_rows(latest_per_key(keyed), encoders)
-    # Counts against the version read above, which stays as it is.
-    stats = ingest_stats(rows, changed, quarantined, failed)
+    marked = mark_documents(documents, store.read(), on_bad, require_vectors)
+    changed = marked.where(F.col("status") == "changed").drop("status", "bad_record")
+    fresh, failed = encode_rows(latest_per_key(changed), encoders)
+    stats = status_counts(marked.select("status").unionByName(failed.select(F.lit("failed").alias("status"))))
+    quarantined = marked.where(F.col("status") == "quarantined").select("path", "bad_record")
     version = None if fresh.isEmpty() else store.apply(fresh)
-    return IngestResult(stats, quarantined, failed, version)
+    return IngestResult(stats, quarantined, failed, version, marked.select("path", "item_key", "status"))
 
 
 def ingest(
@@ -80,9 +108,8 @@ def reconcile(
     result = ingest(spark, directory, store, encoders)
     index = store.read()
     # A file stands for the key in its name and for the one in its document.
-    named = listing(spark, directory).select("item_key")
-    documents, _ = split_bad_records(read_items(spark, directory))
-    present = named.union(documents.select("item_key").where(F.col("item_key").isNotNull())).distinct()
+    keys = F.explode(F.array(key_from_path(F.col("path")), F.col("item_key"))).alias("item_key")
+    present = result.documents.select(keys).where(F.col("item_key").isNotNull()).distinct()
     gone = index.select("item_key").join(present, "item_key", "left_anti")
     if gone.isEmpty():
         return result

@@ -96,10 +96,10 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when it is read from fewer files than there are cores.
+    """``df`` over all cores when its scan has fewer splits than there are cores.
 
-    For work that is much heavier than its input. A table of many files is left
-    as the scan splits it.
+    For work that is much heavier than its input. A large table is left as the
+    scan splits it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

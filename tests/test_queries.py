@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, TYPES, rows
+from fathomline.checks.queries import REGISTERED
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -21,9 +22,9 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTERED))
 def test_query(spark, db, name):
-    df = entry.queries()[name](spark, SF)
+    df = REGISTERED[name](spark, SF)
     got = rows(df.columns, df.collect())
     assert got or name in ("wrong_dims",)
     result = db.execute(entry.oracle_sql()[name])

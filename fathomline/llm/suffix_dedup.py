@@ -131,7 +131,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Every repeated window is found, since its own least prefix repeats as well.
     Later copies of whole texts are set aside first by digest and refer to the
     first one. Texts are read twice; if the places kept in step 2 are measured
-    to be small they are sent to the second reading, otherwise joined.
+    to be small they are sent to the second reading, otherwise joined. Windows
+    are always joined by shuffle.
     Comparisons are of 64-bit hashes.
 
     Defined results: null texts and rows without an id take no part; empty and
@@ -192,7 +193,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("window", "first")
     )
-    later = join_measured(windows, first, "window").where(F.struct("doc_id", "place") > F.col("first")).select(
+    # The repeated windows grow as the texts do, so they are joined by shuffle at every size.
+    later = windows.join(first.hint("merge"), "window").where(F.struct("doc_id", "place") > F.col("first")).select(
         "doc_id", "place", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place")
     ).distinct()
     run = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("place")

@@ -23,6 +23,25 @@ def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner") ->
     return left.join(F.broadcast(right) if fits_broadcast(right) else right, on, how)
 
 
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with a number of each row's own, in the order of doc_id (null last), then of a hash of the text.
+
+    Ids that are counted to be unique and not null are the numbers. Otherwise
+    the rows are sorted and written with their numbers, so that these stay the
+    same whatever reads them.
+    """
+    key = F.col("doc_id").cast("bigint")
+    if not docs.groupBy(key.alias("id")).count().where("count > 1 or id is null").limit(1).count():
+        return docs.withColumn(ROW, key)
+    # The last key deals out equal rows.
+    order = [F.asc_nulls_last(key), F.xxhash64("text"), F.col("__from")]
+    dealt = docs.withColumn("__from", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(dealt.drop("__from").withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``max_bytes`` of text, or one row where a text is longer."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -58,4 +77,4 @@ def merge_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-__all__ = ["WORD", "cut_lineage", "fits_broadcast", "join_measured", "merge_labels", "table", "text_slices", "texts_of"]
+__all__ = ["ROW", "WORD", "cut_lineage", "fits_broadcast", "join_measured", "merge_labels", "numbered", "table", "text_slices", "texts_of"]

@@ -222,9 +222,12 @@ def _slide_equal(marks: np.ndarray, least: np.ndarray) -> np.ndarray:
     return held
 
 
-def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs``, with all columns, less the words of ``passages`` (as found by ``repeated_passages``).
 
+    ``key`` is the column that was searched as doc_id. Rows of one key are cut
+    alike; pass row numbers where ids repeat or are null.
+
     The first place of a passage stays. A document of which nothing is left
     goes; one that was empty or null stays. The spans of a document are sent to the
     scan if they are measured to be small, otherwise joined.
@@ -232,7 +235,7 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     spans = cut_lineage(passages.groupBy(F.col("doc_id").alias("__cut_id")).agg(
         F.collect_set(F.struct(F.col("start_word").alias("start"), F.col("n_words").alias("n"))).alias("__cut_spans")
     ))
-    marked = join_measured(docs, spans, F.col("doc_id") == F.col("__cut_id"), "left").drop("__cut_id")
+    marked = join_measured(docs, spans, F.col(key) == F.col("__cut_id"), "left").drop("__cut_id")
     names, text_at = docs.columns, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

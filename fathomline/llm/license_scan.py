@@ -48,6 +48,9 @@ NOTICES = {
     "all-rights-reserved": "Copyright. All rights reserved. No part of this work may be reproduced without permission.",
 }
 
+# Short lines that are matched whole. They are not in NOTICES: the SQL of op8 takes its list from there and skips them.
+SHORT_NOTICES = {"all-rights-reserved-line": "All rights reserved."}
+
 
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -107,6 +110,32 @@ def templates(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
     )
 
 
+def _scan_short(docs: DataFrame, notices: dict[str, str]) -> DataFrame:
+    """As ``scan_licenses``, for notices of one to four words: each is a single shingle, and its windows are the places it stands at."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in notices.items()])
+    known = docs.sparkSession.range(1).select(F.inline(pairs)).withColumn("words", words_of(F.col("notice"))).where(
+        F.size("words").between(1, SHINGLE - 1)
+    ).select("license", "words").collect()
+    if not known:
+        return docs.selectExpr(*EMPTY).where("false")
+    begins = sorted({r.words[0] for r in known})
+
+    def spots(words: Column) -> Column:
+        at = F.transform(words, lambda w, i: F.when(w.isin(begins), F.struct(
+            i.alias("at"), F.slice(words, i + 1, F.lit(SHINGLE - 1)).alias("run")
+        )))
+        return F.filter(at, lambda s: s.isNotNull())
+
+    hits = docs.select("doc_id", F.explode_outer(let(words_of(F.col("text")), spots)).alias("hit")).where("hit is not null")
+    held = F.array(*[
+        F.when(F.slice("hit.run", 1, len(r.words)) == F.array(*map(F.lit, r.words)), F.lit(r.license)) for r in known
+    ])
+    found = hits.select("doc_id", "hit.at", F.explode(F.array_compact(held)).alias("license"))
+    return found.groupBy("doc_id", "license").agg(
+        F.lit(1.0).alias("containment"), F.min("at").cast("int").alias("word_start"), F.countDistinct("at").alias("n_windows")
+    )
+
+
 def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """The notices that ``docs`` (doc_id, text) hold: one row per document and notice.
 
@@ -122,15 +151,20 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None) -> Dat
     one pass over the texts; only the few rows found are shuffled.
 
     Defined results: null, empty and short texts hold nothing; rows with the
-    same doc_id, null included, count as one document; notices of under five
-    words are not looked for; other columns are not looked at.
+    same doc_id, null included, count as one document; a notice of under five
+    words is one shingle and has to stand whole, one without words is not looked
+    for; other columns are not looked at. Short notices take a pass of their own.
     Returns doc_id, license, containment (best window), word_start (first such window), n_windows.
     """
-    spark = docs.sparkSession
     notices = NOTICES if notices is None else notices
     if not notices:
         return docs.selectExpr(*EMPTY).where("false")
-    known = templates(spark, notices)
+    return _scan_long(docs, notices).unionByName(_scan_short(docs, notices))
+
+
+def _scan_long(docs: DataFrame, notices: dict[str, str]) -> DataFrame:
+    """``scan_licenses`` for notices of at least five words."""
+    known = templates(docs.sparkSession, notices)
     # (shingle hash, notice, band): a few rows per notice.
     stars = known.select("*", F.explode(F.sequence(F.lit(1), F.col("bands"))).alias("band")).withColumn(
         "star", F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, F.col("band")).alias("least"), h.alias("hash"))))

@@ -11,7 +11,7 @@ from fathomline.functions.binding import let
 SHINGLE = 5
 CONTAINMENT = 0.8
 EMPTY = ("doc_id", "'' license", "0D containment", "0 word_start", "0L n_windows")
-MISS = 1e-6  # highest probability that a window holding a whole notice is not retrieved
+MISS = 1e-6  # highest probability that a window holding 0.8 of a notice is not retrieved
 
 # Notices looked for by default: the customary one-line and header forms. Fixed values.
 NOTICES = {
@@ -72,13 +72,14 @@ def shingle_texts(words: Column) -> Column:
 
 
 def bands_for(length: int, miss: float = MISS) -> int:
-    """Bands of one row so that a window holding all of a notice of ``length`` words is missed with at most ``miss``.
+    """Bands of one row so that a window holding 0.8 of a notice of ``length`` words is missed with at most ``miss``.
 
-    The window has ``window_length`` words; a whole notice in it has at least
-    the similarity of its shingles to the window's.
+    Of T shingles of the notice and W of the window, 0.8 T are in both and
+    W + 0.2 T in either: the similarity is 0.8 T / (W + 0.2 T) at least.
     """
-    alike = (length - SHINGLE + 1) / (window_length(length) - SHINGLE + 1)
-    return 1 if alike >= 1 else math.ceil(math.log(miss) / math.log(1 - alike * CONTAINMENT))
+    held, window = length - SHINGLE + 1, window_length(length) - SHINGLE + 1
+    alike = CONTAINMENT * held / (window + (1 - CONTAINMENT) * held)
+    return math.ceil(math.log(miss) / math.log(1 - alike))
 
 
 def window_step(length: int) -> int:

@@ -2,7 +2,7 @@
 
 import re
 
-from fathomline.llm.license_scan import NOTICES, SHORT_NOTICES, scan_licenses
+from fathomline.llm.license_scan import NOTICES, SHORT_NOTICES, bands_for, scan_licenses, window_length
 
 
 def test_short_notices(spark):
@@ -19,3 +19,9 @@ def test_short_line_of_the_documents(spark):
     want = {r.doc_id for r in docs.collect() if " all rights reserved " in " " + re.sub(r"[\W_]+", " ", (r.text or "").lower()) + " "}
     got = {r.doc_id for r in scan_licenses(docs, NOTICES | SHORT_NOTICES).where("license = 'all-rights-reserved-line'").collect()}
     assert got == want and len(want) >= 7
+
+
+def test_a_window_that_just_holds_enough_is_not_missed():
+    for n in range(5, 400):
+        notice, window = n - 4, window_length(n) - 4
+        assert (1 - 0.8 * notice / (window + 0.2 * notice)) ** bands_for(n) <= 1e-6

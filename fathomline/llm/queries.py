@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.llm.common import table
+from fathomline.llm.fill_middle import fill_in_middle
 from fathomline.llm.license_scan import NOTICES, scan_licenses
 from fathomline.llm.mixing import mixed_plan
 from fathomline.llm.packing import pack_documents
@@ -96,6 +97,15 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_plan(table(spark, sf_dir, "documents"))
 
 
+@registered
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+        F.sha2(F.encode("restored", "UTF-8"), 256).alias("restored_sha256"),
+    )
+
+
 _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _BLANKS = r"[^\x20\x09-\x0D]+"
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
@@ -214,4 +224,26 @@ ORACLES: dict[str, str] = {
             CASE WHEN a = b THEN asked * (a + b) / 2 / a ELSE (sqrt(a * a + 2 * (b - a) * (asked * (a + b) / 2)) - a) / (b - a) + 0.0 END
             END AS position
         FROM z""",
+    "op13_fill_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), r AS (
+            SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a,
+                   CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                             OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), c AS (
+            SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+                   array_to_string(u[greatest(a, b) + 1:], '') AS s
+            FROM r
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM c""",
 }

@@ -13,6 +13,7 @@ from fathomline.llm.license_scan import NOTICES, scan_licenses
 from fathomline.llm.mixing import mixed_plan
 from fathomline.llm.packing import pack_documents
 from fathomline.llm.pivot_search import pivot_topk
+from fathomline.llm.prefix_trie import prefix_trie
 from fathomline.llm.sharding import shard_by_ranges
 from fathomline.llm.simhash import simhash_groups
 from fathomline.llm.subspace_join import near_vectors
@@ -97,6 +98,13 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_plan(table(spark, sf_dir, "documents"))
 
 
+@registered
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv_id").cast("string")) % 4
+    nodes = prefix_trie(table(spark, sf_dir, "conversations"), head, F.col("conv_id") - F.col("conv_id") % 20)
+    return nodes.drop("enter", "leave")
+
+
 @registered
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents")).select(
@@ -111,6 +119,10 @@ _BLANKS = r"[^\x20\x09-\x0D]+"
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in NOTICES.items())
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+# The checksum's low bits, a bit at a time: each digit is mixed in, then shifted out eight times.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({0}, ''),
+    lambda d: [CAST(ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"""
 
 ORACLES: dict[str, str] = {
     "op1_pivot_topk": f"""
@@ -224,6 +236,37 @@ ORACLES: dict[str, str] = {
             CASE WHEN a = b THEN asked * (a + b) / 2 / a ELSE (sqrt(a * a + 2 * (b - a) * (asked * (a + b) / 2)) - a) / (b - a) + 0.0 END
             END AS position
         FROM z""",
+    "op12_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                   {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, {_CRC32.format('CAST(conv_id AS VARCHAR)')} % 4 AS h
+            FROM t GROUP BY conv_id
+        ), m AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS kept FROM c LEFT JOIN c b ON b.conv_id = c.base),
+        r AS (
+            SELECT m.conv_id, pos AS depth, said FROM m JOIN t ON t.conv_id = m.base AND pos <= h
+            UNION ALL SELECT m.conv_id, pos - h + kept, said FROM m JOIN t ON t.conv_id = m.conv_id AND pos > h
+        ), l AS (SELECT conv_id, list(said ORDER BY depth) AS path FROM r GROUP BY conv_id),
+        s AS (SELECT m.conv_id, coalesce(path, []) AS path FROM m LEFT JOIN l ON l.conv_id = m.conv_id),
+        p AS (
+            SELECT conv_id, d AS depth, md5(CAST(to_json(path[1:d]) AS VARCHAR)) AS node, md5(CAST(to_json(path[1:d - 1]) AS VARCHAR)) AS above,
+                   CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].text, '{_BLANKS}')) ELSE 0 END AS words, d = len(path) AS ends
+            FROM (SELECT conv_id, path, unnest(generate_series(0, len(path))) AS d FROM s)
+        ), n AS (
+            SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above, any_value(words) AS words,
+                   coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids
+            FROM p GROUP BY node, depth
+        ), k AS (SELECT above, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+        w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.above = n.node),
+        sums AS (
+            SELECT p.node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w.words) AS saved_tokens
+            FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.node
+        )
+        SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(w.ids) AS ends_sha256
+        FROM w JOIN sums ON sums.node = w.node LEFT JOIN w u ON u.node = w.above AND w.depth > 0""",
     "op13_fill_middle": """
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,

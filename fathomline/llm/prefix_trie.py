@@ -192,10 +192,11 @@ def _walked(arcs: DataFrame) -> DataFrame:
     """Sums before each arc of a list of bounded size, followed in one task."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches))
-        arc, values = held.column("arc").to_numpy(), [held.column(c).to_numpy() for c in SUMS]
-        if not len(arc):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        held = pa.Table.from_batches(parts)
+        arc, values = held.column("arc").to_numpy(), [held.column(c).to_numpy() for c in SUMS]
         place = {a: i for i, a in enumerate(arc.tolist())}
         after = [place.get(n, -1) for n in held.column("next").to_pylist()]
         head = set(range(len(arc))) - set(after)

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from fathomline.llm import prefix_trie as trie
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, depth int, a string, part string"
-HEAD, BASE = F.crc32(F.col("conv_id").cast("string")) % 4, F.col("conv_id") - F.col("conv_id") % 20
+
+
+def rule():
+    return F.crc32(F.col("conv_id").cast("string")) % 4, F.col("conv_id") - F.col("conv_id") % 20
 
 
 def brute(rows, rebuilt=True):
@@ -68,7 +71,7 @@ def turns(spark, rows):
 
 # Equal turns of one conversation stand in the order of their hashes; such pairs differ in place only.
 def test_rebuilt(turns, rows):
-    got, want = found(trie.prefix_trie(turns.where("conv_id is null or conv_id != 300"), HEAD, BASE, last_arcs=50, bucket=7)), brute(
+    got, want = found(trie.prefix_trie(turns.where("conv_id is null or conv_id != 300"), *rule(), last_arcs=50, bucket=7)), brute(
         [r for r in rows if r[0] != 300]
     )
     assert got == want
@@ -86,8 +89,8 @@ def test_ties_are_defined(spark, turns):
 
 
 def test_nothing(turns):
-    assert trie.prefix_trie(turns.where("false"), HEAD, BASE).count() == 0
-    assert trie.prefix_trie(turns.where("conv_id is null"), HEAD, BASE).count() == 0
+    assert trie.prefix_trie(turns.where("false"), *rule()).count() == 0
+    assert trie.prefix_trie(turns.where("conv_id is null"), *rule()).count() == 0
 
 
 def test_long_lists_of_ids_are_hashed_piecewise(spark, monkeypatch):
@@ -99,4 +102,4 @@ def test_long_lists_of_ids_are_hashed_piecewise(spark, monkeypatch):
 
 
 def test_plan_moves_no_text(turns, plan):
-    assert "Cartesian" not in plan(trie.prefix_trie(turns.where("conv_id < 9"), HEAD, BASE))
+    assert "Cartesian" not in plan(trie.prefix_trie(turns.where("conv_id < 9"), *rule()))

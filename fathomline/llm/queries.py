@@ -11,6 +11,7 @@ from fathomline.llm.common import table
 from fathomline.llm.fill_middle import fill_in_middle
 from fathomline.llm.license_scan import NOTICES, scan_licenses
 from fathomline.llm.mixing import mixed_plan
+from fathomline.llm.ngram_filter import score_texts
 from fathomline.llm.packing import pack_documents
 from fathomline.llm.pivot_search import pivot_topk
 from fathomline.llm.prefix_trie import prefix_trie
@@ -98,6 +99,12 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_plan(table(spark, sf_dir, "documents"))
 
 
+@registered
+def op11_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 @registered
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.crc32(F.col("conv_id").cast("string")) % 4

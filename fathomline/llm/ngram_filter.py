@@ -95,6 +95,16 @@ def _bytes(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers, compressed: the lowest bytes of all, then the next ones."""
+    return pa.compress(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
 # ---------------------------------------------------------------- slices
 
 SLICE = (
@@ -104,7 +114,7 @@ SLICE = (
 
 
 def slices(docs: DataFrame, held: Column) -> DataFrame:
-    """Texts as word numbers: a row for each few megabytes, with the 128-bit hashes of its distinct words."""
+    """Texts as word numbers: a row for each few megabytes, with 96 bits of the hashes of its distinct words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = TaskContext.get().partitionId() << 33
@@ -127,7 +137,7 @@ def slices(docs: DataFrame, held: Column) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array([nth], pa.int64()), "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     "held": [_bytes(out, "u1")], "ends": [_bytes(ends, "<i8")], "high": [_bytes(hashes[:, 0], "<u8")],
-                    "low": [_bytes(hashes[:, 1], "<u8")], "tokens": [_bytes(coded.indices.to_numpy(), "<u4")],
+                    "low": [_bytes(hashes[:, 1] >> _HALF, "<u4")], "tokens": [_packed(coded.indices.to_numpy())],
                     "n_words": [len(hashes)], "n_tokens": [ends[-1]], "train_tokens": [int(sizes[~out].sum())],
                     "train_docs": [int((~out).sum())],
                 })
@@ -144,8 +154,8 @@ class Slice:
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.number, self.doc_ids = row["slice"], row["doc_ids"]
         self.held, self.ends = read("held", "u1").astype(bool), read("ends", "<i8")
-        self.high, self.low = read("high", "<u8").astype(np.uint64), read("low", "<u8").astype(np.uint64)
-        self.tokens = read("tokens", "<u4").astype(np.int64)
+        self.high = read("high", "<u8").astype(np.uint64)
+        self.tokens = _unpacked(row["tokens"], int(self.ends[-1])).astype(np.int64)
         self.begins = np.concatenate([[0], self.ends[:-1]])
         self.trained = np.repeat(~self.held, np.diff(np.append(0, self.ends)))
         # A text's first word follows the start, which is numbered behind all words.
@@ -175,11 +185,12 @@ def _asked_words(rows: DataFrame, shards: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part = Slice(batch.slice(i, 1).to_pylist()[0])
+                row = batch.slice(i, 1).to_pylist()[0]
+                part, low = Slice(row), np.frombuffer(row["low"], "<u4")
                 counts = np.bincount(part.tokens[part.trained], minlength=len(part.high))
                 order, shard = part.words_by_shard(shards)
                 out = [
-                    (s, part.number, _bytes(part.high[order[a:b]], "<u8"), _bytes(part.low[order[a:b]], "<u8"), _bytes(counts[order[a:b]], "<u4"))
+                    (s, part.number, _bytes(part.high[order[a:b]], "<u8"), _bytes(low[order[a:b]], "<u4"), _bytes(counts[order[a:b]], "<u4"))
                     for s, a, b in _by_shard(shard)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["shard", "slice", "high", "low", "counts"])
@@ -205,7 +216,7 @@ def _counted_words(asked: DataFrame, hot_count: float) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         high, ends = _joined(table, "high", "<u8")
-        low, counts = _joined(table, "low", "<u8")[0], _joined(table, "counts", "<u4")[0].astype(np.int64)
+        low, counts = _joined(table, "low", "<u4")[0], _joined(table, "counts", "<u4")[0].astype(np.int64)
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
         new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
@@ -319,7 +330,7 @@ def _asked_pairs(rows: DataFrame, sharding: Sharding, learned: bool) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
 
     names = ["shard", "slice", "contexts", "runs", "keys", "counts"]
-    kept = rows.select("slice", "doc_ids", "held", "ends", "high", "low", "tokens")
+    kept = rows.select("slice", "doc_ids", "held", "ends", "high", "tokens")
     return kept.mapInArrow(work, "shard bigint, slice bigint, contexts binary, runs binary, keys binary, counts binary")
 
 
@@ -418,8 +429,8 @@ def score_texts(docs: DataFrame, held_out: Column, broadcast_bytes: int = BROADC
     """log10 probabilities of the texts of ``docs`` (doc_id, text) under a model of those that are not ``held_out``.
 
     Texts become word numbers once, a few megabytes in a row, and are written.
-    Each such slice asks for its distinct words, which are counted exactly by
-    shards of their hash. Pairs of neighbours are counted the same way and go
+    Each such slice asks for its distinct words, which are counted by shards of
+    their hash (exactly, unless two words agree in 96 bits). Pairs of neighbours are counted the same way and go
     into a log-frequency Bloom filter: a pair of quantised count q is entered
     as (pair, 1) to (pair, q), and so is the number of different words behind a
     word. A count is read by probing until a probe fails; it is never too low.
@@ -477,5 +488,5 @@ def score_texts(docs: DataFrame, held_out: Column, broadcast_bytes: int = BROADC
         })
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    kept = rows.select("slice", "doc_ids", "held", "ends", "high", "low", "tokens")
+    kept = rows.select("slice", "doc_ids", "held", "ends", "high", "tokens")
     return kept.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)

@@ -26,6 +26,14 @@ def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner") ->
 ROW = "__row"
 
 
+def row_column(docs: DataFrame) -> str:
+    """The column ``numbered`` adds: ``ROW``, or longer where the table has that."""
+    name = ROW
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with a number of each row's own, in the order of doc_id (null last), then of a hash of the text.
 
@@ -33,13 +41,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     the rows are sorted and written with their numbers, so that these stay the
     same whatever reads them.
     """
-    key = F.col("doc_id").cast("bigint")
+    key, name = F.col("doc_id").cast("bigint"), row_column(docs)
     if not docs.groupBy(key.alias("id")).count().where("count > 1 or id is null").limit(1).count():
-        return docs.withColumn(ROW, key)
+        return docs.withColumn(name, key)
     # The last key deals out equal rows.
     order = [F.asc_nulls_last(key), F.xxhash64("text"), F.col("__from")]
     dealt = docs.withColumn("__from", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut_lineage(dealt.drop("__from").withColumn(ROW, F.monotonically_increasing_id()))
+    return cut_lineage(dealt.drop("__from").withColumn(name, F.monotonically_increasing_id()))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -77,4 +85,4 @@ def merge_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-__all__ = ["ROW", "WORD", "cut_lineage", "fits_broadcast", "join_measured", "merge_labels", "numbered", "table", "text_slices", "texts_of"]
+__all__ = ["ROW", "WORD", "cut_lineage", "fits_broadcast", "join_measured", "merge_labels", "numbered", "row_column", "table", "text_slices", "texts_of"]

@@ -4,6 +4,7 @@ import shutil
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fathomline.llm import mixing, queries, simhash, suffix_dedup
@@ -72,10 +73,34 @@ def test_all_tokens_are_packed(stages):
 
 def test_rows_without_ids_and_repeated_rows(spark):
     text = "a b c d e f"
-    rows = [(1, text), (1, text), (2, text), (None, text), (None, "quite another text it is"), (None, None), (3, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, "quite another text it is"), (None, None), (3, None), (None, text)]
+    docs = spark.createDataFrame([(*r, "x", 5, "y") for r in rows], "doc_id bigint, text string, fingerprint string, component_id int, __row string")
     kept = corpus_pipeline.without_near_copies(spark, docs, SF)
-    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, text), (3, None), *rows[3:6]], key=repr)
+    assert kept.columns == docs.columns
+    # Rows without an id come last, so exact copies of them go; each row is judged by its own text.
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == [(1, text), (3, None)]
+    assert [r.text for r in kept.collect() if not r.doc_id] == ["quite another text it is"]
+
+
+def test_no_stage_needs_rows(spark, tmp_path):
+    """Empty tables with extra columns, one stage after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false").withColumn("score", F.lit(1)).withColumn("size", F.lit("x"))
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
+
+
+def test_columns_that_clash_stay(spark, stages):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").withColumns(
+        {c: F.lit(c) for c in ("score", "size", "__row", "fingerprint", "target", "start_word", "spans")}
+    )
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    assert docs.where("score != 'score' or size != 'size' or spans != 'spans'").count() == 0
+    assert corpus_pipeline.packed(spark, docs, SF).count() > 0
 
 
 def test_run_needs_nothing_else(spark, tmp_path):

@@ -22,12 +22,12 @@ def test_numbers_are_in_order_of_ids(spark):
 
 def test_near_copies_of_rows_that_share_an_id(spark):
     a, b, x, y = (words(n, 60) for n in "abxy")
-    rows = [(11, a), (11, b), (20, b + " more"), (3, x + " more"), (5, x), (5, y), (11, b), (None, b), (None, words("z", 60))]
+    rows = [(11, a), (11, b), (20, b.upper()), (3, x + " "), (5, x), (5, y), (11, b), (None, b), (None, words("z", 60))]
     docs = spark.createDataFrame([(*r, "s") for r in rows], SCHEMA)
     kept = corpus_pipeline.without_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
-        [(11, a), (11, b), (3, x + " more"), (5, y), (None, b), (None, words("z", 60))], key=repr
+        [(11, a), (11, b), (3, x + " "), (5, y), (None, words("z", 60))], key=repr
     )
 
 

@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm.common import ROW, numbered
+from fathomline.llm.common import join_measured, numbered, row_column
 from fathomline.llm.mixing import mixed_documents
-from fathomline.llm.near_copies import near_copy_groups
 from fathomline.llm.packing import pack_documents
 from fathomline.llm.queries import toxicity_model, vocabulary
+from fathomline.llm.simhash import simhash_groups
 from fathomline.llm.suffix_dedup import repeated_passages, without_repeats
 from fathomline.llm.toxicity import THRESHOLD, score_documents
 from fathomline.session import checkpoint_dir
@@ -22,17 +22,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group of near copies (0.8 of their five-word shingles in common).
+    """The first row of each group of near copies: fingerprints of three-word shingles, linked at three or fewer differing bits.
 
-    Rows are told apart by numbers of their own, so rows that share an id are
-    judged by their own texts. Rows without an id cannot be named as copies;
-    they stay.
+    Rows are told apart by numbers of their own, in the order of doc_id, null
+    last: rows that share an id, or have none, are judged by their own texts.
     """
-    rows = numbered(docs)
-    groups = near_copy_groups(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    kept = kept.union(rows.where("doc_id is null").select(ROW))
-    return rows.join(kept, F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
+    rows, row = numbered(docs), row_column(docs)
+    groups = simhash_groups(rows.select(F.col(row).alias("doc_id"), "text"))
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+    return join_measured(rows, gone, F.col(row) == F.col("__gone"), "left_anti").drop(row)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +39,9 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Each row is searched and cut by a number of its own: rows that share an id
     are documents of their own, and those without one come last.
     """
-    rows = numbered(docs)
-    found = repeated_passages(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    return without_repeats(rows, found, ROW).drop(ROW)
+    rows, row = numbered(docs), row_column(docs)
+    found = repeated_passages(rows.select(F.col(row).alias("doc_id"), "text"))
+    return without_repeats(rows, found, row).drop(row)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over ``documents``."""
+    """All stages, one after the other, over ``documents``.
+
+    Every stage works on rows: null and repeated ids, null, empty and long texts
+    have the results its operator states. Columns of documents that no stage
+    knows stay as they are until the texts are packed. An empty table gives no
+    pieces.
+    """
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

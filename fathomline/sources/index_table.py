@@ -50,8 +50,13 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+# The writer of jobs that run once. A stream brings a name of its own, because it numbers its batches itself.
+JOB = "job"
+
+
 class Version(NamedTuple):
     number: int
+    writer: str
     batch: int
     full: bool
     path: str
@@ -65,8 +70,9 @@ class IndexStore:
     the next one writes a full snapshot again.
 
     A folder counts once Spark has marked it finished, so a job that fails leaves
-    nothing a reader sees. A batch id is written once; writing it again changes
-    nothing, so a retried stream batch is harmless. Older versions stay readable.
+    nothing a reader sees. Each writer numbers its own batches, and writes each
+    once: a retried stream batch is harmless, and neither an ingest nor another
+    stream takes a stream's number away. Older versions stay readable.
     """
 
     def __init__(self, spark: SparkSession, root: str, compact_after: int = 16):
@@ -74,26 +80,33 @@ class IndexStore:
         self.root = root
         self.compact_after = compact_after
 
-    def versions(self) -> list[Version]:
-        """Finished versions, oldest first."""
+    def _folders(self) -> list[Version]:
+        """All versions, finished or not, oldest first: one listing."""
         fs, path = _file_system(self.spark, self.root)
         base = path(self.root)
-        if not fs.exists(base):
-            return []
-        found = []
-        for status in fs.listStatus(base):
-            name = status.getPath().getName()
-            match = re.fullmatch(r"(full|change)-(\d+)-batch(\d+)", name)
-            if match and fs.exists(path(posixpath.join(self.root, name, "_SUCCESS"))):
-                kind, number, batch = match.groups()
-                found.append(Version(int(number), int(batch), kind == "full", posixpath.join(self.root, name)))
-        return sorted(found)
+        names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+        found = [re.fullmatch(r"(full|change)-(\d+)-(\w+)-batch(\d+)", name) for name in names]
+        return sorted(
+            Version(int(m[2]), m[3], int(m[4]), m[1] == "full", posixpath.join(self.root, m[0])) for m in found if m
+        )
+
+    def _finished(self, version: Version) -> bool:
+        fs, path = _file_system(self.spark, self.root)
+        return fs.exists(path(posixpath.join(version.path, "_SUCCESS")))
+
+    def versions(self) -> list[Version]:
+        """Finished versions, oldest first."""
+        return [v for v in self._folders() if self._finished(v)]
 
     def _current(self) -> tuple[Version | None, list[Version]]:
-        """The latest full snapshot and the changes since."""
-        versions = self.versions()
-        full = max((v for v in versions if v.full), default=None)
-        return full, [v for v in versions if not v.full and (full is None or v.number > full.number)]
+        """The latest full snapshot and the changes since; older folders are not looked into."""
+        changes: list[Version] = []
+        for version in reversed(self._folders()):
+            if self._finished(version):
+                if version.full:
+                    return version, changes[::-1]
+                changes.append(version)
+        return None, changes[::-1]
 
     def read(self) -> DataFrame:
         """The index as of now, in the current schema; empty if nothing was written."""
@@ -109,37 +122,39 @@ class IndexStore:
         untouched = base.join(last.select("item_key"), "item_key", "left_anti")
         return untouched.select(*base.columns).unionByName(upgrade_schema(last.where(~F.col("deleted"))))
 
-    def published(self, batch_id: int) -> bool:
-        return any(v.batch == batch_id for v in self.versions())
+    def published(self, batch_id: int, writer: str = JOB) -> bool:
+        return any(self._finished(v) for v in self._folders() if (v.writer, v.batch) == (writer, batch_id))
 
-    def _next(self, kind: str, batch_id: int | None) -> str | None:
-        versions = self.versions()
-        if batch_id is None:
-            batch_id = max((v.batch for v in versions), default=-1) + 1
-        elif any(v.batch == batch_id for v in versions):
+    def _next(self, kind: str, batch_id: int | None, writer: str) -> str | None:
+        if batch_id is not None and self.published(batch_id, writer):
             return None
-        number = max((v.number for v in versions), default=0) + 1
-        return posixpath.join(self.root, f"{kind}-{number:08d}-batch{batch_id}")
+        folders = self._folders()
+        if batch_id is None:
+            batch_id = max((v.batch for v in folders if v.writer == writer), default=-1) + 1
+        number = max((v.number for v in folders), default=0) + 1
+        return posixpath.join(self.root, f"{kind}-{number:08d}-{writer}-batch{batch_id}")
 
-    def publish(self, df: DataFrame, batch_id: int | None = None) -> str | None:
+    def publish(self, df: DataFrame, batch_id: int | None = None, writer: str = JOB) -> str | None:
         """Writes ``df`` as a full snapshot; the version read before stays intact."""
-        path = self._next("full", batch_id)
+        path = self._next("full", batch_id, writer)
         if path:
             upgrade_schema(df).write.mode("overwrite").parquet(path)
         return path
 
-    def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, batch_id: int | None = None) -> str | None:
+    def apply(
+        self, upserts: DataFrame, deletes: DataFrame | None = None, batch_id: int | None = None, writer: str = JOB
+    ) -> str | None:
         """Deletes, then upserts by key; both tables hold a key once.
 
         Vectors an upsert leaves out are taken from the stored row.
         """
-        if batch_id is not None and self.published(batch_id):
+        if batch_id is not None and self.published(batch_id, writer):
             return None
         index = self.read()
         remaining = index if deletes is None else merge_delete(index, deletes)
         small = fits_broadcast(upserts)
         if not small or len(self._current()[1]) >= self.compact_after:
-            return self.publish(merge_upsert(remaining, upserts, small=small), batch_id)
+            return self.publish(merge_upsert(remaining, upserts, small=small), batch_id, writer)
         wanted = F.broadcast(upserts.select("item_key"))
         # No more rows than there are upserts.
         stored = remaining.join(wanted, "item_key", "left_semi")
@@ -147,7 +162,7 @@ class IndexStore:
         if deletes is not None:
             gone = deletes.select("item_key").distinct().join(wanted, "item_key", "left_anti")
             known = known.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
-        path = self._next("change", batch_id)
+        path = self._next("change", batch_id, writer)
         if path:
             known.write.mode("overwrite").parquet(path)
         return path

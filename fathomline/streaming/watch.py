@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
@@ -113,35 +114,47 @@ def debounce_stream(
 FAILURES = "_failures"
 FAILURE_SCHEMA = "path string, ts timestamp, reason string, detail string"
 ENCODER = "encoder"  # the reason that is tried again
+STREAM = "stream"
 
 
-def _failure_batches(spark: SparkSession, store: IndexStore) -> dict[int, str]:
-    """Folders of finished batches that list failures."""
-    fs, path = _file_system(spark, store.root)
-    base = posixpath.join(store.root, FAILURES)
-    names = [s.getPath().getName() for s in fs.listStatus(path(base))] if fs.exists(path(base)) else []
-    folders = {int(n.partition("=")[2]): posixpath.join(base, n) for n in names if n.startswith("batch=")}
-    return {n: f for n, f in folders.items() if fs.exists(path(posixpath.join(f, "_SUCCESS")))}
+def _failure_folder(store: IndexStore, writer: str, batch_id: int | None = None) -> str:
+    folder = posixpath.join(store.root, FAILURES, f"writer={writer}")
+    return folder if batch_id is None else posixpath.join(folder, f"batch={batch_id}")
+
+
+def _folder_names(spark: SparkSession, folder: str) -> list[str]:
+    fs, path = _file_system(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(path(folder))] if fs.exists(path(folder)) else []
 
 
 def read_failures(spark: SparkSession, store: IndexStore) -> DataFrame:
-    """``path, ts, reason, detail, batch`` of all that could not be brought into the index.
+    """``path, ts, reason, detail, writer, batch`` of all that could not be brought into the index.
 
     Reasons: ``missing``, ``too large``, ``not UTF-8``, ``unreadable``, ``no key`` and ``encoder``. What fails in the
     encoder is tried again with each batch, and listed by each batch in which it fails.
     """
-    schema = FAILURE_SCHEMA + ", batch bigint"
-    if not _failure_batches(spark, store):
+    schema, root = FAILURE_SCHEMA + ", writer string, batch bigint", posixpath.join(store.root, FAILURES)
+    if not _folder_names(spark, root):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(posixpath.join(store.root, FAILURES))
-
-
-def open_failures(spark: SparkSession, store: IndexStore, before: int) -> DataFrame:
-    """What the last batch before ``before`` left to be tried again; each batch passes on what still fails."""
-    earlier = {n: f for n, f in _failure_batches(spark, store).items() if n < before}
-    if not earlier:
+    return spark.read.schema(schema).parquet(root)
+
+
+def open_failures(spark: SparkSession, store: IndexStore, before: int, writer: str | None = None) -> DataFrame:
+    """What the last batch of ``writer`` (or of each) before ``before`` left to be tried again; each passes on what still fails."""
+    root = posixpath.join(store.root, FAILURES)
+    writers = [writer] if writer else [n.partition("=")[2] for n in _folder_names(spark, root) if n.startswith("writer=")]
+    fs, path = _file_system(spark, root)
+    last = []
+    for name in writers:
+        batches = [int(n.partition("=")[2]) for n in _folder_names(spark, _failure_folder(store, name)) if n.startswith("batch=")]
+        for batch in sorted((n for n in batches if n < before), reverse=True):
+            folder = _failure_folder(store, name, batch)
+            if fs.exists(path(posixpath.join(folder, "_SUCCESS"))):
+                last.append(folder)
+                break
+    if not last:
         return spark.createDataFrame([], FAILURE_SCHEMA)
-    return spark.read.schema(FAILURE_SCHEMA).parquet(earlier[max(earlier)]).where(F.col("reason") == ENCODER)
+    return spark.read.schema(FAILURE_SCHEMA).parquet(*last).where(F.col("reason") == ENCODER)
 
 
 def apply_changes(
@@ -151,16 +164,19 @@ def apply_changes(
     encoders: Mapping[str, Encoder | None],
     batch_id: int,
     max_bytes: int = MAX_ITEM_BYTES,
+    writer: str = STREAM,
 ) -> str | None:
     """One batch of ``op, path, ts`` onto the index; the last operation per path wins.
 
+    ``batch_id`` counts the batches of ``writer``, whatever else writes to the index.
+
     Files are read where the work is, in the executors. What cannot be brought
     in is written beside the versions with its reason, before the version;
     items whose encoder failed are tried again with the next batch.
     """
-    if store.published(batch_id):
+    if store.published(batch_id, writer):
         return None
-    again = open_failures(spark, store, before=batch_id)
+    again = open_failures(spark, store, batch_id, writer)
     wanted = changes.select("op", "path", "ts").unionByName(again.select(F.lit(UPSERT).alias("op"), "path", "ts"))
     order = W.partitionBy("path").orderBy(F.col("ts").desc(), F.col("op"))
     last = wanted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 1)
@@ -197,10 +213,10 @@ def apply_changes(
     for more in problems[1:]:
         listed = listed.union(more)
     listed = listed.toDF("path", "ts", "reason", "detail")
-    listed.write.mode("overwrite").parquet(posixpath.join(store.root, FAILURES, f"batch={batch_id}"))
+    listed.write.mode("overwrite").parquet(_failure_folder(store, writer, batch_id))
     if fresh.isEmpty() and gone.isEmpty():
         return None
-    return store.apply(fresh, gone, batch_id)
+    return store.apply(fresh, gone, batch_id, writer)
 
 
 def read_bodies(paths: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -248,14 +264,17 @@ def watch(
     """A writer for the change stream; start it with the trigger of your choice.
 
     Events are never dropped for being late: an upsert means that a file is to
-    be read again, whenever it is heard of.
+    be read again, whenever it is heard of. Batches are numbered by the
+    checkpoint, so it names the writer: a stream that starts anew, with another
+    checkpoint, is another one.
     """
+    writer = f"{STREAM}_{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
     changes = normalize_events(events)
     kept = debounce_stream(changes, window_ms, lateness=None)
     deletes = changes.where(F.col("op") == DELETE)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version = apply_changes(batch.sparkSession, batch, store, encoders, batch_id)
+        version = apply_changes(batch.sparkSession, batch, store, encoders, batch_id, writer=writer)
         if on_batch:
             on_batch(batch_id, version)
 

@@ -10,7 +10,8 @@ from fathomline.operators.events import ignored_moves, normalize_events
 from fathomline.schemas import CHANGE_SCHEMA
 from fathomline.sources.changelog import read_change_log
 from fathomline.sources.index_table import IndexStore
-from fathomline.streaming.watch import debounce_stream, open_failures, read_failures, watch
+from fathomline.plans.ingest import ingest
+from fathomline.streaming.watch import apply_changes, debounce_stream, open_failures, read_failures, watch
 from test_sources import full, put
 
 ENCODERS = {"embedding_local": HashedTrigramEncoder(8)}
@@ -161,6 +162,25 @@ def test_failures_are_listed_and_encoders_tried_again(spark, tmp_path):
     assert sorted(r.item_key for r in store.read().collect()) == [1, 2, 6, 7]
 
 
+def test_no_batch_is_lost_after_or_between_ingests(spark, tmp_path):
+    """Jobs and streams number their batches apart: each stream batch counts, whatever was written before or between."""
+    files, log = str(tmp_path / "items"), str(tmp_path / "log")
+    store = IndexStore(spark, str(tmp_path / "store"))
+    put(files, "1.json", full(1))
+    ingest(spark, files, store, ENCODERS)
+    for n, checkpoint in enumerate(("cp", "cp", "other", "cp"), 2):
+        write_log(log, f"{n}.json", [("created", put(files, f"{n}.json", full(n)), None, n)])
+        watch(read_change_log(spark, log), store, ENCODERS, str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.item_key for r in store.read().collect()) == [*range(1, n + 1)]
+        put(files, "1.json", full(1, name=f"edit {n}"))
+        ingest(spark, files, store, ENCODERS)
+    assert {r.item_key: r.name for r in store.read().collect()}[1] == "edit 5"
+    changes = spark.createDataFrame([("delete", files + "/3.json", START)], "op string, path string, ts timestamp")
+    assert apply_changes(spark, changes, store, ENCODERS, 0)
+    assert apply_changes(spark, changes, store, ENCODERS, 0) is None
+    assert sorted(r.item_key for r in store.read().collect()) == [1, 2, 4, 5]
+
+
 def test_state_outlives_the_window(spark):
     events = spark.createDataFrame([("created", "/w/1.json", None, False, START)], CHANGE_SCHEMA)
     with pytest.raises(ValueError):

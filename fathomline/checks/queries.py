@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fathomline.checks.views import (
     content_of_items, documents, events_as_changes, item_bodies, item_changes, item_files, item_rows, items_view,
-    phrase_queries, queries_view, table, utc,
+    phrase_queries, queries_view, removed_files, table, utc,
 )
 from fathomline.functions.constraints import extract_constraints, merge_lower, merge_upper, prepare_queries
 from fathomline.functions.scoring import clamp_limit, pool_size, rrf_score
@@ -33,6 +33,7 @@ from fathomline.plans.search import (
 )
 from fathomline.session import checkpoint_dir
 from fathomline.sources.changelog import read_change_log
+from fathomline.sources.directory_stream import read_directory_changes
 from fathomline.sources.index_table import IndexStore, existing_hashes, union_versions, upgrade_schema
 from fathomline.sources.items import parse_documents, split_bad_records, to_index_rows
 from fathomline.sources.paths import key_from_path, path_is_item, within_size
@@ -770,3 +771,55 @@ def reconcile_index(spark, sf):
     store.publish(table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("item_key"), F.col("c_name").alias("name")))
     reconcile(spark, folder, store, {"embedding_local": HashedTrigramEncoder(32)})
     return store.read().select("item_key", "name", "atk", "content_hash")
+
+
+PATH_NUMBER = "cast(regexp_extract(path, '[0-9]+', 0) as bigint)"
+
+
+@registered
+def directory_stream_index(spark, sf):
+    """A directory followed over three runs: files come, are rewritten, and go."""
+    files, state, listings = (fresh_folder(spark, name) for name in ("items", "state", "listings"))
+    store = IndexStore(spark, fresh_folder(spark, "index"))
+    encoders = {"embedding_local": HashedTrigramEncoder(32)}
+
+    def follow() -> None:
+        events = read_directory_changes(spark, files, listings)
+        watch(events, store, encoders, state, window_ms=None).trigger(availableNow=True).start().awaitTermination()
+
+    item_files(spark, sf, files, "k % 3 != 0")
+    follow()
+    item_files(spark, sf, files, "k % 4 = 0 and k % 3 != 0", price_change=5)
+    item_files(spark, sf, files, "k % 3 = 0")
+    follow()
+    removed_files(spark, sf, files, "k % 10 = 9")
+    follow()
+    return store.read().select("item_key", "name", "atk", "content_hash")
+
+
+@registered
+def ingest_then_watch_index(spark, sf):
+    """Jobs and a stream take turns at one index: a snapshot, an ingest, a stream batch, another ingest, another batch."""
+    files, logs, state = (fresh_folder(spark, name) for name in ("items", "log", "state"))
+    store = IndexStore(spark, fresh_folder(spark, "index"))
+    encoders = {"embedding_local": HashedTrigramEncoder(32)}
+
+    def follow(kind: str, which: str) -> None:
+        path = F.concat(F.lit(f"{files}/"), F.col("p_partkey").cast("string"), F.lit(".json"))
+        heard = table(spark, sf, "part").where(which).select(
+            F.lit(kind).alias("event_type"), path.alias("src_path"), F.lit(None).cast("string").alias("dest_path"),
+            F.lit(False).alias("is_directory"), F.lit("2030-01-01T00:00:00Z").alias("ts"),
+        )
+        heard.write.mode("append").json(logs)
+        stream = watch(read_change_log(spark, logs), store, encoders, state, window_ms=1)
+        stream.trigger(availableNow=True).start().awaitTermination()
+
+    store.publish(table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("item_key"), F.col("c_name").alias("name")))
+    ingest_documents(parse_documents(item_bodies(spark, sf).where(f"{PATH_NUMBER} % 3 != 0")), store, encoders)
+    item_files(spark, sf, files, "k % 3 = 0")
+    with stream_settings(spark):
+        follow("created", "p_partkey % 3 = 0")
+        changed = item_bodies(spark, sf, price_change=5).where(f"{PATH_NUMBER} % 4 = 0 and {PATH_NUMBER} % 3 != 0")
+        ingest_documents(parse_documents(changed), store, encoders)
+        follow("deleted", "p_partkey % 10 = 9")
+    return store.read().select("item_key", "name", "atk", "content_hash")

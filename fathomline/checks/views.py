@@ -150,12 +150,12 @@ def item_bodies(spark: SparkSession, sf_dir: str, price_change: int = 0) -> Data
     )
 
 
-def item_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """Writes each document of ``item_bodies`` as a file of its own; some are made too large by blanks."""
-    bodies = item_bodies(spark, sf_dir).select(
+def item_files(spark: SparkSession, sf_dir: str, folder: str, keep: str = "true", price_change: int = 0) -> None:
+    """Writes each document of ``item_bodies`` whose number k passes ``keep`` as a file of its own; some are made too large by blanks."""
+    numbered = item_bodies(spark, sf_dir, price_change).withColumn("k", F.regexp_extract("path", "[0-9]+", 0).cast("bigint"))
+    bodies = numbered.where(keep).select(
         F.split_part("path", F.lit("/"), F.lit(-1)).alias("name"),
-        F.when(F.regexp_extract("path", "[0-9]+", 0).cast("bigint") % 29 == 3, F.rpad("body", 60_000, " "))
-        .otherwise(F.col("body")).alias("body"),
+        F.when(F.col("k") % 29 == 3, F.rpad("body", 60_000, " ")).otherwise(F.col("body")).alias("body"),
     )
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +172,24 @@ def item_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
     bodies.mapInPandas(write, "n bigint").write.format("noop").mode("overwrite").save()
 
 
+def removed_files(spark: SparkSession, sf_dir: str, folder: str, gone: str) -> None:
+    """Deletes the files of the documents whose number k passes ``gone``."""
+    names = item_rows(spark, sf_dir).select(F.col("item_id").alias("k")).where(gone)
+
+    def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        for part in parts:
+            for k in part["k"]:
+                path = f"{base}/{k}.json"
+                if system.get_file_info(path).type == fs.FileType.File:
+                    system.delete_file(path)
+            yield pd.DataFrame({"n": [len(part)]})
+
+    names.mapInPandas(remove, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def item_changes(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """The event table as a change log of item files, four events an item, with the log (of three) each is written to."""
     kind = (

@@ -258,7 +258,7 @@ def watch(
     store: IndexStore,
     encoders: Mapping[str, Encoder | None],
     checkpoint: str,
-    window_ms: int = DEBOUNCE_MS,
+    window_ms: int | None = DEBOUNCE_MS,
     on_batch: Callable[[int, str | None], None] | None = None,
 ):
     """A writer for the change stream; start it with the trigger of your choice.
@@ -266,16 +266,19 @@ def watch(
     Events are never dropped for being late: an upsert means that a file is to
     be read again, whenever it is heard of. Batches are numbered by the
     checkpoint, so it names the writer: a stream that starts anew, with another
-    checkpoint, is another one.
+    checkpoint, is another one. Without a ``window_ms`` nothing is held back:
+    the differences of listings are told once already.
     """
     writer = f"{STREAM}_{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
     changes = normalize_events(events)
-    kept = debounce_stream(changes, window_ms, lateness=None)
-    deletes = changes.where(F.col("op") == DELETE)
+    if window_ms is None:
+        held = changes
+    else:
+        held = debounce_stream(changes, window_ms, lateness=None).unionByName(changes.where(F.col("op") == DELETE))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         version = apply_changes(batch.sparkSession, batch, store, encoders, batch_id, writer=writer)
         if on_batch:
             on_batch(batch_id, version)
 
-    return kept.unionByName(deletes).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return held.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -386,6 +386,8 @@ ORACLES: dict[str, str] = {
         epoch_us(ts) AS us FROM raw WHERE kind = 'moved' AND NOT is_directory AND suffix = '.json' AND shown NOT LIKE '.%'""",
     "debounced_events": f"""WITH RECURSIVE {debounced('events', 'user_id, event_type')}
         SELECT event_id, user_id, event_type FROM walk WHERE kept""",
+    "debounced_hot_key": f"""WITH RECURSIVE one AS (SELECT *, 1 AS k FROM events), {debounced('one', 'k', 1)}
+        SELECT event_id, user_id, event_type FROM walk JOIN events USING (event_id) WHERE kept""",
     "debounced_changes": f"""WITH RECURSIVE {EVENT_CHANGES}, held AS (SELECT * FROM changes WHERE op = 'upsert'),
         {debounced('held', 'path, debounce_type')}
         SELECT event_id, 'upsert' AS op, path FROM walk WHERE kept

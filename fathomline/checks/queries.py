@@ -702,6 +702,13 @@ def debounced_events(spark, sf):
     return kept.select("event_id", "user_id", "event_type")
 
 
+@registered
+def debounced_hot_key(spark, sf):
+    """All events on one key: its chain is composed of many stretches over several levels."""
+    one = table(spark, sf, "events").withColumn("k", F.lit(1))
+    return debounce(one, ["k"], "ts", HOUR_US, "event_id", stretch=8, fan=4).select("event_id", "user_id", "event_type")
+
+
 @registered
 def debounced_changes(spark, sf):
     """Normalised and debounced file events; deletions are all kept."""

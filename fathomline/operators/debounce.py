@@ -8,12 +8,15 @@ be one task's work either. The chain is cut into stretches of time instead:
 2. per stretch, a table says for each event that could be the first kept one
    where the chain leaves the stretch. Only events within one window of the
    stretch's start can be, a small part of it;
-3. these small tables are walked in key order to learn with which last kept
-   event each stretch begins;
+3. such tables are functions of the last kept event, and functions compose: the
+   tables of up to ``FAN`` neighbouring stretches become one of the same form,
+   level by level, until one node is left of each key. Then the last kept event
+   before each node is handed down the same levels: a parallel scan, in which
+   no task sees more than one node of a key at a time;
 4. with that known, all stretches pick their kept events in parallel.
 
-Steps 2 and 4 work on whole Arrow batches of stretches at a time, step 3 carries
-one number; the most any step holds is one batch and one stretch of one key.
+All steps work on whole Arrow batches; the most any holds is one batch and the
+tables of one node.
 """
 
 from __future__ import annotations
@@ -24,24 +27,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Windows per stretch.
+from fathomline.session import cut_lineage
+
+# Windows per stretch, and nodes that are composed to one of the next level.
 STRETCH = 1024
+FAN = 64
 
 
-def _starts(frame: pd.DataFrame) -> np.ndarray:
-    """Positions where a new (key, stretch) begins."""
-    key, part = frame["__key"].to_numpy(), frame["__part"].to_numpy()
+def _starts(frame: pd.DataFrame, by: str = "__part") -> np.ndarray:
+    """Positions where a new (key, stretch or node) begins."""
+    key, part = frame["__key"].to_numpy(), frame[by].to_numpy()
     return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
 
 
-def whole_stretches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same rows, regrouped so that no stretch is divided between frames."""
+def whole_stretches(parts: Iterator[pd.DataFrame], by: str = "__part") -> Iterator[pd.DataFrame]:
+    """The same rows, regrouped so that no stretch (or node) is divided between frames."""
     held: list[pd.DataFrame] = []
     for part in parts:
         if part.empty:
             continue
-        last = _starts(part)[-1]
-        same = bool(held) and (held[-1][["__key", "__part"]].iloc[-1] == part[["__key", "__part"]].iloc[0]).all()
+        last = _starts(part, by)[-1]
+        same = bool(held) and (held[-1][["__key", by]].iloc[-1] == part[["__key", by]].iloc[0]).all()
         if last == 0 and same:
             held.append(part)
             continue
@@ -103,6 +109,99 @@ class Chains:
         return np.flatnonzero(marked)
 
 
+class Tables:
+    """The entry-to-leave tables of a frame: per (key, node) those of its children, in order of time."""
+
+    def __init__(self, frame: pd.DataFrame, window: int):
+        self.window = window
+        self.entry, self.leave = frame["entry"].to_numpy(), frame["leave"].to_numpy()
+        self.begins = _starts(frame, "__node")
+        self.ends = np.append(self.begins[1:], len(frame))
+        children = _starts(frame)
+        self.children = np.unique(np.concatenate([children, self.begins]))
+
+    def nodes(self) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Each node, and where the tables of its children begin and end."""
+        edges = np.append(self.children, len(self.entry))
+        first = np.searchsorted(self.children, self.begins)
+        last = np.append(first[1:], len(self.children))
+        for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+            yield i, list(zip(edges[a:b].tolist(), edges[a + 1:b + 1].tolist()))
+
+    def after(self, last: np.ndarray, table: tuple[int, int]) -> np.ndarray:
+        """The last kept times behind a child, given those before it."""
+        entry, leave = self.entry[slice(*table)], self.leave[slice(*table)]
+        at = np.searchsorted(entry, last + self.window)
+        return np.where(at < len(entry), leave[np.minimum(at, len(entry) - 1)], last)
+
+    def composed(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For nodes that start at ``starts``: positions of the entries that can be met first, and where the chain then leaves the node."""
+        positions, leaves = [], []
+        for i, tables in self.nodes():
+            begin, end = int(self.begins[i]), int(self.ends[i])
+            beyond = begin + int(np.searchsorted(self.entry[begin:end], starts[i] + self.window))
+            at = np.arange(begin, min(beyond + 1, end))
+            last = self.leave[at].copy()
+            for table in tables[1:]:
+                earlier = int(np.searchsorted(at, table[0]))
+                last[:earlier] = self.after(last[:earlier], table)
+            positions.append(at)
+            leaves.append(last)
+        return np.concatenate(positions), np.concatenate(leaves)
+
+    def entered(self, last: list[int | None]) -> list[int | None]:
+        """The last kept time before each child, given that before each node."""
+        out: list[int | None] = []
+        for i, tables in self.nodes():
+            held = last[i]
+            for table in tables:
+                out.append(held)
+                held = int(self.leave[table[0]]) if held is None else int(self.after(np.array([held]), table)[0])
+        return out
+
+
+def _entering(tables: DataFrame, window_us: int, span: int, fan: int) -> DataFrame:
+    """(__key, __part, last): the last kept time before each stretch, null if there is none; from (__key, __part, entry, leave)."""
+    first, final = tables.agg(F.min("__part"), F.max("__part")).first()
+    first, final = first or 0, final or 0
+    base, unit, levels = first * span, span, [tables.withColumn("__part", F.col("__part") - first)]
+    schema = "__key string, __part bigint, entry bigint, leave bigint"
+
+    def by_node(df: DataFrame) -> DataFrame:
+        nodes = df.withColumn("__node", F.floor(F.col("__part") / fan))
+        return nodes.repartition("__key", "__node").sortWithinPartitions("__key", "__node", "__part", "entry")
+
+    def compose(unit: int):
+        def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in whole_stretches(parts, "__node"):
+                held = Tables(frame, window_us)
+                at, leave = held.composed(base + frame["__node"].to_numpy()[held.begins] * unit)
+                yield frame[["__key", "__node", "entry"]].iloc[at].rename(columns={"__node": "__part"}).assign(leave=leave)
+
+        return work
+
+    def descend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_stretches(parts, "__node"):
+            held = Tables(frame, window_us)
+            before = frame["last"].astype("Int64").iloc[held.begins]
+            last = held.entered([None if x is pd.NA else int(x) for x in before])
+            yield frame[["__key", "__part"]].iloc[held.children].assign(last=pd.array(last, "Int64"))
+
+    while fan ** len(levels) < final - first + 1:
+        unit *= fan
+        levels.append(cut_lineage(by_node(levels[-1]).mapInPandas(compose(unit), schema)))
+    last = None
+    for table in reversed(levels):
+        nodes = table.withColumn("__node", F.floor(F.col("__part") / fan))
+        if last is None:
+            nodes = nodes.withColumn("last", F.lit(None).cast("bigint"))
+        else:
+            nodes = nodes.join(last.withColumnRenamed("__part", "__node"), ["__key", "__node"])
+        sorted_ = nodes.repartition("__key", "__node").sortWithinPartitions("__key", "__node", "__part", "entry")
+        last = sorted_.mapInPandas(descend, "__key string, __part bigint, last bigint")
+    return last.withColumn("__part", F.col("__part") + first)
+
+
 def instant(df: DataFrame, ts: str) -> Column:
     """Microseconds since 1970 of a timestamp with or without a zone (then UTC)."""
     value = F.col(ts)
@@ -118,6 +217,7 @@ def debounce(
     window_us: int,
     tie_breaker: str,
     stretch: int = STRETCH,
+    fan: int = FAN,
 ) -> DataFrame:
     """The kept rows of ``events``.
 
@@ -141,19 +241,6 @@ def debounce(
             table = frame[["__key", "__part"]].assign(entry=chains.times, leave=chains.leaves())
             yield table[chains.enterable()]
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, part, last, upcoming = None, None, None, None
-        for frame in parts:
-            rows = []
-            for k, p, entry, leave in zip(frame["__key"], frame["__part"], frame["entry"], frame["leave"]):
-                if k != key or p != part:
-                    last = (upcoming if upcoming is not None else last) if k == key else None
-                    key, part, upcoming = k, p, None
-                    rows.append((k, p, last))
-                if upcoming is None and (last is None or entry >= last + window_us):
-                    upcoming = leave
-            yield pd.DataFrame(rows, columns=["__key", "__part", "last"]).astype({"last": "Int64"})
-
     def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_stretches(parts):
             chains = Chains(frame, span, window_us)
@@ -161,11 +248,7 @@ def debounce(
             yield frame[["__key", "__first"]].iloc[chains.kept(last)]
 
     entry_tables = by_stretch(instants).mapInPandas(tables, "__key string, __part bigint, entry bigint, leave bigint")
-    entering = (
-        entry_tables.repartition("__key")
-        .sortWithinPartitions("__key", "__part", "entry")
-        .mapInPandas(walk, "__key string, __part bigint, last bigint")
-    )
+    entering = _entering(cut_lineage(entry_tables), window_us, span, fan)
     first_type = instants.schema["__first"].dataType.simpleString()
     chosen = by_stretch(instants.join(entering, ["__key", "__part"])).mapInPandas(
         pick, f"__key string, __first {first_type}"

@@ -1,9 +1,11 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from fathomline.operators.debounce import debounce
+from fathomline.operators.debounce import Tables, debounce
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -22,8 +24,8 @@ def walk(events, window):
     return sorted(kept)
 
 
-def run(spark, events, window, stretch):
-    return sorted(r.id for r in debounce(table(spark, events), ["key"], "ts", window, "id", stretch).collect())
+def run(spark, events, window, stretch, fan=64):
+    return sorted(r.id for r in debounce(table(spark, events), ["key"], "ts", window, "id", stretch, fan).collect())
 
 
 def test_fixture(spark):
@@ -40,8 +42,8 @@ def test_against_a_plain_walk(spark, stretch, seed):
     events += [(r.choice("abc"), r.choice([r.randint(-500, 500), r.randint(0, 10**6)])) for _ in range(700)]
     events += [(None, r.randint(0, 300)) for _ in range(20)]
     r.shuffle(events)
-    for window in (1, 7, 40, 1000):
-        assert run(spark, events, window, stretch) == walk(events, window)
+    for window, fan in ((1, 64), (7, 7), (40, 2), (1000, 3)):
+        assert run(spark, events, window, stretch, fan) == walk(events, window)
 
 
 def test_batches_that_cut_a_stretch(spark):
@@ -58,3 +60,34 @@ def test_batches_that_cut_a_stretch(spark):
 def test_empty(spark):
     assert run(spark, [("a", 0)], 5, 4) == [0]
     assert debounce(table(spark, [("a", 0)]).where("false"), ["key"], "ts", 5, "id").count() == 0
+
+
+def test_tables_compose():
+    """Composed tables say the same as the tables one after the other, whatever comes before."""
+    r = random.Random(9)
+    for _ in range(200):
+        window, span = r.choice((3, 10, 25)), 50
+        times = sorted({r.randint(0, 399) for _ in range(r.choice((2, 8, 120)))})
+        rows = []
+        for part in range(8):
+            mine = [t for t in times if t // span == part]
+            for at, t in enumerate(mine):
+                last = t
+                for later in mine[at:]:
+                    last = later if later >= last + window else last
+                rows.append(("k", 0, part, t, last))
+        held = Tables(pd.DataFrame(rows, columns=["__key", "__node", "__part", "entry", "leave"]), window)
+        at, leaves = held.composed(np.array([0]))
+        for before in range(-2 * window, 0):
+            last = np.array([before])
+            for _, tables in held.nodes():
+                for part in tables:
+                    last = held.after(last, part)
+            met = np.searchsorted(held.entry[at], before + window)
+            assert last[0] == (leaves[met] if met < len(at) else before)
+
+
+def test_one_key_in_many_tasks(spark):
+    """All events on one key: nodes of it are composed in tasks of their own, and none holds the key."""
+    events = [("hot", 7 * i) for i in range(4000)]
+    assert run(spark, events, 20, 2, 4) == walk(events, 20)

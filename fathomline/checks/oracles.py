@@ -427,6 +427,11 @@ ORACLES["ingest_then_watch_index"] = f"""WITH {REWRITTEN}, held AS (
 )
 SELECT * FROM held UNION ALL
 SELECT c_custkey * 2, c_name, NULL, NULL FROM customer WHERE c_custkey * 2 NOT IN (SELECT item_key FROM held)"""
+ORACLES["layout_scan"] = f"""WITH {ITEMS}
+SELECT 'atk' AS filter, item_id AS item_key FROM items WHERE atk BETWEEN 1000 AND 1009
+UNION ALL SELECT 'def_', item_id FROM items WHERE def_ >= 4900
+UNION ALL SELECT 'level', item_id FROM items WHERE level = 3
+UNION ALL SELECT 'english_attribute', item_id FROM items WHERE attribute = 'economy'"""
 
 # Trigrams of whole documents: words first, so that no long text is indexed by position.
 WORDS = r"""

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -34,7 +35,7 @@ from fathomline.plans.search import (
 from fathomline.session import checkpoint_dir
 from fathomline.sources.changelog import read_change_log
 from fathomline.sources.directory_stream import read_directory_changes
-from fathomline.sources.index_table import IndexStore, existing_hashes, union_versions, upgrade_schema
+from fathomline.sources.index_table import FILTERED, IndexStore, existing_hashes, union_versions, upgrade_schema
 from fathomline.sources.items import parse_documents, split_bad_records, to_index_rows
 from fathomline.sources.paths import key_from_path, path_is_item, within_size
 from fathomline.streaming.watch import debounce_stream, read_failures, watch
@@ -651,6 +652,22 @@ def ingest_job_index(spark, sf):
     )
 
 
+# One filter on each column of the layout.
+LAYOUT_FILTERS = {
+    "atk": "atk between 1000 and 1009", "def_": "def_ >= 4900", "level": "level = 3", "english_attribute": "english_attribute = 'economy'",
+}
+
+
+@registered
+def layout_scan(spark, sf):
+    """A clustered snapshot read by each of its filters alone."""
+    rows = item_rows(spark, sf).withColumnsRenamed({"item_id": "item_key", "attribute": "english_attribute"})
+    store = IndexStore(spark, fresh_folder(spark, "index"), cluster_by=FILTERED, files=64)
+    store.publish(rows)
+    found = [store.read().where(rule).select(F.lit(name).alias("filter"), "item_key") for name, rule in LAYOUT_FILTERS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @registered
 def path_filter(spark, sf):
     urls = table(spark, sf, "pages").select("page_id", F.split_part("url", F.lit("?"), F.lit(1)).alias("url"))

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import merge
-from fathomline.sources.index_table import IndexStore, existing_hashes, union_versions, upgrade_schema, write_index
+from fathomline.sources.index_table import (
+    FILTERED, IndexStore, existing_hashes, union_versions, upgrade_schema, write_clustered, write_index,
+)
 
 INDEX = "item_key bigint, name string, level int, content_hash string, embedding array<float>"
 
@@ -155,6 +157,45 @@ def test_sorted_index_skips_files(spark, tmp_path):
     assert len(ordered) == 4 and all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:]))
 
 
+def rows_scanned(df):
+    """What the scan hands on: the rows of the row groups that were not skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.nodeName().startswith("Scan"):
+        plan = plan.children().head() if plan.children().size() else plan.executedPlan()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_every_filter_skips_row_groups(spark, tmp_path):
+    """A clustered snapshot: each of the four columns alone leaves out most rows, NULLs and frequent values included."""
+    df = spark.range(40_000).select(
+        F.col("id").alias("item_key"), F.pmod(F.xxhash64("id"), F.lit(4000)).cast("int").alias("atk"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3000)).cast("int").alias("def_"),
+        F.when(F.col("id") % 3 > 0, F.pmod(F.xxhash64("id", F.lit(2)), F.lit(12))).cast("int").alias("level"),
+        F.element_at(F.array(*map(F.lit, ["dark", "dark", "dark", "earth", "fire", "light", "water", "wind", None])),
+                     (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(9)) + 1).cast("int")).alias("english_attribute"),
+    )
+    store = IndexStore(spark, str(tmp_path / "store"), cluster_by=FILTERED, files=256)
+    store.publish(df)
+    stored = store.read()
+    assert stored.count() == 40_000
+    for rule in ("atk between 1000 and 1010", "def_ >= 2990", "level = 7", "english_attribute = 'fire'"):
+        held = stored.where(rule)
+        assert sorted(r[0] for r in held.select("item_key").collect()) == sorted(r[0] for r in df.where(rule).select("item_key").collect())
+        assert rows_scanned(held) < 20_000, rule
+    plain = IndexStore(spark, str(tmp_path / "plain"))
+    plain.publish(df)
+    assert rows_scanned(plain.read().where("atk between 1000 and 1010")) == 40_000
+
+
+def test_layout_of_nothing_and_of_one_value(spark, tmp_path):
+    df = spark.range(50).select(F.col("id").alias("item_key"), F.lit(5).alias("atk"), F.lit(None).cast("int").alias("level"))
+    write_clustered(df, str(tmp_path / "one"), ["atk", "level"])
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 50
+    write_clustered(df.where("false"), str(tmp_path / "none"), ["atk", "level"])
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_upsert_property(spark):
     """Random merges agree with a dictionary."""
     import random

@@ -1,11 +1,12 @@
 """Numeric bounds written inside free-text queries, in English and Portuguese.
 
 A text is cut into lexemes: known phrases, numbers, blanks, other words, single
-characters. A table gives each lexeme a letter for what it means, so a text
-becomes a short string of letters. Every number is then looked at once, with a
-few letters to its left and right, and the first rule that fits says what kind
-of bound it is. The strongest kind in the text decides, then the first place.
-Everything is a column expression.
+characters. A table gives each lexeme a letter for what it means. From every
+number the lexemes are then walked outwards: to the nearest phrase on its left,
+over a unit on its right, to the nearest suffix. What a phrase means, on which
+side of the number it stands and how near, is said once, in ``SENSES``. The
+strongest kind in the text decides, then the first place. Everything is a
+column expression.
 """
 
 from __future__ import annotations
@@ -69,30 +70,130 @@ NUMBER, BLANK, WORD, OTHER = "n", "_", "w", "o"
 LOWER, UPPER, BOTH = "lower", "upper", "both"
 KINDS = {"range": BOTH, "op_min": LOWER, "op_max": UPPER, "comp_min": LOWER, "comp_max": UPPER, "eq": BOTH}
 
-UNIT = "_?p?_?[kv]"
-WHOLE_UNIT = f"_?p?_[kv](?=[_{OTHER}{''.join(SIGNS)}]|$)"
-NO_SUFFIX = "(?!_[Mm])"
-# Kind, and the letters left and right of the number; the first that fits a number holds. A number is not
-# part of a decimal, and only a range may have a dash before it.
-RULES = (
-    ("range", "b_", f"_?[sH]_?n(?!D)(?:{UNIT})?"),
-    ("range", "", f"_?[sH]_?n(?!D){UNIT}"),
-    ("op_min", "l_?", f"(?:{UNIT})?"),
-    ("op_min", "", f"P(?:{UNIT})?"),
-    ("op_max", "u_?", f"(?:{UNIT})?"),
-    ("comp_min", "(?:c_)?(?:[kv]_)?L_", f"(?:{UNIT})?"),
-    ("comp_min", "", f"_(?:p?_?[kv]_)?M(?:{UNIT})?"),
-    ("comp_max", "U_", f"(?:{UNIT})?"),
-    ("comp_max", "", f"_(?:p?_?[kv]_)?m(?:{UNIT})?"),
-    ("eq", "x_", f"(?:{UNIT})?"),
-    ("eq", "k_(?:[qp]_?)?", NO_SUFFIX),
-    ("eq", "(?:[ci]_)?(?<!z)(?<!z_)", WHOLE_UNIT + NO_SUFFIX),
+BEFORE, BEHIND = "before", "behind"
+MUST, MAY, NONE = "must", "may", "none"
+KEYWORD, PREPOSITION, VAGUE = ("k", "v"), ("p",), ("z",)
+SUFFIX, SEPARATOR, OPENER, DOT, DASH = ("M", "m"), ("s", "H"), ("b",), ("D",), ("H",)
+
+
+@dataclass(frozen=True)
+class Sense:
+    """What a phrase says about a number: its kind, its side, and whether a blank stands between.
+
+    ``lead`` lists what may stand in front of a phrase and belongs to it, nearest
+    first. Behind a number a unit may come first, and behind all of it another.
+    """
+
+    kind: str
+    letters: tuple[str, ...]
+    side: str
+    gap: str
+    lead: tuple[tuple[str, ...], ...] = ()
+
+
+SENSES = (
+    Sense("op_min", ("l",), BEFORE, MAY),
+    Sense("op_min", ("P",), BEHIND, NONE),
+    Sense("op_max", ("u",), BEFORE, MAY),
+    Sense("comp_min", ("L",), BEFORE, MUST, (KEYWORD, ("c",))),
+    Sense("comp_min", ("M",), BEHIND, MUST),
+    Sense("comp_max", ("U",), BEFORE, MUST),
+    Sense("comp_max", ("m",), BEHIND, MUST),
+    Sense("eq", ("x",), BEFORE, MUST),
 )
-REACH = 12  # letters a rule looks at on either side, at most
 
 
-def _pattern(kind: str, left: str, right: str) -> str:
-    return left + ("(?<!D)" if kind == "range" else "(?<![DH])") + "#(?!D)" + right
+class Walk:
+    """Steps among the letters of a text, from the number at ``at``."""
+
+    def __init__(self, letters: Column, at: Column):
+        self.letters, self.at = letters, at
+
+    def holds(self, place: Column, kinds) -> Column:
+        return F.coalesce(F.get(self.letters, place).isin(*kinds), F.lit(False))
+
+    def over_blank(self, place: Column, step: int = 1) -> Column:
+        return F.when(self.holds(place, BLANK), place + step).otherwise(place)
+
+    def unit_from(self, place: Column) -> Column:
+        """Behind the unit that begins at ``place``: a keyword, perhaps after a preposition; NULL if there is none."""
+        return let(self.over_blank(place), lambda a: let(
+            F.when(self.holds(a, PREPOSITION), self.over_blank(a + 1)).otherwise(a),
+            lambda b: F.when(self.holds(b, KEYWORD), b + 1),
+        ))
+
+    def with_unit(self, place: Column) -> Column:
+        return F.coalesce(self.unit_from(place), place)
+
+    def led(self, place: Column, lead) -> Column:
+        """Where a phrase at ``place`` begins, with the words of ``lead`` in front of it."""
+        def one_more(kinds) -> Column:
+            return let(place, lambda p: F.when(self.holds(p - 1, BLANK) & self.holds(p - 2, kinds), p - 2).otherwise(p))
+
+        for kinds in lead:
+            place = one_more(kinds)
+        return place
+
+    def no_suffix(self, place: Column) -> Column:
+        return ~(self.holds(place, BLANK) & self.holds(place + 1, SUFFIX))
+
+    # Each of these gives a struct of the first and the last place (exclusive) of the phrase, or NULL.
+
+    def span(self, fits: Column, begin: Column, end: Column) -> Column:
+        return F.when(fits, F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end")))
+
+    def before(self, sense: Sense) -> Column:
+        gap = self.holds(self.at - 1, BLANK)
+        left = self.over_blank(self.at - 1, -1)
+        near = gap if sense.gap == MUST else F.lit(True)
+        return self.span(near & self.holds(left, sense.letters), self.led(left, sense.lead), self.with_unit(self.at + 1))
+
+    def behind(self, sense: Sense) -> Column:
+        if sense.gap == NONE:
+            return self.span(self.holds(self.at + 1, sense.letters), self.at, self.with_unit(self.at + 2))
+        # The suffix follows the number or its unit, after a blank.
+        unit = self.unit_from(self.at + 1)
+        suffix = let(unit, lambda u: F.when(self.holds(u, BLANK) & self.holds(u + 1, sense.letters), u + 1).when(
+            self.holds(self.at + 2, sense.letters), self.at + 2
+        ))
+        return let(suffix, lambda place: self.span(
+            self.holds(self.at + 1, BLANK) & place.isNotNull(), self.at, self.with_unit(place + 1)
+        ))
+
+    def between(self) -> Column:
+        """Two numbers with a separator, told by an opener in front or a unit behind."""
+        opened = self.holds(self.at - 1, BLANK) & self.holds(self.at - 2, OPENER)
+        separator = self.over_blank(self.at + 1)
+        second = let(separator, lambda s: F.when(self.holds(s, SEPARATOR), self.over_blank(s + 1)))
+        return let(second, lambda n: let(self.unit_from(n + 1), lambda unit: self.span(
+            self.holds(n, NUMBER) & ~self.holds(n + 1, DOT) & (opened | unit.isNotNull()),
+            F.when(opened, self.at - 2).otherwise(self.at), F.coalesce(unit, n + 1),
+        )))
+
+    def named(self) -> Column:
+        """A keyword in front of the number, perhaps with a word that links them."""
+        left = self.over_blank(self.at - 1, -1)
+        linked = let(left, lambda p: F.when(self.holds(self.at - 1, BLANK) & self.holds(p, "k"), p).when(
+            self.holds(p, ("q", "p")) & self.holds(p - 1, BLANK) & self.holds(p - 2, "k"), p - 2
+        ))
+        return let(linked, lambda p: self.span(p.isNotNull() & self.no_suffix(self.at + 1), p, self.at + 1))
+
+    def measured(self) -> Column:
+        """A unit behind the number that is a word of its own, with nothing vague in front."""
+        ended = (BLANK, OTHER, *SIGNS)
+        vague = self.holds(self.over_blank(self.at - 1, -1), VAGUE)
+        return let(self.unit_from(self.at + 1), lambda u: self.span(
+            u.isNotNull() & self.holds(u - 2, BLANK) & (F.get(self.letters, u).isNull() | self.holds(u, ended)) & self.no_suffix(u) & ~vague,
+            self.led(self.at, (("c", "i"),)), u,
+        ))
+
+    def found(self) -> list[tuple[str, Column]]:
+        """Kind and span of all that can be said about the number, which is no part of a decimal; only a range may follow a dash."""
+        whole = ~self.holds(self.at - 1, DOT) & ~self.holds(self.at + 1, DOT)
+        plain = whole & ~self.holds(self.at - 1, DASH)
+        said = [(s.kind, self.before(s) if s.side == BEFORE else self.behind(s)) for s in SENSES]
+        said += [("eq", self.named()), ("eq", self.measured())]
+        return [("range", F.when(whole, self.between()))] + [(kind, F.when(plain, span)) for kind, span in said]
 
 
 def _any(words, gap: str = " ") -> str:
@@ -132,8 +233,7 @@ def constraint(text: Column, spec: ConstraintSpec = ConstraintSpec()) -> Column:
     phrase was all there was.
     """
     known = F.create_map(*[F.lit(part) for pair in spec.letters().items() for part in pair])
-    patterns = [_pattern(*rule) for rule in RULES]
-    ranks = F.array(*[F.lit(list(KINDS).index(kind)) for kind, _, _ in RULES])
+    kinds = list(KINDS)
 
     def letter(lexeme: Column) -> Column:
         kind = (
@@ -144,39 +244,30 @@ def constraint(text: Column, spec: ConstraintSpec = ConstraintSpec()) -> Column:
         )
         return F.coalesce(F.try_element_at(known, F.lower(F.regexp_replace(lexeme, r"(?U)\s+", " "))), kind)
 
-    def by_rule(context: Column, value) -> Column:
-        chosen = F.lit(None)
-        for place in reversed(range(len(patterns))):
-            chosen = F.when(context.rlike(patterns[place]), value(place)).otherwise(chosen)
-        return chosen
-
-    def number(letters: Column, at: Column) -> Column:
-        """The rule that fits the number at ``at``, and what it sees there."""
-        begin = F.greatest(at - REACH, F.lit(0))
-        context = F.concat(letters.substr(begin + 1, at - begin), F.lit("#"), letters.substr(at + 2, F.lit(REACH)))
-        return let(context, lambda c: let(by_rule(c, F.lit), lambda rule: F.struct(
-            F.get(ranks, rule).alias("rank"), at.alias("at"), rule.alias("rule"), c.alias("context")
-        )))
-
-    def decide(q: Column, lexemes: Column, codes: Column) -> Column:
-        places = F.filter(F.transform(codes, lambda c, i: F.when(c == NUMBER, i)), lambda i: i.isNotNull())
-        numbers = let(F.array_join(codes, ""), lambda s: F.transform(places, lambda at: number(s, at)))
-        best = F.array_min(F.filter(numbers, lambda n: n["rank"].isNotNull()))
-        return let(best, lambda b: let(
-            by_rule(b["context"], lambda place: F.regexp_extract(b["context"], patterns[place], 0)),
-            lambda seen: let(b["at"] - F.instr(seen, "#") + 1, lambda begin: outcome(q, lexemes, b["rule"], begin, F.length(seen))),
-        ))
-
-    def outcome(q: Column, lexemes: Column, rule: Column, begin: Column, length: Column) -> Column:
-        kinds = F.array(*[F.lit(kind) for kind, _, _ in RULES])
-        digits = F.filter(F.slice(lexemes, begin + 1, length), lambda x: x.rlike("^[0-9]"))
+    def strongest(letters: Column, at: Column) -> Column:
+        """Kind, place and span of the strongest thing said about the number at ``at``; of equals the one listed first."""
+        said = [
+            F.when(span.isNotNull(), F.struct(
+                F.lit(kinds.index(kind)).alias("rank"), at.alias("at"), F.lit(order).alias("order"), span.alias("span")
+            ))
+            for order, (kind, span) in enumerate(Walk(letters, at).found())
+        ]
+        return F.array_min(F.filter(F.array(*said), lambda x: x.isNotNull()))
+
+    def decide(q: Column, lexemes: Column, letters: Column) -> Column:
+        places = F.filter(F.transform(letters, lambda c, i: F.when(c == NUMBER, i)), lambda i: i.isNotNull())
+        best = F.array_min(F.filter(F.transform(places, lambda at: strongest(letters, at)), lambda x: x.isNotNull()))
+        return let(best, lambda b: outcome(q, lexemes, F.get(F.array(*map(F.lit, kinds)), b["rank"]), b["span"]["begin"], b["span"]["end"]))
+
+    def outcome(q: Column, lexemes: Column, tier: Column, begin: Column, end: Column) -> Column:
+        digits = F.filter(F.slice(lexemes, begin + 1, end - begin), lambda x: x.rlike("^[0-9]"))
         # A number beyond the type is the largest there is: it still bounds.
         values = F.transform(digits, lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
-        left = F.concat(F.slice(lexemes, F.lit(1), begin), F.slice(lexemes, begin + length + 1, F.size(lexemes)))
-        return let(F.get(kinds, rule), lambda tier: F.struct(
-            tier.alias("tier"),
-            F.when(tier.isin([k for k, bound in KINDS.items() if bound != UPPER]), F.array_min(values)).alias("lower"),
-            F.when(tier.isin([k for k, bound in KINDS.items() if bound != LOWER]), F.array_max(values)).alias("upper"),
+        left = F.concat(F.slice(lexemes, F.lit(1), begin), F.slice(lexemes, end + 1, F.size(lexemes)))
+        return let(tier, lambda t: F.struct(
+            t.alias("tier"),
+            F.when(t.isin([k for k, bound in KINDS.items() if bound != UPPER]), F.array_min(values)).alias("lower"),
+            F.when(t.isin([k for k, bound in KINDS.items() if bound != LOWER]), F.array_max(values)).alias("upper"),
             F.coalesce(F.nullif(collapse_spaces(F.array_join(left, "")), F.lit("")), q).alias("rest"),
         ))
 

@@ -261,6 +261,8 @@ ORACLES: dict[str, str] = {
     "filter_property": f"WITH {ITEMS} SELECT item_id, name FROM items WHERE list_contains(properties, 'widget')",
     "filter_pairs_batch": f"""{BASE} SELECT q.query_id, count(*) AS n_items, min(i.item_id) AS first_item,
         CAST(sum(i.item_id) AS BIGINT) AS id_sum FROM asked q JOIN items i ON {IN_SCOPE} GROUP BY q.query_id""",
+    "filter_counts_batch": f"""{BASE} SELECT q.query_id, count(i.item_id) AS n_items FROM asked q LEFT JOIN items i ON {IN_SCOPE}
+        GROUP BY q.query_id""",
     "property_index_semijoin": f"""WITH {ITEMS} SELECT item_id, name FROM items i WHERE EXISTS (
         SELECT 1 FROM part WHERE p_type = 'PROMO' AND p_size <= 2 AND list_contains(i.properties, p_brand))""",
     "constraints_generated": _phrases(),

@@ -20,6 +20,7 @@ from fathomline.functions.text import build_content, clean_int, collapse_spaces,
 from fathomline.functions.trigram import trgm_similarity, trigram_windows
 from fathomline.functions.vectors import check_dims, cosine_distance, l2_normalize, norm
 from fathomline.operators import lexical, merge, reports
+from fathomline.operators.counting import filter_counts
 from fathomline.operators.debounce import debounce
 from fathomline.operators.encode import HashedTrigramEncoder, embed, embed_many
 from fathomline.operators.events import ignored_moves, normalize_events
@@ -111,6 +112,11 @@ def filter_pairs_batch(spark, sf):
     )
 
 
+@registered
+def filter_counts_batch(spark, sf):
+    return filter_counts(prepare_queries(queries_view(spark, sf)), item_rows(spark, sf))
+
+
 @registered
 def property_index_semijoin(spark, sf):
     # The brands that sell promotional items.

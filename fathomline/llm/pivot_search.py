@@ -8,13 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fathomline.llm.warc import file_system
 from fathomline.session import cut_lineage
 
 SCALE = 1024
-PIVOTS = 16
+PIVOTS = 64
 QUERY_BLOCK = 1024
 ITEMS_AT_ONCE = 2048
 STEP = 128
+CHUNK = 30_000  # candidates a task holds while the blocks of queries pass
 
 
 def usable(vector: Column) -> Column:
@@ -75,16 +77,29 @@ def _search(queries: dict, best: _Best, ids: np.ndarray, items: np.ndarray, tabl
             best.add(q, np.rint(items[part] @ queries["items"][q]).astype(np.int64), ids[part])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``CHUNK``, however small the given ones are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pivot_topk(rows: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
     """The ``k`` rows with the highest integer inner product for each query, exactly.
 
     ``rows`` (vec_id, embedding); each component x becomes floor(1024 * x).
     Queries are the rows for which ``is_query`` holds, candidates all others.
     A first pass writes each vector with its distances to ``pivots`` vectors, a
-    bounded choice by hash. Queries go to the candidates in blocks of about
-    ``QUERY_BLOCK``, one bounded broadcast each, whatever the number of
-    queries; candidates stay where they are and are read once per block. A task
-    hands on ``k`` rows per query.
+    bounded choice by hash. Candidates stay where they are and are read once:
+    a task holds some of them while the written blocks of about ``QUERY_BLOCK``
+    queries pass, so work is the product that an exact search is, but no query
+    goes through the driver. A task hands on ``k`` rows per query and chunk.
+    How much the bounds rule out depends on the vectors: README has figures.
 
     Defined results: rows whose vector is null or holds null or non-finite
     components, and rows without an id, take no part; a shorter vector counts
@@ -94,7 +109,6 @@ def pivot_topk(rows: DataFrame, is_query: Column, k: int = 10, pivots: int = PIV
     under 2^53; an empty table gives none; other columns are not looked at.
     Returns query_id, rank, vec_id, score.
     """
-    spark = rows.sparkSession
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
     base = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), whole.alias("items"), is_query.alias("asks")
@@ -120,39 +134,40 @@ def pivot_topk(rows: DataFrame, is_query: Column, k: int = 10, pivots: int = PIV
     asking = cut_lineage(
         table.where("asks").groupBy("vec_id").agg(F.min(F.struct("items", "pivots")).alias("q")).select("vec_id", "q.*")
     )
+    # A file per block; tasks read them one after the other, so neither the plan nor the driver grows with the queries.
     blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    files = cut_lineage(asking.repartition(blocks, "vec_id")).inputFiles()
+    n_pivots = len(places)
+
+    def queries_of(path: str) -> dict | None:
+        import pyarrow.parquet as pq
 
-    def one(block: int) -> DataFrame:
-        held = asking.where(part == block).toArrow().combine_chunks().to_batches()
-        schema = "query_id bigint, vec_id bigint, score bigint"
+        store, name = file_system(path)
+        with store.open_input_file(name) as file:
+            held = pq.read_table(file).combine_chunks().to_batches()
         if not held:
-            return spark.createDataFrame([], schema)
+            return None
         asked = matrix(held[0].column("items"), width)
-        queries = {
+        return {
             "id": held[0].column("vec_id").to_numpy(), "items": asked, "length": (asked * asked).sum(axis=1),
-            "table": matrix(held[0].column("pivots"), len(places)),
+            "table": matrix(held[0].column("pivots"), n_pivots),
         }
-        sent = spark.sparkContext.broadcast(queries)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries = sent.value
-            best = _Best(len(queries["id"]), k)
-            for batch in batches:
-                for begin in range(0, batch.num_rows, ITEMS_AT_ONCE):
-                    piece = batch.slice(begin, ITEMS_AT_ONCE)
-                    _search(queries, best, piece.column("vec_id").to_numpy(), matrix(piece.column("items"), width),
-                            matrix(piece.column("pivots"), queries["table"].shape[1]))
-            sizes = [len(s) for s in best.scores]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(queries["id"], sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))],
-                names=["query_id", "vec_id", "score"],
-            )
-
-        return table.select("vec_id", "items", "pivots").mapInArrow(search, schema)
 
-    found = one(0)
-    for block in range(1, blocks):
-        found = found.unionAll(one(block))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches):
+            ids, items = held.column("vec_id").to_numpy(), matrix(held.column("items"), width)
+            distances = matrix(held.column("pivots"), n_pivots)
+            for queries in filter(None, map(queries_of, files)):
+                best = _Best(len(queries["id"]), k)
+                for begin in range(0, len(ids), ITEMS_AT_ONCE):
+                    part = slice(begin, begin + ITEMS_AT_ONCE)
+                    _search(queries, best, ids[part], items[part], distances[part])
+                sizes = [len(s) for s in best.scores]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(queries["id"], sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))],
+                    names=["query_id", "vec_id", "score"],
+                )
+
+    found = table.select("vec_id", "items", "pivots").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

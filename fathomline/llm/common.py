@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.session import cut_lineage, fits_broadcast
+from fathomline.session import checkpoint_dir, cut_lineage, fits_broadcast
 
 # A word: anything but a blank or one of the five ASCII control blanks. ``bytes.split()`` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, *by: str) -> str:
+    """The folder in the shared place that ``df`` is written to, with a folder for each value of ``by``; removed when the application ends."""
+    spark = df.sparkSession
+    path = posixpath.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
+    df.write.partitionBy(*by).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of ``path`` and the path in it; every task opens its own."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path)))
+
+
+def read_rows(path: str, columns: list[str] | None = None) -> pa.Table:
+    """What a task needs of a written file, or of the files of a written folder."""
+    store, name = file_system(path)
+    return pq.read_table(name, columns=columns, filesystem=store, partitioning=None)
+
+
 def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right``, which is sent to every task only if it is measured to be small."""
     return left.join(F.broadcast(right) if fits_broadcast(right) else right, on, how)
@@ -85,4 +111,7 @@ def merge_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-__all__ = ["ROW", "WORD", "cut_lineage", "fits_broadcast", "join_measured", "merge_labels", "numbered", "row_column", "table", "text_slices", "texts_of"]
+__all__ = [
+    "ROW", "WORD", "cut_lineage", "file_system", "fits_broadcast", "join_measured", "merge_labels", "numbered", "read_rows", "row_column",
+    "table", "text_slices", "texts_of", "written",
+]

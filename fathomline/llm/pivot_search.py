@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fathomline.llm.warc import file_system
+from fathomline.llm.common import read_rows
 from fathomline.session import cut_lineage
 
 SCALE = 1024
@@ -140,11 +140,7 @@ def pivot_topk(rows: DataFrame, is_query: Column, k: int = 10, pivots: int = PIV
     n_pivots = len(places)
 
     def queries_of(path: str) -> dict | None:
-        import pyarrow.parquet as pq
-
-        store, name = file_system(path)
-        with store.open_input_file(name) as file:
-            held = pq.read_table(file).combine_chunks().to_batches()
+        held = read_rows(path).combine_chunks().to_batches()
         if not held:
             return None
         asked = matrix(held[0].column("items"), width)

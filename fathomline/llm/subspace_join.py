@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.common import join_measured, merge_labels
+from fathomline.llm.common import join_measured, merge_labels, read_rows, written
 from fathomline.llm.components import components
 from fathomline.llm.pivot_search import usable
 from fathomline.session import cut_lineage
@@ -19,6 +19,7 @@ LEAF_ROWS = 8192
 SAMPLE = 4096
 SLACK = 1e-5  # room for single precision in what only narrows the search
 PAIRS_AT_ONCE = 100_000
+MOST_TASKS = 10_000
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -116,6 +117,24 @@ def _links(x: dict, y: dict, same: bool, block: int, cosine: float) -> tuple[np.
     return every[found], every[label[found]], links[found]
 
 
+def _boxes(files: list[str]) -> dict[tuple[int, int], tuple[list, np.ndarray, np.ndarray]]:
+    """For each (dims, block), its cells in order and the corners of their boxes."""
+    rows: dict[tuple[int, int], list] = {}
+    for file in files:
+        for r in read_rows(file).to_pylist():
+            rows.setdefault((r["dims"], r["block"]), []).append(((r["leaf"], r["part"]), r["low"], r["high"]))
+    return {
+        key: ([c for c, _, _ in held], np.array([low for _, low, _ in held]), np.array([high for _, _, high in held]))
+        for key, held in ((key, sorted(held)) for key, held in rows.items())
+    }
+
+
+def _partners(mine: int, n: int) -> list[int]:
+    """The cells that cell ``mine`` of ``n`` is compared with: itself and half of the others, so that each pair is met once."""
+    half = [(mine + step) % n for step in range((n + 1) // 2)]
+    return half + [mine + n // 2] * (n % 2 == 0 and mine < n // 2)
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Links and groups of the vectors of ``rows`` (vec_id, embedding) whose cosine is at least ``cosine``.
 
@@ -123,10 +142,13 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_
     into blocks of about 16 dimensions; a pair that near is within its share of
     the squared distance in one block at least. In each block, cells learned
     from a bounded sample hold about ``leaf_rows`` classes, one row of bounded
-    size each; an overfull cell is split by hash. Pairs of cells whose boxes are
-    farther apart than the block's share are left out; the others are compared in
-    a task, and what is within the share is verified there. A cell hands on one
-    row for a class, so dense groups do not become all their pairs.
+    size each in a file of its own; an overfull cell is split by hash. A task
+    takes a cell, leaves out the cells whose boxes are farther away than the
+    block's share, and reads the others one by one: vectors are shuffled once,
+    into their cells. What is within the share is verified there. A pair of
+    cells hands on one row for a class, so dense groups do not become all their
+    pairs. How many cells the boxes rule out depends on the data and its size:
+    README has figures.
 
     Defined results: vectors that are null, empty, zero or hold null or
     non-finite components, and vectors of different lengths, are not linked;
@@ -136,7 +158,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_
     are not looked at.
     Returns vec_id, n_links, component_id, kept.
     """
-    given = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    spark = rows.sparkSession
+    kind = rows.schema["embedding"].dataType.elementType.simpleString()
+    kind, digits = ("float", "<f4") if kind == "float" else ("double", "<f8")
+    given = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     good = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     classes = cut_lineage(given.where(good).groupBy("embedding").agg(
         F.count("*").alias("rows"), F.min("vec_id").alias("least")
@@ -145,7 +170,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_
     splits: dict[int, list[Splits]] = {}
     for dims, count in sizes.items():
         sample = classes.where(F.size("embedding") == dims).orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding")
-        points = rotated(np.array([r[0] for r in sample.collect()], np.float32))
+        points = rotated(np.array([r[0] for r in sample.collect()], digits))
         levels = max(0, int(np.ceil(np.log2(count / leaf_rows))))
         splits[dims] = [Splits(points[:, b], levels) for b in blocks_of(dims)]
 
@@ -166,7 +191,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_
                     )
 
     dealt = classes.select("class", "rows", "embedding").mapInArrow(
-        deal, "dims int, block int, leaf bigint, class bigint, rows bigint, embedding array<float>"
+        deal, f"dims int, block int, leaf bigint, class bigint, rows bigint, embedding array<{kind}>"
     )
     counts = dealt.groupBy("dims", "block", "leaf").agg(F.ceil(F.count("*") / F.lit(2 * leaf_rows)).cast("int").alias("parts"))
     split_up = join_measured(dealt, counts, ["dims", "block", "leaf"]).withColumn(
@@ -181,38 +206,42 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_
         return pa.table({
             "dims": pa.array([dims], pa.int32()), "block": pa.array([block], pa.int32()), "leaf": table.column("leaf").slice(0, 1),
             "part": table.column("part").slice(0, 1), "low": [points.min(axis=0).tolist()], "high": [points.max(axis=0).tolist()],
-            "ids": [numbers("class")], "rows": [numbers("rows")], "vectors": [vectors.astype("<f4").tobytes()],
+            "ids": [numbers("class")], "rows": [numbers("rows")], "vectors": [vectors.astype(digits).tobytes()],
         })
 
     schema = "dims int, block int, leaf bigint, part int, low array<double>, high array<double>, ids binary, rows binary, vectors binary"
-    cells = cut_lineage(split_up.groupBy("dims", "block", "leaf", "part").applyInArrow(bring, schema))
-    boxes = cells.select("dims", "block", F.struct("leaf", "part").alias("cell"), "low", "high")
-    gaps = F.zip_with(
-        F.zip_with("x.low", "y.high", lambda p, q: p - q), F.zip_with("y.low", "x.high", lambda p, q: p - q),
-        lambda p, q: F.greatest(p, q, F.lit(0.0)),
-    )
-    apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    share = F.lit(2 - 2 * cosine) * F.size("x.low") / F.col("x.dims") + SLACK
-    pairs = boxes.alias("x").join(boxes.alias("y"), ["dims", "block"]).where(
-        (F.col("x.cell") <= F.col("y.cell")) & (apart <= share)
-    ).select("dims", "block", F.col("x.cell").alias("x_cell"), F.col("y.cell").alias("y_cell"))
-    held = cells.select("dims", "block", F.struct("leaf", "part").alias("cell"), F.struct("ids", "rows", "vectors").alias("held"))
-    side = lambda name: held.select("dims", "block", F.col("cell").alias(f"{name}_cell"), F.col("held").alias(name))
-    tiles = pairs.join(side("x"), ["dims", "block", "x_cell"]).join(side("y"), ["dims", "block", "y_cell"]).select(
-        "dims", "block", (F.col("x_cell") == F.col("y_cell")).alias("same"), "x", "y"
-    )
+    folder = written(split_up.groupBy("dims", "block", "leaf", "part").applyInArrow(bring, schema), "dims", "block", "leaf", "part")
+    cells = spark.read.schema(schema).parquet(folder)
+    # A box per cell, without its vectors: small files that every task reads.
+    files = cut_lineage(cells.select("dims", "block", "leaf", "part", "low", "high")).inputFiles()
+
+    def held(dims: int, block: int, leaf: int, part: int) -> dict:
+        table = read_rows(f"{folder}/dims={dims}/block={block}/leaf={leaf}/part={part}", ["ids", "rows", "vectors"])
+        row = table.to_pylist()[0]
+        return {
+            "ids": np.frombuffer(row["ids"], "<i8"), "rows": np.frombuffer(row["rows"], "<i8"),
+            "vectors": np.frombuffer(row["vectors"], digits).reshape(-1, dims),
+        }
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                read = lambda cell: {
-                    "ids": np.frombuffer(cell["ids"], "<i8"), "rows": np.frombuffer(cell["rows"], "<i8"),
-                    "vectors": np.frombuffer(cell["vectors"], "<f4").reshape(-1, row["dims"]),
-                }
-                found = _links(read(row["x"]), read(row["y"]), row["same"], row["block"], cosine)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["class", "root", "links"])
+            for dims, block, leaf, part in zip(*(c.to_pylist() for c in batch.columns)):
+                boxes = boxes or _boxes(files)
+                names, low, high = boxes[dims, block]
+                mine = names.index((leaf, part))
+                gap = np.maximum(np.maximum(low[mine] - high, low - high[mine]), 0)
+                near = (gap * gap).sum(axis=1) <= budgets(dims, cosine)[block] + SLACK
+                x = held(dims, block, leaf, part)
+                for other in _partners(mine, len(names)):
+                    if near[other]:
+                        y = x if other == mine else held(dims, block, *names[other])
+                        found = _links(x, y, other == mine, block, cosine)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["class", "root", "links"])
 
+    # A cell a task: the cells it meets are read where they are written.
+    jobs = cells.select("dims", "block", "leaf", "part")
+    tiles = jobs.repartition(max(1, min(jobs.count(), MOST_TASKS)))
     links = cut_lineage(tiles.mapInArrow(compare, "class bigint, root bigint, links bigint"))
     joined = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("class").agg(F.sum("links").alias("links"))

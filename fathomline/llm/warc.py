@@ -17,7 +17,7 @@ from pyspark.sql.datasource import (
     InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage,
 )
 
-from fathomline.llm.common import join_measured
+from fathomline.llm.common import file_system, join_measured
 from fathomline.session import checkpoint_dir, cut_lineage
 
 MANIFEST = "_COMMITTED"  # names the files of finished writes; others are leftovers of lost tasks
@@ -46,11 +46,6 @@ COMPARE = {
 }
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The store of ``path`` and the path in it; every task opens its own."""
-    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path)))
-
-
 def header_value(text: str) -> str:
     """``text`` on one line: control characters are percent-encoded."""
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", text)

@@ -8,6 +8,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -46,9 +47,13 @@ COMPARE = {
 }
 
 
+# Names the fields of a record whose values are percent-encoded.
+ENCODED = "X-Percent-Encoded"
+
+
 def header_value(text: str) -> str:
-    """``text`` on one line: control characters are percent-encoded."""
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
+    """``text`` on one line, without blanks around it, so that ``unquote`` gives it back: what cannot stand in a field is percent-encoded."""
+    return re.sub(r"[%\x00-\x1f\x7f]|^ +| +$", lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), text)
 
 
 def member(data: bytes) -> bytes:
@@ -69,7 +74,11 @@ def record(row: dict) -> bytes:
     fields = {name: row.get(name) for name, _, _ in HEADERS} | {"content_length": len(block)}
     if block:
         fields["content_type"] = "application/http;msgtype=response"
-    lines = [f"{title}: {header_value(str(fields[name]))}" for name, _, title in HEADERS if fields[name] is not None]
+    given = {title: str(fields[name]) for name, _, title in HEADERS if fields[name] is not None}
+    # Values are written as they are wherever a field can hold them, so addresses that are encoded themselves stay readable.
+    odd = [title for title, text in given.items() if re.search(r"[\x00-\x1f\x7f]|^ | $", text)]
+    lines = [f"{title}: {header_value(text) if title in odd else text}" for title, text in given.items()]
+    lines += [f"{ENCODED}: {', '.join(odd)}"] if odd else []
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -96,7 +105,9 @@ def _fields(head: bytes) -> dict:
     given = {}
     for line in lines:
         name, _, value = line.partition(":")
-        given[name.strip().lower()] = value.strip()
+        given[name.strip().lower()] = value.strip(" \t")
+    for title in filter(None, given.get(ENCODED.lower(), "").lower().split(", ")):
+        given[title] = unquote(given[title])
     found = {name: given.get(title.lower()) for name, _, title in HEADERS}
     for name, kind, _ in HEADERS:
         if kind == "bigint" and found[name] is not None:
@@ -119,9 +130,23 @@ def _plain_records(data: _Bytes, wanted, payloads: bool) -> Iterator[tuple[dict,
                 raise ValueError(f"a header without an end at {offset}")
             need *= 4
         fields, start = _fields(seen[:end]), offset + end + 4
+        length = fields["content_length"]
+        if length is None:
+            length = _until_next(data, start)
         if wanted(fields):
-            yield fields, _payload(fields, data.at(start, fields["content_length"])) if payloads else None
-        offset = start + fields["content_length"] + 4
+            yield fields, _payload(fields, data.at(start, length)) if payloads else None
+        offset = start + length + 4
+
+
+def _until_next(data: _Bytes, start: int) -> int:
+    """The length of a block that does not state it: up to the next record, or to the end."""
+    at, mark = start, b"\r\n\r\nWARC/1."
+    while at < data.size:
+        found = data.at(at, min(WINDOW, data.size - at))[:WINDOW].find(mark)
+        if found >= 0:
+            return at + found - start
+        at += WINDOW - len(mark)
+    return max(0, data.size - start - (4 if data.at(max(start, data.size - 4), 4)[:4] == b"\r\n\r\n" else 0))
 
 
 def _member_length(head: bytes) -> int | None:

@@ -332,6 +332,22 @@ def test_topk(spark):
     assert pivot_search.pivot_topk(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_addresses_come_back_unchanged(spark, tmp_path):
+    urls = [" http://a b ", "u\n1", "u%0A1", "u\r\nWARC-Type: x", "", None, "http://x/%20y", "\u3000wide\u3000", "tab\tin", "ü%", "  "]
+    pages = spark.createDataFrame([(i, u, f"page {i}", "x") for i, u in enumerate(urls)] + [(3, "again", "page 3", "y"), (None, "n", "z", "w")],
+                                  "page_id bigint, url string, html string, payload string")
+    got = sorted((r.url for r in warc.archived_pages(pages, str(tmp_path / "w")).collect()), key=repr)
+    assert got == sorted([*urls, "again", "n"], key=repr)
+
+
+def test_records_without_a_length(spark, tmp_path):
+    blocks = [b"one\r\n\r\nmore", b"", b"x" * 3000]
+    data = b"".join(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: %d\r\n\r\n" % i + x + b"\r\n\r\n" for i, x in enumerate(blocks))
+    (tmp_path / "a.warc").write_bytes(data)
+    got = {r.record_id: bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert got == {str(i): x for i, x in enumerate(blocks)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 5), (200, 201), (7, 7), (300, 300), (201, 200)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

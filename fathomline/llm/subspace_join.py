@@ -86,16 +86,19 @@ def _links(x: dict, y: dict, same: bool, block: int, cosine: float) -> tuple[np.
     cuts, shares = blocks_of(dims), budgets(dims, cosine)
     a, b = rotated(x["vectors"]), rotated(y["vectors"])
     pa_, pb = a[:, cuts[block]], b[:, cuts[block]]
-    half = (pb * pb).sum(axis=1)[None, :]
+    # One product gives all squared distances: of (p, |p|^2, 1) and (-2 q, 1, |q|^2).
+    one = lambda n: np.ones((n, 1), np.float32)
+    square = lambda m: (m * m).sum(axis=1)[:, None]
+    left = np.hstack([pa_, square(pa_), one(len(pa_))])
+    right = np.ascontiguousarray(np.hstack([-2 * pb, one(len(pb)), square(pb)]).T)
     wide = x["vectors"].astype(np.float64), y["vectors"].astype(np.float64)
     norms = [np.sqrt((w * w).sum(axis=1)) for w in wide]
     every, place = np.unique(np.concatenate([x["ids"], y["ids"]]), return_inverse=True)
     of_x, of_y = place[:len(a)], place[len(a):]
     label, links = np.arange(len(every)), np.zeros(len(every), np.int64)
-    for begin in range(0, len(a), 512):
-        part = pa_[begin:begin + 512]
-        squares = (part * part).sum(axis=1)[:, None] + half - 2 * part @ pb.T
-        i, j = np.nonzero(squares <= shares[block] + 10 * SLACK)
+    for begin in range(0, len(a), 128):
+        near = np.flatnonzero(left[begin:begin + 128] @ right <= np.float32(shares[block] + 10 * SLACK))
+        i, j = np.divmod(near, len(pb))
         i = i + begin
         if same:
             i, j = i[i < j], j[i < j]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,8 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
 
     Rows are range-sorted and summed within their part; what stands in earlier
     parts of a group is added from sums of the parts. A group of any size is
-    many tasks' work. ``order`` is to tell the rows of a group apart.
+    many tasks' work. ``order`` is to tell the rows of a group apart; groups and
+    order may hold NULL.
     """
     keys = [*group, *order]
     rows = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()))
@@ -27,8 +29,9 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
     earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy(*group, "__part").agg(F.sum(value).alias("__sum"))
     offsets = parts.select(*group, "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    local = rows.withColumn("__here", F.sum(value).over(here))
-    return local.join(offsets, [*group, "__part"]).withColumn(name, F.col("__here") + F.col("__before")).drop("__here", "__before", "__part")
+    local = rows.withColumn("__here", F.sum(value).over(here)).alias("l")
+    same = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*group, "__part")])
+    return local.join(offsets.alias("o"), same).select("l.*", (F.col("__here") + F.col("__before")).alias(name)).drop("__here", "__part")
 
 
 def _in_block(kind: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:

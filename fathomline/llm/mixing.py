@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fathomline.llm.common import WORD, join_measured
+from fathomline.llm.common import WORD, as_written, join_measured
+from fathomline.operators.counting import running_total
 from fathomline.session import cut_lineage
 
 WEIGHTS = (3.0, 1.0, 2.0)
 # Intensity of each weight's sources at the start and at the end of the training.
 SCHEDULE = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-BUCKETS = 4096  # ranges of a source's order; sums of these, not rows, are carried over
 INNER = "__mix_"
 
 
@@ -18,14 +18,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _prepared(docs: DataFrame, size: Column) -> DataFrame:
-    """``docs`` with a size, an order that looks at the id alone, and the bucket of that order."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.withColumns({f"{INNER}size": size, f"{INNER}order": order}).withColumn(
-        f"{INNER}bucket", (F.conv(F.substring(f"{INNER}order", 1, 3), 16, 10)).cast("int") % BUCKETS
-    )
-
-
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
     """Words to take from each source of ``sizes`` (source, source_size).
 
@@ -79,31 +71,32 @@ def mixture(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = 1.5,
     and one document of a source may be cut. Words at offset o of a source's
     demand stand at the time its integrated schedule reaches o.
 
-    A source with a third of all rows is dealt out over buckets of its order;
-    only sums by bucket are carried over. ``docs`` is read twice: pass a written
-    table if it is costly to make.
+    Only ids, sizes and hashes are sorted, over ranges of like size, so neither a
+    source nor an id that a third of all rows share is one task's work. Rows
+    are numbered where they are read, and get their places by these numbers;
+    ``docs`` is read twice, and written first if it is not a plain read of files.
     """
-    rows = _prepared(docs, size)
-    bucket, words = f"{INNER}bucket", F.col(f"{INNER}size")
-    sums = cut_lineage(rows.groupBy("source", bucket).agg(F.sum(words).alias("words")))
-    targets = source_targets(
-        sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeat
-    )
-    earlier = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    # Under unused names: ``docs`` may have columns of any name.
-    carried = sums.withColumn("start", F.coalesce(F.sum("words").over(earlier), F.lit(0))).alias("c").join(
-        targets.alias("t"), F.expr("c.source <=> t.source")
-    ).select(
-        F.col("c.source").alias(f"{INNER}src"), F.col(f"c.{bucket}").alias(f"{INNER}b"), F.col("start").alias(f"{INNER}start"),
-        F.col("source_size").alias(f"{INNER}source_size"), F.col("target").alias(f"{INNER}target"),
+    docs = as_written(docs)
+    names = {k: f"{INNER}{k}" for k in ("row", "source", "size", "order", "id", "tie", "upto", "at")}
+    rows = docs.withColumns({names["row"]: F.monotonically_increasing_id(), names["size"]: size})
+    thin = cut_lineage(rows.select(
+        names["row"], F.col("source").alias(names["source"]), names["size"], F.col("doc_id").alias(names["id"]),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(names["order"]),
+        (F.xxhash64("text") if "text" in docs.columns else F.lit(0)).alias(names["tie"]),
+    ))
+    words = F.col(names["size"])
+    sums = cut_lineage(thin.groupBy(F.col(names["source"]).alias("source")).agg(F.sum(words).alias("source_size")))
+    targets = source_targets(sums, weights, share, max_repeat).select(
+        F.col("source").alias(f"{INNER}src"), F.col("source_size").alias(f"{INNER}source_size"), F.col("target").alias(f"{INNER}target"),
         F.col("turn").alias(f"{INNER}turn"), F.round("target").cast("bigint").alias(f"{INNER}goal"),
     )
-    joined = join_measured(rows, carried, F.col("source").eqNullSafe(F.col(f"{INNER}src")) & (F.col(bucket) == F.col(f"{INNER}b")))
-    ties = [F.xxhash64("text")] if "text" in docs.columns else []
-    within = Window.partitionBy("source", bucket).orderBy(f"{INNER}order", "doc_id", f"{INNER}size", *ties)
-    running = F.sum(words).over(within.rowsBetween(Window.unboundedPreceding, 0)) - words
-    at, goal, whole = F.col(f"{INNER}start") + running, F.col(f"{INNER}goal"), F.col(f"{INNER}source_size")
-    placed = joined.withColumn(f"{INNER}at", at).withColumn(
+    order = [names[k] for k in ("order", "id", "size", "tie", "row")]
+    placed = running_total(thin, [names["source"]], order, names["size"], names["upto"])
+    placed = join_measured(placed, targets, F.col(names["source"]).eqNullSafe(F.col(f"{INNER}src")))
+    placed = placed.withColumn(names["at"], F.col(names["upto"]) - words).drop(*[names[k] for k in ("source", "order", "id", "tie", "upto", "size")])
+    joined = rows.join(placed, names["row"])
+    goal, whole = F.col(f"{INNER}goal"), F.col(f"{INNER}source_size")
+    placed = joined.withColumn(
         f"{INNER}full", F.when(whole > 0, F.floor(goal / F.greatest(whole, F.lit(1)))).otherwise(F.lit(0)).cast("bigint")
     )
     rest = goal - F.col(f"{INNER}full") * whole - F.col(f"{INNER}at")

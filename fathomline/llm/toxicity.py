@@ -227,17 +227,22 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = 400, n_clean: int =
     At most ``n_toxic`` and ``n_clean`` labels, the first in the order of a hash
     of the id; texts longer than ``max_chars`` are not learned from. The sample's
     ids, at most n_toxic + n_clean, are sent to the scan of the documents.
+
+    Defined results: labels without an id or a mark say nothing; of several
+    labels of an id toxic counts; of several documents with an id the least text
+    is learned from, so the sample is bounded however often an id stands there;
+    without any labelled document the model is neutral.
     """
-    marked = labels.where("toxic is not null and doc_id is not null").select(
-        F.col("doc_id").alias("id"), (F.col("toxic") != 0).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("at")
-    )
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
+        F.max((F.col("toxic") != 0).cast("int")).alias("toxic")
+    ).withColumn("at", F.xxhash64("id"))
     counts = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     picked = marked.where("toxic = 1").orderBy("at", "id").limit(n_toxic).union(
         marked.where("toxic = 0").orderBy("at", "id").limit(n_clean)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).where(
-        F.length("text") <= max_chars
-    ).select("at", "doc_id", "text", "toxic")
+    held = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).where(F.length("text") <= max_chars)
+    # One text for each id, chosen within the tasks first.
+    rows = held.groupBy("at", "doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["at"], r["doc_id"], r["text"]))

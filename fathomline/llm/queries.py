@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.llm.common import table
 from fathomline.llm.fill_middle import fill_in_middle
-from fathomline.llm.license_scan import NOTICES, scan_licenses
+from fathomline.llm.license_scan import NOTICES, SHORT_NOTICES, scan_licenses
 from fathomline.llm.mixing import mixed_plan
 from fathomline.llm.ngram_filter import score_texts
 from fathomline.llm.packing import pack_documents
@@ -71,6 +71,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"),
+        # Where the offending words begin and end, in characters.
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",").alias("spans"),
     )
 
 
@@ -86,7 +88,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), NOTICES | SHORT_NOTICES)
 
 
 @registered
@@ -124,7 +126,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _BLANKS = r"[^\x20\x09-\x0D]+"
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
-_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in NOTICES.items())
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in (NOTICES | SHORT_NOTICES).items())
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 # The checksum's low bits, a bit at a time: each digit is mixed in, then shifted out eight times.
 _CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({0}, ''),
@@ -208,7 +210,13 @@ ORACLES: dict[str, str] = {
             FROM hits GROUP BY doc_id, license, k, step
         )
         SELECT doc_id, license, max(held) AS containment, CAST(-max((held, -start))[2] AS INTEGER) AS word_start, count(*) AS n_windows
-        FROM held WHERE held >= 0.8 GROUP BY doc_id, license""",
+        FROM held WHERE held >= 0.8 GROUP BY doc_id, license
+        UNION ALL
+        SELECT doc_id, license, CAST(1 AS DOUBLE), CAST(min(place) AS INTEGER), count(DISTINCT place)
+        FROM (
+            SELECT doc_id, d0.ws, t0.license, t0.ws AS line, unnest(generate_series(0, len(d0.ws) - len(t0.ws))) AS place
+            FROM d0 JOIN t0 ON len(t0.ws) < 5 AND list_contains(d0.ws, t0.ws[1])
+        ) WHERE ws[place + 1:place + len(line)] = line GROUP BY doc_id, license""",
     "op10_mixture": f"""
         WITH d AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_BLANKS}')), 0) AS BIGINT) AS size FROM documents

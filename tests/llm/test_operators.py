@@ -348,6 +348,38 @@ def test_records_without_a_length(spark, tmp_path):
     assert got == {str(i): x for i, x in enumerate(blocks)}
 
 
+def test_labels_of_hot_and_missing_ids_stay_bounded(spark):
+    """A third of the documents share the id of one label, a third have none: a task learns from one text for each id."""
+    docs = spark.createDataFrame(
+        [(1, f"vile {i}") for i in range(300)] + [(None, "vile")] * 300 + [(i, "vile words" if i % 2 else "fine words") for i in range(2, 40)],
+        "doc_id bigint, text string",
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(1, 0), (None, 1), (5, None), (7, 0)], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect() if r.doc_id}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """A third of the rows without an id, a third with one: what each source gives is what its target says."""
+    rows = [(None, words(i, 5), "a") for i in range(60)] + [(4, words(i, 7), None) for i in range(60)] + [(i, words(i, 3), "b") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    taken = Counter()
+    for r in mixing.mixed_plan(docs).collect():
+        taken[r.source_size, round(r.target)] += r.taken
+    assert all(n == target for (_, target), n in taken.items()) and len(taken) == 3
+    got = Counter(r.source for r in mixing.mixed_documents(docs).collect() for _ in by_words(r.text))
+    assert sorted(got.values()) == sorted(taken.values())
+
+
+def test_whole_licences_and_short_lines(spark):
+    from fathomline.llm.license_scan import NOTICES, SHORT_NOTICES
+
+    rows = [(1, "x " * 30 + NOTICES["mit"] + " y" * 40), (2, NOTICES["isc"].lower()), (3, "end. All rights reserved."), (4, None), (5, "")]
+    got = {(r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), NOTICES | SHORT_NOTICES).collect()}
+    assert got == {(1, "mit"), (1, "mit-grant"), (2, "isc"), (2, "isc-grant"), (3, "all-rights-reserved-line")}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 5), (200, 201), (7, 7), (300, 300), (201, 200)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -11,6 +11,7 @@ from fathomline.operators.encode import Encoder, embed
 from fathomline.operators.fusion import fused_candidates, materialize
 from fathomline.operators.reports import build_context, build_prompts, format_results
 from fathomline.operators.rerank import Scorer, default_scorer, rerank
+from fathomline.session import cut_lineage
 
 RESULT_FIELDS = ("name", "content", "level", "atk", "def_", "attribute", "properties")
 
@@ -66,7 +67,8 @@ def hybrid_search(
     """
     prepared = with_limits(prepare_queries(queries, spec), limit)
     if encoder is not None:
-        prepared = embed(prepared, "search_text", encoder, "query_vec")
+        # Measured, ranked and joined again: each query is encoded once.
+        prepared = cut_lineage(embed(prepared, "search_text", encoder, "query_vec"))
     candidates = hybrid_candidates(prepared, items, mode=mode)
     asked = prepared.select("query_id", "search_text", "top_k")
     ranked = rerank(candidates.join(asked, "query_id"), F.col("top_k"), scorer)

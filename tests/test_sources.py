@@ -197,3 +197,27 @@ def test_search_over_the_ingested_index(spark, folder, tmp_path):
     report = {r.query_id: r.report for r in search_report(queries, items, encoder=HashedTrigramEncoder(32)).collect()}
     assert report[1].startswith("Top 2 results for: blue eyes dragon\n\n1. Blue Eyes Dragon\n   Name: Blue Eyes Dragon |")
     assert report[3] == "No cards found matching your query."
+
+
+def test_vectors_of_another_length_fail(spark, tmp_path):
+    files, store = str(tmp_path / "items"), IndexStore(spark, str(tmp_path / "store"))
+    put(files, "1.json", full(1))
+    ingest(spark, files, store, {"embedding_local": HashedTrigramEncoder(8)})
+    put(files, "2.json", full(2))
+    result = ingest(spark, files, store, {"embedding_local": HashedTrigramEncoder(16)})
+    assert [(r.item_key, r.embed_error) for r in result.failed.collect()] == [(2, "embedding_local: 16 dimensions, not 8")]
+    assert [r.item_key for r in store.read().collect()] == [1]
+    ingest(spark, files, store, {"embedding_local": HashedTrigramEncoder(8)})
+    assert sorted(r.item_key for r in store.read().collect()) == [1, 2]
+
+
+def test_the_skip_join_moves_no_contents(spark, tmp_path, plan):
+    files = str(tmp_path / "items")
+    for i in range(4):
+        put(files, f"{i}.json", full(i))
+    from fathomline.plans.ingest import mark_documents
+
+    marked = mark_documents(read_items(spark, files), IndexStore(spark, str(tmp_path / "none")).read())
+    assert {r.status for r in marked.collect()} == {"changed"}
+    text = plan(marked)
+    assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text

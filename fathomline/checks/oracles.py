@@ -299,9 +299,9 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, round(sim, 6) AS similarity, round(1 - sim, 6) AS distance FROM s""",
     "cosine_distances": """SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "normalized_vectors": """SELECT vec_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length,
-        CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(v[1] / n, 6) END AS first FROM (
-          SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
+    "normalized_vectors": """SELECT vec_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length, CAST(i AS INTEGER) AS place,
+        CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(v[i + 1] / n, 6) + 0.0 END AS value FROM (
+          SELECT vec_id, v, unnest(range(len(v))) AS i, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
             SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * label) AS v FROM embeddings))""",
     "wrong_dims": """SELECT vec_id, CAST(60 + vec_id % 5 AS INTEGER) AS n FROM embeddings WHERE 60 + vec_id % 5 <> 64""",
     "rrf_scores": """SELECT l_orderkey, l_linenumber, round(1.0::DOUBLE / (60 + l_linenumber)
@@ -322,6 +322,9 @@ ORACLES: dict[str, str] = {
     "hybrid_topk": f"""{fused('LEFT', 'pool')} SELECT query_id, item_id, vec_rank, lex_rank, rrf_score, rrf_rank, name, content
         FROM fused JOIN items USING (item_id) JOIN contents USING (item_id)""",
     "rerank_topk": f"{reranked('query', '5')} SELECT query_id, item_id, rerank_score, rank FROM ranked",
+    "rerank_learned": f"""{fused('LEFT', 'pool')} SELECT query_id, query_id % 4 = 0 AS held_out,
+        max(CAST(starts_with(search_text, name) AS INTEGER)) AS held_right, max(CAST(starts_with(search_text, name) AS INTEGER)) AS first_is_right
+        FROM fused JOIN items USING (item_id) JOIN asked USING (query_id) GROUP BY query_id""",
     "hybrid_search_full": f"""{reranked('search_text', 's.top_k')}
         SELECT query_id, item_id, rrf_rank, rerank_score, rank FROM ranked""",
     "search_reports": f"""{reranked('search_text', 's.top_k')}, wanted AS (SELECT query_id, query FROM asked) {TOOL_REPORT}""",
@@ -396,6 +399,11 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT event_id, op, path FROM changes WHERE op = 'delete'""",
     "debounced_stream": f"""WITH RECURSIVE {debounced('events', 'user_id, event_type')}
         SELECT user_id::VARCHAR AS path, event_type AS debounce_type, epoch_us(last) AS us FROM walk WHERE kept""",
+    "embed_row_by_row": f"""WITH {ITEMS} SELECT item_id,
+        CASE WHEN '  ' || lower(regexp_replace(name, '[^A-Za-z0-9]+', '   ', 'g')) || ' ' NOT LIKE '% red %' THEN 32 ELSE -1 END AS dims,
+        CASE WHEN '  ' || lower(regexp_replace(name, '[^A-Za-z0-9]+', '   ', 'g')) || ' ' LIKE '% red %' THEN 'RuntimeError: refused' END AS problem
+        FROM items""",
+    "empty_directory_stats": "SELECT c_custkey AS item_key, c_name AS name, CAST(0 AS BIGINT) AS n_documents FROM customer",
     "embed_both": f"""WITH {ITEMS} SELECT item_id, true AS no_hosted, 32 AS dims, 1.0::DOUBLE AS length FROM items""",
 }
 

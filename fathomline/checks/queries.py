@@ -19,6 +19,7 @@ from fathomline.functions.scoring import clamp_limit, pool_size, rrf_score
 from fathomline.functions.text import build_content, clean_int, collapse_spaces, content_hash, render_list
 from fathomline.functions.trigram import trgm_similarity, trigram_windows
 from fathomline.functions.vectors import check_dims, cosine_distance, l2_normalize, norm
+from fathomline.operators.learned import fit_pair_model
 from fathomline.operators import lexical, merge, reports
 from fathomline.operators.counting import filter_counts
 from fathomline.operators.debounce import debounce
@@ -29,11 +30,11 @@ from fathomline.operators.fusion import rrf_fuse
 from fathomline.operators.ivf import ivf_build, ivf_topk, recall_at_k
 from fathomline.operators.nearest import knn_join, nearest_items, vector_topk
 from fathomline.operators.rerank import rerank
-from fathomline.plans.ingest import ingest_documents, reconcile
+from fathomline.plans.ingest import ingest, ingest_documents, reconcile
 from fathomline.plans.search import (
     context_prompts, hybrid_candidates, hybrid_search, search_report, with_limits,
 )
-from fathomline.session import checkpoint_dir
+from fathomline.session import checkpoint_dir, cut_lineage
 from fathomline.sources.changelog import read_change_log
 from fathomline.sources.directory_stream import read_directory_changes
 from fathomline.sources.index_table import FILTERED, IndexStore, existing_hashes, union_versions, upgrade_schema
@@ -258,8 +259,8 @@ def normalized_vectors(spark, sf):
     scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("label"))
     units = table(spark, sf, "embeddings").select("vec_id", l2_normalize(scaled).alias("unit"))
     return units.select(
-        "vec_id", F.round(norm(F.col("unit")), 6).alias("length"), F.round(F.element_at("unit", 1), 6).alias("first")
-    )
+        "vec_id", F.round(norm(F.col("unit")), 6).alias("length"), F.posexplode("unit").alias("place", "value")
+    ).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 @registered
@@ -411,6 +412,19 @@ def rerank_topk(spark, sf):
     return ranked.select("query_id", "item_id", "rerank_score", "rank")
 
 
+@registered
+def rerank_learned(spark, sf):
+    """A scorer learned on the pairs of three quarters of the queries, and whether it puts an item of the right name first for each query."""
+    prepared = prepared_with_pool(spark, sf)
+    found = hybrid_candidates(prepared, items_view(spark, sf)).join(prepared.select("query_id", "search_text"), "query_id")
+    marked = found.withColumns({"label": F.startswith("search_text", "name").cast("int"), "held_out": F.col("query_id") % 4 == 0})
+    judged = cut_lineage(marked)
+    best = rerank(judged, 1, fit_pair_model(judged.where("not held_out")))
+    return judged.groupBy("query_id", "held_out").agg(F.max("label").alias("held_right")).join(
+        best.select("query_id", F.col("label").alias("first_is_right")), "query_id"
+    )
+
+
 @registered
 def hybrid_search_full(spark, sf):
     ranked = hybrid_search(queries_view(spark, sf), items_view(spark, sf), limit=None)
@@ -703,6 +717,38 @@ def size_guard_pages(spark, sf):
     return table(spark, sf, "pages").where(within_size(F.col("html"))).select("page_id")
 
 
+@registered
+def empty_directory_stats(spark, sf):
+    """A directory that was emptied: the index stays as it is, and the job has no statuses to report."""
+    files, store = fresh_folder(spark, "items"), IndexStore(spark, fresh_folder(spark, "index"))
+    item_files(spark, sf, files, "k = 1")
+    removed_files(spark, sf, files, "k = 1")
+    store.publish(table(spark, sf, "customer").select(F.col("c_custkey").alias("item_key"), F.col("c_name").alias("name")))
+    result = ingest(spark, files, store, {"embedding_local": HashedTrigramEncoder(32)})
+    return store.read().select("item_key", "name", F.lit(result.documents.count()).cast("bigint").alias("n_documents"))
+
+
+class RefusingEncoder(HashedTrigramEncoder):
+    """Fails for each batch that holds a text with a given word."""
+
+    def load(self):
+        encode = HashedTrigramEncoder.load(self)
+
+        def careful(texts):
+            if any(" red " in text for text in texts):
+                raise RuntimeError("refused")
+            return encode(texts)
+
+        return careful
+
+
+@registered
+def embed_row_by_row(spark, sf):
+    """Batches that fail are encoded row by row: only rows that fail themselves go without a vector."""
+    made = embed(item_rows(spark, sf), "name", RefusingEncoder(32), "vector", error_col="problem")
+    return made.select("item_id", F.coalesce(F.size("vector"), F.lit(-1)).alias("dims"), "problem")
+
+
 # --- events ----------------------------------------------------------------
 
 

@@ -31,6 +31,7 @@ from fathomline.session import BROADCAST_BYTES, row_bytes
 MAX_LOCAL_QUERIES = 50_000
 # Scan tasks per core; each hands on up to k rows per query.
 TASKS_PER_CORE = 4
+SPLITS_PER_TASK = 8
 # Rows per side of a grid cell.
 ITEMS_PER_CELL = 16_384
 QUERIES_PER_CELL = 4_096
@@ -387,9 +388,10 @@ def _scan_in_place(table: pa.Table, items: DataFrame, rankers: Sequence) -> Data
         yield from scorer.result().to_batches()
 
     scanned = items.where(_scan_predicate(table)).drop(*drop)
-    # A task hands on its best rows once, so fewer and longer tasks hand on less.
-    # Joining neighbouring splits needs no shuffle.
-    tasks = TASKS_PER_CORE * items.sparkSession.sparkContext.defaultParallelism
+    # A task hands on its best rows once, so fewer and longer tasks hand on less. Joining
+    # neighbouring splits needs no shuffle; no more than a few are joined, so that a task stays short.
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    tasks = max(TASKS_PER_CORE * cores, -(-scanned.rdd.getNumPartitions() // SPLITS_PER_TASK))
     return scanned.coalesce(tasks).mapInArrow(score, PARTIAL_SCHEMA)
 
 

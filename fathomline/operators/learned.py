@@ -10,7 +10,7 @@ from fathomline.functions.binding import let
 from fathomline.functions.trigram import trigrams
 
 MAX_PAIRS = 50_000  # judged pairs a model is fitted on, at most
-FEATURES = ("asked_found", "content_asked", "words_found", "leading_words", "length")
+FEATURES = ("asked_found", "content_asked", "words_found", "leading_words", "pairs_found", "length")
 
 
 def pair_features(query: Column, content: Column) -> Column:
@@ -18,7 +18,8 @@ def pair_features(query: Column, content: Column) -> Column:
 
     Shares of the query's trigrams in the content, of the content's in the
     query, of the query's words in the content, of its words before the first
-    that is missing, and a damped length of the content.
+    that is missing, of its neighbouring words that are neighbours there, and a
+    damped length of the content.
     """
     def words(text: Column) -> Column:
         return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -33,7 +34,9 @@ def pair_features(query: Column, content: Column) -> Column:
         missing = F.array_position(F.transform(q, lambda w: F.array_contains(c, w)), False)
         before = F.when(missing == 0, F.size(q)).otherwise(missing - 1)
         held = F.filter(q, lambda w: F.array_contains(c, w))
-        return [share(held, q), F.when(F.size(q) == 0, F.lit(0.0)).otherwise(before / F.size(q))]
+        neighbours = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
+        pairs = let(neighbours(q), lambda p: share(F.filter(p, lambda x: F.array_contains(neighbours(c), x)), p))
+        return [share(held, q), F.when(F.size(q) == 0, F.lit(0.0)).otherwise(before / F.size(q)), pairs]
 
     def both(q: Column, c: Column) -> Column:
         grams = let(F.struct(trigrams(q).alias("q"), trigrams(c).alias("c")), lambda s: F.array(*of_grams(s["q"], s["c"])))

@@ -13,13 +13,13 @@ PAIRS = "search_text string, content string, label int"
 
 
 def test_features(spark):
-    rows = [("Blue cat", "the blue dog"), ("", ""), (None, "x"), ("a b c", None), ("same", "same")]
+    rows = [("Blue cat", "the blue dog"), ("", ""), (None, "x"), ("a b c", None), ("same old", "same old")]
     got = spark.createDataFrame(rows, "q string, c string").select("q", "c", pair_features(F.col("q"), F.col("c")).alias("f")).collect()
     for r in got:
         assert len(r.f) == len(FEATURES) and all(0 <= x <= 1 for x in r.f)
     q, c = set(brute.grams("Blue cat")), set(brute.grams("the blue dog"))
-    assert got[0].f[:4] == pytest.approx([len(q & c) / len(q), len(q & c) / len(c), 0.5, 0.5])
-    assert got[4].f[:4] == [1.0] * 4 and got[1].f[:4] == [0.0] * 4
+    assert got[0].f[:5] == pytest.approx([len(q & c) / len(q), len(q & c) / len(c), 0.5, 0.5, 0])
+    assert got[4].f[:5] == [1.0] * 5 and got[1].f[:5] == [0.0] * 5
 
 
 def test_held_out_pairs(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import re
 import uuid
@@ -83,6 +84,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return cut_lineage(dealt.drop("__from").withColumn(name, F.monotonically_increasing_id()))
 
 
+def give_back() -> None:
+    """Memory that is no longer used goes back to the machine: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``max_bytes`` of text, or one row where a text is longer."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -92,8 +102,8 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4_
         base = total[begin - 1] if begin else 0
         end = max(int(np.searchsorted(total, base + max_bytes, side="right")), begin + 1)
         yield batch.slice(begin, end - begin)
-        pa.default_memory_pool().release_unused()  # a worker serves many tasks; what one of them held is given back
         begin = end
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -120,13 +120,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     1. Retain: of the ten-word prefixes in each 50-word window, the one with the
        least hash keeps its suffix, so equal windows keep the same suffix.
-    2. Sort and compare: suffixes that agree with a neighbour in their prefix
-       are kept. Prefixes are counted before the shuffle, so a passage that
-       very many documents share is one row per task; most suffixes end here.
+    2. Compare: suffixes that agree with another in their ten words are kept.
+       They are grouped by a hash of these words, not sorted: in one sorted
+       order a passage that very many documents share is one range, while its
+       group is counted within the tasks first. Most suffixes end here.
     3. Extend: around each kept suffix, left and right, the windows whose least
        prefix it is are hashed. Equal windows are found the same way, and each
-       is referred to its first place. Runs of windows with one alignment are a
-       passage.
+       is referred to its first place, which need not be a neighbour's. Runs of
+       windows with one alignment are a passage.
 
     Every repeated window is found, since its own least prefix repeats as well.
     Later copies of whole texts are set aside first by digest and refer to the

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathomline.functions.binding import let
 from fathomline.functions.text import build_content, clean_int, content_hash
-from fathomline.sources.paths import key_from_path
+from fathomline.sources.paths import MAX_ITEM_BYTES, key_from_path
 
 DOCUMENT_SCHEMA = T.StructType(
     [
@@ -136,3 +139,39 @@ def listing(spark: SparkSession, directory: str) -> DataFrame:
         .select(key_from_path(F.col("path")).alias("item_key"), "path", F.col("modificationTime").alias("modified_at"))
         .where(F.col("item_key").isNotNull())
     )
+
+
+def read_bodies(paths: DataFrame, max_bytes: int | None = MAX_ITEM_BYTES) -> DataFrame:
+    """``path, modified_at, n_bytes, body, problem`` of listed files; a body or a problem is there.
+
+    The files named by a change log lie anywhere, so each task opens its own. A
+    file that is gone, too large or not UTF-8 is an outcome. Any other error,
+    such as a store that does not answer, fails the task, which Spark repeats.
+    """
+
+    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        def one(path: str) -> tuple[int | None, str | None, str | None]:
+            # Spark lists local files as file:/name.
+            path = path.removeprefix("file:") if "://" not in path else path
+            system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "/" + path)
+            info = system.get_file_info(name)
+            if info.type != fs.FileType.File:
+                return None, None, "missing"
+            if max_bytes is not None and info.size > max_bytes:
+                return info.size, None, "too large"
+            try:
+                with system.open_input_stream(name) as stream:
+                    return info.size, stream.read().decode("utf-8"), None
+            except FileNotFoundError:
+                return None, None, "missing"
+            except UnicodeDecodeError:
+                return info.size, None, "not UTF-8"
+
+        for part in parts:
+            found = [(path, modified, *one(path)) for path, modified in zip(part["path"], part["modified_at"])]
+            out = pd.DataFrame(found, columns=["path", "modified_at", "n_bytes", "body", "problem"])
+            yield out.astype({"n_bytes": "Int64"})
+
+    return paths.mapInPandas(load, "path string, modified_at timestamp, n_bytes bigint, body string, problem string")

@@ -19,7 +19,7 @@ from fathomline.operators.merge import latest_per_key, reject_missing_key
 from fathomline.plans.ingest import encode_rows
 from fathomline.session import cut_lineage
 from fathomline.sources.index_table import IndexStore, _file_system
-from fathomline.sources.items import parse_documents, split_bad_records, to_index_rows
+from fathomline.sources.items import parse_documents, read_bodies, split_bad_records, to_index_rows
 from fathomline.sources.paths import MAX_ITEM_BYTES, key_from_path
 
 # Debounce window and how long its state is kept.
@@ -219,40 +219,6 @@ def apply_changes(
     return store.apply(fresh, gone, batch_id, writer)
 
 
-def read_bodies(paths: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """``path, modified_at, n_bytes, body, problem`` of listed files; a body or a problem is there.
-
-    The files named by a change log lie anywhere, so each task opens its own. A
-    file that is gone, too large or not UTF-8 is an outcome. Any other error,
-    such as a store that does not answer, fails the task, which Spark repeats.
-    """
-
-    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        def one(path: str) -> tuple[int | None, str | None, str | None]:
-            system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "/" + path)
-            info = system.get_file_info(name)
-            if info.type != fs.FileType.File:
-                return None, None, "missing"
-            if info.size > max_bytes:
-                return info.size, None, "too large"
-            try:
-                with system.open_input_stream(name) as stream:
-                    return info.size, stream.read().decode("utf-8"), None
-            except FileNotFoundError:
-                return None, None, "missing"
-            except UnicodeDecodeError:
-                return info.size, None, "not UTF-8"
-
-        for part in parts:
-            found = [(path, modified, *one(path)) for path, modified in zip(part["path"], part["modified_at"])]
-            out = pd.DataFrame(found, columns=["path", "modified_at", "n_bytes", "body", "problem"])
-            yield out.astype({"n_bytes": "Int64"})
-
-    return paths.mapInPandas(load, "path string, modified_at timestamp, n_bytes bigint, body string, problem string")
-
-
 def watch(
     events: DataFrame,
     store: IndexStore,

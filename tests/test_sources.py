@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators.encode import HashedTrigramEncoder
+from fathomline.plans.digests import reconcile_digests
 from fathomline.plans.ingest import ingest, reconcile
 from fathomline.plans.search import as_items, hybrid_search, search_report
 from fathomline.sources.index_table import IndexStore
@@ -221,3 +222,54 @@ def test_the_skip_join_moves_no_contents(spark, tmp_path, plan):
     assert {r.status for r in marked.collect()} == {"changed"}
     text = plan(marked)
     assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+
+
+def test_reconcile_by_digests_opens_what_differs(spark, folder, tmp_path):
+    store, manifest = IndexStore(spark, str(tmp_path / "store")), str(tmp_path / "manifest")
+
+    def run():
+        done = reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=4)
+        return sorted(os.path.basename(r.path) for r in done.opened.collect()), done
+
+    for key in range(10, 30):
+        put(folder, f"{key}.json", full(key))
+    put(folder, "40.json", "{not valid")
+    store.publish(spark.createDataFrame([(40, "kept"), (41, "dropped")], "item_key bigint, name string"))
+    opened, done = run()
+    assert len(opened) == 24 and [r.item_key for r in done.dropped.collect()] == [41]
+    assert set(keyed(store.read())) == {1, 2, 3, 40, *range(10, 30)}
+    # Nothing differs: nothing is opened or written.
+    opened, done = run()
+    assert opened == [] and done.version is None
+    # A file changed, one gone, one new, and one row lost from the index.
+    put(folder, "12.json", full(12, name="Changed name"))
+    os.remove(os.path.join(folder, "13.json"))
+    put(folder, "99.json", full(99))
+    store.apply(store.read().where("false"), spark.createDataFrame([(14,), (1,)], "item_key bigint"))
+    opened, done = run()
+    assert opened == ["1.json", "12.json", "14.json", "99.json"]
+    rows = keyed(store.read())
+    assert set(rows) == {1, 2, 3, 40, 99, *range(10, 30)} - {13} and rows[12].name == "Changed name"
+    assert rows[14].embedding_local is not None
+    assert run()[0] == []
+
+
+def test_reconcile_by_digests_emptied_and_shared_keys(spark, folder, tmp_path):
+    store, manifest = IndexStore(spark, str(tmp_path / "store")), str(tmp_path / "manifest")
+    put(folder, "a.json", full(50, name="older"))
+    put(folder, "b.json", full(50, name="newer"))
+    os.utime(os.path.join(folder, "a.json"), (1, 1_000_000))
+    os.utime(os.path.join(folder, "b.json"), (1, 2_000_000))
+    reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=2)
+    assert keyed(store.read())[50].name == "newer"
+    # Two files for one key: the bucket differs each time, nothing is opened for it.
+    assert reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=2).opened.isEmpty()
+    os.remove(os.path.join(folder, "b.json"))
+    done = reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=2)
+    assert [os.path.basename(r.path) for r in done.opened.collect()] == ["a.json"]
+    assert keyed(store.read())[50].name == "older"
+    for name in os.listdir(folder):
+        os.remove(os.path.join(folder, name))
+    reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=2)
+    assert store.read().count() == 0
+    assert reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=2).version is None

@@ -429,6 +429,13 @@ SELECT item_key, name, atk, sha256(content) AS content_hash FROM docs WHERE item
 UNION ALL SELECT c_custkey * 2, c_name, NULL, NULL FROM customer
 WHERE c_custkey * 2 IN (SELECT p_partkey FROM part) AND c_custkey * 2 NOT IN (SELECT item_key FROM docs WHERE item_key IS NOT NULL)"""
 REWRITTEN = DOCUMENTS.format(change="CASE WHEN p_partkey % 4 = 0 AND p_partkey % 3 <> 0 THEN 5 ELSE 0 END")
+ORACLES["reconcile_digests"] = f"""WITH {REWRITTEN}, held AS (
+  SELECT item_key, name, atk, sha256(content) AS content_hash FROM docs WHERE item_key % 10 <> 9
+)
+SELECT * FROM held UNION ALL
+SELECT c_custkey * 2, c_name, NULL, NULL FROM customer
+WHERE c_custkey * 2 IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 9 AND p_partkey % 50 <> 3)
+  AND c_custkey * 2 NOT IN (SELECT item_key FROM held)"""
 ORACLES["directory_stream_index"] = f"""WITH {REWRITTEN}
 SELECT item_key, name, atk, sha256(content) AS content_hash FROM docs WHERE item_key % 29 <> 3 AND item_key % 10 <> 9"""
 ORACLES["ingest_then_watch_index"] = f"""WITH {REWRITTEN}, held AS (

@@ -25,11 +25,13 @@ from fathomline.operators.counting import filter_counts
 from fathomline.operators.debounce import debounce
 from fathomline.operators.encode import HashedTrigramEncoder, embed, embed_many
 from fathomline.operators.events import ignored_moves, normalize_events
+from fathomline.operators.fitted import fit_encoder
 from fathomline.operators.filters import Filters, filter_items, filter_pairs, items_with_properties
 from fathomline.operators.fusion import rrf_fuse
 from fathomline.operators.ivf import ivf_build, ivf_topk, recall_at_k
 from fathomline.operators.nearest import knn_join, nearest_items, vector_topk
 from fathomline.operators.rerank import rerank
+from fathomline.plans import digests
 from fathomline.plans.ingest import ingest, ingest_documents, reconcile
 from fathomline.plans.search import (
     context_prompts, hybrid_candidates, hybrid_search, search_report, with_limits,
@@ -742,6 +744,16 @@ class RefusingEncoder(HashedTrigramEncoder):
         return careful
 
 
+@registered
+def embed_fitted(spark, sf):
+    """Items encoded by an encoder fitted to all their contents."""
+    items = item_rows(spark, sf).withColumn("content", content_of_items())
+    made = embed(items, "content", fit_encoder(items, "content", 32), "embedding_local")
+    return made.select("item_id", F.posexplode("embedding_local").alias("slot", "value")).select(
+        "item_id", "slot", F.round(F.col("value").cast("double"), 4).alias("value")
+    )
+
+
 @registered
 def embed_row_by_row(spark, sf):
     """Batches that fail are encoded row by row: only rows that fail themselves go without a vector."""
@@ -849,6 +861,23 @@ def reconcile_index(spark, sf):
     return store.read().select("item_key", "name", "atk", "content_hash")
 
 
+@registered
+def reconcile_digests(spark, sf):
+    """An index follows a directory by digests: all files, then some rewritten, some gone, and some rows lost from the index."""
+    folder, manifest = fresh_folder(spark, "items"), fresh_folder(spark, "manifest")
+    store = IndexStore(spark, fresh_folder(spark, "index"))
+    encoders = {"embedding_local": HashedTrigramEncoder(32)}
+    store.publish(table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("item_key"), F.col("c_name").alias("name")))
+    item_files(spark, sf, folder)
+    digests.reconcile_digests(spark, folder, store, encoders, manifest, buckets=16)
+    item_files(spark, sf, folder, "k % 4 = 0 and k % 3 != 0", price_change=5)
+    removed_files(spark, sf, folder, "k % 10 = 9")
+    lost = item_rows(spark, sf).select(F.col("item_id").alias("item_key")).where("item_key % 50 = 3")
+    store.apply(store.read().where("false"), lost)
+    digests.reconcile_digests(spark, folder, store, encoders, manifest, buckets=16)
+    return store.read().select("item_key", "name", "atk", "content_hash")
+
+
 PATH_NUMBER = "cast(regexp_extract(path, '[0-9]+', 0) as bigint)"
 
 

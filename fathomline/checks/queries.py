@@ -21,6 +21,7 @@ from fathomline.functions.trigram import trgm_similarity, trigram_windows
 from fathomline.functions.vectors import check_dims, cosine_distance, l2_normalize, norm
 from fathomline.operators.learned import fit_pair_model
 from fathomline.operators import lexical, merge, reports
+from fathomline.operators.codes import code_build, coded_topk
 from fathomline.operators.counting import filter_counts
 from fathomline.operators.debounce import debounce
 from fathomline.operators.encode import HashedTrigramEncoder, embed, embed_many
@@ -361,6 +362,15 @@ def ivf_recall(spark, sf):
     return recall_at_k(approx, knn_join(queries, items, KNN_K))
 
 
+@registered
+def ivf_codes_recall(spark, sf):
+    """Filtered search of coded lists against the exact one: what of each query's list is found, and how many lists were read."""
+    queries, items = prepare_queries(queries_view(spark, sf)), items_view(spark, sf)
+    index = ivf_build(items, 16, fresh_folder(spark, "lists"))
+    found, read = coded_topk(queries, code_build(index, fresh_folder(spark, "codes")), KNN_K, nprobe=10, checked=16)
+    return recall_at_k(found, vector_topk(queries, items, KNN_K)).join(read, "query_id")
+
+
 # --- names -----------------------------------------------------------------
 
 

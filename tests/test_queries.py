@@ -11,7 +11,7 @@ from fathomline.checks.oracles import ORACLES
 from fathomline.checks.queries import REGISTERED
 
 # Tested against dense or exact computations of their own.
-BEYOND_SQL = {"embed_fitted"}
+BEYOND_SQL = {"embed_fitted", "ivf_codes_recall"}
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 

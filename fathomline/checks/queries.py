@@ -367,7 +367,7 @@ def ivf_codes_recall(spark, sf):
     """Filtered search of coded lists against the exact one: what of each query's list is found, and how many lists were read."""
     queries, items = prepare_queries(queries_view(spark, sf)), items_view(spark, sf)
     index = ivf_build(items, 16, fresh_folder(spark, "lists"))
-    found, read = coded_topk(queries, code_build(index, fresh_folder(spark, "codes")), KNN_K, nprobe=10, checked=16)
+    found, read = coded_topk(queries, code_build(index, fresh_folder(spark, "codes")), KNN_K, nprobe=12)
     return recall_at_k(found, vector_topk(queries, items, KNN_K)).join(read, "query_id")
 
 

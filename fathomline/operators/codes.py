@@ -141,15 +141,17 @@ def coded_topk(
     index, kept = coded.index, checked * k
     held = int((index.counts > 0).sum())
     scope = scope_columns(queries, QUERY_SCOPE)
-    asked = queries.where(usable_vector(query_col)).select(
+    # Read by every step and by the check.
+    asked = cut_lineage(queries.where(usable_vector(query_col)).select(
         "query_id", F.lit(kept).cast("int").alias("k"), F.col(query_col).alias("query_vec"), *scope
-    )
+    ))
     right = coded.codes.withColumn("bucket", F.col("list_id").cast("bigint")).drop("list_id")
     columns = ["kind", "query_id", "item_id", "distance", "k"]
     waiting, first, last = asked, 0, min(nprobe, held)
     found, read = None, []
     while first < held:
-        probes = _probes(waiting, index, first, last)
+        # Counted by list, then split into cells.
+        probes = cut_lineage(_probes(waiting, index, first, last))
         best = blocked_topk(probes, right, [CodeRanker(coded.books)], k_max=kept, sizes=index.sizes()).rows.select(*columns)
         best = cut_lineage(best if found is None else keep_best(found.unionByName(best), kept).select(*columns))
         read.append(waiting.select("query_id", F.lit(last).cast("bigint").alias("lists_read")))

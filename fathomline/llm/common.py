@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import posixpath
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.session import checkpoint_dir, cut_lineage, fits_broadcast
+from fathomline.session import checkpoint_dir, cut_lineage, file_system, fits_broadcast
 
 # A word: anything but a blank or one of the five ASCII control blanks. ``bytes.split()`` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,11 +32,6 @@ def written(df: DataFrame, *by: str) -> str:
     return path
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The store of ``path`` and the path in it; every task opens its own."""
-    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path)))
-
-
 def read_rows(path: str, columns: list[str] | None = None) -> pa.Table:
     """What a task needs of a written file, or of the files of a written folder."""
     store, name = file_system(path)

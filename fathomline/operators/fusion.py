@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathomline.functions.scoring import MISSING_RANK, RRF_K, rrf_score
-from fathomline.functions.trigram import DEFAULT_THRESHOLD, trigrams
-from fathomline.operators.blocks import CosineRanker, TrigramRanker, blocked_topk, scope_columns
+from fathomline.functions.trigram import DEFAULT_THRESHOLD
+from fathomline.operators.blocks import CosineRanker, TrigramRanker, blocked_topk, joined_trigrams, scope_columns
 from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE
 from fathomline.operators.nearest import PRECISION, as_column
 
@@ -72,14 +72,14 @@ def fused_candidates(
         "query_id",
         as_column(pool).cast("int").alias("k"),
         F.col(query_vec).alias("query_vec"),
-        trigrams(F.col(query_text)).alias("query_grams"),
+        joined_trigrams(F.col(query_text)).alias("query_grams"),
         *scope_columns(queries, QUERY_SCOPE),
     )
     right = items.select(
         "item_id",
         F.col(vector_col).alias("item_vec"),
         F.col(text_col).alias("item_text"),
-        trigrams(F.col(text_col)).alias("item_grams"),
+        joined_trigrams(F.col(text_col)).alias("item_grams"),
         *scope_columns(items, ITEM_SCOPE),
     )
     rankers = [CosineRanker(PRECISION), TrigramRanker(threshold, PRECISION)]
@@ -103,4 +103,5 @@ def materialize(candidates: DataFrame, items: DataFrame, columns: Sequence[str],
     fields = items.select("item_id", *columns)
     if rows is not None and rows <= MAX_BROADCAST_CANDIDATES:
         return fields.join(F.broadcast(candidates), "item_id")
-    return candidates.join(fields, "item_id")
+    # Texts are larger than their compressed files promise, so they are not left to be sent around.
+    return candidates.join(fields.hint("merge"), "item_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathomline.functions.trigram import DEFAULT_THRESHOLD, trigrams
-from fathomline.operators.blocks import TrigramRanker, blocked_topk, scope_columns
+from fathomline.operators.blocks import TrigramRanker, blocked_topk, joined_trigrams, scope_columns
 from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE, pair_predicate
 from fathomline.operators.nearest import PRECISION, as_column
 
@@ -26,13 +26,13 @@ def lexical_topk(
     left = queries.select(
         "query_id",
         as_column(k).cast("int").alias("k"),
-        trigrams(F.col(query_col)).alias("query_grams"),
+        joined_trigrams(F.col(query_col)).alias("query_grams"),
         *scope_columns(queries, QUERY_SCOPE),
     )
     right = items.where(F.col(text_col).isNotNull()).select(
         "item_id",
         F.col(text_col).alias("item_text"),
-        trigrams(F.col(text_col)).alias("item_grams"),
+        joined_trigrams(F.col(text_col)).alias("item_grams"),
         *scope_columns(items, ITEM_SCOPE),
     )
     ranked = blocked_topk(left, right, [TrigramRanker(threshold, PRECISION)], force_grid)
@@ -87,9 +87,10 @@ def trigram_topk(
     listed = listed.withColumn("longest", longest)
     by_scan = listed.where(F.col("longest") > max_postings).select("query_id").distinct()
 
+    # Merged throughout: postings and trigrams are many times larger than the files they come from.
     candidates = (
         listed.where(F.col("longest") <= max_postings)
-        .join(index.select("trigram", "item_id"), "trigram")
+        .join(index.select("trigram", "item_id").hint("merge"), "trigram")
         .select("query_id", "item_id")
         .distinct()
     )
@@ -97,8 +98,8 @@ def trigram_topk(
     shared = F.size(F.array_intersect("query_grams", "item_grams"))
     similarity = F.round(shared / (F.size("query_grams") + F.size("item_grams") - shared), PRECISION)
     pairs = (
-        candidates.join(grams.alias("q"), "query_id")
-        .join(right.alias("i"), "item_id")
+        candidates.join(grams.alias("q").hint("merge"), "query_id")
+        .join(right.alias("i").hint("merge"), "item_id")
         .where(pair_predicate("q", "i", scope))
         .select("query_id", "item_id", "query_grams", "item_grams")
     )

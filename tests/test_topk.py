@@ -189,6 +189,35 @@ def test_ranks_are_cut_before_the_shuffle(world, plan):
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_a_block_of_queries_hands_on_its_best_once(world, monkeypatch):
+    """Rows between the tasks grow with the queries alone, not with queries times cells of items."""
+    _, queries, idf, qdf = world
+    monkeypatch.setattr(blocks, "ITEMS_PER_CELL", 2)
+    monkeypatch.setattr(blocks, "QUERIES_PER_CELL", 1)
+    monkeypatch.setattr(blocks, "TASKS_PER_CORE", 1)
+    handed = []
+    keep = blocks.keep_best
+    monkeypatch.setattr(blocks, "keep_best", lambda partial, k: handed.append(partial) or keep(partial, k))
+    many = qdf.where("query_vec is not null").withColumn("k", F.lit(3))
+    vector_topk(many, idf, 3, force_grid=True)
+    assert handed[0].count() <= 3 * many.count()
+
+
+def test_only_what_can_be_nearer_is_put_in_order(monkeypatch):
+    """Items come in order of their ids: once a query has its rows, equally similar names are not looked at."""
+    import pyarrow as pa
+
+    offered = []
+    take = blocks._Best.take
+    monkeypatch.setattr(blocks._Best, "take", lambda self, q, i, d: offered.append(len(q)) or take(self, q, i, d))
+    queries = pa.table({"query_id": [1, 2], "k": [5, 5], "query_grams": ["  a\t a ", "  a\t a "]})
+    scorer = blocks.BlockScorer(queries, [blocks.TrigramRanker()])
+    n = 50_000
+    scorer.add(pa.table({"item_id": range(n), "item_text": ["a"] * n, "item_grams": ["  a\t a "] * n}))
+    assert scorer.result()["item_id"].to_pylist() == [0, 1, 2, 3, 4] * 2
+    assert sum(offered) <= 2 * blocks.FIRST_CHUNK
+
+
 def test_what_all_queries_demand_reaches_the_scan(world, plan, tmp_path):
     _, _, idf, qdf = world
     idf.write.parquet(str(tmp_path / "items"))
@@ -209,6 +238,17 @@ def test_filter_pairs(world, shards, plan):
     assert "CartesianProduct" not in plan(pairs) and "NestedLoop" not in plan(pairs)
 
 
+def test_large_sides_are_not_sent_to_the_driver(world, plan, tmp_path):
+    """Postings, keys and texts outgrow their files, whose size Spark goes by."""
+    _, _, idf, qdf = world
+    idf.write.parquet(str(tmp_path / "items"))
+    stored = idf.sparkSession.read.parquet(str(tmp_path / "items"))
+    assert "BroadcastExchange" not in plan(filter_pairs(qdf, stored))
+    assert "BroadcastExchange" not in plan(materialize(qdf.select("query_id", F.col("query_id").alias("item_id")), stored, ["name"]))
+    text = plan(trigram_topk(qdf, stored, 10, max_postings=60))
+    assert "embedding" not in text and text.count("SortMergeJoin") >= 3
+
+
 def test_filter_items(world, plan, tmp_path):
     items, _, idf, _ = world
     wanted = Filters(min_atk=100, max_atk=800, min_def=100, max_def=900, level=2, attribute="fire", card_type="a")

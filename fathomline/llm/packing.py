@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ END = 0  # the id put behind each document
 DIMENSIONS = 4
 BITS = 15  # of the curve's key, per dimension
 UNITS = 150_000  # encoded units a task remembers
+SLICE_BYTES = 1_500_000  # of texts encoded at once; what a task holds for them is many times more
 SPECIAL = "<|endoftext|>"
 # A blank whose neighbours are no blanks starts a unit of its own; texts with other uses of blanks are encoded whole.
 IRREGULAR = r"^ |[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -36,7 +38,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.path, self.loaded = path, None
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        # Of the remembered units: their ids one behind the other, and how many each has.
+        self.flat, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64)
         self.fast = self._fast(path)
         if self.size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
@@ -71,14 +75,24 @@ class Encoder:
     def ids_whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
-    def units(self, words: list[str]) -> list:
-        """Ids of units, remembered between calls."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > UNITS:
-            self.known, fresh = {}, words
-        ids = map(self.fast.encode_ordinary, fresh) if self.fast else self.ids_whole(fresh)
-        self.known.update(zip(fresh, (np.array(i, np.uint16) for i in ids)))
-        return [self.known[w] for w in words]
+    def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different units one behind the other, how many each unit has, and the place of each of ``words`` among the units.
+
+        Units are remembered between calls until there are too many; then what
+        is not among them is encoded with each call.
+        """
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        made = list(map(self.fast.encode_ordinary, fresh)) if self.fast else self.ids_whole(fresh)
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter(chain.from_iterable(made), np.uint16, int(sizes.sum()))
+        flat, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        places = dict(zip(fresh, range(len(known), len(known) + len(fresh))))
+        at = np.fromiter((known[w] if w in known else places[w] for w in words), np.int64, len(words))
+        if len(known) + len(fresh) <= UNITS:
+            known.update(places)
+            self.flat, self.sizes = flat, sizes
+        return flat, sizes, at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``texts`` one behind the other, and where each text's ids begin and the last one's end."""
@@ -92,15 +106,11 @@ class Encoder:
         leading[offsets[:-1]] = True
         # Units after the first of a text begin with the blank before them.
         units = pc.binary_join_element_wise(pc.if_else(pa.array(leading), "", " "), words, "").dictionary_encode()
-        pieces = self.units(units.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint16)
-        starts = np.cumsum(sizes) - sizes
-        at = units.indices.to_numpy().astype(np.int64)
-        counts = sizes[at]
-        ends = np.cumsum(counts)
-        ids = flat[np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[offsets]
+        flat, sizes, places = self.units(units.dictionary.to_pylist())
+        at = places[units.indices.to_numpy()]
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(flat))
+        ids = lists.take(pa.array(at)).flatten().to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(sizes[at])])[offsets]
         rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(rows):
             given = dict(zip(rows.tolist(), self.ids_whole(texts.take(pa.array(rows)).to_pylist())))
@@ -136,7 +146,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = Encoder(vocabulary), directions()
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=SLICE_BYTES):
                 ids, bounds = with_end(*encoder.encode(part.column("text")))
                 sizes = np.diff(bounds)
                 sums = np.add.reduceat(table[ids], bounds[:-1], axis=0)

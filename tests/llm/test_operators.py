@@ -142,6 +142,21 @@ def test_archives_of_others(tmp_path, spark, packed):
     assert [len(r.payload) for r in got] == [70_000, 3]
 
 
+def test_packing_keeps_the_units_it_knows(monkeypatch):
+    monkeypatch.setattr(packing, "UNITS", 4)
+    encoder, asked = packing.Encoder(vocabulary()), []
+    encode = packing.Encoder.ids_whole
+    monkeypatch.setattr(packing.Encoder, "ids_whole", lambda self, texts: asked.extend(texts) or encode(self, texts))
+    encoder.fast = None
+    import pyarrow as pa
+
+    first, second = "a b c", "a b d e c d"
+    for text in (first, second, second):
+        ids, bounds = encoder.encode(pa.array([text, None]))
+        assert ids.tolist() == encode(encoder, [text])[0] and bounds.tolist() == [0, len(ids), len(ids)]
+    assert asked == ["a", " b", " c", "", " d", " e", " d", " e"]
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 

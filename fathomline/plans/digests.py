@@ -18,7 +18,7 @@ from fathomline.operators.merge import latest_per_key
 from fathomline.plans.ingest import encode_rows, stored_widths
 from fathomline.session import cut_lineage
 from fathomline.sources.index_table import IndexStore, _file_system
-from fathomline.sources.items import parse_documents, read_bodies, to_index_rows
+from fathomline.sources.items import list_files, parse_documents, read_bodies, to_index_rows
 from fathomline.sources.paths import key_from_path
 
 BUCKETS = 256
@@ -58,13 +58,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
 
-def list_files(spark: SparkSession, directory: str, buckets: int) -> DataFrame:
+def bucketed_files(spark: SparkSession, directory: str, buckets: int) -> DataFrame:
     """``path, modified_at, n_bytes, bucket`` of the files present; none is opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "false").load(directory)
-    return files.select(
-        "path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("n_bytes"),
-        bucket_of(F.col("path"), buckets).alias("bucket"),
-    )
+    return list_files(spark, directory).withColumn("bucket", bucket_of(F.col("path"), buckets))
 
 
 def read_rows(files: DataFrame) -> DataFrame:
@@ -109,7 +105,7 @@ def reconcile_digests(
     run that dies between is repeated harmlessly.
     """
     known = read_manifest(spark, manifest)
-    listed = cut_lineage(list_files(spark, directory, buckets))
+    listed = cut_lineage(bucketed_files(spark, directory, buckets))
     suspect = cut_lineage(differing(digests(listed, FILE), digests(known, FILE)))
     opened = spark.createDataFrame([], "path string")
     present, renewed, read = known, None, None

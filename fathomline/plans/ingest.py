@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.operators.encode import Encoder, embed_many
 from fathomline.operators.merge import latest_per_key, status_counts
-from fathomline.session import cut_lineage, fits_broadcast
+from fathomline.session import cut_lineage, deal, fits_broadcast
 from fathomline.sources.index_table import IndexStore, upgrade_schema
 from fathomline.sources.items import read_items, split_bad_records, to_index_rows
 from fathomline.sources.paths import key_from_path
@@ -41,7 +41,7 @@ def encode_rows(
     that is not as long as ``widths`` says for its column has failed, too. The
     encoders' output feeds several joins; it is written once here.
     """
-    made = embed_many(rows, "content", encoders, error_col="embed_error")
+    made = embed_many(deal(rows), "content", encoders, error_col="embed_error")
     for column, width in (widths or {}).items():
         wrong = F.col(column).isNotNull() & (F.size(column) != width)
         told = F.concat(F.lit(f"{column}: "), F.size(column).cast("string"), F.lit(f" dimensions, not {width}"))

@@ -70,6 +70,13 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path)))
 
 
+def hadoop_file_system(spark: SparkSession, path: str):
+    """Spark's file system of ``path``, and its class of paths."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
 # Largest table an operator sends to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -110,3 +117,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Tasks per core that rows of much work are dealt to.
+DEALT_PER_CORE = 2
+
+
+def deal(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores.
+
+    For rows that are much work for their bytes, by which Spark would bring them together in few tasks.
+    """
+    return df.repartition(DEALT_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from fathomline.operators.merge import latest_per_key, merge_delete, merge_upsert
 from fathomline.schemas import INDEX_SCHEMA
-from fathomline.session import cut_lineage, fits_broadcast
+from fathomline.session import cut_lineage, fits_broadcast, hadoop_file_system as _file_system
 
 
 def upgrade_schema(df: DataFrame, target: T.StructType = INDEX_SCHEMA) -> DataFrame:
@@ -101,12 +101,6 @@ def write_clustered(
     ranged.sortWithinPartitions("__z", key).drop("__z").write.mode("overwrite").parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
 # The writer of jobs that run once. A stream brings a name of its own, because it numbers its batches itself.
 JOB = "job"
 

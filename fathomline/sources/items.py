@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathomline.functions.binding import let
 from fathomline.functions.text import build_content, clean_int, content_hash
+from fathomline.session import deal, file_system, hadoop_file_system
 from fathomline.sources.paths import MAX_ITEM_BYTES, key_from_path
 
+# Names of a listing, and bytes of files, that a task hands on at once.
+LISTED_AT_ONCE = 10_000
+READ_AT_ONCE = 16 * 1024 * 1024
+
 DOCUMENT_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -75,6 +83,50 @@ def parse_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, directory: str) -> DataFrame:
+    """``path, modified_at, n_bytes`` of the JSON files directly in ``directory``; none is opened.
+
+    A directory is listed by one task, name after name, and leaves it in batches;
+    hidden files and folders below are left out. Paths and times (in milliseconds)
+    are as Spark's own readers give them.
+    """
+    fs, to_path = hadoop_file_system(spark, directory)
+    if not fs.exists(to_path(directory)):
+        raise FileNotFoundError(directory)
+    root = fs.makeQualified(to_path(directory)).toString().rstrip("/")
+
+    def shown(name: str) -> bool:
+        hidden = name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+        return name.endswith(".json") and not name.startswith(".") and not hidden
+
+    def entries() -> Iterator[tuple[str, int, int]]:
+        from pyarrow import fs
+
+        system, base = file_system(root)
+        if not isinstance(system, fs.LocalFileSystem):
+            for info in system.get_file_info(fs.FileSelector(base)):
+                if info.type == fs.FileType.File and shown(info.base_name):
+                    yield info.base_name, info.mtime_ns // 1_000_000, info.size
+            return
+        with os.scandir(base or "/") as found:
+            for entry in found:
+                try:
+                    if shown(entry.name) and entry.is_file():
+                        state = entry.stat()
+                        yield entry.name, state.st_mtime_ns // 1_000_000, state.st_size
+                except FileNotFoundError:
+                    continue
+
+    def listed(_) -> Iterator[pa.RecordBatch]:
+        for part in batched(entries(), LISTED_AT_ONCE):
+            names, times, sizes = zip(*part)
+            paths = [f"{root}/{name}" for name in names]
+            yield pa.RecordBatch.from_pydict({"path": paths, "ms": pa.array(times, pa.int64()), "n_bytes": pa.array(sizes, pa.int64())})
+
+    rows = spark.range(0, 1, 1, 1).mapInArrow(listed, "path string, ms bigint, n_bytes bigint")
+    return rows.select("path", F.timestamp_millis("ms").alias("modified_at"), "n_bytes")
+
+
 def read_items(spark: SparkSession, directory: str, max_bytes: int | None = None) -> DataFrame:
     """One row per JSON file directly in ``directory``.
 
@@ -82,23 +134,8 @@ def read_items(spark: SparkSession, directory: str, max_bytes: int | None = None
     over, files larger than ``max_bytes`` are not opened. An empty directory
     gives an empty table.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.json")
-        .option("recursiveFileLookup", "false")
-        .option("ignoreMissingFiles", "true")
-        .load(directory)
-    )
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    return parse_documents(
-        files.select(
-            "path",
-            F.col("modificationTime").alias("modified_at"),
-            F.col("length").alias("n_bytes"),
-            F.col("content").cast("string").alias("body"),
-        )
-    )
+    files = open_files(list_files(spark, directory), max_bytes).where(F.col("problem").isNull())
+    return parse_documents(files.select("path", "modified_at", "n_bytes", F.col("content").cast("string").alias("body")))
 
 
 def split_bad_records(documents: DataFrame, on_bad: str = "quarantine") -> tuple[DataFrame, DataFrame]:
@@ -132,30 +169,24 @@ def to_index_rows(documents: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, directory: str) -> DataFrame:
     """``item_key, path, modified_at`` of the files present, without opening them."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.json")
-        .load(directory)
-        .select(key_from_path(F.col("path")).alias("item_key"), "path", F.col("modificationTime").alias("modified_at"))
-        .where(F.col("item_key").isNotNull())
-    )
+    files = list_files(spark, directory).select(key_from_path(F.col("path")).alias("item_key"), "path", "modified_at")
+    return files.where(F.col("item_key").isNotNull())
 
 
-def read_bodies(paths: DataFrame, max_bytes: int | None = MAX_ITEM_BYTES) -> DataFrame:
-    """``path, modified_at, n_bytes, body, problem`` of listed files; a body or a problem is there.
+def open_files(paths: DataFrame, max_bytes: int | None = MAX_ITEM_BYTES) -> DataFrame:
+    """``path, modified_at, n_bytes, content, problem`` of listed files; a content or a problem is there.
 
-    The files named by a change log lie anywhere, so each task opens its own. A
-    file that is gone, too large or not UTF-8 is an outcome. Any other error,
+    The files named by a change log lie anywhere, so each task opens its own:
+    names are few bytes and much work, so they are dealt over all cores. A
+    file that is gone or too large is an outcome. Any other error,
     such as a store that does not answer, fails the task, which Spark repeats.
     """
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        def one(path: str) -> tuple[int | None, str | None, str | None]:
-            # Spark lists local files as file:/name.
-            path = path.removeprefix("file:") if "://" not in path else path
-            system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else "/" + path)
+        def one(path: str) -> tuple[int | None, bytes | None, str | None]:
+            system, name = file_system(path if "://" in path or path.startswith(("/", "file:")) else "/" + path)
             info = system.get_file_info(name)
             if info.type != fs.FileType.File:
                 return None, None, "missing"
@@ -163,15 +194,37 @@ def read_bodies(paths: DataFrame, max_bytes: int | None = MAX_ITEM_BYTES) -> Dat
                 return info.size, None, "too large"
             try:
                 with system.open_input_stream(name) as stream:
-                    return info.size, stream.read().decode("utf-8"), None
+                    return info.size, stream.read(), None
             except FileNotFoundError:
                 return None, None, "missing"
-            except UnicodeDecodeError:
-                return info.size, None, "not UTF-8"
+
+        def table(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["path", "us", "n_bytes", "content", "problem"]).astype({"us": "Int64", "n_bytes": "Int64"})
 
         for part in parts:
-            found = [(path, modified, *one(path)) for path, modified in zip(part["path"], part["modified_at"])]
-            out = pd.DataFrame(found, columns=["path", "modified_at", "n_bytes", "body", "problem"])
-            yield out.astype({"n_bytes": "Int64"})
+            rows, held = [], 0
+            for path, us in zip(part["path"], part["us"].astype("Int64")):
+                rows.append((path, us, *one(path)))
+                held += rows[-1][2] or 0
+                if held > READ_AT_ONCE:
+                    yield table(rows)
+                    rows, held = [], 0
+            if rows:
+                yield table(rows)
+
+    dealt = deal(paths.select("path", F.unix_micros("modified_at").alias("us")))
+    read = dealt.mapInPandas(load, "path string, us bigint, n_bytes bigint, content binary, problem string")
+    return read.select("path", F.timestamp_micros("us").alias("modified_at"), "n_bytes", "content", "problem")
 
-    return paths.mapInPandas(load, "path string, modified_at timestamp, n_bytes bigint, body string, problem string")
+
+def read_bodies(paths: DataFrame, max_bytes: int | None = MAX_ITEM_BYTES) -> DataFrame:
+    """``path, modified_at, n_bytes, body, problem`` of listed files; a body or a problem is there.
+
+    A file that is gone, too large or not UTF-8 is an outcome.
+    """
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    return open_files(paths, max_bytes).select(
+        "path", "modified_at", "n_bytes", F.when(valid, text).alias("body"),
+        F.when(~valid, F.lit("not UTF-8")).otherwise(F.col("problem")).alias("problem"),
+    )

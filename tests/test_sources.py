@@ -9,7 +9,7 @@ from fathomline.plans.digests import reconcile_digests
 from fathomline.plans.ingest import ingest, reconcile
 from fathomline.plans.search import as_items, hybrid_search, search_report
 from fathomline.sources.index_table import IndexStore
-from fathomline.sources.items import read_items, split_bad_records, to_index_rows
+from fathomline.sources.items import list_files, listing, read_bodies, read_items, split_bad_records, to_index_rows
 from fathomline.sources.paths import key_from_path, path_is_item, within_size
 
 ENCODERS = {"embedding": None, "embedding_local": HashedTrigramEncoder(32)}
@@ -273,3 +273,28 @@ def test_reconcile_by_digests_emptied_and_shared_keys(spark, folder, tmp_path):
     reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=2)
     assert store.read().count() == 0
     assert reconcile_digests(spark, folder, store, ENCODERS, manifest, buckets=2).version is None
+
+
+def test_files_are_listed_without_opening_and_read_by_all_cores(spark, tmp_path, plan):
+    folder = str(tmp_path / "items")
+    paths = [put(folder, f"{n}.json", full(n)) for n in range(40)]
+    for name in (".7.json", "_8.json", "9.txt", "below/10.json"):
+        put(os.path.dirname(f"{folder}/{name}"), os.path.basename(name), full(99))
+    listed = list_files(spark, folder)
+    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    assert sorted(listed.collect()) == sorted(binary.select("path", "modificationTime", "length").collect())
+    assert listed.count() == len(paths)
+    # A part for each few files would be as many tasks as the directory grows by.
+    assert read_items(spark, folder).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert "binaryFile" not in plan(read_items(spark, folder)) + plan(listing(spark, folder))
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    folder = str(tmp_path / "items")
+    put(folder, "1.json", full(1))
+    with open(f"{folder}/2.json", "wb") as f:
+        f.write(b'{"id": 2, "name": "\xff"')
+    good, bad = split_bad_records(read_items(spark, folder))
+    assert [r.item_key for r in good.collect()] == [1] and bad.count() == 1
+    bodies = read_bodies(list_files(spark, folder)).select("path", "problem", F.col("body").isNull().alias("none"))
+    assert sorted((r.path[-6:], r.problem, r.none) for r in bodies.collect()) == [("1.json", None, False), ("2.json", "not UTF-8", True)]

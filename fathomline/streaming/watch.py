@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import time
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -111,6 +112,65 @@ def debounce_stream(
     return kept.select(F.lit(UPSERT).alias("op"), "path", "debounce_type", F.timestamp_micros("us").alias("ts"))
 
 
+# The table of what was kept lately, beside what Spark keeps in the checkpoint.
+HELD = "held"
+HELD_SCHEMA = "path string, debounce_type string, us bigint, expires bigint"
+
+
+def _leading(window_us: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of rows in order of path, type and time, those at least a window after the last kept one; one time is held."""
+
+    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for part in parts:
+            kept = np.zeros(len(part), dtype=bool)
+            for i, (path, kind, us) in enumerate(zip(part["path"], part["debounce_type"], part["us"].tolist())):
+                if (path, kind) != key or us > last and us - last >= window_us:
+                    key, last, kept[i] = (path, kind), us, True
+            yield part[kept]
+
+    return pick
+
+
+def debounce_batch(
+    changes: DataFrame, folder: str, batch_id: int, window_ms: int = DEBOUNCE_MS, ttl_ms: int | None = None, now_ms: int | None = None
+) -> DataFrame:
+    """A batch of normalised changes without the upserts that are held back, by the rule of ``KeepLeading``.
+
+    The latest kept time of each (path, type) is a table under ``folder``, one
+    version a batch, which meets the batch's events in one join: keys cost no
+    calls of their own. State expires by arrival, ``ttl_ms`` after the batch
+    that kept it last, so the table is as long as what was kept lately. A batch
+    that is repeated starts from the version before it. An upsert without a
+    time is not held back.
+    """
+    ttl_ms = max(STATE_TTL_MS, 2 * window_ms) if ttl_ms is None else ttl_ms
+    if ttl_ms <= window_ms:
+        raise ValueError(f"state must outlive the window of {window_ms} ms, not expire after {ttl_ms} ms")
+    spark, now = changes.sparkSession, int(time.time() * 1000) if now_ms is None else now_ms
+    before = _last_finished(spark, folder, batch_id)
+    state = spark.read.schema(HELD_SCHEMA).parquet(before) if before else spark.createDataFrame([], HELD_SCHEMA)
+    key, window_us = ["path", "debounce_type"], window_ms * 1000
+    events = changes.where(F.col("op") == UPSERT).select(*key, F.unix_micros("ts").alias("us"))
+    # A key's events stay together, also beside a state small enough to be sent around.
+    timed = events.where(F.col("us").isNotNull()).repartition(*key)
+    open_ = timed.join(state.select(*key, F.col("us").alias("stored")), key, "left").where(
+        F.col("stored").isNull() | (F.abs(F.col("us") - F.col("stored")) >= window_us)
+    )
+    in_order = open_.select(*key, "us").sortWithinPartitions(*key, "us")
+    kept = cut_lineage(in_order.mapInPandas(_leading(window_us), KEPT_SCHEMA))
+    newest = kept.withColumn("expires", F.lit(now + ttl_ms))
+    held = state.unionByName(newest).groupBy(*key).agg(F.max("us").alias("us"), F.max("expires").alias("expires"))
+    held.where(F.col("expires") > now).write.mode("overwrite").parquet(posixpath.join(folder, f"batch={batch_id}"))
+    # What this batch started from is needed if it is repeated; older versions are not.
+    fs, path = _file_system(spark, folder)
+    for name in _folder_names(spark, folder):
+        if before and name.startswith("batch=") and int(name.partition("=")[2]) < int(before.rpartition("=")[2]):
+            fs.delete(path(posixpath.join(folder, name)), True)
+    others = changes.where((F.col("op") == DELETE) | F.col("ts").isNull()).select("op", "path", "ts")
+    return others.unionByName(kept.select(F.lit(UPSERT).alias("op"), "path", F.timestamp_micros("us").alias("ts")))
+
+
 FAILURES = "_failures"
 FAILURE_SCHEMA = "path string, ts timestamp, reason string, detail string"
 ENCODER = "encoder"  # the reason that is tried again
@@ -139,19 +199,22 @@ def read_failures(spark: SparkSession, store: IndexStore) -> DataFrame:
     return spark.read.schema(schema).parquet(root)
 
 
+def _last_finished(spark: SparkSession, folder: str, before: int) -> str | None:
+    """The folder of the last finished batch before ``before``."""
+    fs, path = _file_system(spark, folder)
+    batches = [int(n.partition("=")[2]) for n in _folder_names(spark, folder) if n.startswith("batch=")]
+    for batch in sorted((n for n in batches if n < before), reverse=True):
+        found = posixpath.join(folder, f"batch={batch}")
+        if fs.exists(path(posixpath.join(found, "_SUCCESS"))):
+            return found
+    return None
+
+
 def open_failures(spark: SparkSession, store: IndexStore, before: int, writer: str | None = None) -> DataFrame:
     """What the last batch of ``writer`` (or of each) before ``before`` left to be tried again; each passes on what still fails."""
     root = posixpath.join(store.root, FAILURES)
     writers = [writer] if writer else [n.partition("=")[2] for n in _folder_names(spark, root) if n.startswith("writer=")]
-    fs, path = _file_system(spark, root)
-    last = []
-    for name in writers:
-        batches = [int(n.partition("=")[2]) for n in _folder_names(spark, _failure_folder(store, name)) if n.startswith("batch=")]
-        for batch in sorted((n for n in batches if n < before), reverse=True):
-            folder = _failure_folder(store, name, batch)
-            if fs.exists(path(posixpath.join(folder, "_SUCCESS"))):
-                last.append(folder)
-                break
+    last = [found for name in writers if (found := _last_finished(spark, _failure_folder(store, name), before))]
     if not last:
         return spark.createDataFrame([], FAILURE_SCHEMA)
     return spark.read.schema(FAILURE_SCHEMA).parquet(*last).where(F.col("reason") == ENCODER)
@@ -237,14 +300,13 @@ def watch(
     """
     writer = f"{STREAM}_{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
     changes = normalize_events(events)
-    if window_ms is None:
-        held = changes
-    else:
-        held = debounce_stream(changes, window_ms, lateness=None).unionByName(changes.where(F.col("op") == DELETE))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version = apply_changes(batch.sparkSession, batch, store, encoders, batch_id, writer=writer)
+        spark = batch.sparkSession
+        if window_ms is not None:
+            batch = debounce_batch(batch, posixpath.join(checkpoint, HELD), batch_id, window_ms)
+        version = apply_changes(spark, batch, store, encoders, batch_id, writer=writer)
         if on_batch:
             on_batch(batch_id, version)
 
-    return held.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

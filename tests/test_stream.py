@@ -11,7 +11,7 @@ from fathomline.schemas import CHANGE_SCHEMA
 from fathomline.sources.changelog import read_change_log
 from fathomline.sources.index_table import IndexStore
 from fathomline.plans.ingest import ingest
-from fathomline.streaming.watch import apply_changes, debounce_stream, open_failures, read_failures, watch
+from fathomline.streaming.watch import apply_changes, debounce_batch, debounce_stream, open_failures, read_failures, watch
 from test_sources import full, put
 
 ENCODERS = {"embedding_local": HashedTrigramEncoder(8)}
@@ -185,3 +185,35 @@ def test_state_outlives_the_window(spark):
     events = spark.createDataFrame([("created", "/w/1.json", None, False, START)], CHANGE_SCHEMA)
     with pytest.raises(ValueError):
         debounce_stream(normalize_events(events), window_ms=20_000, ttl_ms=10_000)
+
+
+def test_batches_are_debounced_by_a_table(spark, tmp_path):
+    folder, schema = str(tmp_path / "held"), "op string, path string, debounce_type string, ts timestamp"
+
+    def kept(batch_id, now_ms, *events):
+        rows = [(op, f"/w/{n}.json", kind, None if ms is None else at(ms)) for op, n, kind, ms in events]
+        got = debounce_batch(spark.createDataFrame(rows, schema), folder, batch_id, 500, 10_000, now_ms).collect()
+        return sorted((r.op, r.path[3], r.ts and int((r.ts.replace(tzinfo=timezone.utc) - START).total_seconds() * 1000)) for r in got)
+
+    first = [("upsert", 1, "created", ms) for ms in (300, 0, 0, 1200)] + [("upsert", 1, "modified", 200), ("upsert", 2, "created", 0)]
+    assert kept(0, 0, *first) == [("upsert", "1", 0), ("upsert", "1", 200), ("upsert", "1", 1200), ("upsert", "2", 0)]
+    second = [("upsert", 1, "created", 1500), ("upsert", 1, "created", 1700), ("delete", 1, None, 1500), ("upsert", 3, "created", 5)]
+    want = [("delete", "1", 1500), ("upsert", "1", 1700), ("upsert", "3", 5)]
+    assert kept(1, 5000, *second) == want
+    # Repeated, the batch starts from what the one before it left.
+    assert kept(1, 5000, *second) == want
+    # What batch 0 kept last has expired by now, what batch 1 kept has not.
+    assert kept(2, 11_000, ("upsert", 9, "created", 0)) == [("upsert", "9", 0)]
+    assert kept(3, 11_000, ("upsert", 2, "created", 1), ("upsert", 1, "created", 1701)) == [("upsert", "2", 1)]
+    assert kept(4, 11_000, ("upsert", 4, "created", None)) == [("upsert", "4", None)]
+    assert sorted(n for n in os.listdir(folder) if n.startswith("batch=")) == ["batch=3", "batch=4"]
+
+
+def test_watch_keeps_no_state_key_by_key(spark, tmp_path):
+    log, cp = str(tmp_path / "log"), str(tmp_path / "cp")
+    one = put(str(tmp_path / "items"), "1.json", full(1))
+    write_log(log, "a.json", [("created", one, None, 0), ("created", one, None, 100)])
+    store = IndexStore(spark, str(tmp_path / "store"))
+    watch(read_change_log(spark, log), store, ENCODERS, cp).trigger(availableNow=True).start().awaitTermination()
+    assert [r.item_key for r in store.read().collect()] == [1]
+    assert "state" not in os.listdir(cp) and spark.read.parquet(f"{cp}/held").count() == 1

@@ -10,9 +10,8 @@ lead there, chosen by the checked size of the query table:
   blocks of queries of bounded size: a task holds one block, so each query hands
   on its best rows once, or a few times where there are fewer blocks than cores.
 
-Items in buckets (clustered lists) meet the queries of their bucket in a grid:
-items are split into shards, and each (shard, block) cell is one cogroup. A
-bucket that holds a third of all items becomes many cells.
+Items in clustered lists are read from the files of their lists in the same way,
+by the blocks of queries that ask for them.
 
 Once a query has ``k`` rows, only what can be nearer than its k-th is looked at.
 A window over the partial results (a few rows per query and task) finishes the
@@ -21,7 +20,8 @@ job; Spark cuts it to ``k`` per task before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,9 +39,11 @@ MAX_LOCAL_QUERIES = 10_000
 # Scan tasks per core; each hands on up to k rows per query.
 TASKS_PER_CORE = 4
 SPLITS_PER_TASK = 8
-# Rows per side of a grid cell.
-ITEMS_PER_CELL = 16_384
+# Items read at once, and queries of a block.
+ITEMS_PER_CELL = 8_192
 QUERIES_PER_CELL = 4_096
+# Pairs put in order at once, about.
+PAIRS_AT_ONCE = 500_000
 # Sides of a score matrix held at once.
 QUERY_CHUNK = 256
 ITEM_CHUNK = 8_192
@@ -110,7 +112,7 @@ class CosineRanker:
         matrix, usable = unit_rows(queries[self.query_column])
         return matrix, usable, matrix.astype(np.float32)
 
-    def prepare_items(self, prepared, items: pa.Table):
+    def prepare_items(self, prepared, items: pa.Table, list_id: int | None = None):
         dims = prepared[0].shape[1]
         if not prepared[1].any():
             return np.zeros((0, dims)), np.zeros(0, dtype=np.int64), np.zeros((0, dims), dtype=np.float32)
@@ -118,7 +120,7 @@ class CosineRanker:
         matrix = matrix[usable]
         return matrix, np.flatnonzero(usable), matrix.astype(np.float32)
 
-    def near(self, prepared, rows: slice, side, bar: np.ndarray, outside, later: bool):
+    def near(self, prepared, rows: slice | np.ndarray, side, bar: np.ndarray, outside, later: bool):
         """Places of query and item, and the distance, of all pairs that can be among a query's best.
 
         Single precision, with room for its error, tells which pairs are worth a
@@ -341,15 +343,18 @@ class _Outside:
     """The filters of a chunk of queries over a chunk of items, evaluated where they are asked for."""
 
     scope: _Scope
-    rows: slice
+    rows: slice | np.ndarray
     side: dict
 
+    def _places(self, q: np.ndarray) -> np.ndarray:
+        return q + self.rows.start if isinstance(self.rows, slice) else self.rows[q]
+
     def pairs(self, q: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return self.scope.pairs(q + self.rows.start, i, self.side)
+        return self.scope.pairs(self._places(q), i, self.side)
 
     def block(self, q: np.ndarray, i: np.ndarray) -> np.ndarray | None:
         side = {name: values[..., i] for name, values in self.side.items()}
-        return self.scope.outside(q + self.rows.start, side, len(i))
+        return self.scope.outside(self._places(q), side, len(i))
 
 
 class _Best:
@@ -363,16 +368,6 @@ class _Best:
         self.item = np.zeros(0, dtype=np.int64)
         self.distance = np.zeros(0)
 
-    def offer(self, items: np.ndarray, distance: np.ndarray) -> None:
-        """``items`` must ascend."""
-        if not self.depth:
-            return
-        bar = self.limit
-        if self.depth < distance.shape[1] and not np.isfinite(bar).all():
-            bar = np.minimum(bar, np.partition(distance, self.depth - 1, axis=1)[:, self.depth - 1])
-        q, i = np.nonzero((distance <= bar[:, None]) & np.isfinite(distance))
-        self.take(q, items[i], distance[q, i])
-
     def take(self, q: np.ndarray, items: np.ndarray, distance: np.ndarray) -> None:
         """Pairs of a query and an item, in any order."""
         if not len(q) or not self.depth:
@@ -432,38 +427,39 @@ class BlockScorer:
         for at, rows in enumerate(self.chunks):
             outside = _Outside(self.scope, rows, scope)
             for ranker, prepared, side, kept in zip(self.rankers, self.prepared, sides, self.best):
-                if hasattr(ranker, "near"):
-                    found = ranker.near(prepared, rows, side, kept[at].limit, outside, later)
-                    if found:
-                        q, i, distance = map(np.concatenate, zip(*found))
-                        kept[at].take(q, ids[i], distance)
-                    continue
-                distance = ranker.distances(prepared, rows, side)
-                mask = self.scope.outside(rows, scope, len(ids))
-                if mask is not None:
-                    np.copyto(distance, np.inf, where=mask)
-                kept[at].offer(ids, distance)
+                found = ranker.near(prepared, rows, side, kept[at].limit, outside, later)
+                if found:
+                    q, i, distance = map(np.concatenate, zip(*found))
+                    kept[at].take(q, ids[i], distance)
         self.highest = max(self.highest, ids[-1]) if self.seen else ids[-1]
         self.seen = True
 
     def result(self) -> pa.Table:
-        parts = [PARTIAL_ARROW.empty_table()]
-        for ranker, kept in zip(self.rankers, self.best):
-            for rows, best in zip(self.chunks, kept):
-                at = best.query + rows.start
-                parts.append(
-                    pa.table(
-                        [
-                            pa.array([ranker.kind] * len(at), pa.string()),
-                            pa.array(self.ids[at], pa.int64()),
-                            pa.array(best.item, pa.int64()),
-                            pa.array(best.distance, pa.float64()),
-                            pa.array(self.k[at], pa.int32()),
-                        ],
-                        schema=PARTIAL_ARROW,
-                    )
-                )
-        return pa.concat_tables(parts).combine_chunks()
+        return _partial(
+            (ranker.kind, self.ids, self.k, best, rows.start)
+            for ranker, kept in zip(self.rankers, self.best)
+            for rows, best in zip(self.chunks, kept)
+        )
+
+
+def _partial(found: Iterable[tuple]) -> pa.Table:
+    """Rows of running bests: kind, ids and ``k`` of a block of queries, the best, and where its queries start in the block."""
+    parts = [PARTIAL_ARROW.empty_table()]
+    for kind, ids, k, best, start in found:
+        at = best.query + start
+        parts.append(
+            pa.table(
+                [
+                    pa.array([kind] * len(at), pa.string()),
+                    pa.array(ids[at], pa.int64()),
+                    pa.array(best.item, pa.int64()),
+                    pa.array(best.distance, pa.float64()),
+                    pa.array(k[at], pa.int32()),
+                ],
+                schema=PARTIAL_ARROW,
+            )
+        )
+    return pa.concat_tables(parts).combine_chunks()
 
 
 @dataclass(frozen=True)
@@ -556,10 +552,7 @@ def _passing(queries: DataFrame, items: DataFrame, rankers: Sequence, n_queries:
                     scorer.add(pa.Table.from_batches([batch]))
             yield from scorer.result().to_batches()
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * shards
-    cells = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda shard: (block + shard).cast("int"))
-    placed = queries.withColumn("cell", F.explode(cells)).repartitionById(blocks * shards, F.col("cell"))
-    return placed.mapInArrow(search, PARTIAL_SCHEMA)
+    return _placed(queries, blocks, shards).mapInArrow(search, PARTIAL_SCHEMA)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -575,49 +568,98 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _batches(path: str) -> Iterator[pa.RecordBatch]:
+def _batches(path: str, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
     """A written file, some rows at a time."""
     store, name = file_system(path)
     with store.open_input_file(name) as source:
-        yield from pq.ParquetFile(source).iter_batches(batch_size=ITEM_CHUNK)
+        yield from pq.ParquetFile(source).iter_batches(batch_size=ITEMS_PER_CELL, columns=columns)
+
+
+def _placed(queries: DataFrame, blocks: int, shards: int) -> DataFrame:
+    """Queries dealt to blocks; a partition is one block and one shard of the items, named by ``cell``."""
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * shards
+    cells = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda shard: (block + shard).cast("int"))
+    return queries.withColumn("cell", F.explode(cells)).repartitionById(blocks * shards, F.col("cell"))
+
+
+class ListScorer:
+    """Scores lists of items against those queries of one block that ask for them, with one running best over all lists."""
+
+    def __init__(self, queries: pa.Table, rankers: Sequence):
+        self.rankers = rankers
+        self.ids = queries["query_id"].to_numpy()
+        self.k = queries["k"].to_numpy().astype(np.int64)
+        self.scope = _Scope(queries)
+        self.prepared = [r.prepare_queries(queries) for r in rankers]
+        asked = _flat(queries["lists"])
+        holders = pc.list_parent_indices(asked).to_numpy(zero_copy_only=False)
+        lists = pc.list_flatten(asked).to_numpy(zero_copy_only=False)
+        order = np.argsort(lists, kind="stable")
+        self.lists, self.holders = lists[order], holders[order]
+        self.best = [_Best(self.k) for _ in rankers]
+
+    def asking(self, list_id: int) -> np.ndarray:
+        """Places of the queries that ask for a list."""
+        return self.holders[slice(*np.searchsorted(self.lists, [list_id, list_id + 1]))]
+
+    def add(self, list_id: int, items: pa.Table) -> None:
+        rows, start = self.asking(list_id), 0
+        while len(rows) and start < items.num_rows:
+            # Few items while most queries have no k-th row yet.
+            full = min(np.isfinite(best.limit[rows]).mean() for best in self.best)
+            size = ITEM_CHUNK if full > 0.5 else FIRST_CHUNK
+            self._add_chunk(list_id, rows, items.slice(start, size).combine_chunks())
+            start += size
 
+    def _add_chunk(self, list_id: int, rows: np.ndarray, items: pa.Table) -> None:
+        ids = items["item_id"].to_numpy()
+        scope = self.scope.side(items)
+        for ranker, prepared, best in zip(self.rankers, self.prepared, self.best):
+            side = ranker.prepare_items(prepared, items, list_id)
+            held, pairs = [], 0
+            for start in range(0, len(rows), QUERY_CHUNK):
+                mine = rows[start:start + QUERY_CHUNK]
+                for q, i, distance in ranker.near(prepared, mine, side, best.limit[mine], _Outside(self.scope, mine, scope), False):
+                    held.append((mine[q], ids[i], distance))
+                    pairs += len(q)
+                # All queries of the block are put in order together, some pairs at a time.
+                if held and (pairs >= PAIRS_AT_ONCE or start + QUERY_CHUNK >= len(rows)):
+                    best.take(*map(np.concatenate, zip(*held)))
+                    held, pairs = [], 0
 
-def _cells(rows: Column, per_cell: int) -> Column:
-    return F.greatest(F.ceil(rows / per_cell), F.lit(1)).cast("bigint")
+    def result(self) -> pa.Table:
+        return _partial((r.kind, self.ids, self.k, best, 0) for r, best in zip(self.rankers, self.best))
 
 
-def _grid(queries: DataFrame, items: DataFrame, rankers: Sequence, sizes: DataFrame) -> DataFrame:
-    """Cells of bounded size; both sides carry a ``bucket`` to meet in.
+def listed_topk(
+    queries: DataFrame, items: DataFrame, columns: dict[str, str], rankers: Sequence, n_queries: int
+) -> DataFrame:
+    """Best rows of queries among the lists each asks for; ``keep_best`` finishes the job.
 
-    ``sizes(bucket, n)`` gives the items per bucket: one row per bucket, and
-    there are as many buckets as the caller made, so the table of cell counts is
-    small however large a bucket is. It is broadcast, so that the rows of a
-    bucket are not brought together before they are split.
+    ``queries`` as for ``blocked_topk``, with ``lists``, the lists a query asks
+    for. ``items`` is a written table with a folder ``list_id`` for each list;
+    ``columns`` gives the names its columns have for the rankers. A task holds a
+    block of queries and reads the lists they ask for file by file, so no item is
+    shuffled, and a query hands on its best rows once, not once per list.
     """
-    blocks = queries.groupBy("bucket").agg(_cells(F.count(F.lit(1)), QUERIES_PER_CELL).alias("blocks"))
-    parts = sizes.select("bucket", _cells(F.col("n"), ITEMS_PER_CELL).alias("shards"))
-    cells = F.broadcast(parts.join(blocks, "bucket"))
-    items, queries = items.join(cells, "bucket"), queries.join(cells, "bucket")
-    zero = F.lit(0).cast("bigint")
-    placed_items = (
-        items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.col("shards")))
-        .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-        .drop("shards", "blocks")
-    )
-    placed_queries = (
-        queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
-        .withColumn("shard", F.explode(F.sequence(zero, F.col("shards") - 1)))
-        .drop("shards", "blocks")
-    )
-    chosen = tuple(rankers)
+    files = sorted((int(re.search(r"/list_id=(\d+)/", path)[1]), path) for path in items.inputFiles())
+    tasks = TASKS_PER_CORE * items.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n_queries // QUERIES_PER_CELL))
+    shards = min(max(1, tasks // blocks), max(1, len(files)))
+    chosen, at_once = tuple(rankers), QUERIES_PER_CELL
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        scorer = BlockScorer(left, chosen)
-        scorer.add(right)
-        return scorer.result()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, at_once):
+            # The blocks of a task all have its shard, wherever their rows came from.
+            shard = table["cell"][0].as_py() % shards
+            scorer = ListScorer(table.drop_columns("cell"), chosen)
+            for list_id, path in files[shard::shards]:
+                if len(scorer.asking(list_id)):
+                    for batch in _batches(path, list(columns)):
+                        scorer.add(list_id, pa.Table.from_batches([batch]).rename_columns(columns))
+            yield from scorer.result().to_batches()
 
-    cell = ("bucket", "shard", "block")
-    return placed_queries.groupBy(*cell).cogroup(placed_items.groupBy(*cell)).applyInArrow(score, PARTIAL_SCHEMA)
+    return _placed(queries, blocks, shards).mapInArrow(search, PARTIAL_SCHEMA)
 
 
 def keep_best(partial: DataFrame, k_max: int) -> DataFrame:
@@ -641,31 +683,17 @@ class Ranked:
     max_rows: int | None
 
 
-def blocked_topk(
-    queries: DataFrame,
-    items: DataFrame,
-    rankers: Sequence,
-    force_grid: bool = False,
-    k_max: int | None = None,
-    sizes: DataFrame | None = None,
-) -> Ranked:
+def blocked_topk(queries: DataFrame, items: DataFrame, rankers: Sequence, force_grid: bool = False) -> Ranked:
     """Ranks per ranker and query.
 
     ``queries`` holds ``query_id, k``, the rankers' query columns and any of the
     filter columns; ``items`` holds ``item_id``, the rankers' item columns and
-    the filter columns. ``k_max``, the largest ``k``, is looked up unless the
-    caller knows it. ``max_rows`` bounds the rows of one ranker if the query
+    the filter columns. ``max_rows`` bounds the rows of one ranker if the query
     table was within the bounds.
     """
-    bucketed = "bucket" in items.columns
-    if bucketed and sizes is None:
-        raise ValueError("bucketed items need the sizes of their buckets")
-    if bucketed and k_max is not None:
-        return Ranked(keep_best(_grid(queries, items, rankers, sizes), k_max), k_max, None)
     size = measure(queries)
-    if size.may_travel() and not force_grid and not bucketed:
+    if size.may_travel() and not force_grid:
         # A task's result is final for its items; one exchange by query serves all that follows.
         partial = _scan_in_place(queries.toArrow(), items, rankers).repartition("query_id")
         return Ranked(keep_best(partial, size.k_max), size.k_max, size.k_sum)
-    partial = _grid(queries, items, rankers, sizes) if bucketed else _passing(queries, items, rankers, size.rows)
-    return Ranked(keep_best(partial, size.k_max), size.k_max, None)
+    return Ranked(keep_best(_passing(queries, items, rankers, size.rows), size.k_max), size.k_max, None)

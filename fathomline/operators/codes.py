@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fathomline.functions.vectors import cosine_distance
-from fathomline.operators.blocks import blocked_topk, keep_best, scope_columns
+from fathomline.operators.blocks import keep_best, listed_topk, scope_columns, unit_rows
 from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE
 from fathomline.operators.ivf import IvfIndex, gaps_to, unit, usable_vector
 from fathomline.operators.nearest import PRECISION
@@ -84,29 +84,59 @@ def code_build(index: IvfIndex, path: str, parts: int = 16, sample: int = CODE_S
 
 @dataclass(frozen=True)
 class CodeRanker:
-    """Estimated cosine distance between a query's ``residual`` in a list and the ``code`` of an item there."""
+    """Estimated cosine distance between a ``query_vec``, less the centre of a list, and the ``code`` of an item there."""
 
     books: np.ndarray
+    centers: np.ndarray
     kind: str = "code"
 
     def prepare_queries(self, queries: pa.Table) -> np.ndarray:
-        values = queries["residual"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return values.reshape(queries.num_rows, -1)
+        matrix, usable = unit_rows(queries["query_vec"])
+        matrix[~usable] = 0
+        return matrix
 
-    def prepare_items(self, prepared: np.ndarray, items: pa.Table) -> np.ndarray:
+    def prepare_items(self, prepared: np.ndarray, items: pa.Table, list_id: int):
         data = b"".join(items["code"].to_pylist())
-        return np.frombuffer(data, dtype=np.uint8).reshape(items.num_rows, len(self.books))
-
-    def distances(self, prepared: np.ndarray, rows: slice, side: np.ndarray) -> np.ndarray:
-        out = np.zeros((rows.stop - rows.start, len(side)))
-        for part, book, code in zip(np.split(prepared[rows], len(self.books), axis=1), self.books, side.T):
-            out += (gaps_to(part, book) ** 2)[:, code]
-        # Unit vectors: squared distance is twice the cosine distance.
-        return np.round(out / 2, PRECISION)
+        codes = np.frombuffer(data, dtype=np.uint8).reshape(items.num_rows, len(self.books))
+        words = np.concatenate([book[code] for book, code in zip(self.books, codes.T)], axis=1)
+        halves = np.einsum("ij,ij->i", words, words) / 2
+        rough = np.column_stack([words, -halves]).astype(np.float32)
+        return self.centers[list_id], words, halves, rough
+
+    def near(self, prepared: np.ndarray, rows: np.ndarray, side, bar: np.ndarray, outside, later: bool):
+        """Places of query and item, and the estimate, of all pairs that can be among a query's best.
+
+        Single precision, with room for its error, tells which pairs are worth
+        an estimate in double precision.
+        """
+        center, words, halves, rough = side
+        residual = prepared[rows] - center
+        half = np.einsum("ij,ij->i", residual, residual) / 2
+        out = []
+        full = np.flatnonzero(np.isfinite(bar))
+        if len(full):
+            size = 2 * (half.max() + halves.max()) + 1
+            slack = 10.0**-PRECISION + (words.shape[1] + 8) * 2.0**-23 * size
+            floor = (half[full] - bar[full] - slack).astype(np.float32)
+            asked = np.column_stack([residual[full], np.ones(len(full))]).astype(np.float32)
+            q, i = np.nonzero(asked @ rough.T >= floor[:, None])
+            q = full[q]
+            inside = outside.pairs(q, i)
+            q, i = q[inside], i[inside]
+            off = residual[q] - words[i]
+            out.append((q, i, np.round(np.einsum("ij,ij->i", off, off) / 2, PRECISION)))
+        open_ = np.flatnonzero(~np.isfinite(bar))
+        if len(open_):
+            # Unit vectors: squared distance is twice the cosine distance.
+            estimate = half[open_, None] + halves[None, :] - residual[open_] @ words.T
+            mask = outside.block(open_, np.arange(len(words)))
+            q, i = np.nonzero(np.ones(estimate.shape, dtype=bool) if mask is None else ~mask)
+            out.append((open_[q], i, np.round(np.maximum(estimate[q, i], 0), PRECISION)))
+        return out
 
 
 def _probes(queries: DataFrame, index: IvfIndex, first: int, last: int) -> DataFrame:
-    """A row per query and list, for the ``first`` to ``last`` nearest lists that hold items, with the residual there."""
+    """Adds ``lists``, a query's ``first`` to ``last`` nearest lists that hold items."""
     held = np.flatnonzero(index.counts)
     centers = index.centers
 
@@ -120,12 +150,7 @@ def _probes(queries: DataFrame, index: IvfIndex, first: int, last: int) -> DataF
         order = np.argsort(np.take_along_axis(gaps, near, axis=1), axis=1, kind="stable")
         return pd.Series(list(held[np.take_along_axis(near, order, axis=1)][:, first:last]))
 
-    @F.pandas_udf("array<double>")
-    def off_center(vectors: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series(list(unit(vectors) - centers[lists.to_numpy(dtype=np.int64)]))
-
-    spread = queries.withColumn("bucket", F.explode(nearest("query_vec")))
-    return spread.withColumn("residual", off_center("query_vec", "bucket")).drop("query_vec")
+    return queries.withColumn("lists", nearest("query_vec"))
 
 
 def coded_topk(
@@ -145,14 +170,14 @@ def coded_topk(
     asked = cut_lineage(queries.where(usable_vector(query_col)).select(
         "query_id", F.lit(kept).cast("int").alias("k"), F.col(query_col).alias("query_vec"), *scope
     ))
-    right = coded.codes.withColumn("bucket", F.col("list_id").cast("bigint")).drop("list_id")
+    fields = {c: c for c in ("item_id", "code", *scope_columns(coded.codes, ITEM_SCOPE))}
+    ranker = CodeRanker(coded.books, index.centers)
     columns = ["kind", "query_id", "item_id", "distance", "k"]
     waiting, first, last = asked, 0, min(nprobe, held)
     found, read = None, []
     while first < held:
-        # Counted by list, then split into cells.
-        probes = cut_lineage(_probes(waiting, index, first, last))
-        best = blocked_topk(probes, right, [CodeRanker(coded.books)], k_max=kept, sizes=index.sizes()).rows.select(*columns)
+        probes = _probes(waiting, index, first, last)
+        best = keep_best(listed_topk(probes, coded.codes, fields, [ranker], waiting.count()), kept).select(*columns)
         best = cut_lineage(best if found is None else keep_best(found.unionByName(best), kept).select(*columns))
         read.append(waiting.select("query_id", F.lit(last).cast("bigint").alias("lists_read")))
         found, first, last = best, last, min(last * STEP, held)

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathomline.functions.vectors import l2_normalize
-from fathomline.operators.blocks import CosineRanker, blocked_topk, keep_best, scope_columns
+from fathomline.operators.blocks import CosineRanker, keep_best, listed_topk, scope_columns
 from fathomline.operators.filters import ITEM_SCOPE, QUERY_SCOPE
 from fathomline.operators.nearest import PRECISION
 from fathomline.session import cut_lineage
@@ -51,10 +51,6 @@ class IvfIndex:
     counts: np.ndarray
     vector_col: str
 
-    def sizes(self) -> DataFrame:
-        rows = [(i, int(n)) for i, n in enumerate(self.counts)]
-        return self.items.sparkSession.createDataFrame(rows, "bucket bigint, n bigint")
-
 
 def assign_lists(items: DataFrame, centers: np.ndarray, vector_col: str = "embedding") -> DataFrame:
     """Adds ``list_id`` and ``gap``, the distance to the centre of that list."""
@@ -131,43 +127,33 @@ def ivf_topk(
 ) -> DataFrame:
     """``query_id, item_id, distance, vec_rank``; filters as in ``vector_topk``."""
     scope = scope_columns(queries, QUERY_SCOPE)
-    probed = queries.where(usable_vector(query_col)).select(
+    # Read by each round.
+    asked = cut_lineage(queries.where(usable_vector(query_col)).select(
         "query_id",
         F.lit(k).cast("int").alias("k"),
         F.col(query_col).alias("query_vec"),
         *scope,
-        F.posexplode(_lists_by_gap(index, query_col)).alias("place", "probe"),
-    )
-    left = probed.select(
-        "query_id", "k", "query_vec", *scope, "place",
-        F.col("probe.list_id").cast("bigint").alias("bucket"), F.col("probe.floor").alias("floor"),
-    )
-    right = index.items.select(
-        "item_id",
-        F.col(index.vector_col).alias("item_vec"),
-        F.col("list_id").cast("bigint").alias("bucket"),
-        *scope_columns(index.items, ITEM_SCOPE),
-    )
-    ranker = [CosineRanker(PRECISION)]
+        _lists_by_gap(index, query_col).alias("near"),
+    ))
+    n_queries = asked.count()
+    fields = {"item_id": "item_id", index.vector_col: "item_vec"} | {c: c for c in scope_columns(index.items, ITEM_SCOPE)}
     columns = ["kind", "query_id", "item_id", "distance", "k"]
 
-    def search(probes: DataFrame) -> DataFrame:
-        wanted = probes.drop("place", "floor")
-        return blocked_topk(wanted, right, ranker, k_max=k, sizes=index.sizes()).rows.select(*columns)
+    def search(chosen: DataFrame) -> DataFrame:
+        lists = F.transform("chosen", lambda x: x["list_id"].cast("bigint")).alias("lists")
+        wanted = chosen.where(F.size("chosen") > 0).select("query_id", "k", "query_vec", *scope, lists)
+        return keep_best(listed_topk(wanted, index.items, fields, [CosineRanker(PRECISION)], n_queries), k).select(*columns)
 
-    found = search(left.where(F.col("place") < nprobe))
+    found = search(asked.withColumn("chosen", F.slice("near", 1, nprobe)))
     if exact:
         # Read three times below, a few rows per query.
         found = cut_lineage(found)
         reached = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("worst"))
         # Unit vectors: squared distance is twice the cosine distance.
         reach = F.when(F.col("n") >= k, F.sqrt(2 * (F.col("worst") + SLACK)) + SLACK)
-        open_lists = (
-            left.where(F.col("place") >= nprobe)
-            .join(reached.select("query_id", reach.alias("reach")), "query_id", "left")
-            .where(F.col("reach").isNull() | (F.col("floor") <= F.col("reach")))
-            .drop("reach")
-        )
+        rest = F.slice("near", nprobe + 1, F.size("near"))
+        within = F.filter(rest, lambda x: F.col("reach").isNull() | (x["floor"] <= F.col("reach")))
+        open_lists = asked.join(reached.select("query_id", reach.alias("reach")).hint("merge"), "query_id", "left").withColumn("chosen", within)
         found = keep_best(found.unionByName(search(open_lists)), k).select(*columns)
     order = W.partitionBy("query_id").orderBy("distance", "item_id")
     return found.select("query_id", "item_id", "distance", F.row_number().over(order).alias("vec_rank"))

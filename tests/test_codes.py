@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fathomline.operators.codes import code_build, coded_topk
-from fathomline.operators.ivf import ivf_build, recall_at_k
+from fathomline.operators import blocks
+from fathomline.operators.codes import CodeRanker, code_build, coded_topk
+from fathomline.operators.ivf import ivf_build, ivf_topk, recall_at_k
 from fathomline.operators.nearest import vector_topk
 
 DIMS, K = 16, 5
@@ -55,3 +57,33 @@ def test_every_item_is_coded(world):
     assert coded.codes.count() == 901 and {len(r.code) for r in coded.codes.select("code").collect()} == {8}
     with pytest.raises(ValueError, match="parts"):
         code_build(coded.index, "unused", parts=5)
+
+
+def test_lists_are_read_in_place_and_a_query_hands_on_its_best_once(world, monkeypatch, plan):
+    idf, qdf, coded = world
+    monkeypatch.setattr(blocks, "QUERIES_PER_CELL", 1)
+    monkeypatch.setattr(blocks, "ITEMS_PER_CELL", 37)
+    held = qdf.where("query_id < 40").select("query_id", F.lit(K).alias("k"), "query_vec", "level", F.expr("sequence(0L, 11L)").alias("lists"))
+    fields = {"item_id": "item_id", "code": "code", "level": "level"}
+    found = blocks.listed_topk(held, coded.codes, fields, [CodeRanker(coded.books, coded.index.centers)], 40)
+    # Blocks of one query leave one task to each: k rows, not k rows of each of the twelve lists.
+    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {K}
+    text = plan(ivf_topk(qdf, coded.index, K, nprobe=2, exact=False))
+    assert "MapInArrow" in text and "CoGroups" not in text
+
+
+def test_estimates_are_distances_to_the_coded_items(world):
+    _, qdf, coded = world
+    query = np.array(qdf.where("query_id = 1").first().query_vec, dtype=float)
+    query /= np.linalg.norm(query)
+    want = []
+    for r in coded.codes.collect():
+        words = np.concatenate([book[c] for book, c in zip(coded.books, r.code)])
+        off = query - coded.index.centers[r.list_id] - words
+        want.append((round(float(off @ off) / 2, 6), r.item_id))
+    one = qdf.where("query_id = 1").select("query_id", F.lit(30).alias("k"), "query_vec", F.expr("sequence(0L, 11L)").alias("lists"))
+    fields = {"item_id": "item_id", "code": "code"}
+    found = blocks.listed_topk(one, coded.codes, fields, [CodeRanker(coded.books, coded.index.centers)], 1).collect()
+    got = sorted((r.distance, r.item_id) for r in found)[:30]
+    assert [i for _, i in got] == [i for _, i in sorted(want)[:30]]
+    assert np.allclose([d for d, _ in got], [d for d, _ in sorted(want)[:30]], atol=2e-6)

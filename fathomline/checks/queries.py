@@ -37,7 +37,7 @@ from fathomline.plans.ingest import ingest, ingest_documents, reconcile
 from fathomline.plans.search import (
     context_prompts, hybrid_candidates, hybrid_search, search_report, with_limits,
 )
-from fathomline.session import checkpoint_dir, cut_lineage
+from fathomline.session import checkpoint_dir, cut_lineage, deal
 from fathomline.sources.changelog import read_change_log
 from fathomline.sources.directory_stream import read_directory_changes
 from fathomline.sources.index_table import FILTERED, IndexStore, existing_hashes, union_versions, upgrade_schema
@@ -758,7 +758,7 @@ class RefusingEncoder(HashedTrigramEncoder):
 def embed_fitted(spark, sf):
     """Items encoded by an encoder fitted to all their contents."""
     items = item_rows(spark, sf).withColumn("content", content_of_items())
-    made = embed(items, "content", fit_encoder(items, "content", 32), "embedding_local")
+    made = embed(deal(items), "content", fit_encoder(items, "content", 32), "embedding_local")
     return made.select("item_id", F.posexplode("embedding_local").alias("slot", "value")).select(
         "item_id", "slot", F.round(F.col("value").cast("double"), 4).alias("value")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathomline.functions.trigram import padded_words
 from fathomline.operators.encode import BLANK, SLOT_FACTORS
-from fathomline.session import cut_lineage
+from fathomline.session import cut_lineage, deal
 
 FEATURES = 2048
 OVERSAMPLE = 16
@@ -44,11 +44,19 @@ def trigram_counts(padded: str, features: int) -> tuple[np.ndarray, np.ndarray]:
 def weighted_rows(slots: Sequence[np.ndarray], counts: Sequence[np.ndarray], rarity: np.ndarray) -> np.ndarray:
     """Rows of the matrix; a text without trigrams is a row of zeros."""
     out = np.zeros((len(slots), len(rarity)))
-    for row, (found, n) in enumerate(zip(slots, counts)):
-        if len(found):
-            out[row, found] = (1 + np.log(n)) * rarity[found]
-    lengths = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, lengths, out=out, where=lengths > 0)
+    if len(slots):
+        row = np.repeat(np.arange(len(slots)), [len(found) for found in slots])
+        column, n = np.concatenate(slots), np.concatenate(counts)
+        value = (1 + np.log(n)) * rarity[column]
+        length = np.sqrt(np.bincount(row, value**2, minlength=len(slots)))
+        out[row, column] = value / length[row]
+    return out
+
+
+def used_columns(slots: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The columns that some of the texts have, and the columns of each text by their places there."""
+    used, places = np.unique(np.concatenate(slots), return_inverse=True)
+    return used, np.split(places, np.cumsum([len(found) for found in slots])[:-1])
 
 
 def counted(texts: DataFrame, text_col: str, features: int) -> DataFrame:
@@ -81,8 +89,10 @@ def multiplied(rows: DataFrame, rarity: np.ndarray, thin: np.ndarray) -> np.ndar
         for part in parts:
             for start in range(0, len(part), CHUNK):
                 at = slice(start, start + CHUNK)
-                block = weighted_rows(part["slots"].iloc[at].tolist(), part["counts"].iloc[at].tolist(), rarity)
-                total += block.T @ (block @ thin)
+                # A few texts have few of the columns; the others would be multiplied as zeros.
+                used, places = used_columns(part["slots"].iloc[at].tolist())
+                block = weighted_rows(places, part["counts"].iloc[at].tolist(), rarity[used])
+                total[used] += block.T @ (block @ thin[used])
         used = np.flatnonzero(total.any(axis=1))
         if len(used):
             yield pd.DataFrame({"slot": used.astype(np.int32), "values": list(total[used])})
@@ -123,8 +133,9 @@ class FittedEncoder:
             out = np.zeros((len(texts), self.dims))
             for start in range(0, len(texts), CHUNK):
                 counts = [trigram_counts(text, len(self.rarity)) for text in texts[start:start + CHUNK]]
-                block = weighted_rows([c[0] for c in counts], [c[1] for c in counts], self.rarity)
-                out[start:start + CHUNK] = block @ self.directions
+                used, places = used_columns([c[0] for c in counts])
+                block = weighted_rows(places, [c[1] for c in counts], self.rarity[used])
+                out[start:start + CHUNK] = block @ self.directions[used]
             lengths = np.linalg.norm(out, axis=1, keepdims=True)
             # What is left of a row that lies outside the fitted space is rounding.
             return np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 1e-9)
@@ -164,7 +175,8 @@ def fit_encoder(
     """
     if not 0 < dims <= features:
         raise ValueError(f"dims must be between 1 and the {features} features, not {dims}")
-    rows = cut_lineage(counted(texts, text_col, features))
+    # As many files as tasks, so that the passes over them use all cores too.
+    rows = cut_lineage(counted(deal(texts.select(text_col)), text_col, features))
     rarity = rarities(rows, features)
     basis = np.random.default_rng(seed).standard_normal((features, min(features, dims + oversample)))
     basis = np.linalg.qr(basis)[0]

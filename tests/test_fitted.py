@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
+from fathomline.operators import fitted
 from fathomline.operators.encode import embed
 from fathomline.operators.fitted import FittedEncoder, fit_encoder, trigram_counts, weighted_rows
+from fathomline.session import cut_lineage
 
 FEATURES = 128
 WORDS = "red blue green dragon wizard stone golden knight of the sea fire ancient machine spirit".split()
@@ -63,3 +65,10 @@ def test_few_and_no_texts(spark):
     assert none.dims == 4 and not none.load()(["  red "]).any()
     with pytest.raises(ValueError, match="dims"):
         fit_encoder(one, "text", 65, features=64)
+
+
+def test_a_table_of_one_split_is_counted_by_all_cores(spark, table, monkeypatch):
+    counted = []
+    monkeypatch.setattr(fitted, "cut_lineage", lambda df: counted.append(df.rdd.getNumPartitions()) or cut_lineage(df))
+    fit_encoder(table.coalesce(1), "text", 4, features=64)
+    assert counted[0] >= spark.sparkContext.defaultParallelism

@@ -406,7 +406,8 @@ def rrf_fuse_outer(spark, sf):
 
 
 def prepared_with_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return with_limits(prepare_queries(queries_view(spark, sf)))
+    """Written once: the queries are measured, ranked and joined again."""
+    return cut_lineage(with_limits(prepare_queries(queries_view(spark, sf))))
 
 
 @registered

@@ -47,6 +47,8 @@ PAIRS_AT_ONCE = 500_000
 # Sides of a score matrix held at once.
 QUERY_CHUNK = 256
 ITEM_CHUNK = 8_192
+# Items whose products with a chunk of queries are made at once.
+CACHED_ITEMS = 1_024
 # The first items of a task are few, so that most queries soon have a k-th row to compare with.
 FIRST_CHUNK = 1_024
 # Stands between the trigrams of a text; none holds it.
@@ -135,7 +137,12 @@ class CosineRanker:
         if len(full):
             slack = 10.0**-self.precision + (matrix.shape[1] + 8) * 2.0**-23
             floor = (1.0 - bar[full] - slack).astype(np.float32)
-            q, i = np.nonzero(rough[rows][full] @ rough_items.T >= floor[:, None])
+            asked, near = rough[rows][full], []
+            # A few items at once, so that their products stay in a core's cache.
+            for start in range(0, len(places), CACHED_ITEMS):
+                q, i = np.nonzero(asked @ rough_items[start:start + CACHED_ITEMS].T >= floor[:, None])
+                near.append((q, i + start))
+            q, i = map(np.concatenate, zip(*near))
             q = full[q]
             inside = outside.pairs(q, places[i])
             q, i = q[inside], i[inside]
@@ -535,10 +542,14 @@ def _scan_in_place(table: pa.Table, items: DataFrame, rankers: Sequence) -> Data
 
 def _passing(queries: DataFrame, items: DataFrame, rankers: Sequence, n_queries: int) -> DataFrame:
     """Written items pass by blocks of queries, a task each; blocks are few rows, items are read file by file."""
-    tasks = TASKS_PER_CORE * items.sparkSession.sparkContext.defaultParallelism
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    tasks = TASKS_PER_CORE * cores
     written = cut_lineage(items.repartitionByRange(tasks, "item_id").sortWithinPartitions("item_id"))
     files = sorted(written.inputFiles())
     blocks = max(1, -(-n_queries // QUERIES_PER_CELL))
+    if blocks > cores:
+        # As many as keep all cores busy to the end.
+        blocks = -(-blocks // cores) * cores
     shards = min(max(1, tasks // blocks), max(1, len(files)))
     chosen, at_once = tuple(rankers), QUERIES_PER_CELL
 
@@ -694,6 +705,7 @@ def blocked_topk(queries: DataFrame, items: DataFrame, rankers: Sequence, force_
     size = measure(queries)
     if size.may_travel() and not force_grid:
         # A task's result is final for its items; one exchange by query serves all that follows.
-        partial = _scan_in_place(queries.toArrow(), items, rankers).repartition("query_id")
-        return Ranked(keep_best(partial, size.k_max), size.k_max, size.k_sum)
-    return Ranked(keep_best(_passing(queries, items, rankers, size.rows), size.k_max), size.k_max, None)
+        partial, most = _scan_in_place(queries.toArrow(), items, rankers), size.k_sum
+    else:
+        partial, most = _passing(queries, items, rankers, size.rows), None
+    return Ranked(keep_best(partial.repartition("query_id"), size.k_max), size.k_max, most)

@@ -31,7 +31,7 @@ from fathomline.operators.filters import Filters, filter_items, filter_pairs, it
 from fathomline.operators.fusion import rrf_fuse
 from fathomline.operators.ivf import ivf_build, ivf_topk, recall_at_k
 from fathomline.operators.nearest import knn_join, nearest_items, vector_topk
-from fathomline.operators.rerank import rerank
+from fathomline.operators.rerank import HELD, rerank, with_asked, with_held
 from fathomline.plans import digests
 from fathomline.plans.ingest import ingest, ingest_documents, reconcile
 from fathomline.plans.search import (
@@ -419,8 +419,8 @@ def hybrid_topk(spark, sf):
 @registered
 def rerank_topk(spark, sf):
     prepared = prepared_with_pool(spark, sf)
-    found = hybrid_candidates(prepared, items_view(spark, sf))
-    asked = prepared.select("query_id", F.col("query").alias("search_text"))
+    found = hybrid_candidates(prepared, with_held(items_view(spark, sf)), fields=("content", HELD))
+    asked = with_asked(prepared.select("query_id", F.col("query").alias("search_text")))
     ranked = rerank(found.join(asked, "query_id"), 5)
     return ranked.select("query_id", "item_id", "rerank_score", "rank")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from fathomline.functions.binding import let
-from fathomline.functions.trigram import trigrams
+from fathomline.functions.trigram import held_trigrams, padded_words, trigrams
 
 # Result limit, its range, candidate pool, fusion constants.
 DEFAULT_LIMIT = 30
@@ -39,10 +39,11 @@ def lexical_coverage(query: Column, content: Column) -> Column:
     The default pair score. It is a lexical stand-in, not a learned model;
     a model goes in through ``operators.rerank.model_scorer``.
     """
-    held = trigrams(F.coalesce(content, F.lit("")))
+    padded = padded_words(F.coalesce(content, F.lit("")))
+    return let(trigrams(query), lambda wanted: let(padded, lambda held: trigram_coverage(wanted, held)))
 
-    def share(wanted: Column) -> Column:
-        found = F.size(F.array_intersect(wanted, held))
-        return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))
 
-    return let(trigrams(query), share)
+def trigram_coverage(wanted: Column, padded: Column) -> Column:
+    """``lexical_coverage`` of the trigrams of a query and the padded words of a content."""
+    found = F.size(held_trigrams(wanted, padded))
+    return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))

@@ -22,7 +22,11 @@ def padded_words(text: Column) -> Column:
 
 def trigram_windows(text: Column) -> Column:
     """All trigrams of all words, in order and with repeats."""
-    return F.regexp_extract_all(padded_words(text), F.lit(r"(?s)(?=(..[^ ]|.[^ ] ))"), F.lit(1))
+    return _windows(padded_words(text))
+
+
+def _windows(padded: Column) -> Column:
+    return F.regexp_extract_all(padded, F.lit(r"(?s)(?=(..[^ ]|.[^ ] ))"), F.lit(1))
 
 
 def trigrams(text: Column) -> Column:
@@ -30,6 +34,18 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(trigram_windows(text))
 
 
+def held_trigrams(wanted: Column, padded: Column) -> Column:
+    """Those of ``wanted``, the trigrams of another text, that are trigrams of a text with these ``padded_words``.
+
+    They are looked up in the padded words, so that no set is built of them. No
+    trigram ends in two blanks; wherever one stands it is a trigram of a word.
+    """
+    # A question mark stands for half of a character beyond 16 bits, which the padded words do not show.
+    halved = F.exists(wanted, lambda gram: F.contains(gram, F.lit("?")))
+    looked_up = F.filter(wanted, lambda gram: F.contains(padded, gram))
+    return F.when(halved, F.array_intersect(wanted, F.array_distinct(_windows(padded)))).otherwise(looked_up)
+
+
 def set_similarity(left: Column, right: Column) -> Column:
     """Shared over all trigrams of two sets; 0 when both are empty."""
 

@@ -1,9 +1,13 @@
 """Second scoring: what belongs to a query or an item alone is computed once, and gives the same scores."""
 
 import random
+
 from pyspark.sql import functions as F
 
+import brute
 from fathomline.checks import queries as checks
+from fathomline.functions.scoring import lexical_coverage
+from fathomline.functions.trigram import trigrams
 from fathomline.operators import blocks
 
 WORDS = ["blue", "Dragon", "ação", "x", "ab", "a?b", "ß", "日本語", "𠀀𠀁𠀂", "𐐀z", "--", "", "\n"]
@@ -28,6 +32,16 @@ def tables(spark, n_items=60, n_queries=20):
     return spark.createDataFrame(asked, QUERIES), spark.createDataFrame(items, ITEMS)
 
 
+def test_coverage_of_odd_texts(spark):
+    r = random.Random(3)
+    pairs = spark.createDataFrame([(i, text(r), text(r)) for i in range(600)], "i int, q string, c string")
+    held = trigrams(F.coalesce("c", F.lit("")))
+    by_sets = F.when(F.size(trigrams(F.col("q"))) == 0, 0.0).otherwise(F.size(F.array_intersect(trigrams(F.col("q")), held)) / F.size(trigrams(F.col("q"))))
+    rows = pairs.select("q", "c", by_sets.alias("want"), lexical_coverage(F.col("q"), F.col("c")).alias("got")).collect()
+    assert all(x.want == x.got for x in rows) and len({x.got for x in rows}) > 10
+    x = spark.createDataFrame([("Blue cat", "the blue dog")], "q string, c string").select(lexical_coverage(F.col("q"), F.col("c"))).first()[0]
+    assert x == len(brute.grams("Blue cat") & brute.grams("the blue dog")) / len(brute.grams("Blue cat"))
+
 
 
 def test_blocks_fill_all_cores(spark, monkeypatch):

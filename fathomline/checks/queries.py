@@ -19,7 +19,7 @@ from fathomline.functions.scoring import clamp_limit, pool_size, rrf_score
 from fathomline.functions.text import build_content, clean_int, collapse_spaces, content_hash, render_list
 from fathomline.functions.trigram import trgm_similarity, trigram_windows
 from fathomline.functions.vectors import check_dims, cosine_distance, l2_normalize, norm
-from fathomline.operators.learned import fit_pair_model
+from fathomline.operators.learned import PAIR_PARTS, fit_pair_model
 from fathomline.operators import lexical, merge, reports
 from fathomline.operators.codes import code_build, coded_topk
 from fathomline.operators.counting import filter_counts
@@ -429,7 +429,9 @@ def rerank_topk(spark, sf):
 def rerank_learned(spark, sf):
     """A scorer learned on the pairs of three quarters of the queries, and whether it puts an item of the right name first for each query."""
     prepared = prepared_with_pool(spark, sf)
-    found = hybrid_candidates(prepared, items_view(spark, sf)).join(prepared.select("query_id", "search_text"), "query_id")
+    held = with_held(items_view(spark, sf), PAIR_PARTS)
+    asked = with_asked(prepared.select("query_id", "search_text"), PAIR_PARTS)
+    found = hybrid_candidates(prepared, held, fields=("name", "content", HELD)).join(asked, "query_id")
     marked = found.withColumns({"label": F.startswith("search_text", "name").cast("int"), "held_out": F.col("query_id") % 4 == 0})
     judged = cut_lineage(marked)
     best = rerank(judged, 1, fit_pair_model(judged.where("not held_out")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.functions.binding import let
-from fathomline.functions.trigram import trigrams
+from fathomline.functions.trigram import held_trigrams, padded_words, trigrams
 
 MAX_PAIRS = 50_000  # judged pairs a model is fitted on, at most
 FEATURES = ("asked_found", "content_asked", "words_found", "leading_words", "pairs_found", "length")
@@ -21,43 +21,86 @@ def pair_features(query: Column, content: Column) -> Column:
     that is missing, of its neighbouring words that are neighbours there, and a
     damped length of the content.
     """
-    def words(text: Column) -> Column:
-        return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return let(query_parts(query), lambda q: let(content_parts(content), lambda c: features_of(q, c)))
 
+
+def query_parts(query: Column) -> Column:
+    """What the features need of a query: its trigrams, and its words and neighbouring words as they stand in padded words."""
+    text = F.coalesce(query, F.lit(""))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def parts(w: Column) -> Column:
+        after = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+        return F.struct(
+            trigrams(text).alias("grams"),
+            F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" "))).alias("words"),
+            F.transform(after, lambda x, i: F.concat(F.lit(" "), F.get(w, i), F.lit("   "), x, F.lit(" "))).alias("pairs"),
+        )
+
+    return let(words, parts)
+
+
+def content_parts(content: Column) -> Column:
+    """What the features need of a content: its padded words, the number of its trigrams, its length."""
+    text = F.coalesce(content, F.lit(""))
+    return F.struct(
+        padded_words(text).alias("padded"), F.size(trigrams(text)).alias("n_grams"), F.length(text).alias("length")
+    )
+
+
+def features_of(q: Column, c: Column) -> Column:
+    """``pair_features`` of the parts of a query and of a content."""
     def share(part: Column, whole: Column) -> Column:
-        return F.when(F.size(whole) == 0, F.lit(0.0)).otherwise(F.size(part) / F.size(whole))
+        return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
-    def of_grams(q: Column, c: Column) -> list[Column]:
-        return [share(F.array_intersect(q, c), q), share(F.array_intersect(q, c), c)]
+    def stands(text: Column) -> Column:
+        return F.contains(c["padded"], text)
 
-    def of_words(q: Column, c: Column) -> list[Column]:
-        missing = F.array_position(F.transform(q, lambda w: F.array_contains(c, w)), False)
-        before = F.when(missing == 0, F.size(q)).otherwise(missing - 1)
-        held = F.filter(q, lambda w: F.array_contains(c, w))
-        neighbours = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
-        pairs = let(neighbours(q), lambda p: share(F.filter(p, lambda x: F.array_contains(neighbours(c), x)), p))
-        return [share(held, q), F.when(F.size(q) == 0, F.lit(0.0)).otherwise(before / F.size(q)), pairs]
+    words, pairs = q["words"], q["pairs"]
+    of_grams = let(
+        F.size(held_trigrams(q["grams"], c["padded"])), lambda n: F.array(share(n, F.size(q["grams"])), share(n, c["n_grams"]))
+    )
+    missing = F.array_position(F.transform(words, stands), False)
+    before = let(missing, lambda at: F.when(at == 0, F.size(words)).otherwise(at - 1))
+    of_words = F.array(
+        share(F.size(F.filter(words, stands)), F.size(words)), share(before, F.size(words)),
+        share(F.size(F.filter(pairs, stands)), F.size(pairs)),
+    )
+    return F.concat(of_grams, of_words, F.array(1 / (1 + F.log1p(c["length"].cast("double")))))
+
+
+class PairParts:
+    """The parts of a pair that do not depend on what a model learns; they can be computed before query and content meet."""
+
+    def asked(self, query: Column) -> Column:
+        return query_parts(query)
 
-    def both(q: Column, c: Column) -> Column:
-        grams = let(F.struct(trigrams(q).alias("q"), trigrams(c).alias("c")), lambda s: F.array(*of_grams(s["q"], s["c"])))
-        named = let(F.struct(words(q).alias("q"), words(c).alias("c")), lambda s: F.array(*of_words(s["q"], s["c"])))
-        size = F.array(1 / (1 + F.log1p(F.length(c).cast("double"))))
-        return F.concat(grams, named, size)
+    def held(self, content: Column) -> Column:
+        return content_parts(content)
 
-    empty = F.lit("")
-    return let(F.struct(F.coalesce(query, empty).alias("q"), F.coalesce(content, empty).alias("c")), lambda s: both(s["q"], s["c"]))
+    def score(self, asked: Column, held: Column) -> Column:
+        raise NotImplementedError("parts alone have no score")
+
+
+PAIR_PARTS = PairParts()
 
 
 @dataclass(frozen=True)
-class PairModel:
+class PairModel(PairParts):
     """A logistic model over ``pair_features``; called with two columns it is a scorer for ``rerank``, all in the JVM."""
 
     weights: tuple[float, ...]
     intercept: float
 
     def __call__(self, query: Column, content: Column) -> Column:
+        return self._chance(pair_features(query, content))
+
+    def score(self, asked: Column, held: Column) -> Column:
+        return self._chance(features_of(asked, held))
+
+    def _chance(self, features: Column) -> Column:
         weights = F.array(*map(F.lit, self.weights))
-        terms = F.zip_with(pair_features(query, content), weights, lambda x, w: x * w)
+        terms = F.zip_with(features, weights, lambda x, w: x * w)
         return 1 / (1 + F.exp(-F.aggregate(terms, F.lit(self.intercept), lambda total, x: total + x)))
 
 

@@ -9,6 +9,8 @@ from fathomline.checks import queries as checks
 from fathomline.functions.scoring import lexical_coverage
 from fathomline.functions.trigram import trigrams
 from fathomline.operators import blocks
+from fathomline.operators.learned import PAIR_PARTS, PairModel
+from fathomline.operators.rerank import rerank, with_held
 
 WORDS = ["blue", "Dragon", "ação", "x", "ab", "a?b", "ß", "日本語", "𠀀𠀁𠀂", "𐐀z", "--", "", "\n"]
 ITEMS = (
@@ -43,6 +45,14 @@ def test_coverage_of_odd_texts(spark):
     assert x == len(brute.grams("Blue cat") & brute.grams("the blue dog")) / len(brute.grams("Blue cat"))
 
 
+def test_learned_parts(spark):
+    r = random.Random(4)
+    pairs = spark.createDataFrame([(i % 50, i, i, text(r), text(r)) for i in range(400)], "query_id int, item_id int, rrf_rank int, search_text string, content string")
+    model = PairModel((0.5, -1.0, 2.0, 0.25, 1.5, -0.5), 0.1)
+    plain = rerank(pairs, 3, model).collect()
+    parts = with_held(pairs, PAIR_PARTS).withColumn("__asked", PAIR_PARTS.asked(F.col("search_text")))
+    assert sorted(map(str, rerank(parts, 3, model).collect())) == sorted(map(str, plain))
+
 
 def test_blocks_fill_all_cores(spark, monkeypatch):
     """One block more than cores would leave all cores but one idle for a whole pass."""

@@ -10,7 +10,7 @@ from fathomline.functions.trigram import DEFAULT_THRESHOLD
 from fathomline.operators.encode import Encoder, embed
 from fathomline.operators.fusion import fused_candidates, materialize
 from fathomline.operators.reports import build_context, build_prompts, format_results
-from fathomline.operators.rerank import Scorer, default_scorer, rerank
+from fathomline.operators.rerank import HELD, Scorer, default_scorer, rerank, with_asked, with_held
 from fathomline.session import cut_lineage
 
 RESULT_FIELDS = ("name", "content", "level", "atk", "def_", "attribute", "properties")
@@ -67,10 +67,12 @@ def hybrid_search(
     """
     prepared = with_limits(prepare_queries(queries, spec), limit)
     if encoder is not None:
-        # Measured, ranked and joined again: each query is encoded once.
-        prepared = cut_lineage(embed(prepared, "search_text", encoder, "query_vec"))
-    candidates = hybrid_candidates(prepared, items, mode=mode)
-    asked = prepared.select("query_id", "search_text", "top_k")
+        prepared = embed(prepared, "search_text", encoder, "query_vec")
+    # Measured, ranked and joined again: each query is read, parsed and encoded once.
+    prepared = cut_lineage(prepared)
+    held = with_held(items, scorer)
+    candidates = hybrid_candidates(prepared, held, mode=mode, fields=RESULT_FIELDS + ((HELD,) if HELD in held.columns else ()))
+    asked = with_asked(prepared.select("query_id", "search_text", "top_k"), scorer)
     ranked = rerank(candidates.join(asked, "query_id"), F.col("top_k"), scorer)
     return ranked.drop("search_text", "top_k")
 

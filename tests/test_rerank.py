@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import brute
@@ -10,7 +11,8 @@ from fathomline.functions.scoring import lexical_coverage
 from fathomline.functions.trigram import trigrams
 from fathomline.operators import blocks
 from fathomline.operators.learned import PAIR_PARTS, PairModel
-from fathomline.operators.rerank import rerank, with_held
+from fathomline.operators.rerank import CoverageScorer, rerank, with_held
+from fathomline.plans.search import context_prompts, hybrid_search, search_report
 
 WORDS = ["blue", "Dragon", "ação", "x", "ab", "a?b", "ß", "日本語", "𠀀𠀁𠀂", "𐐀z", "--", "", "\n"]
 ITEMS = (
@@ -34,6 +36,57 @@ def tables(spark, n_items=60, n_queries=20):
     return spark.createDataFrame(asked, QUERIES), spark.createDataFrame(items, ITEMS)
 
 
+class Counting(CoverageScorer):
+    """Counts the rows its parts are computed of."""
+
+    def __init__(self, spark):
+        self.queries, self.contents = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def once(self, queries, contents):
+        """Whether parts are of rows, not of the 60 candidates of each query; an expression may name its text a few times."""
+        return queries <= self.queries.value <= 4 * queries and contents <= self.contents.value <= 4 * contents
+
+    def __call__(self, query, content):
+        return self.score(self.asked(query), self.held(content))
+
+    def asked(self, query):
+        return super().asked(counted(query, self.queries))
+
+    def held(self, content):
+        return super().held(counted(content, self.contents))
+
+
+def counted(value, rows):
+    @F.pandas_udf("string")
+    def count(part):
+        rows.add(len(part))
+        return part
+
+    return count.asNondeterministic()(value)
+
+
+def test_parts_are_computed_once(spark):
+    queries, items = tables(spark)
+    scorer = Counting(spark)
+    got = hybrid_search(queries, items, limit=30, scorer=scorer).collect()
+    assert len(got) == 20 * 30
+    assert scorer.once(20, 60)
+    want = hybrid_search(queries, items, limit=30).collect()
+    assert sorted(got) == sorted(want) and got[0].asDict().keys().isdisjoint({"__asked", "__held"})
+
+
+@pytest.mark.parametrize("make", [lambda q, i, s: search_report(q, i, scorer=s), lambda q, i, s: search_report(q, i, "cli", scorer=s),
+                                  lambda q, i, s: context_prompts(q, i, scorer=s)])
+def test_reports_compute_parts_once(spark, make):
+    queries, items = tables(spark)
+    scorer = Counting(spark)
+    got = make(queries, items, scorer).collect()
+    assert len(got) == 20 and scorer.once(20, 60)
+    # A scorer of two columns, without parts.
+    plain = make(queries, items, lambda query, content: lexical_coverage(query, content)).collect()
+    assert sorted(got) == sorted(plain)
+
+
 def test_coverage_of_odd_texts(spark):
     r = random.Random(3)
     pairs = spark.createDataFrame([(i, text(r), text(r)) for i in range(600)], "i int, q string, c string")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.functions.binding import let
 from fathomline.functions.trigram import held_trigrams, padded_words, trigrams
+from fathomline.operators.rerank import ASKED, HELD
+from fathomline.session import cut_lineage
 
-MAX_PAIRS = 50_000  # judged pairs a model is fitted on, at most
 FEATURES = ("asked_found", "content_asked", "words_found", "leading_words", "pairs_found", "length")
 
 
@@ -105,25 +106,33 @@ class PairModel(PairParts):
 
 
 def fit_pair_model(
-    pairs: DataFrame, query_col: str = "search_text", content_col: str = "content", label_col: str = "label", max_pairs: int = MAX_PAIRS
+    pairs: DataFrame, query_col: str = "search_text", content_col: str = "content", label_col: str = "label", max_pairs: int | None = None
 ) -> PairModel:
-    """A model of judged ``pairs``; those with a NULL label say nothing.
-
-    At most about ``max_pairs`` pairs are learned from, chosen by a hash of the
-    pair, so that the same pairs are chosen however they are spread. With one
-    kind of label only, the model gives its share to every pair.
+    """A model of all judged ``pairs``; those with a NULL label say nothing.
+
+    The features of each pair are computed once and written; the passes of the
+    fit add up sums inside tasks. What ``with_asked`` and ``with_held``
+    computed of ``PAIR_PARTS`` beforehand is used. With one kind of label only,
+    the model gives its share to every pair. Only a caller that sets
+    ``max_pairs`` has about that many learned from, chosen by a hash of the
+    pair, so that the same pairs are chosen however they are spread.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    judged = pairs.where(F.col(label_col).isNotNull()).select(
-        array_to_vector(pair_features(F.col(query_col), F.col(content_col))).alias("features"), F.col(label_col).cast("double").alias("label"),
-        F.xxhash64(query_col, content_col).alias("at"),
+    if ASKED in pairs.columns and HELD in pairs.columns:
+        features = let(F.col(ASKED), lambda a: let(F.col(HELD), lambda h: features_of(a, h)))
+    else:
+        features = pair_features(F.col(query_col), F.col(content_col))
+    judged = cut_lineage(
+        pairs.where(F.col(label_col).isNotNull()).select(
+            features.alias("features"), F.col(label_col).cast("double").alias("label"), F.xxhash64(query_col, content_col).alias("at")
+        )
     )
     total, right = judged.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if right in (0, total):
         return PairModel((0.0,) * len(FEATURES), 0.0 if not total else (20.0 if right else -20.0))
-    share = max_pairs / total
-    sample = judged.where(F.pmod("at", F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else judged
-    fitted = LogisticRegression(regParam=1e-4, maxIter=50).fit(sample)
+    if max_pairs is not None and max_pairs < total:
+        judged = judged.where(F.pmod("at", F.lit(1 << 20)) < int(max_pairs / total * (1 << 20)))
+    fitted = LogisticRegression(regParam=1e-4, maxIter=50).fit(judged.select(array_to_vector("features").alias("features"), "label"))
     return PairModel(tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from fathomline.operators.learned import FEATURES, PairModel, fit_pair_model, pair_features
-from fathomline.operators.rerank import rerank
+from fathomline.operators.learned import FEATURES, PAIR_PARTS, PairModel, fit_pair_model, pair_features
+from fathomline.operators.rerank import rerank, with_asked, with_held
 
 PAIRS = "search_text string, content string, label int"
 
@@ -43,3 +43,18 @@ def test_one_kind_of_label(spark):
         model = fit_pair_model(spark.createDataFrame(rows, PAIRS))
         assert isinstance(model, PairModel)
         assert low <= spark.range(1).select(model(F.lit("a"), F.lit("b"))).first()[0] <= high
+
+
+def test_learns_from_every_pair(spark, monkeypatch):
+    """The fit sees each judged pair, and the parts that were made beforehand give the same model."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    asked = F.when(F.col("id") % 3 == 0, F.lit("red ring wanted")).otherwise(F.concat(F.lit("blue cat "), F.col("id").cast("string")))
+    label = F.when(F.col("id") < 60_000, (F.col("id") % 3 == 0).cast("int"))
+    pairs = spark.range(60_010).select(asked.alias("search_text"), F.lit("Name: red ring").alias("content"), label.alias("label"))
+    model = fit_pair_model(pairs)
+    parts = fit_pair_model(with_held(with_asked(pairs, PAIR_PARTS), PAIR_PARTS))
+    assert seen == [60_000, 60_000]
+    assert (*parts.weights, parts.intercept) == pytest.approx((*model.weights, model.intercept), rel=1e-4, abs=1e-6)

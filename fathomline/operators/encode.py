@@ -44,22 +44,43 @@ class HashedTrigramEncoder:
         dims = self.dims
 
         def encode(texts: Sequence[str]) -> list[np.ndarray]:
-            return [hashed_counts(text, dims) for text in texts]
+            out: list[np.ndarray] = []
+            for some in _some_at_once(texts):
+                out.extend(hashed_counts(some, dims))
+            return out
 
         return encode
 
 
-def hashed_counts(padded: str, dims: int) -> np.ndarray:
-    code = np.frombuffer(padded.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-    if len(code) < 3:
-        return np.zeros(dims)
+# Characters that are counted together: many short texts, or one long one.
+CHARACTERS_AT_ONCE = 100_000
+
+
+def _some_at_once(texts: Sequence[str]) -> Iterator[list[str]]:
+    held: list[str] = []
+    total = 0
+    for text in texts:
+        if held and total + len(text) > CHARACTERS_AT_ONCE:
+            yield held
+            held, total = [], 0
+        held.append(text)
+        total += len(text)
+    if held:
+        yield held
+
+
+def hashed_counts(padded: Sequence[str], dims: int) -> np.ndarray:
+    """A row per padded text: counts of its hashed trigrams, scaled to length one."""
+    code = np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(padded)), [len(text) for text in padded])
     a, b, c = code[:-2], code[1:-1], code[2:]
-    # Windows that end in two blanks lie between words.
-    inside = (b != BLANK) | (c != BLANK)
+    # Windows that end in two blanks lie between words, and none reaches into the next text.
+    inside = ((b != BLANK) | (c != BLANK)) & (row[:-2] == row[2:])
     slot = (a * SLOT_FACTORS[0] + b * SLOT_FACTORS[1] + c * SLOT_FACTORS[2]) % dims
-    counts = np.bincount(slot[inside], minlength=dims).astype(np.float64)
-    length = np.sqrt((counts**2).sum())
-    return counts / length if length else counts
+    at = row[:-2][inside] * dims + slot[inside]
+    counts = np.bincount(at, minlength=len(padded) * dims).astype(np.float64).reshape(len(padded), dims)
+    length = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+    return counts / np.where(length == 0, 1.0, length)
 
 
 def encode_column(encoder: Encoder, on_error: str = "null") -> Callable[[Column], Column]:

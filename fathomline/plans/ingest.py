@@ -129,9 +129,10 @@ def reconcile(
     result = ingest(spark, directory, store, encoders)
     index = store.read()
     # A file stands for the key in its name and for the one in its document.
-    keys = F.explode(F.array(key_from_path(F.col("path")), F.col("item_key"))).alias("item_key")
-    present = result.documents.select(keys).where(F.col("item_key").isNotNull()).distinct()
-    gone = index.select("item_key").join(present, "item_key", "left_anti")
+    keys = F.explode(F.array_distinct(F.array(key_from_path(F.col("path")), F.col("item_key")))).alias("item_key")
+    present = result.documents.select(keys).where(F.col("item_key").isNotNull())
+    # Counted, measured and applied: written, so that files and index meet once.
+    gone = cut_lineage(index.select("item_key").join(present, "item_key", "left_anti"))
     if gone.isEmpty():
         return result
     return replace(result, version=store.apply(index.where("false"), gone))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
+import stat
 import tempfile
 import uuid
 
@@ -70,6 +72,28 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "/", path)))
 
 
+def is_local(system) -> bool:
+    """Whether Arrow's file system is the machine's own."""
+    from pyarrow import fs
+
+    return isinstance(system, fs.LocalFileSystem)
+
+
+def local_path(path: str) -> str | None:
+    """The name of a file on the machine's own file system; None if it lies elsewhere."""
+    plain = re.sub(r"^file:/+", "/", path)
+    return plain if plain.startswith("/") else None
+
+
+def regular_file(name: str) -> os.stat_result | None:
+    """Time and size of a local file; None if there is no file of that name."""
+    try:
+        state = os.stat(name)
+    except (FileNotFoundError, NotADirectoryError):
+        return None
+    return state if stat.S_ISREG(state.st_mode) else None
+
+
 def hadoop_file_system(spark: SparkSession, path: str):
     """Spark's file system of ``path``, and its class of paths."""
     jvm = spark.sparkContext._jvm

@@ -6,13 +6,12 @@ import os
 from collections.abc import Iterator
 from itertools import batched
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathomline.functions.binding import let
 from fathomline.functions.text import build_content, clean_int, content_hash
-from fathomline.session import deal, file_system, hadoop_file_system
+from fathomline.session import deal, file_system, hadoop_file_system, is_local, local_path, regular_file
 from fathomline.sources.paths import MAX_ITEM_BYTES, key_from_path
 
 # Names of a listing, and bytes of files, that a task hands on at once.
@@ -87,23 +86,31 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """``path, modified_at, n_bytes`` of the JSON files directly in ``directory``; none is opened.
 
     A directory is listed by one task, name after name, and leaves it in batches;
-    hidden files and folders below are left out. Paths and times (in milliseconds)
-    are as Spark's own readers give them.
+    hidden files and folders below are left out. Names of a local directory are
+    dealt over all cores, which look up time and size; a file that is gone by
+    then is left out. Paths and times (in milliseconds) are as Spark's own
+    readers give them.
     """
     fs, to_path = hadoop_file_system(spark, directory)
     if not fs.exists(to_path(directory)):
         raise FileNotFoundError(directory)
     root = fs.makeQualified(to_path(directory)).toString().rstrip("/")
+    schema = "path string, ms bigint, n_bytes bigint"
 
     def shown(name: str) -> bool:
         hidden = name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
         return name.endswith(".json") and not name.startswith(".") and not hidden
 
-    def entries() -> Iterator[tuple[str, int, int]]:
-        from pyarrow import fs
+    def batch(paths: list[str], times: list[int | None], sizes: list[int | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"path": pa.array(paths, pa.string()), "ms": pa.array(times, pa.int64()), "n_bytes": pa.array(sizes, pa.int64())}
+        )
 
+    def entries() -> Iterator[tuple[str, int | None, int | None]]:
         system, base = file_system(root)
-        if not isinstance(system, fs.LocalFileSystem):
+        if not is_local(system):
+            from pyarrow import fs
+
             for info in system.get_file_info(fs.FileSelector(base)):
                 if info.type == fs.FileType.File and shown(info.base_name):
                     yield info.base_name, info.mtime_ns // 1_000_000, info.size
@@ -112,18 +119,29 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
             for entry in found:
                 try:
                     if shown(entry.name) and entry.is_file():
-                        state = entry.stat()
-                        yield entry.name, state.st_mtime_ns // 1_000_000, state.st_size
+                        yield entry.name, None, None
                 except FileNotFoundError:
                     continue
 
     def listed(_) -> Iterator[pa.RecordBatch]:
         for part in batched(entries(), LISTED_AT_ONCE):
             names, times, sizes = zip(*part)
-            paths = [f"{root}/{name}" for name in names]
-            yield pa.RecordBatch.from_pydict({"path": paths, "ms": pa.array(times, pa.int64()), "n_bytes": pa.array(sizes, pa.int64())})
+            yield batch([f"{root}/{name}" for name in names], times, sizes)
 
-    rows = spark.range(0, 1, 1, 1).mapInArrow(listed, "path string, ms bigint, n_bytes bigint")
+    def looked_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = file_system(root)[1].rstrip("/")
+        for part in parts:
+            found = []
+            for path in part.column("path").to_pylist():
+                state = regular_file(base + path[len(root):])
+                if state:
+                    found.append((path, state.st_mtime_ns // 1_000_000, state.st_size))
+            if found:
+                yield batch(*map(list, zip(*found)))
+
+    rows = spark.range(0, 1, 1, 1).mapInArrow(listed, schema)
+    if is_local(file_system(root)[0]):
+        rows = deal(rows).mapInArrow(looked_up, schema)
     return rows.select("path", F.timestamp_millis("ms").alias("modified_at"), "n_bytes")
 
 
@@ -182,11 +200,27 @@ def open_files(paths: DataFrame, max_bytes: int | None = MAX_ITEM_BYTES) -> Data
     such as a store that does not answer, fails the task, which Spark repeats.
     """
 
-    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def load(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        def local(name: str) -> tuple[int | None, bytes | None, str | None]:
+            state = regular_file(name)
+            if state is None:
+                return None, None, "missing"
+            if max_bytes is not None and state.st_size > max_bytes:
+                return state.st_size, None, "too large"
+            try:
+                with open(name, "rb", buffering=0) as stream:
+                    return state.st_size, stream.readall(), None
+            except (FileNotFoundError, NotADirectoryError):
+                return None, None, "missing"
+
         def one(path: str) -> tuple[int | None, bytes | None, str | None]:
-            system, name = file_system(path if "://" in path or path.startswith(("/", "file:")) else "/" + path)
+            path = path if "://" in path or path.startswith(("/", "file:")) else "/" + path
+            plain = local_path(path)
+            if plain is not None:
+                return local(plain)
+            system, name = file_system(path)
             info = system.get_file_info(name)
             if info.type != fs.FileType.File:
                 return None, None, "missing"
@@ -198,22 +232,24 @@ def open_files(paths: DataFrame, max_bytes: int | None = MAX_ITEM_BYTES) -> Data
             except FileNotFoundError:
                 return None, None, "missing"
 
-        def table(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["path", "us", "n_bytes", "content", "problem"]).astype({"us": "Int64", "n_bytes": "Int64"})
+        def batch(named: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            sizes, contents, problems = zip(*rows)
+            arrays = [*named.columns, pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(problems, pa.string())]
+            return pa.RecordBatch.from_arrays(arrays, names=["path", "us", "n_bytes", "content", "problem"])
 
         for part in parts:
-            rows, held = [], 0
-            for path, us in zip(part["path"], part["us"].astype("Int64")):
-                rows.append((path, us, *one(path)))
-                held += rows[-1][2] or 0
+            rows, held, start = [], 0, 0
+            for path in part.column("path").to_pylist():
+                rows.append(one(path))
+                held += rows[-1][0] or 0
                 if held > READ_AT_ONCE:
-                    yield table(rows)
-                    rows, held = [], 0
+                    yield batch(part.slice(start, len(rows)), rows)
+                    rows, held, start = [], 0, start + len(rows)
             if rows:
-                yield table(rows)
+                yield batch(part.slice(start, len(rows)), rows)
 
     dealt = deal(paths.select("path", F.unix_micros("modified_at").alias("us")))
-    read = dealt.mapInPandas(load, "path string, us bigint, n_bytes bigint, content binary, problem string")
+    read = dealt.mapInArrow(load, "path string, us bigint, n_bytes bigint, content binary, problem string")
     return read.select("path", F.timestamp_micros("us").alias("modified_at"), "n_bytes", "content", "problem")
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from fathomline.operators.encode import HashedTrigramEncoder, embed, embed_many
+from fathomline.operators.encode import HashedTrigramEncoder, embed, embed_many, hashed_counts
 from fathomline.operators.rerank import model_scorer, rerank
 
 
@@ -72,3 +72,12 @@ def test_rerank_with_a_model(spark):
     df = spark.createDataFrame([(1, 1, 1, "abc", "ab"), (1, 2, 2, "abc", None), (1, 3, 3, "abc", "")], CANDIDATES)
     got = [(r.item_id, r.rerank_score) for r in rerank(df, F.lit(2), model_scorer(load)).orderBy("rank").collect()]
     assert got == [(2, 3.0), (3, 3.0)]
+
+
+def test_many_texts_are_counted_together():
+    texts = [" ", "", "  a ", "  ab ", "  b a ", "  x" * 70_000, "  ab ", "é", "  a " * 40_000]
+    together = HashedTrigramEncoder(16).load()(texts)
+    assert len(together) == len(texts)
+    for text, row in zip(texts, together):
+        assert (row == hashed_counts([text], 16)[0]).all()
+    assert (together[3] == together[6]).all() and not together[0].any() and not together[1].any()

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -298,3 +299,24 @@ def test_files_of_any_bytes(spark, tmp_path):
     assert [r.item_key for r in good.collect()] == [1] and bad.count() == 1
     bodies = read_bodies(list_files(spark, folder)).select("path", "problem", F.col("body").isNull().alias("none"))
     assert sorted((r.path[-6:], r.problem, r.none) for r in bodies.collect()) == [("1.json", None, False), ("2.json", "not UTF-8", True)]
+
+
+def test_names_are_looked_up_by_all_cores(spark, tmp_path, plan):
+    """One task reads the names; times and sizes are looked up where the names are dealt to."""
+    folder = str(tmp_path / "files")
+    for i in range(30):
+        put(folder, f"{i}.json", full(i))
+    os.symlink(folder + "/missing", folder + "/40.json")
+    os.makedirs(folder + "/50.json")
+    listed = list_files(spark, folder)
+    assert "RoundRobinPartitioning" in plan(listed)
+    assert {(os.path.basename(r.path), r.n_bytes) for r in listed.collect()} == {(f"{i}.json", len(json.dumps(full(i)))) for i in range(30)}
+
+
+def test_key_of_a_long_path(spark):
+    """The key takes one pass over the name: no pattern is tried again from each of its places."""
+    paths = ["/w/" + "a" * 100_000 + "/12.json", "/w/" + "b" * 100_000, "/w/ +1_2 .json", "7.json", "/w/7.json.json", "/w/.json", "/w/1__2.json", "/7.json\n", None]
+    began = time.time()
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(key_from_path(F.col("path")).alias("k")).collect()
+    assert [r.k for r in rows] == [12, None, 12, 7, None, None, None, None, None]
+    assert time.time() - began < 15

@@ -1,11 +1,12 @@
 """A directory followed by listings: differences, restarts, listings that were not finished."""
 
 import os
+import tracemalloc
 
 import pytest
 
 from fathomline.operators.encode import HashedTrigramEncoder
-from fathomline.sources.directory_stream import DirectoryReader, changes_between, read_directory_changes
+from fathomline.sources.directory_stream import DirectoryReader, ListingWriter, changes_between, read_directory_changes, read_listing
 from fathomline.sources.index_table import IndexStore
 from fathomline.streaming.watch import watch
 from test_sources import full, put
@@ -67,3 +68,35 @@ def test_directory_into_index(spark, tmp_path):
     os.remove(files + "/1.json")
     assert follow() == {2: "edited", 3: "Item 3"}
     assert follow() == {2: "edited", 3: "Item 3"}
+
+
+def test_a_listing_is_not_held(tmp_path):
+    """What a listing holds does not grow with the directory, and files that were met in another order are the same listing."""
+    files, state = str(tmp_path / "files"), str(tmp_path / "state")
+    os.makedirs(files)
+    for i in range(30_000):
+        os.close(os.open(f"{files}/{i}.json", os.O_CREAT | os.O_WRONLY))
+    reader = DirectoryReader({"path": files, "state": state, "buckets": "4"})
+    tracemalloc.start()
+    first = reader.latestOffset()
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 150 bytes a file are less than its line.
+    assert held < 30_000 * 150
+    assert len(events(reader, reader.initialOffset(), first)) == 30_000
+    met = list(reader._files())
+    reader._files = lambda: reversed(met)
+    assert reader.latestOffset() == first
+    assert sorted(os.listdir(state)) == sorted([first["folder"], f"listing-{first['listing']:012d}"])
+    reader._files = lambda: met[1:]
+    second = reader.latestOffset()
+    assert events(reader, first, second) == [("deleted", os.path.basename(met[0][0]))]
+
+
+def test_lines_are_written_as_they_come(tmp_path):
+    listing = ListingWriter(str(tmp_path / "state"), 2, most=3)
+    for i in range(8):
+        listing.add(f"/f/{i}\u2028.json", i, 1)
+        assert listing.held < 3
+    folder = tmp_path / "state" / listing.keep()
+    assert read_listing(str(folder / "0")) | read_listing(str(folder / "1")) == {f"/f/{i}\u2028.json": (i, 1) for i in range(8)}
